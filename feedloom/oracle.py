@@ -170,3 +170,104 @@ SELECT 'sample_title', title_preview, id, row_number() OVER (ORDER BY created_at
   SELECT a.id, substr(a.title, 1, 60) AS title_preview, a.created_at
   FROM fx_articles a JOIN fx_article_tags x ON a.id = x.article_id JOIN {_TOP} tt ON tt.id = x.tag_id
   ORDER BY a.created_at DESC, a.id LIMIT 3)""")
+
+# ------------------------------------------------------------------ scan and clean
+
+_P1 = """SELECT feed_url, pos, coalesce(title, 'Untitled') AS title, coalesce(link, '') AS link,
+  coalesce(summary, '') AS summary, content, published_raw, updated_raw FROM fx_entries"""
+_P3 = f"""SELECT *, CASE WHEN summary = '' THEN coalesce(content, '') ELSE summary END AS summary2
+  FROM ({_P1}) WHERE link <> ''"""
+_STORE = """store_links AS (SELECT link FROM fx_entries
+  WHERE pos < (SELECT max(pos) / 4 FROM fx_entries) AND link IS NOT NULL)"""
+
+
+def _feed_iso(col: str) -> str:
+    stripped = f"regexp_replace(regexp_replace(trim({col}), '^[A-Za-z]{{3}},\\s*', ''), '\\s+(GMT|UT|UTC|Z)$', ' +0000')"
+    return (f"strftime(coalesce(try_cast({col} AS TIMESTAMPTZ), try_strptime({stripped}, '%d %b %Y %H:%M:%S %z'))"
+            f" AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00')")
+
+
+def _source(col: str) -> str:
+    dom = f"lower(coalesce(regexp_extract({col}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''))"
+    return (f"coalesce(CASE {dom} WHEN 'arktimes.com' THEN 'Arkansas Times' "
+            f"WHEN 'www.arkansasbusiness.com' THEN 'Arkansas Business' "
+            f"WHEN 'talkbusiness.net' THEN 'Talk Business & Politics' "
+            f"WHEN 'arkansasadvocate.com' THEN 'Arkansas Advocate' WHEN 'www.kark.com' THEN 'KARK 4 News' "
+            f"WHEN 'www.google.com' THEN 'Google News Alert' END, {dom})")
+
+
+SQL["P1_defaulted_entries"] = with_fx(f"SELECT pos, title, link, summary FROM ({_P1})")
+SQL["P2_entries_with_link"] = with_fx(f"SELECT pos, link FROM ({_P1}) WHERE link <> ''")
+SQL["P3_summary_fallback"] = with_fx(f"SELECT pos, summary2 AS summary FROM ({_P3})")
+SQL["F4_feed_dates"] = with_fx(f"SELECT pos, published_raw, {_feed_iso('published_raw')} AS published FROM fx_entries")
+SQL["F5_parse_iso"] = with_fx(f"SELECT id, published, {iso_ts('published')} AS published_ts FROM fx_articles")
+SQL["F7_url_authority"] = with_fx(
+    "SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '')) AS authority FROM pages")
+SQL["P4_source_names"] = with_fx(
+    f"SELECT feed_url, {_source('feed_url')} AS source, count(*) AS entries FROM fx_entries GROUP BY feed_url")
+SQL["J4_new_links"] = with_fx(f"""
+SELECT pos, link, title, summary2 AS summary, {_feed_iso('published_raw')} AS published, {_source('feed_url')} AS source
+FROM ({_P3}) e WHERE link NOT IN (SELECT link FROM store_links)""", _STORE)
+SQL["A12_ingest_stats"] = with_fx(f"""
+SELECT feed_url, count(*) AS entries,
+  count(*) FILTER (WHERE link = '') AS skipped_no_link,
+  count(*) FILTER (WHERE link <> '' AND link IN (SELECT link FROM store_links)) AS skipped_stored,
+  count(*) FILTER (WHERE link <> '' AND link NOT IN (SELECT link FROM store_links)) AS new_entries
+FROM ({_P1}) GROUP BY feed_url""", _STORE)
+SQL["S1_feed_scan"] = with_fx(f"SELECT pos, title, link, summary2 AS summary, published_raw FROM ({_P3})")
+SQL["U1_feed_union"] = with_fx(
+    "SELECT feed_url, count(*) AS entries, count(link) AS with_link_field FROM fx_entries GROUP BY feed_url")
+
+# ------------------------------------------------------------------ images and HTML
+
+_CLEAN = """regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+  '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"""
+
+
+def _attr(t: str, name: str) -> str:
+    return (f"(regexp_extract({t}, '(?is)\\s{name}\\s*=\\s*\"([^\"]*)\"', 1) || "
+            f"regexp_extract({t}, '(?is)\\s{name}\\s*=\\s*''([^'']*)''', 1) || "
+            f"regexp_extract({t}, '(?is)\\s{name}\\s*=\\s*([^\\s\"''>]+)', 1))")
+
+
+def _unescape(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
+                    ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def _first(kind_attr: str, value: str) -> str:
+    first = f"list_filter(metas, lambda t: {_attr('t', kind_attr)} = '{value}')[1]"
+    content = f"regexp_replace({_unescape(_attr(first, 'content'))}, '^\\s+|\\s+$', '', 'g')"
+    return f"nullif({content}, '')"
+
+
+_REF = f"""(SELECT page_id, url, coalesce({_first('property', 'og:image')}, {_first('name', 'twitter:image')},
+      {_first('property', 'article:image')}) AS ref
+  FROM (SELECT page_id, url, regexp_extract_all({_CLEAN}, '(?is)<meta\\b[^>]*>') AS metas FROM fx_pages))"""
+
+_RESOLVED = """CASE WHEN ref IS NULL THEN NULL
+  WHEN starts_with(ref, 'http://') OR starts_with(ref, 'https://') THEN ref
+  WHEN starts_with(ref, '//') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || ':' || ref
+  WHEN starts_with(ref, '/') THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://'
+       || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || ref
+  ELSE lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://'
+       || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)
+       || coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/')
+       || ref END"""
+
+_BLOCKED = "contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'example.net')"
+
+SQL["F9_preview_image_ref"] = with_fx(f"SELECT page_id, ref AS image_ref FROM {_REF}")
+SQL["F8_resolve_image"] = with_fx(f"SELECT page_id, url, {_RESOLVED} AS og_image FROM {_REF}")
+SQL["P9_blocked_pages"] = with_fx(f"SELECT page_id, {_BLOCKED} AS blocked FROM fx_pages")
+_X4 = f"""(SELECT url, max(CASE WHEN {_BLOCKED} OR trim(url) = '' THEN NULL ELSE {_RESOLVED} END) AS og_image
+  FROM {_REF} GROUP BY url)"""
+SQL["X4_page_images"] = with_fx(f"SELECT url, og_image FROM {_X4}")
+SQL["J6_attach_images"] = with_fx(f"""
+SELECT a.id, coalesce(p.url, a.link) AS link, x.og_image
+FROM fx_articles a LEFT JOIN pages p ON p.page_id + 1 = a.id LEFT JOIN {_X4} x ON x.url = coalesce(p.url, a.link)""")
+SQL["F10_clean_html"] = with_fx(f"""
+SELECT page_id, regexp_replace(regexp_replace({_unescape(f"regexp_replace({_CLEAN}, '(?s)<[^>]*>', ' ', 'g')")},
+  '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages""")

@@ -136,3 +136,165 @@ def o7_top_tag_sample(spark, sf):
 @register("R1_run_report")
 def r1_run_report(spark, sf):
     return FD.run_report(*fixture_store(spark, sf))
+
+
+# ------------------------------------------------------------------ scan and clean
+
+def _entries(spark, sf):
+    from feedloom.sources.tables import fx_entries
+    return fx_entries(spark, sf)
+
+
+def _store_links(entries):
+    """The fixture's 'store': links of the first quarter of the entries."""
+    bound = entries.agg((F.max("pos") / 4).alias("b"))
+    return (entries.join(bound, entries["pos"] < bound["b"])
+            .where(F.col("link").isNotNull()).select("link"))
+
+
+@register("P1_defaulted_entries")
+def p1_defaulted_entries(spark, sf):
+    from feedloom.sources.feeds import default_fields
+    return default_fields(_entries(spark, sf)).select("pos", "title", "link", "summary")
+
+
+@register("P2_entries_with_link")
+def p2_entries_with_link(spark, sf):
+    from feedloom.sources.feeds import default_fields, with_link
+    return with_link(default_fields(_entries(spark, sf))).select("pos", "link")
+
+
+@register("P3_summary_fallback")
+def p3_summary_fallback(spark, sf):
+    from feedloom.sources.feeds import default_fields, summary_fallback, with_link
+    return summary_fallback(with_link(default_fields(_entries(spark, sf)))).select("pos", "summary")
+
+
+@register("F4_feed_dates")
+def f4_feed_dates(spark, sf):
+    from feedloom.functions.dates import feed_date_iso
+    e = _entries(spark, sf)
+    return e.select("pos", "published_raw", feed_date_iso(F.col("published_raw")).alias("published"))
+
+
+@register("F5_parse_iso")
+def f5_parse_iso(spark, sf):
+    from feedloom.functions.dates import parse_iso
+    a = fixture_store(spark, sf).articles
+    return a.select("id", "published", parse_iso(F.col("published")).alias("published_ts"))
+
+
+@register("F7_url_authority")
+def f7_url_authority(spark, sf):
+    from feedloom.functions.urls import authority
+    from feedloom.sources.tables import load
+    p = load(spark, sf, "pages")
+    return p.select("page_id", authority(F.col("url")).alias("authority"))
+
+
+@register("P4_source_names")
+def p4_source_names(spark, sf):
+    from feedloom.functions.urls import source_name
+    e = _entries(spark, sf)
+    return e.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entries")) \
+        .select("feed_url", source_name(F.col("feed_url")).alias("source"), "entries")
+
+
+@register("J4_new_links")
+def j4_new_links(spark, sf):
+    from feedloom.sources.feeds import clean_entries
+    e = _entries(spark, sf)
+    return clean_entries(e, _store_links(e)).select("pos", "link", "title", "summary",
+                                                    "published", "source")
+
+
+@register("A12_ingest_stats")
+def a12_ingest_stats(spark, sf):
+    from feedloom.sources.feeds import ingest_stats
+    e = _entries(spark, sf)
+    return ingest_stats(e, _store_links(e))
+
+
+def _xml_el(tag: str, c):
+    esc = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                    F.lit(">"), F.lit("&gt;"))
+    return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit(f"<{tag}>"), esc, F.lit(f"</{tag}>")))
+
+
+@register("S1_feed_scan")
+def s1_feed_scan(spark, sf):
+    """Entries rendered as RSS <item> text, parsed back by the XML reader,
+    then cleaned (P1-P3): the scan must give back what was landed."""
+    from feedloom.sources.feeds import default_fields, parse_items, summary_fallback, with_link
+    e = _entries(spark, sf)
+    items = e.select("feed_url", "pos", F.concat(
+        F.lit("<item>"), _xml_el("title", F.col("title")), _xml_el("link", F.col("link")),
+        _xml_el("description", F.col("summary")), _xml_el("content:encoded", F.col("content")),
+        _xml_el("pubDate", F.col("published_raw")), F.lit("</item>")).alias("xml"))
+    parsed = parse_items(items)
+    out = summary_fallback(with_link(default_fields(parsed)))
+    return out.select("pos", "title", "link", "summary", "published_raw")
+
+
+@register("U1_feed_union")
+def u1_feed_union(spark, sf):
+    e = _entries(spark, sf)
+    return e.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entries"),
+                                     F.count("link").alias("with_link_field"))
+
+
+# ------------------------------------------------------------------ images and HTML
+
+FIXTURE_BLOCKLIST = ("example.net",)
+
+
+def _pages(spark, sf):
+    from feedloom.sources.tables import fx_pages
+    return fx_pages(spark, sf)
+
+
+@register("F9_preview_image_ref")
+def f9_preview_image_ref(spark, sf):
+    from feedloom.functions.html import preview_image_ref
+    return _pages(spark, sf).select("page_id", preview_image_ref(F.col("html")).alias("image_ref"))
+
+
+@register("F8_resolve_image")
+def f8_resolve_image(spark, sf):
+    from feedloom.functions.html import preview_image_ref
+    from feedloom.functions.urls import resolve_url
+    p = _pages(spark, sf)
+    return p.select("page_id", "url",
+                    resolve_url(F.col("url"), preview_image_ref(F.col("html"))).alias("og_image"))
+
+
+@register("P9_blocked_pages")
+def p9_blocked_pages(spark, sf):
+    from feedloom.operators.images import is_blocked
+    p = _pages(spark, sf)
+    return p.select("page_id", is_blocked(F.col("url"), FIXTURE_BLOCKLIST).alias("blocked"))
+
+
+@register("X4_page_images")
+def x4_page_images(spark, sf):
+    from feedloom.operators.images import page_images
+    return page_images(_pages(spark, sf), FIXTURE_BLOCKLIST)
+
+
+@register("J6_attach_images")
+def j6_attach_images(spark, sf):
+    from feedloom.operators.images import attach_images, page_images
+    from feedloom.sources.tables import load
+    s = fixture_store(spark, sf)
+    urls = load(spark, sf, "pages").select((F.col("page_id") + 1).alias("id"), F.col("url").alias("_url"))
+    arts = (s.articles.join(urls, "id", "left")
+            .select("id", F.coalesce("_url", "link").alias("link")))
+    return attach_images(arts, page_images(_pages(spark, sf), FIXTURE_BLOCKLIST))
+
+
+@register("F10_clean_html")
+def f10_clean_html(spark, sf):
+    from feedloom.functions.text import clean_html
+    from feedloom.sources.tables import load
+    p = load(spark, sf, "pages")
+    return p.select("page_id", clean_html(F.col("html")).alias("text"))
