@@ -64,7 +64,8 @@ def with_fx(body: str, extra_ctes: str = "") -> str:
     ctes = FX_CTES.strip()
     if extra_ctes.strip():
         ctes = ctes + ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body}"
+    kw = "WITH RECURSIVE" if "UNION ALL\n  SELECT w.rn + 1" in ctes else "WITH"
+    return f"{kw} {ctes}\n{body}"
 
 
 def iso_ts(col: str) -> str:
@@ -271,3 +272,149 @@ FROM fx_articles a LEFT JOIN pages p ON p.page_id + 1 = a.id LEFT JOIN {_X4} x O
 SQL["F10_clean_html"] = with_fx(f"""
 SELECT page_id, regexp_replace(regexp_replace({_unescape(f"regexp_replace({_CLEAN}, '(?s)<[^>]*>', ' ', 'g')")},
   '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages""")
+
+# ------------------------------------------------------------------ similarity and dedup
+
+def _knn_ctes(vectors: str, thr: float, k: int = 20) -> str:
+    return f"""
+dists AS (SELECT a.article_id AS x, b.article_id AS y,
+            list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+          FROM {vectors} a, {vectors} b),
+knn AS (SELECT x, y, greatest(0, 1 - d * d / 2) AS sim,
+          row_number() OVER (PARTITION BY x ORDER BY d, y) AS r FROM dists),
+nb AS (SELECT x, y, sim FROM knn WHERE r <= {k} AND sim >= {thr} AND x <> y)"""
+
+
+def _d3_ctes(vectors: str) -> str:
+    return f"""
+nl AS (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
+         coalesce((SELECT list(y) FROM nb WHERE nb.x = v.article_id), []::BIGINT[]) AS ns FROM {vectors} v),
+walk(rn, processed, seeds) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL
+  SELECT w.rn + 1,
+    CASE WHEN list_contains(w.processed, n.id) OR len(n.ns) = 0 THEN w.processed
+         ELSE list_distinct(list_concat(w.processed, list_append(n.ns, n.id))) END,
+    CASE WHEN list_contains(w.processed, n.id) OR len(n.ns) = 0 THEN w.seeds
+         ELSE list_append(w.seeds, n.id) END
+  FROM walk w JOIN nl n ON n.rn = w.rn + 1),
+seeds AS (SELECT unnest(seeds) AS seed FROM (SELECT seeds FROM walk ORDER BY rn DESC LIMIT 1)),
+mem AS (SELECT s.seed, nb.y AS m FROM seeds s JOIN nb ON nb.x = s.seed UNION ALL SELECT seed, seed FROM seeds),
+kp AS (SELECT seed, min(m) AS keep_id FROM mem GROUP BY seed),
+gpairs AS (SELECT DISTINCT kp.keep_id, mem.m AS member_id FROM mem JOIN kp USING (seed) WHERE mem.m <> kp.keep_id),
+gpos AS (SELECT keep_id, min(seed) AS group_pos FROM kp GROUP BY keep_id),
+groups AS (SELECT g.keep_id, g.member_id, p.group_pos FROM gpairs g JOIN gpos p USING (keep_id))"""
+
+
+_D4_CTES = """
+gl AS (SELECT keep_id, group_pos, list(member_id) AS ms, row_number() OVER (ORDER BY group_pos) AS rn
+       FROM groups GROUP BY keep_id, group_pos),
+walk2(rn, removed, applied) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL
+  SELECT w.rn + 1,
+    CASE WHEN list_contains(w.removed, g.keep_id) THEN w.removed ELSE list_distinct(list_concat(w.removed, g.ms)) END,
+    CASE WHEN list_contains(w.removed, g.keep_id) THEN w.applied ELSE list_append(w.applied, g.keep_id) END
+  FROM walk2 w JOIN gl g ON g.rn = w.rn + 1),
+final AS (SELECT removed, applied FROM walk2 ORDER BY rn DESC LIMIT 1),
+resolution AS (SELECT gl.keep_id, gl.group_pos, list_contains((SELECT applied FROM final), gl.keep_id) AS applied FROM gl),
+removed_ids AS (SELECT DISTINCT unnest(removed) AS id FROM final)"""
+
+
+def _d2_ctes(batch: str, thr: float, stored: str | None) -> str:
+    store_part = ""
+    if stored:
+        store_part = f""",
+shit AS (SELECT x, y AS duplicate_id FROM (
+  SELECT b.article_id AS x, s.article_id AS y,
+    list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS d,
+    row_number() OVER (PARTITION BY b.article_id ORDER BY list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]), s.article_id) AS r
+  FROM {batch} b, {stored} s) WHERE r = 1 AND greatest(0, 1 - d * d / 2) >= {thr})"""
+    not_store = "WHERE v.article_id NOT IN (SELECT x FROM shit)" if stored else ""
+    return f"""
+bpairs AS (SELECT a.article_id AS a, b.article_id AS b FROM {batch} a JOIN {batch} b ON a.article_id < b.article_id
+  WHERE greatest(0, 1 - pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) / 2) >= {thr}){store_part},
+bnodes AS (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
+   coalesce((SELECT list(p.a) FROM bpairs p WHERE p.b = v.article_id), []::BIGINT[]) AS preds
+   FROM {batch} v {not_store}),
+walk3(rn, acc) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT w.rn + 1, CASE WHEN len(list_intersect(w.acc, n.preds)) > 0 THEN w.acc ELSE list_append(w.acc, n.id) END
+  FROM walk3 w JOIN bnodes n ON n.rn = w.rn + 1),
+accepted AS (SELECT unnest(acc) AS id FROM (SELECT acc FROM walk3 ORDER BY rn DESC LIMIT 1))"""
+
+
+SQL["J8_knn_similarity"] = with_fx("""
+SELECT x AS article_id, y AS neighbour_id, round(sim, 6) AS similarity FROM knn WHERE r <= 20 AND sim >= 0.3""",
+                                   _knn_ctes("fx_vectors", 0.3).strip().rstrip(",") )
+
+SQL["J9_nearest_stored"] = with_fx("""
+SELECT x AS article_id, y AS duplicate_id, round(greatest(0, 1 - d * d / 2), 6) AS similarity FROM (
+  SELECT b.article_id AS x, s.article_id AS y, list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS d,
+    row_number() OVER (PARTITION BY b.article_id ORDER BY list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]), s.article_id) AS r
+  FROM fx_vectors b, fx_vectors s
+  WHERE b.article_id > (SELECT max(article_id) / 2 FROM fx_vectors) AND s.article_id <= (SELECT max(article_id) / 2 FROM fx_vectors))
+WHERE r = 1 AND greatest(0, 1 - d * d / 2) >= 0.3""")
+
+SQL["D2_ingest_dedup"] = with_fx("""
+SELECT v.article_id, v.article_id IN (SELECT id FROM accepted) AS accepted,
+  CASE WHEN v.article_id IN (SELECT id FROM accepted) THEN NULL ELSE 'batch' END AS reason
+FROM fx_vectors v""", _d2_ctes("fx_vectors", 0.3, None))
+
+SQL["D2_ingest_dedup_with_store"] = with_fx("""
+SELECT v.article_id, v.article_id IN (SELECT id FROM accepted) AS accepted,
+  CASE WHEN v.article_id IN (SELECT x FROM shit) THEN 'store'
+       WHEN v.article_id IN (SELECT id FROM accepted) THEN NULL ELSE 'batch' END AS reason,
+  (SELECT duplicate_id FROM shit WHERE shit.x = v.article_id) AS duplicate_id
+FROM d2batch v""", """
+d2batch AS (SELECT * FROM fx_vectors WHERE article_id > (SELECT max(article_id) / 5 FROM fx_vectors)),
+d2store AS (SELECT * FROM fx_vectors WHERE article_id <= (SELECT max(article_id) / 5 FROM fx_vectors)),""" +
+    _d2_ctes("d2batch", 0.3, "d2store"))
+
+SQL["D3_duplicate_groups"] = with_fx("SELECT keep_id, member_id, group_pos FROM groups",
+                                     _knn_ctes("fx_vectors", 0.3) + "," + _d3_ctes("fx_vectors"))
+
+SQL["D4_group_resolution"] = with_fx("SELECT keep_id, group_pos, applied FROM resolution",
+                                     _knn_ctes("fx_vectors", 0.3) + "," + _d3_ctes("fx_vectors") + "," + _D4_CTES)
+
+SQL["D4_removed_articles"] = with_fx("SELECT id FROM removed_ids",
+                                     _knn_ctes("fx_vectors", 0.3) + "," + _d3_ctes("fx_vectors") + "," + _D4_CTES)
+
+SQL["A14_dedup_summary"] = with_fx("""
+SELECT 'original_articles' AS metric, count(*) AS value FROM fx_articles
+UNION ALL SELECT 'with_embedding', count(embedding) FROM av
+UNION ALL SELECT 'claimed_duplicates', count(*) FROM groups
+UNION ALL SELECT 'groups', count(*) FROM resolution
+UNION ALL SELECT 'skipped_groups', count(*) FILTER (WHERE NOT applied) FROM resolution
+UNION ALL SELECT 'removed', count(*) FROM removed_ids
+UNION ALL SELECT 'final_articles', count(*) FROM fx_articles WHERE id NOT IN (SELECT id FROM removed_ids)
+UNION ALL SELECT 'embeddings_stored', count(*) FROM av WHERE embedding IS NOT NULL AND article_id NOT IN (SELECT id FROM removed_ids)""",
+    "av AS (SELECT * FROM fx_vectors WHERE article_id IN (SELECT id FROM fx_articles))," +
+    _knn_ctes("av", 0.3) + "," + _d3_ctes("av") + "," + _D4_CTES)
+
+_EMBED_TEXT = "substr(title || ' ' || coalesce(summary, ''), 1, 8000)"
+
+SQL["F1_embed_text"] = with_fx(f"""
+SELECT id, length({_EMBED_TEXT}) AS n_chars, substr({_EMBED_TEXT}, 1, 100) AS head, md5({_EMBED_TEXT}) AS text_md5
+FROM fx_articles""")
+
+_SPARSE = f"""
+etxt AS (SELECT id, {_EMBED_TEXT} AS t FROM fx_articles
+         WHERE regexp_replace(title || ' ' || coalesce(summary, ''), '^\\s+|\\s+$', '', 'g') <> ''),
+ewords AS (SELECT id, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM etxt),
+esh AS (SELECT id, CASE WHEN len(ws) = 1 THEN ws
+          ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END AS s FROM ewords),
+ecnt AS (SELECT id, (('0x' || substr(md5(sh), 1, 8))::BIGINT) % 1536 AS bucket, count(*) AS c
+         FROM (SELECT id, unnest(s) AS sh FROM esh) GROUP BY ALL),
+sparse AS (SELECT id AS article_id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS weight FROM ecnt)"""
+
+SQL["X3_embed_sparse"] = with_fx("SELECT article_id, bucket, round(weight, 6) AS weight FROM sparse", _SPARSE)
+
+_TEXT_VECTORS = _SPARSE + """,
+tvec AS (SELECT article_id, list_transform(range(0, 1536),
+           lambda i: coalesce(list_extract(map_extract(m, i), 1), 0.0)::FLOAT) AS embedding
+         FROM (SELECT article_id, map(list(bucket), list(weight)) AS m FROM sparse GROUP BY article_id))"""
+
+SQL["D3_text_duplicate_groups"] = with_fx("SELECT keep_id, member_id, group_pos FROM groups",
+                                          _TEXT_VECTORS + "," + _knn_ctes("tvec", 0.7) + "," + _d3_ctes("tvec"))

@@ -298,3 +298,115 @@ def f10_clean_html(spark, sf):
     from feedloom.sources.tables import load
     p = load(spark, sf, "pages")
     return p.select("page_id", clean_html(F.col("html")).alias("text"))
+
+
+# ------------------------------------------------------------------ similarity and dedup
+
+# Fixture vectors have no pair >= 0.70, so the vector fixtures are tested at 0.30.
+VECTOR_TEST_THRESHOLD = 0.30
+
+
+def _vectors(spark, sf):
+    from feedloom.sources.tables import fx_vectors
+    return fx_vectors(spark, sf)
+
+
+@register("J8_knn_similarity")
+def j8_knn_similarity(spark, sf):
+    from feedloom.operators.similarity import knn_join
+    v = _vectors(spark, sf)
+    nn = knn_join(v, v, 20, VECTOR_TEST_THRESHOLD)
+    return nn.select(F.col("x").alias("article_id"), F.col("y").alias("neighbour_id"),
+                     F.round("similarity", 6).alias("similarity"))
+
+
+@register("J9_nearest_stored")
+def j9_nearest_stored(spark, sf):
+    from feedloom.operators.similarity import nearest_match
+    v = _vectors(spark, sf)
+    half = v.agg((F.max("article_id") / 2).alias("h"))
+    store = v.join(half, v["article_id"] <= half["h"]).select("article_id", "embedding")
+    batch = v.join(half, v["article_id"] > half["h"]).select("article_id", "embedding")
+    m = nearest_match(batch, store, VECTOR_TEST_THRESHOLD)
+    return m.select(F.col("x").alias("article_id"), "duplicate_id",
+                    F.round("similarity", 6).alias("similarity"))
+
+
+@register("D2_ingest_dedup")
+def d2_ingest_dedup(spark, sf):
+    from feedloom.operators.dedup import ingest_dedup
+    v = _vectors(spark, sf).withColumn("pos", F.col("article_id"))
+    st = ingest_dedup(v, None, VECTOR_TEST_THRESHOLD)
+    return st.select("article_id", "accepted", "reason")
+
+
+@register("D2_ingest_dedup_with_store")
+def d2_ingest_dedup_with_store(spark, sf):
+    """First fifth of the vectors stored, the rest arrive as one batch."""
+    from feedloom.operators.dedup import ingest_dedup
+    v = _vectors(spark, sf)
+    fifth = v.agg((F.max("article_id") / 5).alias("f"))
+    store = v.join(fifth, v["article_id"] <= fifth["f"]).select("article_id", "embedding")
+    batch = (v.join(fifth, v["article_id"] > fifth["f"])
+             .select("article_id", "embedding", F.col("article_id").alias("pos")))
+    st = ingest_dedup(batch, store, VECTOR_TEST_THRESHOLD)
+    return st.select("article_id", "accepted", "reason", "duplicate_id")
+
+
+@register("D3_duplicate_groups")
+def d3_duplicate_groups(spark, sf):
+    from feedloom.operators.dedup import duplicate_groups
+    return duplicate_groups(_vectors(spark, sf), None, VECTOR_TEST_THRESHOLD)
+
+
+@register("D4_group_resolution")
+def d4_group_resolution(spark, sf):
+    from feedloom.operators.dedup import duplicate_groups, resolve_groups
+    g = duplicate_groups(_vectors(spark, sf), None, VECTOR_TEST_THRESHOLD).checkpoint()
+    return resolve_groups(g)
+
+
+@register("D4_removed_articles")
+def d4_removed_articles(spark, sf):
+    from feedloom.operators.dedup import duplicate_groups, removed_ids, resolve_groups
+    g = duplicate_groups(_vectors(spark, sf), None, VECTOR_TEST_THRESHOLD).checkpoint()
+    return removed_ids(g, resolve_groups(g).checkpoint())
+
+
+@register("A14_dedup_summary")
+def a14_dedup_summary(spark, sf):
+    from feedloom.operators.dedup import dedup_summary, duplicate_groups, removed_ids, resolve_groups
+    arts = fixture_store(spark, sf).articles
+    v = _vectors(spark, sf).join(arts.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    g = duplicate_groups(v, arts.select("id"), VECTOR_TEST_THRESHOLD).checkpoint()
+    r = resolve_groups(g).checkpoint()
+    return dedup_summary(arts, v, g, r, removed_ids(g, r))
+
+
+@register("F1_embed_text")
+def f1_embed_text(spark, sf):
+    from feedloom.functions.text import embed_text, truncate_chars
+    a = fixture_store(spark, sf).articles
+    t = truncate_chars(embed_text(F.col("title"), F.col("summary")))
+    return a.select("id", F.length(t).alias("n_chars"), F.substring(t, 1, 100).alias("head"),
+                    F.md5(t).alias("text_md5"))
+
+
+@register("X3_embed_sparse")
+def x3_embed_sparse(spark, sf):
+    from feedloom.functions.text import embed_text
+    from feedloom.operators.embed import sparse_embedding
+    a = fixture_store(spark, sf).articles.withColumn("_t", embed_text(F.col("title"), F.col("summary")))
+    sp = sparse_embedding(a, "id", "_t")
+    return sp.select(F.col("id").alias("article_id"), "bucket", F.round("weight", 6).alias("weight"))
+
+
+@register("D3_text_duplicate_groups")
+def d3_text_duplicate_groups(spark, sf):
+    """The offline job on text: X3 embeddings of the articles, groups at 0.70."""
+    from feedloom.functions.text import embed_text
+    from feedloom.operators.dedup import duplicate_groups
+    from feedloom.operators.embed import embed
+    a = fixture_store(spark, sf).articles.withColumn("_t", embed_text(F.col("title"), F.col("summary")))
+    vec = embed(a.select("id", "_t"), "id", "_t").select(F.col("id").alias("article_id"), "embedding")
+    return duplicate_groups(vec, None, 0.70)
