@@ -418,3 +418,90 @@ tvec AS (SELECT article_id, list_transform(range(0, 1536),
 
 SQL["D3_text_duplicate_groups"] = with_fx("SELECT keep_id, member_id, group_pos FROM groups",
                                           _TEXT_VECTORS + "," + _knn_ctes("tvec", 0.7) + "," + _d3_ctes("tvec"))
+
+# ------------------------------------------------------------------ write path
+
+_WRITE = """
+wstore AS (SELECT * FROM fx_articles WHERE id <= (SELECT max(id) / 2 FROM fx_articles)),
+wnewer AS (SELECT * FROM fx_articles WHERE id > (SELECT max(id) / 2 FROM fx_articles)),
+wbatch0 AS (
+  SELECT id AS pos, title, summary, link FROM wnewer
+  UNION ALL SELECT 1000000 + id, 'changed ' || title, summary, link FROM wstore WHERE id % 10 = 0
+  UNION ALL SELECT 2000000 + id, 'again ' || title, summary, link FROM wnewer WHERE id % 50 = 1),
+wbatch AS (
+  SELECT w.*, list_concat(
+      coalesce((SELECT list(r.name ORDER BY r.id) FROM fx_rules r
+                WHERE contains(' ' || lower(coalesce(w.title, '') || ' ' || coalesce(w.summary, '')) || ' ', r.phrase)),
+               []::VARCHAR[]),
+      CASE WHEN w.pos % 3 = 0 THEN [' New Tag ', ''] ELSE []::VARCHAR[] END) AS tags
+  FROM wbatch0 w),
+wnum AS (SELECT *, (SELECT max(id) FROM wstore) + row_number() OVER (ORDER BY pos) AS new_id FROM wbatch),
+wlast AS (SELECT link, max(pos) AS pos FROM wnum GROUP BY link),
+wlatest AS (SELECT n.* FROM wnum n JOIN wlast l ON n.link = l.link AND n.pos = l.pos),
+new_articles AS (
+  SELECT id, link, title, created_at FROM wstore WHERE link NOT IN (SELECT link FROM wbatch)
+  UNION ALL SELECT new_id, link, title, TIMESTAMP '2024-02-01 00:00:00' FROM wlatest),
+wraw AS (SELECT new_id AS article_id, pos, trim(unnest(tags)) AS name, generate_subscripts(tags, 1) AS i FROM wnum),
+wfirst AS (SELECT article_id, pos, name, min(i) AS i FROM wraw WHERE name <> '' GROUP BY ALL),
+wnames AS (SELECT article_id, pos, name, row_number() OVER (PARTITION BY article_id ORDER BY i) - 1 AS tag_idx FROM wfirst),
+wnewtags AS (SELECT name, min({'p': pos, 'i': tag_idx}) AS f FROM wnames WHERE name NOT IN (SELECT name FROM fx_tags) GROUP BY name),
+new_tags AS (
+  SELECT id, name FROM fx_tags
+  UNION ALL SELECT (SELECT max(id) FROM fx_tags) + row_number() OVER (ORDER BY f.p, f.i), name FROM wnewtags),
+wbridge0 AS (SELECT * FROM fx_article_tags WHERE article_id IN (SELECT id FROM wstore)),
+wpairs AS (
+  SELECT n.article_id, t.id AS tag_id, min(n.tag_idx) AS i FROM wnames n JOIN new_tags t ON t.name = n.name
+  WHERE n.article_id IN (SELECT id FROM new_articles) GROUP BY ALL),
+new_bridge AS (
+  SELECT id, article_id, tag_id FROM wbridge0 WHERE article_id IN (SELECT id FROM new_articles)
+  UNION ALL SELECT (SELECT max(id) FROM wbridge0) + row_number() OVER (ORDER BY article_id, i), article_id, tag_id FROM wpairs)"""
+
+SQL["M1_upsert_articles"] = with_fx("SELECT id, link, title, created_at FROM new_articles", _WRITE)
+SQL["M2_get_or_create_tags"] = with_fx("SELECT id, name FROM new_tags", _WRITE)
+SQL["M3_replace_tag_sets"] = with_fx("SELECT id, article_id, tag_id FROM new_bridge", _WRITE)
+SQL["M8_untagged_articles_kept"] = with_fx(
+    "SELECT id FROM new_articles WHERE id NOT IN (SELECT article_id FROM new_bridge)", _WRITE)
+
+SQL["J11_orphan_bridge_rows"] = with_fx("""
+SELECT article_id, tag_id FROM fx_article_tags
+WHERE article_id NOT IN (SELECT id FROM fx_articles WHERE id % 9 <> 0)""")
+
+SQL["J12_unused_tags"] = with_fx("""
+SELECT id, name FROM fx_tags WHERE id NOT IN (SELECT DISTINCT tag_id FROM fx_article_tags WHERE tag_id <> 1)""")
+
+SQL["M6_clean_up"] = with_fx("""
+SELECT t.id, t.name, count(b.article_id) AS n_rows FROM fx_tags t
+JOIN (SELECT * FROM fx_article_tags WHERE tag_id <> 3
+      AND article_id IN (SELECT id FROM fx_articles WHERE id % 9 <> 0)) b ON b.tag_id = t.id
+GROUP BY t.id, t.name""")
+
+SQL["S8_constraint_violations"] = with_fx("""
+SELECT 'articles.title NOT NULL' AS constraint_name, '1' AS key
+UNION ALL SELECT 'articles.link UNIQUE', 'https://dup.example.com/x'
+UNION ALL SELECT 'article_tags (article_id, tag_id) UNIQUE', article_id || ',' || tag_id
+  FROM (SELECT * FROM fx_article_tags ORDER BY id LIMIT 1)
+UNION ALL SELECT 'article_tags.article_id FOREIGN KEY', '10000000'""")
+
+SQL["S8_constraints_clean_store"] = with_fx(
+    "SELECT 'none' AS constraint_name, 'none' AS key WHERE false", _WRITE)
+
+SQL["S3_article_scan"] = with_fx("SELECT id, title, summary, link, published FROM fx_articles ORDER BY id")
+
+SQL["S5_embedding_upsert"] = with_fx("""
+SELECT article_id, round(embedding[1]::DOUBLE, 6) AS e1, len(embedding) AS dim FROM fx_vectors WHERE article_id <= 200
+UNION ALL SELECT article_id + 200, round(embedding[1]::DOUBLE, 6), len(embedding) FROM fx_vectors""")
+
+SQL["S6_embedding_lookup"] = with_fx("""
+SELECT v.article_id, len(v.embedding) AS dim FROM fx_vectors v
+WHERE v.article_id IN (SELECT x.article_id FROM fx_article_tags x JOIN fx_tags t ON t.id = x.tag_id
+                       WHERE t.name = 'Artificial Intelligence')""")
+
+SQL["S7_embedding_delete"] = with_fx("SELECT article_id FROM fx_vectors WHERE article_id NOT IN (SELECT id FROM removed_ids)",
+                                     _knn_ctes("fx_vectors", 0.3) + "," + _d3_ctes("fx_vectors") + "," + _D4_CTES)
+
+SQL["A13_embedding_coverage"] = with_fx("""
+SELECT count(*) FILTER (WHERE article_id % 17 <> 0) AS with_embedding, count(*) AS total FROM fx_vectors""")
+
+SQL["M7_quarantine"] = with_fx("""
+SELECT pos, CASE WHEN title IS NULL THEN 'null title' ELSE 'missing link' END AS reason
+FROM fx_entries WHERE title IS NULL OR link IS NULL OR link = ''""")

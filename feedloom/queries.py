@@ -410,3 +410,172 @@ def d3_text_duplicate_groups(spark, sf):
     a = fixture_store(spark, sf).articles.withColumn("_t", embed_text(F.col("title"), F.col("summary")))
     vec = embed(a.select("id", "_t"), "id", "_t").select(F.col("id").alias("article_id"), "embedding")
     return duplicate_groups(vec, None, 0.70)
+
+
+# ------------------------------------------------------------------ write path
+
+WRITE_TS = "2024-02-01 00:00:00"
+
+
+def write_fixture(spark, sf):
+    """Store = first half of the articles (with their bridge rows); batch =
+    the second half, plus every tenth stored article again with a changed
+    title (same link: replaced), plus every fiftieth new one twice.  Batch
+    tags come from the rule tagger, plus a padded new tag and a blank one
+    on every third row."""
+    from feedloom.operators.tagging import tag_articles
+    s = fixture_store(spark, sf)
+    a = s.articles
+    half = a.agg((F.max("id") / 2).alias("h"))
+    store = a.join(half, a["id"] <= half["h"]).select(*a.columns)
+    newer = a.join(half, a["id"] > half["h"]).select(*a.columns)
+    fields = ["title", "summary", "link", "published", "updated", "source", "og_image"]
+    batch = (newer.select(F.col("id").alias("pos"), *fields)
+             .unionByName(store.where(F.col("id") % 10 == 0).select(
+                 (F.col("id") + 1_000_000).alias("pos"), F.concat(F.lit("changed "), "title").alias("title"),
+                 *fields[1:]))
+             .unionByName(newer.where(F.col("id") % 50 == 1).select(
+                 (F.col("id") + 2_000_000).alias("pos"), F.concat(F.lit("again "), "title").alias("title"),
+                 *fields[1:])))
+    batch = tag_articles(batch)
+    extra = F.when(F.col("pos") % 3 == 0, F.array(F.lit(" New Tag "), F.lit(""))) \
+        .otherwise(F.array().cast("array<string>"))
+    batch = batch.withColumn("tags", F.concat("tags", extra))
+    bridge = s.article_tags.join(store.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    return store, s.tags, bridge, batch
+
+
+def _apply_write(spark, sf):
+    from feedloom.operators import mutate as M
+    store, tags, bridge, batch = write_fixture(spark, sf)
+    new_articles, inserted = M.upsert_articles(store, batch, WRITE_TS)
+    new_tags, names = M.get_or_create_tags(tags, inserted, WRITE_TS)
+    new_bridge = M.replace_tag_sets(bridge, new_articles, names, new_tags, WRITE_TS)
+    return new_articles, new_tags, new_bridge
+
+
+@register("M1_upsert_articles")
+def m1_upsert_articles(spark, sf):
+    arts, _, _ = _apply_write(spark, sf)
+    return arts.select("id", "link", "title", "created_at")
+
+
+@register("M2_get_or_create_tags")
+def m2_get_or_create_tags(spark, sf):
+    _, tags, _ = _apply_write(spark, sf)
+    return tags.select("id", "name")
+
+
+@register("M3_replace_tag_sets")
+def m3_replace_tag_sets(spark, sf):
+    _, _, bridge = _apply_write(spark, sf)
+    return bridge.select("id", "article_id", "tag_id")
+
+
+@register("M8_untagged_articles_kept")
+def m8_untagged_articles_kept(spark, sf):
+    arts, _, bridge = _apply_write(spark, sf)
+    return arts.join(bridge.select(F.col("article_id").alias("id")), "id", "left_anti").select("id")
+
+
+def _nine_deleted(spark, sf):
+    s = fixture_store(spark, sf)
+    return s.articles.where(F.col("id") % 9 != 0), s.tags, s.article_tags
+
+
+@register("J11_orphan_bridge_rows")
+def j11_orphan_bridge_rows(spark, sf):
+    from feedloom.operators.mutate import orphan_bridge_rows
+    arts, _, bridge = _nine_deleted(spark, sf)
+    return orphan_bridge_rows(bridge, arts).select("article_id", "tag_id")
+
+
+@register("J12_unused_tags")
+def j12_unused_tags(spark, sf):
+    from feedloom.operators.mutate import unused_tags
+    s = fixture_store(spark, sf)
+    return unused_tags(s.tags, s.article_tags.where(F.col("tag_id") != 1)).select("id", "name")
+
+
+@register("M6_clean_up")
+def m6_clean_up(spark, sf):
+    """Articles with id % 9 = 0 and every bridge row of tag 3 gone: J11 then J12."""
+    from feedloom.operators.mutate import clean_up
+    arts, tags, bridge = _nine_deleted(spark, sf)
+    kept_bridge, kept_tags = clean_up(arts, tags, bridge.where(F.col("tag_id") != 3))
+    per_tag = kept_bridge.groupBy("tag_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return kept_tags.join(per_tag, kept_tags["id"] == per_tag["tag_id"], "left") \
+        .select(kept_tags["id"], "name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+@register("S8_constraint_violations")
+def s8_constraint_violations(spark, sf):
+    from feedloom.operators.mutate import constraint_violations
+    s = fixture_store(spark, sf)
+    arts = (s.articles
+            .withColumn("title", F.when(F.col("id") == 1, F.lit(None).cast("string")).otherwise(F.col("title")))
+            .withColumn("link", F.when(F.col("id") == 2, F.concat(F.lit("https://"), F.lit("dup.example.com/x")))
+                        .when(F.col("id") == 3, F.lit("https://dup.example.com/x")).otherwise(F.col("link"))))
+    bridge = s.article_tags.select("id", "article_id", "tag_id", "created_at")
+    extra = (bridge.orderBy("id").limit(1)
+             .unionByName(bridge.orderBy("id").limit(1).withColumn("article_id", F.lit(10_000_000).cast("long"))))
+    return constraint_violations(arts, s.tags, bridge.unionByName(extra))
+
+
+@register("S8_constraints_clean_store")
+def s8_constraints_clean_store(spark, sf):
+    from feedloom.operators.mutate import constraint_violations
+    arts, tags, bridge = _apply_write(spark, sf)
+    return constraint_violations(arts, tags, bridge)
+
+
+@register("S3_article_scan")
+def s3_article_scan(spark, sf):
+    a = fixture_store(spark, sf).articles
+    return a.select("id", "title", "summary", "link", "published").orderBy("id")
+
+
+@register("S5_embedding_upsert")
+def s5_embedding_upsert(spark, sf):
+    """Stored vectors 1..250; a batch gives ids 201.. the vector of id-200."""
+    from feedloom.operators.mutate import upsert_embeddings
+    v = _vectors(spark, sf)
+    stored = v.where(F.col("article_id") <= 250)
+    src = v.select((F.col("article_id") + 200).alias("id"), "embedding")
+    new = upsert_embeddings(stored, src)
+    return new.select("article_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("e1"),
+                      F.size("embedding").alias("dim"))
+
+
+@register("S6_embedding_lookup")
+def s6_embedding_lookup(spark, sf):
+    """Vectors of the articles tagged 'Artificial Intelligence' (bulk lookup)."""
+    from feedloom.operators.mutate import lookup_embeddings
+    s = fixture_store(spark, sf)
+    ids = FD.article_ids_with_tags(s.tags, s.article_tags, ["Artificial Intelligence"])
+    return lookup_embeddings(_vectors(spark, sf), ids).select("article_id", F.size("embedding").alias("dim"))
+
+
+@register("S7_embedding_delete")
+def s7_embedding_delete(spark, sf):
+    from feedloom.operators.dedup import duplicate_groups, removed_ids, resolve_groups
+    from feedloom.operators.mutate import delete_embeddings
+    v = _vectors(spark, sf)
+    g = duplicate_groups(v, None, VECTOR_TEST_THRESHOLD).checkpoint()
+    gone = removed_ids(g, resolve_groups(g).checkpoint())
+    return delete_embeddings(v, gone).select("article_id")
+
+
+@register("A13_embedding_coverage")
+def a13_embedding_coverage(spark, sf):
+    v = _vectors(spark, sf).withColumn(
+        "embedding", F.when(F.col("article_id") % 17 == 0, F.lit(None)).otherwise(F.col("embedding")))
+    return v.agg(F.count("embedding").alias("with_embedding"), F.count(F.lit(1)).alias("total"))
+
+
+@register("M7_quarantine")
+def m7_quarantine(spark, sf):
+    from feedloom.operators.mutate import quarantine_articles
+    e = _entries(spark, sf)
+    _, bad = quarantine_articles(e)
+    return bad.select("pos", "reason")
