@@ -505,3 +505,46 @@ SELECT count(*) FILTER (WHERE article_id % 17 <> 0) AS with_embedding, count(*)
 SQL["M7_quarantine"] = with_fx("""
 SELECT pos, CASE WHEN title IS NULL THEN 'null title' ELSE 'missing link' END AS reason
 FROM fx_entries WHERE title IS NULL OR link IS NULL OR link = ''""")
+
+# ------------------------------------------------------------------ composed jobs
+
+_R2 = _TEXT_VECTORS + """,
+r2tagged AS (
+  SELECT a.id, a.title, a.link, lower(a.source) || '.example.com' AS source,
+    (SELECT list(DISTINCT r.name) FROM fx_rules r
+     WHERE contains(' ' || lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')) || ' ', r.phrase)) AS names
+  FROM fx_articles a
+  WHERE EXISTS (SELECT 1 FROM fx_rules r
+                WHERE contains(' ' || lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')) || ' ', r.phrase))),
+r2vec AS (SELECT * FROM tvec WHERE article_id IN (SELECT id FROM r2tagged)),""" + _d2_ctes("r2vec", 0.7, None) + """,
+r2acc AS (SELECT id FROM accepted UNION SELECT id FROM r2tagged WHERE id NOT IN (SELECT article_id FROM tvec))"""
+
+SQL["R2_ingest_single_run"] = with_fx("""
+SELECT row_number() OVER (ORDER BY id) AS id, link, title, source FROM r2tagged WHERE id IN (SELECT id FROM r2acc)""",
+                                      _R2)
+
+SQL["A11_load_stats"] = with_fx("""
+SELECT 'batch_articles' AS metric, count(*) AS value FROM r2tagged
+UNION ALL SELECT 'loaded', count(*) FROM r2acc
+UNION ALL SELECT 'duplicates_skipped', (SELECT count(*) FROM r2tagged) - (SELECT count(*) FROM r2acc)
+UNION ALL SELECT 'total_articles', count(*) FROM r2acc
+UNION ALL SELECT 'total_tags', count(DISTINCT n) FROM (SELECT unnest(names) AS n FROM r2tagged WHERE id IN (SELECT id FROM r2acc))
+UNION ALL SELECT 'total_embeddings', count(*) FROM r2vec WHERE article_id IN (SELECT id FROM r2acc)""", _R2)
+
+_D5 = _TEXT_VECTORS + "," + _knn_ctes("tvec", 0.7) + "," + _d3_ctes("tvec") + "," + _D4_CTES
+
+SQL["D5_dedup_job"] = with_fx("""
+SELECT 'original_articles' AS metric, count(*) AS value FROM fx_articles
+UNION ALL SELECT 'with_embedding', count(*) FROM tvec
+UNION ALL SELECT 'claimed_duplicates', count(*) FROM groups
+UNION ALL SELECT 'groups', count(*) FROM resolution
+UNION ALL SELECT 'skipped_groups', count(*) FILTER (WHERE NOT applied) FROM resolution
+UNION ALL SELECT 'removed', count(*) FROM removed_ids
+UNION ALL SELECT 'final_articles', count(*) FROM fx_articles WHERE id NOT IN (SELECT id FROM removed_ids)
+UNION ALL SELECT 'embeddings_stored', count(*) FROM tvec WHERE article_id NOT IN (SELECT id FROM removed_ids)""", _D5)
+
+SQL["D5_store_after_dedup"] = with_fx("""
+SELECT t.name, count(*) AS article_count FROM fx_article_tags x JOIN fx_tags t ON t.id = x.tag_id
+WHERE x.article_id NOT IN (SELECT id FROM removed_ids) GROUP BY t.name""", _D5)
+
+SQL["S9_snapshot"] = with_fx("SELECT count(*) AS articles, min(id) AS min_id, max(id) AS max_id FROM fx_articles")

@@ -579,3 +579,138 @@ def m7_quarantine(spark, sf):
     e = _entries(spark, sf)
     _, bad = quarantine_articles(e)
     return bad.select("pos", "reason")
+
+
+# ------------------------------------------------------------------ composed jobs
+
+INGEST_TS_1 = "2024-03-01 00:00:00"
+INGEST_TS_2 = "2024-03-02 00:00:00"
+
+
+def article_entries(spark, sf):
+    """Feed entries in the ENTRIES shape, one per fixture article (its
+    source's feed, arrival order = article id)."""
+    a = fixture_store(spark, sf).articles
+    return a.select(F.concat(F.lit("https://"), "source", F.lit(".example.com/rss")).alias("feed_url"),
+                    F.col("id").alias("pos"), "title", "link", "summary",
+                    F.lit(None).cast("string").alias("content"),
+                    F.col("published").alias("published_raw"),
+                    F.col("updated").alias("updated_raw"))
+
+
+def _fresh_root(spark, name):
+    from feedloom.session import work_dir
+    return work_dir(spark, name)
+
+
+def _one_ingest(spark, sf):
+    from feedloom.operators.tagging import FIXTURE_RULES
+    from feedloom.plans.ingest import ingest
+    from feedloom.sources.store import open_store
+    root = _fresh_root(spark, "r2-store")
+    res = ingest(spark, root, article_entries(spark, sf), INGEST_TS_1, rules=FIXTURE_RULES)
+    return root, res, open_store(spark, root)
+
+
+@register("R2_ingest_single_run")
+def r2_ingest_single_run(spark, sf):
+    """Every fixture article arrives in one run into an empty store: J4 ->
+    tag (P12) -> embed -> D2 at 0.70 -> M1."""
+    _, _, st = _one_ingest(spark, sf)
+    return st.articles.select("id", "link", "title", "source")
+
+
+@register("A11_load_stats")
+def a11_load_stats(spark, sf):
+    _, res, _ = _one_ingest(spark, sf)
+    return res.stats
+
+
+@register("R2_ingest_two_runs")
+def r2_ingest_two_runs(spark, sf):
+    """First half of the articles, then all of them again: the second run
+    sees only links not stored yet (J4); its duplicate test runs against
+    the vectors stored by the first run."""
+    from feedloom.operators.tagging import FIXTURE_RULES
+    from feedloom.plans.ingest import ingest
+    from feedloom.sources.store import open_store
+    root = _fresh_root(spark, "r2-store")
+    e = article_entries(spark, sf)
+    half = e.agg((F.max("pos") / 2).alias("h"))
+    first = e.join(half, e["pos"] <= half["h"]).select(*e.columns)
+    ingest(spark, root, first, INGEST_TS_1, rules=FIXTURE_RULES)
+    ingest(spark, root, e, INGEST_TS_2, rules=FIXTURE_RULES)
+    st = open_store(spark, root)
+    tags = FD.denormalised_feed(st.articles, st.tags, st.article_tags).select("id", "tags")
+    return st.articles.join(tags, "id").select("id", "link", "created_at", "tags")
+
+
+def _fixture_store_root(spark, sf):
+    """The fixture store committed as version 1 of a fresh store root."""
+    import datetime as dt
+    from feedloom.sources.store import commit
+    root = _fresh_root(spark, "d5-store")
+    s = fixture_store(spark, sf)
+    commit(spark, root, {"articles": s.articles, "tags": s.tags, "article_tags": s.article_tags},
+           dt.datetime(2024, 1, 2))
+    return root
+
+
+def _dedup_job(spark, sf):
+    import datetime as dt
+    from feedloom.plans.dedup_job import dedup_store
+    root = _fixture_store_root(spark, sf)
+    return root, dedup_store(spark, root, dt.datetime(2024, 1, 3, 4, 5, 6))
+
+
+@register("D5_dedup_job")
+def d5_dedup_job(spark, sf):
+    """The whole offline job on the fixture store (text vectors, 0.70): A14."""
+    _, res = _dedup_job(spark, sf)
+    return res.summary
+
+
+@register("D5_store_after_dedup")
+def d5_store_after_dedup(spark, sf):
+    """Tag counts of the rewritten store (M5 + M6: unused tags are gone)."""
+    from feedloom.sources.store import open_store
+    root, _ = _dedup_job(spark, sf)
+    st = open_store(spark, root)
+    return FD.tag_counts(st.tags, st.article_tags)
+
+
+@register("S9_snapshot")
+def s9_snapshot(spark, sf):
+    """The snapshot taken before the rewrite holds the store as it was."""
+    root, res = _dedup_job(spark, sf)
+    a = spark.read.parquet(f"{res.snapshot_path}/articles")
+    return a.agg(F.count(F.lit(1)).alias("articles"), F.min("id").alias("min_id"),
+                 F.max("id").alias("max_id"))
+
+
+# ------------------------------------------------------------------ incremental
+
+@register("T1_stream_poll")
+def t1_stream_poll(spark, sf):
+    """The two runs of R2_ingest_two_runs as two polls of a landing folder:
+    land the first half, poll; land everything again, poll.  Each poll reads
+    only the newly landed file; the second one's J4 drops the links stored
+    by the first."""
+    import datetime as dt
+    from feedloom.sources.store import open_store
+    from feedloom.streaming.poll import land_rss, poll_into_store
+    from feedloom.operators.tagging import FIXTURE_RULES
+    root = _fresh_root(spark, "t1-store")
+    landing = f"{root}/_landing"
+    e = article_entries(spark, sf).select("pos", "title", "link", F.col("summary").alias("description"),
+                                          F.col("published_raw").alias("pubDate"))
+    half = e.agg((F.max("pos") / 2).alias("h"))
+    first = e.join(half, e["pos"] <= half["h"]).select(*e.columns)
+    stamps = iter([dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 2)])
+    land_rss(first, landing)
+    poll_into_store(spark, landing, root, rules=FIXTURE_RULES, clock=lambda: next(stamps))
+    land_rss(e, landing)
+    poll_into_store(spark, landing, root, rules=FIXTURE_RULES, clock=lambda: next(stamps))
+    st = open_store(spark, root)
+    tags = FD.denormalised_feed(st.articles, st.tags, st.article_tags).select("id", "tags")
+    return st.articles.join(tags, "id").select("id", "link", "created_at", "tags")

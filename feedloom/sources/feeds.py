@@ -31,7 +31,11 @@ def read_rss(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     raw = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record")
            .schema(S.RSS_ITEM).load(paths))
-    raw = _with_position(raw)
+    return rss_columns(_with_position(raw))
+
+
+def rss_columns(raw: DataFrame) -> DataFrame:
+    """RSS_ITEM columns (plus ``feed_url``, ``pos``) to the ENTRIES shape."""
     return raw.select(
         "feed_url", "pos", "title", "link",
         F.col("description").alias("summary"),
