@@ -287,7 +287,7 @@ nb AS (SELECT x, y, sim FROM knn WHERE r <= {k} AND sim >= {thr} AND x <> y)"""
 
 def _d3_ctes(vectors: str) -> str:
     return f"""
-nl AS (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
+nl AS MATERIALIZED (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
          coalesce((SELECT list(y) FROM nb WHERE nb.x = v.article_id), []::BIGINT[]) AS ns FROM {vectors} v),
 walk(rn, processed, seeds) AS (
   SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
@@ -307,7 +307,7 @@ groups AS (SELECT g.keep_id, g.member_id, p.group_pos FROM gpairs g JOIN gpos p
 
 
 _D4_CTES = """
-gl AS (SELECT keep_id, group_pos, list(member_id) AS ms, row_number() OVER (ORDER BY group_pos) AS rn
+gl AS MATERIALIZED (SELECT keep_id, group_pos, list(member_id) AS ms, row_number() OVER (ORDER BY group_pos) AS rn
        FROM groups GROUP BY keep_id, group_pos),
 walk2(rn, removed, applied) AS (
   SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
@@ -332,9 +332,9 @@ shit AS (SELECT x, y AS duplicate_id FROM (
   FROM {batch} b, {stored} s) WHERE r = 1 AND greatest(0, 1 - d * d / 2) >= {thr})"""
     not_store = "WHERE v.article_id NOT IN (SELECT x FROM shit)" if stored else ""
     return f"""
-bpairs AS (SELECT a.article_id AS a, b.article_id AS b FROM {batch} a JOIN {batch} b ON a.article_id < b.article_id
+bpairs AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b FROM {batch} a JOIN {batch} b ON a.article_id < b.article_id
   WHERE greatest(0, 1 - pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) / 2) >= {thr}){store_part},
-bnodes AS (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
+bnodes AS MATERIALIZED (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
    coalesce((SELECT list(p.a) FROM bpairs p WHERE p.b = v.article_id), []::BIGINT[]) AS preds
    FROM {batch} v {not_store}),
 walk3(rn, acc) AS (
