@@ -24,7 +24,9 @@ def authority(url: Column) -> Column:
     """lower-cased ``netloc`` (userinfo and port kept); '' when absent.
     Spaces are percent-encoded first so the parser does not give up on them."""
     safe = F.replace(url, F.lit(" "), F.lit("%20"))
-    return F.lower(F.coalesce(F.try_parse_url(safe, F.lit("AUTHORITY")), F.lit("")))
+    auth = F.try_parse_url(safe, F.lit("AUTHORITY"))
+    auth = F.when(F.contains(url, F.lit(" ")), F.replace(auth, F.lit("%20"), F.lit(" "))).otherwise(auth)
+    return F.lower(F.coalesce(auth, F.lit("")))
 
 
 def scheme(url: Column) -> Column:

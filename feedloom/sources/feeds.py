@@ -80,7 +80,11 @@ def parse_items(items: DataFrame, xml_col: str = "xml") -> DataFrame:
 def quarantine(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M7: split into (good, bad); a bad row never stops the good ones."""
     bad_cond = F.col("_corrupt_record").isNotNull()
-    return entries.where(~bad_cond).drop("_corrupt_record"), entries.where(bad_cond)
+    # A file scan that needs only the corrupt-record column is refused by
+    # Spark; a (never false) test on a data column keeps one in every plan.
+    with_data = F.length(F.coalesce(F.col("link"), F.lit(""))) >= F.lit(0)
+    return (entries.where(~bad_cond & with_data).drop("_corrupt_record"),
+            entries.where(bad_cond & with_data))
 
 
 # ------------------------------------------------------------------ clean-up
