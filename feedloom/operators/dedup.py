@@ -107,6 +107,9 @@ def duplicate_groups(vectors: DataFrame, article_ids: DataFrame | None = None,
     v = vectors.where(F.col("embedding").isNotNull())
     if article_ids is not None:   # only ids present in the store take part (Q2)
         v = v.join(article_ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    # the vectors are read by both sides of the blocked product (and counted
+    # to size the blocks): compute them once
+    v = v.select("article_id", "embedding").checkpoint()
     nb = neighbours(v, threshold, k, block_rows).checkpoint()
     cand = nb.select(F.col("x").alias("node")).distinct()
     edges = (nb.where(F.col("x") < F.col("y"))

@@ -261,11 +261,10 @@ def f9_preview_image_ref(spark, sf):
 
 @register("F8_resolve_image")
 def f8_resolve_image(spark, sf):
-    from feedloom.functions.html import preview_image_ref
+    from feedloom.functions.html import with_image_ref
     from feedloom.functions.urls import resolve_url
-    p = _pages(spark, sf)
-    return p.select("page_id", "url",
-                    resolve_url(F.col("url"), preview_image_ref(F.col("html"))).alias("og_image"))
+    p = with_image_ref(_pages(spark, sf))
+    return p.select("page_id", "url", resolve_url(F.col("url"), F.col("image_ref")).alias("og_image"))
 
 
 @register("P9_blocked_pages")
@@ -445,24 +444,30 @@ def write_fixture(spark, sf):
     return store, s.tags, bridge, batch
 
 
-def _apply_write(spark, sf):
+def _apply_write(spark, sf, upto: str = "M3"):
+    """The write path on the fixture, up to M1, M2 or M3 (each step's ids are
+    assigned eagerly, so a query builds only the steps it returns)."""
     from feedloom.operators import mutate as M
     store, tags, bridge, batch = write_fixture(spark, sf)
     new_articles, inserted = M.upsert_articles(store, batch, WRITE_TS)
+    if upto == "M1":
+        return new_articles, None, None
     new_tags, names = M.get_or_create_tags(tags, inserted, WRITE_TS)
+    if upto == "M2":
+        return new_articles, new_tags, None
     new_bridge = M.replace_tag_sets(bridge, new_articles, names, new_tags, WRITE_TS)
     return new_articles, new_tags, new_bridge
 
 
 @register("M1_upsert_articles")
 def m1_upsert_articles(spark, sf):
-    arts, _, _ = _apply_write(spark, sf)
+    arts, _, _ = _apply_write(spark, sf, "M1")
     return arts.select("id", "link", "title", "created_at")
 
 
 @register("M2_get_or_create_tags")
 def m2_get_or_create_tags(spark, sf):
-    _, tags, _ = _apply_write(spark, sf)
+    _, tags, _ = _apply_write(spark, sf, "M2")
     return tags.select("id", "name")
 
 
