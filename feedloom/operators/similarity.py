@@ -14,6 +14,14 @@ bounded per-row result (top-k rows, or one flag per row).  So
 * the work is ``n_left × n_right`` multiply-adds, spread over
   ``B_left × B_right`` independent tasks.
 
+When one side is small enough (its size is checked against
+``BROADCAST_MAX_BYTES``) and the other side spans several blocks — the
+ingest case, a new batch against the whole store — the small side is
+broadcast instead and the big side is streamed through ``mapInPandas`` in
+its own partitions, in slices of ``block_rows``: the big side is never
+shuffled or replicated, and each task merges its partial results (top-k
+per row, or the rows with a hit) before anything leaves it.
+
 Distances are L2 in double precision; the similarity is the reference's
 ``max(0, 1 - d²/2)`` (cosine for unit vectors, F11).  Top-k is taken by
 ``(distance, id)`` so ties are deterministic.  A similarity threshold is
@@ -34,6 +42,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 4096
+# Largest side (rows x dim x 8 bytes, as float64 in the task) that is
+# broadcast; above it both sides go through the blocked cogroup.
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 def similarity_from_distance(d):
@@ -46,28 +57,73 @@ def distance_limit(threshold: float) -> float:
     return math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
 
 
-def _n_blocks(df: DataFrame, block_rows: int) -> int:
-    n = df.count()
-    return max(1, math.ceil(n / block_rows))
-
-
 def _matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
+def _dim(df: DataFrame, vec: str) -> int:
+    first = df.select(F.size(vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
+    return int(first[0]["d"]) if first else 0
+
+
+def _broadcast_apply(small: DataFrame, big: DataFrame, small_is_left: bool,
+                     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+                     combine: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+                     block_rows: int) -> DataFrame:
+    """``fn`` over (small side, slice of the big side) inside the big side's
+    own partitions; ``combine`` merges a task's partial results."""
+    spark = big.sparkSession
+    shared = spark.sparkContext.broadcast(small.toPandas())   # size checked by the caller
+    flush_rows = 4 * block_rows
+
+    def run(batches):
+        s = shared.value
+        s_blocks = [s.iloc[i:i + block_rows] for i in range(0, len(s), block_rows)]
+        parts: list[pd.DataFrame] = []
+        held = 0
+        for pdf in batches:
+            for j in range(0, len(pdf), block_rows):
+                piece = pdf.iloc[j:j + block_rows]
+                for sb in s_blocks:
+                    out = fn(sb, piece) if small_is_left else fn(piece, sb)
+                    if len(out):
+                        parts.append(out)
+                        held += len(out)
+                if held > flush_rows * max(1, len(s_blocks)):
+                    parts = [combine(pd.concat(parts, ignore_index=True))]
+                    held = len(parts[0])
+        if parts:
+            yield combine(pd.concat(parts, ignore_index=True))
+
+    return big.mapInPandas(run, schema)
+
+
 def block_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
                 schema: str, block_rows: int = DEFAULT_BLOCK_ROWS,
-                left_blocks: int | None = None, right_blocks: int | None = None) -> DataFrame:
+                left_blocks: int | None = None, right_blocks: int | None = None,
+                combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+                broadcast_max_bytes: int | None = None) -> DataFrame:
     """Run ``fn(left_block, right_block)`` for every pair of hash blocks.
 
     ``left`` must have columns ``(lid, lvec, ...)`` and ``right``
     ``(rid, rvec, ...)``; each row is replicated once per block of the
     other side under distinct column names (a cogroup of two views with
-    equal names would be ambiguous)."""
-    bl = left_blocks or _n_blocks(left, block_rows)
-    br = right_blocks or _n_blocks(right, block_rows)
+    equal names would be ambiguous).  With ``combine`` (a merge of partial
+    results that the caller's next step also applies) a small side is
+    broadcast instead, see the module notes."""
+    nl, nr = left.count(), right.count()
+    bl = left_blocks or max(1, math.ceil(nl / block_rows))
+    br = right_blocks or max(1, math.ceil(nr / block_rows))
+    limit = BROADCAST_MAX_BYTES if broadcast_max_bytes is None else broadcast_max_bytes
+    if combine is not None and max(bl, br) > 1:
+        small_is_left = nl <= nr
+        small = left if small_is_left else right
+        n_small = min(nl, nr)
+        if n_small * _dim(small, "lvec" if small_is_left else "rvec") * 8 <= limit:
+            big = right if small_is_left else left
+            return _broadcast_apply(small, big, small_is_left, fn, combine, schema, block_rows)
     # both grouping keys must have the same types on the two sides (int, int)
     lrep = (left.withColumn("_lb", F.pmod(F.xxhash64("lid"), F.lit(bl)).cast("int"))
             .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
@@ -139,6 +195,13 @@ def _topk_fn(k: int, max_d2: float | None, exclude_self: bool):
     return fn
 
 
+def _topk_combine(k: int):
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "distance", "y"], kind="mergesort")
+        return pdf.groupby("x", sort=False).head(k).reset_index(drop=True)
+    return combine
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None,
              left_id: str = "article_id", right_id: str = "article_id",
              vec: str = "embedding", exclude_self: bool = False,
@@ -152,7 +215,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None
     if threshold is not None and threshold <= 0:
         max_d2 = None
     part = block_apply(l, r, _topk_fn(k, max_d2, exclude_self), "x long, y long, distance double",
-                       block_rows)
+                       block_rows, combine=_topk_combine(k))
     w = Window.partitionBy("x").orderBy(F.col("distance").asc(), F.col("y").asc())
     top = part.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     out = top.withColumn("similarity", similarity_from_distance(F.col("distance")))
@@ -200,7 +263,8 @@ def has_similar(left: DataFrame, right: DataFrame, threshold: float, *, left_id:
                 vec: str = "embedding", order: str | None = None,
                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per left row: is there a right row with similarity >= threshold (and,
-    with ``order``, an earlier one)?  ``(x, hit)`` — one flag per row, no pairs."""
+    with ``order``, an earlier one)?  ``(x, hit)`` — at most one flag per
+    row, never pairs; a row with no hit may be absent (use ``where("hit")``)."""
     lcols = [F.col(left_id).alias("lid"), F.col(vec).alias("lvec")]
     rcols = [F.col(right_id).alias("rid"), F.col(vec).alias("rvec")]
     if order:
@@ -208,5 +272,10 @@ def has_similar(left: DataFrame, right: DataFrame, threshold: float, *, left_id:
         rcols.append(F.col(order).alias("rpos"))
     l, r = left.select(*lcols), right.select(*rcols)
     part = block_apply(l, r, _exists_fn(2.0 * (1.0 - threshold), order is not None),
-                       "x long, hit boolean", block_rows)
+                       "x long, hit boolean", block_rows, combine=_hits_only)
     return part.groupBy("x").agg(F.max(F.col("hit").cast("int")).cast("boolean").alias("hit"))
+
+
+def _hits_only(pdf: pd.DataFrame) -> pd.DataFrame:
+    hits = pdf[pdf["hit"]]
+    return hits.drop_duplicates("x").reset_index(drop=True)

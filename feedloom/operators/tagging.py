@@ -128,3 +128,21 @@ def model_tagger(df: DataFrame, call: Callable[[list[dict]], list[list[str]] | N
                 yield chunk.assign(tags=pd.Series(result, index=chunk.index))
 
     return df.mapInPandas(run, out_schema)
+
+
+# The article fields sent to the tagger, in order, and the batch size.
+REQUEST_FIELDS = ("title", "summary", "link", "published", "updated", "source", "og_image")
+TAG_BATCH = 10
+
+
+def request_bodies(articles: DataFrame, order_col: str = "id", batch_size: int = TAG_BATCH) -> DataFrame:
+    """F13 + F14: articles cut into batches of ``batch_size`` in ``order_col``
+    order (the last one short), each as one JSON array of the request fields
+    (dates as text).  ``order_col`` must be dense from 1 (as store ids and
+    arrival positions are); each group holds at most ``batch_size`` rows."""
+    batch_no = F.floor((F.col(order_col) - F.lit(1)) / F.lit(batch_size)).cast("long")
+    item = F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in REQUEST_FIELDS])
+    grouped = (articles.select(batch_no.alias("batch_no"), item.alias("_item"))
+               .groupBy("batch_no").agg(F.array_sort(F.collect_list("_item")).alias("_items")))
+    body = F.to_json(F.transform("_items", lambda x: x.dropFields("_o")))
+    return grouped.select("batch_no", F.size("_items").alias("n_articles"), body.alias("body"))

@@ -548,3 +548,16 @@ SELECT t.name, count(*) AS article_count FROM fx_article_tags x JOIN fx_tags t O
 WHERE x.article_id NOT IN (SELECT id FROM removed_ids) GROUP BY t.name""", _D5)
 
 SQL["S9_snapshot"] = with_fx("SELECT count(*) AS articles, min(id) AS min_id, max(id) AS max_id FROM fx_articles")
+
+SQL["F13_request_bodies"] = with_fx("""
+SELECT (id - 1) // 10 AS batch_no, count(*) AS n_articles, count(*) AS parsed,
+  arg_min(link, id) AS first_link, arg_max(link, id) AS last_link
+FROM fx_articles GROUP BY (id - 1) // 10""")
+
+SQL["P10_grow_blocklist"] = with_fx("""
+SELECT DISTINCT domain FROM (
+  SELECT 'example.net' AS domain
+  UNION ALL SELECT lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''))
+  FROM pages WHERE page_id % 9 = 0) WHERE domain <> ''""")
+
+SQL["F12_vector_json"] = with_fx("SELECT article_id, true AS same, len(embedding) AS dim FROM fx_vectors")

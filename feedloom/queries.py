@@ -719,3 +719,38 @@ def t1_stream_poll(spark, sf):
     st = open_store(spark, root)
     tags = FD.denormalised_feed(st.articles, st.tags, st.article_tags).select("id", "tags")
     return st.articles.join(tags, "id").select("id", "link", "created_at", "tags")
+
+
+# ------------------------------------------------------------------ request bodies, blocklist, vector text
+
+@register("F13_request_bodies")
+def f13_request_bodies(spark, sf):
+    """Batches of ten articles as request bodies, read back with from_json:
+    the body must carry each batch's articles, in order."""
+    from feedloom.operators.tagging import REQUEST_FIELDS, request_bodies
+    b = request_bodies(fixture_store(spark, sf).articles)
+    schema = "array<struct<" + ", ".join(f"`{c}`: string" for c in REQUEST_FIELDS) + ">>"
+    items = F.from_json("body", schema)
+    return b.select("batch_no", "n_articles", F.size(items).alias("parsed"),
+                    F.element_at(items, 1)["link"].alias("first_link"),
+                    F.element_at(items, -1)["link"].alias("last_link"))
+
+
+@register("P10_grow_blocklist")
+def p10_grow_blocklist(spark, sf):
+    """A crawl log over the pages (every ninth answered 403) grows the blocklist."""
+    from feedloom.operators.images import grow_blocklist
+    from feedloom.sources.tables import load
+    p = load(spark, sf, "pages")
+    log = p.select("url", F.when(F.col("page_id") % 9 == 0, F.lit(403)).otherwise(F.lit(200)).alias("status"))
+    start = spark.createDataFrame([(d,) for d in FIXTURE_BLOCKLIST], "domain string")
+    return grow_blocklist(start, log)
+
+
+@register("F12_vector_json")
+def f12_vector_json(spark, sf):
+    """Vectors to JSON text and back give the same vectors."""
+    from feedloom.operators.embed import vector_from_json, vector_to_json
+    v = _vectors(spark, sf)
+    back = vector_from_json(vector_to_json(F.col("embedding")))
+    return v.select("article_id", (back == F.col("embedding")).alias("same"), F.size(back).alias("dim"))

@@ -24,13 +24,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """Lay a derived store table out like a written one: hash-partitioned by
+    its key over the cluster's parallelism.  (Each driver table is a single
+    Parquet row group, which a scan cannot split; a store at scale is many
+    files.)  Joins and aggregations on the key reuse this partitioning, and
+    the per-row text work downstream runs on every core."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key)
+
+
 def _ntz_from_epoch(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
 
 def fx_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles store: ties of ten on created_at; published in four styles."""
-    d = load(spark, sf_dir, "documents")
+    d = keyed(load(spark, sf_dir, "documents"), "doc_id")
     minute_iso = F.date_format(F.timestamp_seconds(F.lit(EPOCH_2024) + d.doc_id * 60),
                                "yyyy-MM-dd'T'HH:mm:ss")
     m4 = d.doc_id % 4
@@ -72,7 +82,7 @@ def fx_article_tags(spark: SparkSession, sf_dir: str, articles: DataFrame | None
 
 def fx_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw feed entries from ``events``: repeats, missing fields, three date styles."""
-    e = load(spark, sf_dir, "events")
+    e = keyed(load(spark, sf_dir, "events"), "event_id")
     m4 = e.event_id % 4
     return e.select(
         F.concat(F.lit("https://feed"), (e.user_id % 7).cast("string"), F.lit(".example.com/rss")).alias("feed_url"),
@@ -95,7 +105,7 @@ def fx_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with preview-image meta tags injected by page_id % 7."""
-    p = load(spark, sf_dir, "pages")
+    p = keyed(load(spark, sf_dir, "pages"), "page_id")
     pid = p.page_id.cast("string")
     m7 = p.page_id % 7
     inject = (F.when(m7 == 0, F.concat(F.lit('<meta property="og:image" content="https://img.example.com/'), pid, F.lit('.png">')))
@@ -111,5 +121,5 @@ def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = load(spark, sf_dir, "embeddings")
+    v = keyed(load(spark, sf_dir, "embeddings"), "vec_id")
     return v.select((v.vec_id + 1).alias("article_id"), v.embedding.alias("embedding"))
