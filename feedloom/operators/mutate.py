@@ -74,34 +74,42 @@ def quarantine_articles(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ------------------------------------------------------------------ M1
 
-def upsert_articles(articles: DataFrame, batch: DataFrame, batch_ts, id_base: int | None = None
-                    ) -> tuple[DataFrame, DataFrame]:
-    """M1 + F16: ``batch(pos, title, summary, link, published, updated,
-    source, og_image[, tags])`` into ``articles``.
-
-    Returns ``(new_articles, inserted)``; ``inserted`` is every batch row with
-    ``pos``, its new ``id`` and every batch column (for M2/M3/S5).  Every batch row is an
-    insert in ``pos`` order and takes the next id; a later row with the
-    same link replaces the earlier one (last write wins)."""
+def upsert_articles_delta(articles: DataFrame, batch: DataFrame, batch_ts, id_base: int | None = None
+                          ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M1 + F16 as a delta: ``(added, replaced_ids, inserted)``.
+
+    Every batch row is an insert in ``pos`` order and takes the next id; a
+    later row with the same link replaces the earlier one (last write wins).
+    ``added`` are the surviving new rows, ``replaced_ids(id)`` the stored
+    articles they replace (delete + insert: Q1), ``inserted`` every batch row
+    with its id (for M2/M3/S5: a replaced row's tags and vector were written
+    before it was replaced)."""
     base = max_id(articles) if id_base is None else id_base
     numbered = dense_ids(batch, ["pos"], base)
+    ts = F.lit(batch_ts).cast("timestamp_ntz")
     # last write per link: partial max per link (a hot link is pre-aggregated),
     # then a semi join on (link, pos), a key with no hot value
     last = numbered.groupBy("link").agg(F.max("pos").alias("pos"))
-    latest = (numbered.join(last, ["link", "pos"], "left_semi")
-              .withColumn("created_at", F.lit(batch_ts).cast("timestamp_ntz")))
-    kept = articles.join(latest.select("link"), "link", "left_anti")
-    new_articles = kept.select(*articles.columns).unionByName(latest.select(*articles.columns))
-    # every batch row was an insert (a replaced one too: its tags were created
-    # and its vector stored before it was replaced), so all rows go on
-    return new_articles, numbered.withColumn("created_at", F.lit(batch_ts).cast("timestamp_ntz"))
+    latest = numbered.join(last, ["link", "pos"], "left_semi").withColumn("created_at", ts)
+    # the store is only scanned for the batch's links (the small side is
+    # broadcast by the planner when its size allows), never rewritten
+    replaced = articles.join(latest.select("link"), "link", "left_semi").select("id")
+    return latest.select(*articles.columns), replaced, numbered.withColumn("created_at", ts)
+
+
+def upsert_articles(articles: DataFrame, batch: DataFrame, batch_ts, id_base: int | None = None
+                    ) -> tuple[DataFrame, DataFrame]:
+    """M1 as the whole next table: ``(new_articles, inserted)``."""
+    added, replaced, inserted = upsert_articles_delta(articles, batch, batch_ts, id_base)
+    kept = articles.join(replaced, "id", "left_anti")
+    return kept.select(*articles.columns).unionByName(added), inserted
 
 
 # ------------------------------------------------------------------ M2
 
-def get_or_create_tags(tags: DataFrame, inserted: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
-    """M2: returns ``(new_tags, names)`` where ``names(article_id, name,
-    tag_idx)`` are the cleaned tag names of the inserted articles."""
+def get_or_create_tags_delta(tags: DataFrame, inserted: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
+    """M2 as a delta: ``(created, names)``; ``names(article_id, pos, tag_idx,
+    name)`` are the cleaned tag names of the inserted articles."""
     names = inserted.select(F.col("id").alias("article_id"), "pos",
                             F.posexplode(clean_tag_names(F.col("tags"))).alias("tag_idx", "name"))
     first_seen = names.groupBy("name").agg(F.min(F.struct("pos", "tag_idx")).alias("_first"))
@@ -109,22 +117,42 @@ def get_or_create_tags(tags: DataFrame, inserted: DataFrame, batch_ts) -> tuple[
         .select("name", F.col("_first.pos").alias("_p"), F.col("_first.tag_idx").alias("_i"))
     created = dense_ids(fresh, ["_p", "_i"], max_id(tags)) \
         .select("id", "name", F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))
+    return created, names
+
+
+def get_or_create_tags(tags: DataFrame, inserted: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
+    """M2: returns ``(new_tags, names)``."""
+    created, names = get_or_create_tags_delta(tags, inserted, batch_ts)
     return tags.select("id", "name", "created_at").unionByName(created), names
 
 
 # ------------------------------------------------------------------ M3 + M4
 
-def replace_tag_sets(article_tags: DataFrame, new_articles: DataFrame, names: DataFrame,
-                     tags: DataFrame, batch_ts) -> DataFrame:
-    """M3 + M4: bridge rows of articles that no longer exist go (cascade);
-    every inserted article gets one row per distinct tag."""
-    alive = article_tags.join(new_articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    live_names = names.join(new_articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+def replace_tag_sets_delta(article_tags: DataFrame, replaced_ids: DataFrame, surviving_ids: DataFrame,
+                           names: DataFrame, tags: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
+    """M3 + M4 as a delta: ``(added, deleted_ids)`` — the bridge rows of
+    replaced articles go (cascade); every surviving inserted article gets one
+    row per distinct tag."""
+    deleted = article_tags.join(replaced_ids.select(F.col("id").alias("article_id")), "article_id",
+                                "left_semi").select("id")
+    live_names = names.join(surviving_ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     pairs = (live_names.join(tags.select(F.col("id").alias("tag_id"), "name"), "name")
              .groupBy("article_id", "tag_id").agg(F.min("tag_idx").alias("_i")))
     numbered = dense_ids(pairs, ["article_id", "_i"], max_id(article_tags))
-    fresh = numbered.select("id", "article_id", "tag_id", F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))
-    return alive.select("id", "article_id", "tag_id", "created_at").unionByName(fresh)
+    added = numbered.select("id", "article_id", "tag_id", F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))
+    return added, deleted
+
+
+def replace_tag_sets(article_tags: DataFrame, new_articles: DataFrame, names: DataFrame,
+                     tags: DataFrame, batch_ts) -> DataFrame:
+    """M3 + M4 as the whole next bridge table: rows of articles that no
+    longer exist go (cascade); every inserted article still present gets one
+    row per distinct tag."""
+    alive = article_tags.join(new_articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    gone = article_tags.select(F.col("article_id").alias("id")).join(
+        new_articles.select("id"), "id", "left_anti")
+    added, _ = replace_tag_sets_delta(article_tags, gone, new_articles.select("id"), names, tags, batch_ts)
+    return alive.select("id", "article_id", "tag_id", "created_at").unionByName(added)
 
 
 # ------------------------------------------------------------------ S5 / S7
