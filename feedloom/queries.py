@@ -18,6 +18,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 
+def max_over(df: DataFrame, col: str, divisor: int) -> float:
+    """One scalar (``max(col) / divisor``) for splitting a fixture: a single
+    number reaches the driver and the split is a plain filter on the scan."""
+    v = df.agg(F.max(col)).first()[0]
+    return (float(v) if v is not None else 0.0) / divisor
+
+
 def register(name: str):
     def deco(fn: Query) -> Query:
         REGISTRY[name] = fn
@@ -147,8 +154,8 @@ def _entries(spark, sf):
 
 def _store_links(entries):
     """The fixture's 'store': links of the first quarter of the entries."""
-    bound = entries.agg((F.max("pos") / 4).alias("b"))
-    return (entries.join(bound, entries["pos"] < bound["b"])
+    bound = max_over(entries, "pos", 4)
+    return (entries.where(F.col("pos") < F.lit(bound))
             .where(F.col("link").isNotNull()).select("link"))
 
 
@@ -323,9 +330,9 @@ def j8_knn_similarity(spark, sf):
 def j9_nearest_stored(spark, sf):
     from feedloom.operators.similarity import nearest_match
     v = _vectors(spark, sf)
-    half = v.agg((F.max("article_id") / 2).alias("h"))
-    store = v.join(half, v["article_id"] <= half["h"]).select("article_id", "embedding")
-    batch = v.join(half, v["article_id"] > half["h"]).select("article_id", "embedding")
+    half = F.lit(max_over(v, "article_id", 2))
+    store = v.where(F.col("article_id") <= half).select("article_id", "embedding")
+    batch = v.where(F.col("article_id") > half).select("article_id", "embedding")
     m = nearest_match(batch, store, VECTOR_TEST_THRESHOLD)
     return m.select(F.col("x").alias("article_id"), "duplicate_id",
                     F.round("similarity", 6).alias("similarity"))
@@ -344,9 +351,9 @@ def d2_ingest_dedup_with_store(spark, sf):
     """First fifth of the vectors stored, the rest arrive as one batch."""
     from feedloom.operators.dedup import ingest_dedup
     v = _vectors(spark, sf)
-    fifth = v.agg((F.max("article_id") / 5).alias("f"))
-    store = v.join(fifth, v["article_id"] <= fifth["f"]).select("article_id", "embedding")
-    batch = (v.join(fifth, v["article_id"] > fifth["f"])
+    fifth = F.lit(max_over(v, "article_id", 5))
+    store = v.where(F.col("article_id") <= fifth).select("article_id", "embedding")
+    batch = (v.where(F.col("article_id") > fifth)
              .select("article_id", "embedding", F.col("article_id").alias("pos")))
     st = ingest_dedup(batch, store, VECTOR_TEST_THRESHOLD)
     return st.select("article_id", "accepted", "reason", "duplicate_id")
@@ -425,9 +432,9 @@ def write_fixture(spark, sf):
     from feedloom.operators.tagging import tag_articles
     s = fixture_store(spark, sf)
     a = s.articles
-    half = a.agg((F.max("id") / 2).alias("h"))
-    store = a.join(half, a["id"] <= half["h"]).select(*a.columns)
-    newer = a.join(half, a["id"] > half["h"]).select(*a.columns)
+    half = F.lit(max_over(a, "id", 2))
+    store = a.where(F.col("id") <= half)
+    newer = a.where(F.col("id") > half)
     fields = ["title", "summary", "link", "published", "updated", "source", "og_image"]
     batch = (newer.select(F.col("id").alias("pos"), *fields)
              .unionByName(store.where(F.col("id") % 10 == 0).select(
@@ -641,8 +648,7 @@ def r2_ingest_two_runs(spark, sf):
     from feedloom.sources.store import open_store
     root = _fresh_root(spark, "r2-store")
     e = article_entries(spark, sf)
-    half = e.agg((F.max("pos") / 2).alias("h"))
-    first = e.join(half, e["pos"] <= half["h"]).select(*e.columns)
+    first = e.where(F.col("pos") <= F.lit(max_over(e, "pos", 2)))
     ingest(spark, root, first, INGEST_TS_1, rules=FIXTURE_RULES)
     ingest(spark, root, e, INGEST_TS_2, rules=FIXTURE_RULES)
     st = open_store(spark, root)
@@ -709,8 +715,7 @@ def t1_stream_poll(spark, sf):
     landing = f"{root}/_landing"
     e = article_entries(spark, sf).select("pos", "title", "link", F.col("summary").alias("description"),
                                           F.col("published_raw").alias("pubDate"))
-    half = e.agg((F.max("pos") / 2).alias("h"))
-    first = e.join(half, e["pos"] <= half["h"]).select(*e.columns)
+    first = e.where(F.col("pos") <= F.lit(max_over(e, "pos", 2)))
     stamps = iter([dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 2)])
     land_rss(first, landing)
     poll_into_store(spark, landing, root, rules=FIXTURE_RULES, clock=lambda: next(stamps))

@@ -109,10 +109,29 @@ def summary_fallback(entries: DataFrame) -> DataFrame:
                     .otherwise(F.col("summary")))
 
 
+# Largest number of distinct batch links that is broadcast to probe the store.
+BATCH_LINKS_BROADCAST_MAX = 2_000_000
+
+
+def stored_among(store_links: DataFrame, entries: DataFrame) -> DataFrame:
+    """The stored links that this batch mentions, distinct.
+
+    The store's link column is the big side: an anti join against it would
+    shuffle all of it every poll.  Instead the batch's distinct links (a
+    poll's worth, counted first) are broadcast and the store is only
+    scanned; what comes back is no larger than the batch.  Above the size
+    bound the plain shuffle join is used."""
+    batch_links = entries.select("link").where(F.col("link").isNotNull()).distinct()
+    stored = store_links.select("link")
+    if batch_links.count() <= BATCH_LINKS_BROADCAST_MAX:
+        return stored.join(F.broadcast(batch_links), "link", "left_semi").distinct()
+    return stored.join(batch_links, "link", "left_semi").distinct()
+
+
 def new_links_only(entries: DataFrame, store_links: DataFrame) -> DataFrame:
     """Keep entries whose link is not stored yet (set-based anti join;
     the store is checked, not the current batch — repeats pass, Q3)."""
-    return entries.join(store_links.select("link"), "link", "left_anti")
+    return entries.join(stored_among(store_links, entries), "link", "left_anti")
 
 
 def clean_entries(entries: DataFrame, store_links: DataFrame | None = None) -> DataFrame:
@@ -131,7 +150,7 @@ def clean_entries(entries: DataFrame, store_links: DataFrame | None = None) -> D
 def ingest_stats(entries: DataFrame, store_links: DataFrame) -> DataFrame:
     """Per feed — entries, without link, already stored, new."""
     e = default_fields(entries)
-    stored = store_links.select("link").distinct().withColumn("_stored", F.lit(True))
+    stored = stored_among(store_links, e).withColumn("_stored", F.lit(True))
     j = e.join(stored, "link", "left")
     no_link = F.col("link") == F.lit("")
     is_stored = ~no_link & F.col("_stored").isNotNull()
