@@ -693,8 +693,9 @@ def d5_store_after_dedup(spark, sf):
 @register("S9_snapshot")
 def s9_snapshot(spark, sf):
     """The snapshot taken before the rewrite holds the store as it was."""
+    from feedloom.sources.store import open_snapshot
     root, res = _dedup_job(spark, sf)
-    a = spark.read.parquet(f"{res.snapshot_path}/articles")
+    a = open_snapshot(spark, root, res.snapshot_path).articles
     return a.agg(F.count(F.lit(1)).alias("articles"), F.min("id").alias("min_id"),
                  F.max("id").alias("max_id"))
 
