@@ -321,28 +321,30 @@ resolution AS (SELECT gl.keep_id, gl.group_pos, list_contains((SELECT applied FR
 removed_ids AS (SELECT DISTINCT unnest(removed) AS id FROM final)"""
 
 
-def _d2_ctes(batch: str, thr: float, stored: str | None) -> str:
+def _d2_ctes(batch: str, thr: float, stored: str | None, sfx: str = "") -> str:
+    """First-wins walk over ``batch`` in id order; CTE names carry ``sfx`` so
+    that one statement can hold several walks."""
     store_part = ""
     if stored:
         store_part = f""",
-shit AS (SELECT x, y AS duplicate_id FROM (
+shit{sfx} AS (SELECT x, y AS duplicate_id FROM (
   SELECT b.article_id AS x, s.article_id AS y,
     list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS d,
     row_number() OVER (PARTITION BY b.article_id ORDER BY list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]), s.article_id) AS r
   FROM {batch} b, {stored} s) WHERE r = 1 AND greatest(0, 1 - d * d / 2) >= {thr})"""
-    not_store = "WHERE v.article_id NOT IN (SELECT x FROM shit)" if stored else ""
+    not_store = f"WHERE v.article_id NOT IN (SELECT x FROM shit{sfx})" if stored else ""
     return f"""
-bpairs AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b FROM {batch} a JOIN {batch} b ON a.article_id < b.article_id
+bpairs{sfx} AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b FROM {batch} a JOIN {batch} b ON a.article_id < b.article_id
   WHERE greatest(0, 1 - pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) / 2) >= {thr}){store_part},
-bnodes AS MATERIALIZED (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
-   coalesce((SELECT list(p.a) FROM bpairs p WHERE p.b = v.article_id), []::BIGINT[]) AS preds
+bnodes{sfx} AS MATERIALIZED (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
+   coalesce((SELECT list(p.a) FROM bpairs{sfx} p WHERE p.b = v.article_id), []::BIGINT[]) AS preds
    FROM {batch} v {not_store}),
-walk3(rn, acc) AS (
+walk3{sfx}(rn, acc) AS (
   SELECT 0::BIGINT, []::BIGINT[]
   UNION ALL
   SELECT w.rn + 1, CASE WHEN len(list_intersect(w.acc, n.preds)) > 0 THEN w.acc ELSE list_append(w.acc, n.id) END
-  FROM walk3 w JOIN bnodes n ON n.rn = w.rn + 1),
-accepted AS (SELECT unnest(acc) AS id FROM (SELECT acc FROM walk3 ORDER BY rn DESC LIMIT 1))"""
+  FROM walk3{sfx} w JOIN bnodes{sfx} n ON n.rn = w.rn + 1),
+accepted{sfx} AS (SELECT unnest(acc) AS id FROM (SELECT acc FROM walk3{sfx} ORDER BY rn DESC LIMIT 1))"""
 
 
 SQL["J8_knn_similarity"] = with_fx("""
@@ -561,3 +563,27 @@ SELECT DISTINCT domain FROM (
   FROM pages WHERE page_id % 9 = 0) WHERE domain <> ''""")
 
 SQL["F12_vector_json"] = with_fx("SELECT article_id, true AS same, len(embedding) AS dim FROM fx_vectors")
+
+# R2 twice: run 1 = articles with id <= max/2; run 2 = all articles, of which
+# the links stored by run 1 are dropped (J4) and the rest are tested against
+# run 1's vectors and each other.  T1 lands the same two batches as files.
+_R2_TWO = _R2 + """,
+r2h AS (SELECT max(id) / 2 AS h FROM fx_articles),
+r2v1 AS (SELECT * FROM r2vec WHERE article_id <= (SELECT h FROM r2h)),""" + _d2_ctes("r2v1", 0.7, None, "_1") + """,
+r2acc1 AS (SELECT id FROM accepted_1
+           UNION SELECT id FROM r2tagged WHERE id <= (SELECT h FROM r2h) AND id NOT IN (SELECT article_id FROM tvec)),
+r2s1 AS (SELECT * FROM r2vec WHERE article_id IN (SELECT id FROM r2acc1)),
+r2v2 AS (SELECT * FROM r2vec WHERE article_id NOT IN (SELECT id FROM r2acc1)),""" + _d2_ctes("r2v2", 0.7, "r2s1", "_2") + """,
+r2acc2 AS (SELECT id FROM accepted_2
+           UNION SELECT id FROM r2tagged WHERE id NOT IN (SELECT id FROM r2acc1) AND id NOT IN (SELECT article_id FROM tvec)),
+r2final AS (
+  SELECT row_number() OVER (ORDER BY id) AS new_id, id, TIMESTAMP '2024-03-01 00:00:00' AS created_at FROM r2acc1
+  UNION ALL
+  SELECT (SELECT count(*) FROM r2acc1) + row_number() OVER (ORDER BY id), id, TIMESTAMP '2024-03-02 00:00:00' FROM r2acc2)"""
+
+_R2_TWO_SELECT = """
+SELECT f.new_id AS id, t.link, f.created_at, list_sort(t.names) AS tags
+FROM r2final f JOIN r2tagged t ON t.id = f.id"""
+
+SQL["R2_ingest_two_runs"] = with_fx(_R2_TWO_SELECT, _R2_TWO)
+SQL["T1_stream_poll"] = with_fx(_R2_TWO_SELECT, _R2_TWO)
