@@ -53,21 +53,31 @@ def ingest_dedup(batch: DataFrame, store_vectors: DataFrame | None, threshold: f
     undecided = with_vec if store_hit is None else \
         with_vec.join(store_hit.select(F.col("x").alias("id")), "id", "left_anti")
     undecided = undecided.checkpoint()
+    dim = undecided.select(F.size("embedding").alias("d")).where("d > 0").limit(1).collect()
+    dim = int(dim[0]["d"]) if dim else 0
     chosen_parts: list[DataFrame] = []
     out_parts: list[DataFrame] = []
-    new_chosen = None
-    while undecided.count() > 0:
+    new_chosen, n_chosen = None, 0
+    n_undecided = undecided.count()
+    while n_undecided > 0:
         if new_chosen is not None:
             hit = has_similar(undecided, new_chosen, threshold, left_id="id", right_id="id",
-                              order="pos", block_rows=block_rows).where("hit")
+                              order="pos", block_rows=block_rows,
+                              sizes=(n_undecided, n_chosen, dim)).where("hit")
             out = undecided.join(hit.select(F.col("x").alias("id")), "id", "left_semi").select("id").checkpoint()
             out_parts.append(out)
             undecided = undecided.join(out, "id", "left_anti").checkpoint()
+            n_undecided = undecided.count()
+            if n_undecided == 0:
+                break
         earlier = has_similar(undecided, undecided, threshold, left_id="id", right_id="id",
-                              order="pos", block_rows=block_rows).where("hit")
+                              order="pos", block_rows=block_rows,
+                              sizes=(n_undecided, n_undecided, dim)).where("hit")
         chosen = undecided.join(earlier.select(F.col("x").alias("id")), "id", "left_anti").checkpoint()
+        n_chosen = chosen.count()
         chosen_parts.append(chosen.select("id"))
         undecided = undecided.join(chosen, "id", "left_anti").checkpoint()
+        n_undecided -= n_chosen
         new_chosen = chosen
     status = rows.select("id", "pos")
     if store_hit is not None:

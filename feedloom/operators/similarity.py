@@ -104,7 +104,8 @@ def block_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, p
                 schema: str, block_rows: int = DEFAULT_BLOCK_ROWS,
                 left_blocks: int | None = None, right_blocks: int | None = None,
                 combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-                broadcast_max_bytes: int | None = None) -> DataFrame:
+                broadcast_max_bytes: int | None = None, sizes: tuple[int, int, int] | None = None
+                ) -> DataFrame:
     """Run ``fn(left_block, right_block)`` for every pair of hash blocks.
 
     ``left`` must have columns ``(lid, lvec, ...)`` and ``right``
@@ -112,8 +113,9 @@ def block_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, p
     other side under distinct column names (a cogroup of two views with
     equal names would be ambiguous).  With ``combine`` (a merge of partial
     results that the caller's next step also applies) a small side is
-    broadcast instead, see the module notes."""
-    nl, nr = left.count(), right.count()
+    broadcast instead, see the module notes.  ``sizes`` = (left rows, right
+    rows, vector width) when the caller knows them already."""
+    nl, nr = (sizes[0], sizes[1]) if sizes else (left.count(), right.count())
     bl = left_blocks or max(1, math.ceil(nl / block_rows))
     br = right_blocks or max(1, math.ceil(nr / block_rows))
     limit = BROADCAST_MAX_BYTES if broadcast_max_bytes is None else broadcast_max_bytes
@@ -121,7 +123,8 @@ def block_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, p
         small_is_left = nl <= nr
         small = left if small_is_left else right
         n_small = min(nl, nr)
-        if n_small * _dim(small, "lvec" if small_is_left else "rvec") * 8 <= limit:
+        dim = sizes[2] if sizes else _dim(small, "lvec" if small_is_left else "rvec")
+        if n_small * dim * 8 <= limit:
             big = right if small_is_left else left
             return _broadcast_apply(small, big, small_is_left, fn, combine, schema, block_rows)
     # both grouping keys must have the same types on the two sides (int, int)
@@ -261,7 +264,7 @@ def _exists_fn(max_d2: float, ordered: bool):
 
 def has_similar(left: DataFrame, right: DataFrame, threshold: float, *, left_id: str, right_id: str,
                 vec: str = "embedding", order: str | None = None,
-                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, sizes: tuple[int, int, int] | None = None) -> DataFrame:
     """Per left row: is there a right row with similarity >= threshold (and,
     with ``order``, an earlier one)?  ``(x, hit)`` — at most one flag per
     row, never pairs; a row with no hit may be absent (use ``where("hit")``)."""
@@ -272,7 +275,7 @@ def has_similar(left: DataFrame, right: DataFrame, threshold: float, *, left_id:
         rcols.append(F.col(order).alias("rpos"))
     l, r = left.select(*lcols), right.select(*rcols)
     part = block_apply(l, r, _exists_fn(2.0 * (1.0 - threshold), order is not None),
-                       "x long, hit boolean", block_rows, combine=_hits_only)
+                       "x long, hit boolean", block_rows, combine=_hits_only, sizes=sizes)
     return part.groupBy("x").agg(F.max(F.col("hit").cast("int")).cast("boolean").alias("hit"))
 
 
