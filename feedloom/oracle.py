@@ -482,7 +482,8 @@ SELECT 'articles.title NOT NULL' AS constraint_name, '1' AS key
 UNION ALL SELECT 'articles.link UNIQUE', 'https://dup.example.com/x'
 UNION ALL SELECT 'article_tags (article_id, tag_id) UNIQUE', article_id || ',' || tag_id
   FROM (SELECT * FROM fx_article_tags ORDER BY id LIMIT 1)
-UNION ALL SELECT 'article_tags.article_id FOREIGN KEY', '10000000'""")
+UNION ALL SELECT 'article_tags.article_id FOREIGN KEY', CAST(article_id + 10000000 AS VARCHAR)
+  FROM (SELECT * FROM fx_article_tags ORDER BY id LIMIT 1)""")
 
 SQL["S8_constraints_clean_store"] = with_fx(
     "SELECT 'none' AS constraint_name, 'none' AS key WHERE false", _WRITE)

@@ -530,7 +530,7 @@ def s8_constraint_violations(spark, sf):
                         .when(F.col("id") == 3, F.lit("https://dup.example.com/x")).otherwise(F.col("link"))))
     bridge = s.article_tags.select("id", "article_id", "tag_id", "created_at")
     extra = (bridge.orderBy("id").limit(1)
-             .unionByName(bridge.orderBy("id").limit(1).withColumn("article_id", F.lit(10_000_000).cast("long"))))
+             .unionByName(bridge.orderBy("id").limit(1).withColumn("article_id", F.col("article_id") + F.lit(10_000_000))))
     return constraint_violations(arts, s.tags, bridge.unionByName(extra))
 
 
