@@ -107,7 +107,8 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, batch_ts, id_base: in
 
 # ------------------------------------------------------------------ M2
 
-def get_or_create_tags_delta(tags: DataFrame, inserted: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
+def get_or_create_tags_delta(tags: DataFrame, inserted: DataFrame, batch_ts,
+                             id_base: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M2 as a delta: ``(created, names)``; ``names(article_id, pos, tag_idx,
     name)`` are the cleaned tag names of the inserted articles."""
     names = inserted.select(F.col("id").alias("article_id"), "pos",
@@ -115,7 +116,7 @@ def get_or_create_tags_delta(tags: DataFrame, inserted: DataFrame, batch_ts) ->
     first_seen = names.groupBy("name").agg(F.min(F.struct("pos", "tag_idx")).alias("_first"))
     fresh = first_seen.join(tags.select("name"), "name", "left_anti") \
         .select("name", F.col("_first.pos").alias("_p"), F.col("_first.tag_idx").alias("_i"))
-    created = dense_ids(fresh, ["_p", "_i"], max_id(tags)) \
+    created = dense_ids(fresh, ["_p", "_i"], max_id(tags) if id_base is None else id_base) \
         .select("id", "name", F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))
     return created, names
 
@@ -129,7 +130,8 @@ def get_or_create_tags(tags: DataFrame, inserted: DataFrame, batch_ts) -> tuple[
 # ------------------------------------------------------------------ M3 + M4
 
 def replace_tag_sets_delta(article_tags: DataFrame, replaced_ids: DataFrame, surviving_ids: DataFrame,
-                           names: DataFrame, tags: DataFrame, batch_ts) -> tuple[DataFrame, DataFrame]:
+                           names: DataFrame, tags: DataFrame, batch_ts,
+                           id_base: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M3 + M4 as a delta: ``(added, deleted_ids)`` — the bridge rows of
     replaced articles go (cascade); every surviving inserted article gets one
     row per distinct tag."""
@@ -138,7 +140,7 @@ def replace_tag_sets_delta(article_tags: DataFrame, replaced_ids: DataFrame, sur
     live_names = names.join(surviving_ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     pairs = (live_names.join(tags.select(F.col("id").alias("tag_id"), "name"), "name")
              .groupBy("article_id", "tag_id").agg(F.min("tag_idx").alias("_i")))
-    numbered = dense_ids(pairs, ["article_id", "_i"], max_id(article_tags))
+    numbered = dense_ids(pairs, ["article_id", "_i"], max_id(article_tags) if id_base is None else id_base)
     added = numbered.select("id", "article_id", "tag_id", F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))
     return added, deleted
 
