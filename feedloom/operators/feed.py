@@ -180,6 +180,25 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _page_keys(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
+               tag, limit: int, offset: int) -> DataFrame:
+    """The page's ``(id, created_at)`` only: the tag join and the top-k never
+    carry article text (a popular tag may cover a third of the store)."""
+    keys = filter_by_tags(articles.select("id", "created_at"), tags, article_tags, tag)
+    ordered = _newest_first(keys)
+    return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
+
+
+def _page_rows(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
+               tag, limit: int, offset: int) -> DataFrame:
+    """Late materialisation: the ≤ offset+limit page keys (a bounded set,
+    checkpointed) are broadcast into a plain scan of the articles for their
+    full rows."""
+    keys = _checkpointed(_page_keys(articles, tags, article_tags, tag, limit, offset))
+    return articles.join(F.broadcast(keys.select("id")), "id", "left_semi") \
+        .select(*FEED_COLUMNS, "created_at")
+
+
 def feed_page(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
               tag: str | Sequence[str] | None = None, limit: int = DEFAULT_PAGE,
               offset: int = 0, parse_dates: bool = True) -> DataFrame:
@@ -188,11 +207,7 @@ def feed_page(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
     Returns the page with ``created_at`` kept for order, ``tags`` always an
     array (all tags of each article, not only the filtered one)."""
     check_page_args(limit, offset)
-    base = filter_by_tags(articles, tags, article_tags, tag)
-    page = (_newest_first(base.select(*FEED_COLUMNS, "created_at"))
-            .offset(offset).limit(limit)) if offset else \
-        _newest_first(base.select(*FEED_COLUMNS, "created_at")).limit(limit)
-    page = _checkpointed(page)
+    page = _checkpointed(_page_rows(articles, tags, article_tags, tag, limit, offset))
     per = tags_per_article(tags, article_tags, page.select("id"))
     out = page.join(F.broadcast(per), page["id"] == per["article_id"], "left").select(
         page["id"], page["title"], page["summary"], page["link"],
@@ -226,10 +241,7 @@ def page_with_more(articles: DataFrame, tags: DataFrame, article_tags: DataFrame
     """A page plus ``has_more`` from fetching ``page_size + 1`` rows (no
     empty trailing page as a full-page test would give)."""
     check_page_args(page_size, offset)
-    base = filter_by_tags(articles, tags, article_tags, tag).select(*FEED_COLUMNS, "created_at")
-    peek = _newest_first(base).offset(offset).limit(page_size + 1) if offset else \
-        _newest_first(base).limit(page_size + 1)
-    peek = _checkpointed(peek)
+    peek = _checkpointed(_page_rows(articles, tags, article_tags, tag, page_size + 1, offset))
     w = Window.orderBy(F.desc("created_at"), F.asc("id"))
     ranked = peek.withColumn("_r", F.row_number().over(w)) \
         .withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > page_size)
