@@ -51,7 +51,11 @@ def read_atom(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     raw = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record")
            .schema(S.ATOM_ENTRY).load(paths))
-    raw = _with_position(raw)
+    return atom_columns(_with_position(raw))
+
+
+def atom_columns(raw: DataFrame) -> DataFrame:
+    """ATOM_ENTRY columns (plus ``feed_url``, ``pos``) to the ENTRIES shape."""
     alt = F.filter("link", lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == F.lit("alternate"))
     return raw.select(
         "feed_url", "pos",
