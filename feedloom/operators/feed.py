@@ -275,9 +275,13 @@ def top_tag_sample(articles: DataFrame, tags: DataFrame, article_tags: DataFrame
     top = popular_tags(tags, article_tags, 1).select(F.col("name").alias("top_tag"))
     top_ids = F.broadcast(tags.join(top, tags.name == top.top_tag).select(F.col("id").alias("tag_id"), "top_tag"))
     hits = article_tags.join(top_ids, "tag_id").select(F.col("article_id").alias("id"), "top_tag")
-    return (articles.join(hits, "id")
+    # late materialisation: the join and top-n on (id, created_at), titles
+    # fetched for the n chosen ids only
+    keys = _checkpointed(articles.select("id", "created_at").join(hits, "id")
+                         .orderBy(F.desc("created_at"), F.asc("id")).limit(n))
+    return (articles.select("id", "title").join(F.broadcast(keys), "id")
             .select("top_tag", "id", F.substring("title", 1, preview).alias("title_preview"), "created_at")
-            .orderBy(F.desc("created_at"), F.asc("id")).limit(n))
+            .orderBy(F.desc("created_at"), F.asc("id")))
 
 
 def run_report(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
