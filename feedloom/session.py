@@ -39,6 +39,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def use_store_conventions(spark: SparkSession) -> None:
+    """Instants are kept and written in UTC (the store's dates are UTC ISO
+    text): set the session time zone for a session that came from elsewhere,
+    and make sure the shared checkpoint folder is known."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, choosing a scratch one only if unset."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
