@@ -491,8 +491,10 @@ SQL["S8_constraints_clean_store"] = with_fx(
 SQL["S3_article_scan"] = with_fx("SELECT id, title, summary, link, published FROM fx_articles ORDER BY id")
 
 SQL["S5_embedding_upsert"] = with_fx("""
-SELECT article_id, round(embedding[1]::DOUBLE, 6) AS e1, len(embedding) AS dim FROM fx_vectors WHERE article_id <= 200
-UNION ALL SELECT article_id + 200, round(embedding[1]::DOUBLE, 6), len(embedding) FROM fx_vectors""")
+SELECT article_id, round(embedding[1]::DOUBLE, 6) AS e1, len(embedding) AS dim FROM fx_vectors
+WHERE article_id <= (SELECT 2 * max(article_id) // 5 FROM fx_vectors)
+UNION ALL SELECT article_id + (SELECT 2 * max(article_id) // 5 FROM fx_vectors), round(embedding[1]::DOUBLE, 6), len(embedding)
+FROM fx_vectors""")
 
 SQL["S6_embedding_lookup"] = with_fx("""
 SELECT v.article_id, len(v.embedding) AS dim FROM fx_vectors v

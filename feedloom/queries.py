@@ -549,11 +549,14 @@ def s3_article_scan(spark, sf):
 
 @register("S5_embedding_upsert")
 def s5_embedding_upsert(spark, sf):
-    """Stored vectors 1..250; a batch gives ids 201.. the vector of id-200."""
+    """The first half of the vectors is stored; a batch of every vector,
+    its id shifted by two fifths of the range, overwrites the stored ids
+    above the shift and adds the rest."""
     from feedloom.operators.mutate import upsert_embeddings
     v = _vectors(spark, sf)
-    stored = v.where(F.col("article_id") <= 250)
-    src = v.select((F.col("article_id") + 200).alias("id"), "embedding")
+    top = int(max_over(v, "article_id", 1))
+    stored = v.where(F.col("article_id") <= F.lit(top / 2))
+    src = v.select((F.col("article_id") + F.lit(2 * top // 5)).alias("id"), "embedding")
     new = upsert_embeddings(stored, src)
     return new.select("article_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("e1"),
                       F.size("embedding").alias("dim"))
