@@ -48,7 +48,12 @@ def use_store_conventions(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a scratch one only if unset."""
+    """Return the shared checkpoint folder named by the session.
+
+    It is chosen here only for a local master, where driver and tasks share
+    one disk.  Anywhere else an unset ``spark.checkpoint.dir`` is an error:
+    a scratch folder would be another folder on every machine.
+    """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -58,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that every machine shares")
     scratch = tempfile.mkdtemp(prefix="feedloom-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     sc.setCheckpointDir(scratch)
