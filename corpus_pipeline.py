@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and reread as the next stage's ``docs``.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  Rows are filtered or put in order, never
+changed; rows without an id are kept unless they are toxic or exact copies.
 """
 
 from __future__ import annotations
@@ -11,15 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import stage, text_key
+from feedloom.llm.queries import MIX_TARGETS, PIECE_MODEL
+
+#: Near duplicates in the pipeline: five-word shingles, Jaccard 0.8 or more.
+NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) is among ``kept`` (doc_id,
-    text_key), one of each repeated row; ids may be null."""
-    k = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    rows = docs.withColumn("_key0", text_key(F.col("text")))
-    return (rows.join(k, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")), "left_semi")
-            .dropDuplicates(["doc_id", "_key0"]).drop("_key0"))
+    text_key), one of each repeated row."""
+    free = iter(f"_k{i}" for i in range(1000) if f"_k{i}" not in docs.columns)
+    a, b = next(free), next(free)
+    no_id = F.lit(-(1 << 63))
+    rows = docs.withColumn(a, F.coalesce("doc_id", no_id)).withColumn(b, text_key(F.col("text")))
+    keys = kept.select(F.coalesce("doc_id", no_id).alias(a), F.col("text_key").alias(b))
+    return rows.join(keys, [a, b], "left_semi").dropDuplicates([a, b]).drop(a, b)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifiers reject go."""
+    from feedloom.llm.toxicity import fit, reject
+    return reject(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +41,42 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_rows(docs, exact_dedup(docs).where("kept"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document that names each component of near copies."""
+    from feedloom.llm.ngram_join import ngram_join
+    found = ngram_join(docs, NEAR_WORDS, NEAR_SIMILARITY)
+    return keep_rows(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put the documents in the order of the mix (files and rows in them)."""
+    from feedloom.llm.mixing import mix
+    carried = {f"_c{i}": F.col(c) for i, c in enumerate(docs.columns)}
+    order = mix(docs, MIX_TARGETS, extra=carried)
+    return (order.repartitionByRange("position").sortWithinPartitions("position")
+            .select(*(F.col(k).alias(c) for k, c in zip(carried, docs.columns))))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document."""
+    from feedloom.llm.pieces import encode_decode
+    return encode_decode(docs, PIECE_MODEL)
+
+
 STAGES = [
+    ("toxicity", clean),
     ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("source mix", mixed),
+    ("SentencePiece", encoded),
 ]
 
+#: None: trained classifiers, components and pieces are not SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, fn in STAGES:
-        docs = stage(fn(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stage(fn(spark, docs, sf_dir), "pipeline-" + "-".join(name.lower().split()))
     return docs

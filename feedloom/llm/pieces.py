@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from functools import cached_property
 
 import numpy as np
@@ -230,8 +231,6 @@ class Pieces:
     def units(self, word: str) -> list[str]:
         """What is encoded on its own: for BPE a character without a piece
         never merges, so it separates."""
-        if self.type == UNIGRAM or not self.strange.search(word):
-            return [word]
         out, at = [], 0
         for m in self.strange.finditer(word):
             out += [word[at:m.start()]] * (m.start() > at) + [m[0]]
@@ -240,17 +239,16 @@ class Pieces:
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Pieces of marked words."""
-        parts = {w: self.units(w) for w in words}
-        known, plain = {}, set()
-        for u in {u for us in parts.values() for u in us}:
-            if self.type == BPE and len(u) == 1 and u not in self.alphabet:
-                known[u] = self.fallback(u)
-            elif self.type == BPE and MARK * 2 in u:
-                known[u] = self.merge(u)
-            else:
-                plain.add(u)
-        known |= self.traverse(sorted(plain))
-        return {w: [p for u in us for p in known[u]] for w, us in parts.items()}
+        if self.type == UNIGRAM:
+            return self.traverse(sorted(words))
+        odd = {w for w in words if MARK * 2 in w or self.strange.search(w)}
+        parts = {w: self.units(w) for w in odd}
+        units = {u for us in parts.values() for u in us}
+        known = {u: self.fallback(u) for u in units if u not in self.alphabet and len(u) == 1}
+        known |= {u: self.merge(u) for u in units if MARK * 2 in u}
+        out = self.traverse(sorted((words - odd) | (units - known.keys())))
+        known |= {u: out[u] for u in units - known.keys()}
+        return out | {w: [p for u in us for p in known[u]] for w, us in parts.items()}
 
     def marked_words(self, text: str) -> list[str]:
         """Cut a text into marked words; a run of marks goes with its word."""
@@ -278,14 +276,14 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian int32 ids of each text."""
+        """The int32 ids of each text, as bytes."""
         words = [self.pieces.marked_words(t) for t in texts]
         distinct = set().union(*words) if words else set()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = distinct.difference(self.known)
         for w, ids in self.pieces.encode_words(new).items():
-            self.known[w] = np.array(ids, dtype="<i4").tobytes()
+            self.known[w] = array("i", ids).tobytes()
         known = self.known
         return [b"".join([known[w] for w in ws]) for ws in words]
 
@@ -306,8 +304,8 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 coded = encoder.encode(texts)
                 counts = np.array([len(c) // 4 for c in coded], dtype=np.int32)
-                flat = np.frombuffer(b"".join(coded), dtype="<i4")
-                same = [encoder.pieces.decode(np.frombuffer(c, dtype="<i4").tolist()) == t.replace(MARK, " ")
+                flat = np.frombuffer(b"".join(coded), dtype=np.int32)
+                same = [encoder.pieces.decode(np.frombuffer(c, dtype=np.int32).tolist()) == t.replace(MARK, " ")
                         for c, t in zip(coded, texts)]
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), flat)
                 yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(counts), pa.array(same)],

@@ -134,3 +134,39 @@ PIECE_MODEL = os.environ.get("FEEDLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_
 def op8_sentencepiece(spark, sf):
     from feedloom.llm.pieces import encode_decode
     return encode_decode(table(spark, sf, "documents"), PIECE_MODEL)
+
+
+@register("op6_html_text")
+def op6_html_text(spark, sf):
+    from feedloom.llm.html_text import extract_text
+    return extract_text(table(spark, sf, "pages"))
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark, sf):
+    from feedloom.llm.toxicity import fit, score
+    docs = table(spark, sf, "documents")
+    return score(docs, fit(docs, table(spark, sf, "labels")))
+
+
+@register("op7_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+           WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
+reach AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.to_id)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(to_id) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def op7_ngram_join(spark, sf):
+    from feedloom.llm.ngram_join import ngram_join
+    return ngram_join(table(spark, sf, "documents"), words=4, similarity=(85, 100)).drop("text_key")

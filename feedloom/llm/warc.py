@@ -40,8 +40,8 @@ SLICE_BYTES = 8 << 20
 READ_BYTES = 8 << 20
 #: Byte ranges closer than this are read together.
 GAP_BYTES = 64 << 10
-#: Index rows are cut into read tasks of about this many archive bytes.
-SPLIT_BYTES = 32 << 20
+#: An archive is read in splits of about this many bytes.
+SPLIT_BYTES = 4 << 20
 
 INDEX = ("path string, offset long, length long, page_id long, url string, payload_digest string, "
          "record_type string, refers_to long, split long")
@@ -197,7 +197,10 @@ def read_records(index: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    return (index.select("path", "offset", "length", "split").repartition("path", "split")
+    # as many read tasks as the selected bytes ask for: the index rows themselves are small
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // (8 * SPLIT_BYTES)))
+    return (index.select("path", "offset", "length", "split").repartition(tasks, "path", "split")
             .sortWithinPartitions("path", "offset").mapInArrow(read, schema))
 
 
