@@ -4,22 +4,25 @@ A document is the set of its distinct word shingles (64-bit hashes).  Two
 documents link when den * |x & y| >= num * |x | y|.  The answer is one row per
 document with its component; no list of all pairs of a group is made.
 
-1. Equal sets form a class, and one member stands for it.
+1. Equal sets form a class.
 2. Shingles have a fixed total order: those that a sketch over all documents
    finds common come last, the rest by hash.  The order decides how much work
    there is, never the result.  With a(n) = ceil(num n / den), two linked sets
    share a shingle among the first p(n) = n - a(n) + 1 of each, and share k of
    them among the first p(n) - 1 + k.  Shingles of these prefixes that two
    classes have are counted per class; a class with too few is in no link.
-3. Star: the classes that share a prefix shingle are tested against the most
-   central of them.  Verified links give provisional components, so that a
-   large group of copies mostly falls together in one linear step.
-4. Size-banded tiles: under each prefix shingle that still meets two or more
-   components, classes in order of size are cut into tiles of bounded rows, and
+3. Each prefix shingle is led by the most central class that has it, and a
+   class joins the tiles of the leaders of its shingles: two linked classes
+   meet in the tile of the leader of a shingle that they share.
+4. Star: a class is tested against one of its leaders.  Verified links give
+   provisional components, so that a large group of copies mostly falls
+   together in one linear step.
+5. Size-banded tiles: where a leader's classes are still of two or more
+   components, they are cut, in order of size, into tiles of bounded rows, and
    tiles meet only if their sizes allow a link.  Hashed bitmaps bound the
    overlap from above: |x & y| <= (|x| + |y| - bits(X xor Y)) / 2.  A pair that
-   passes is kept under its smallest common prefix shingle alone.
-5. What passes is decided by the exact intersection of the sorted arrays, and
+   passes is kept under its smallest common leader alone.
+6. What passes is decided by the exact intersection of the sorted arrays, and
    the components are completed.
 
 No step drops pairs that could link, whatever the size of a group.
@@ -48,13 +51,16 @@ from feedloom.llm.hashing import joined, mix, runs, span_hashes
 
 WORDS = 5
 SIMILARITY = (80, 100)
-#: Bits of a signature, rows of a tile, slots of the sketch of common shingles.
-BITS = 2048
+#: Bits of a signature per shingle (rounded up to a power of two), rows of a
+#: tile, slots of the sketch of common shingles.
+BITS = 4
 TILE_ROWS = 1024
 SKETCH_SLOTS = 1 << 20
 #: A slot is common when a task counts this many, and this many times the mean.
 COMMON_COUNT, COMMON_TIMES = 32, 8
 SLICE_BYTES = 2 << 20
+#: Sets a task remembers to have sent (beyond it, it may send one again).
+SEEN_SETS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,8 +107,8 @@ class Threshold:
         return n - self.least(n) + 1 if n else 0
 
     def depth(self, n: int) -> int:
-        """k of the longer prefix: half as much again."""
-        return min((self.prefix(n) + 1) // 2, self.least(n))
+        """k of the longer prefix: a quarter more than the short one."""
+        return min((self.prefix(n) + 3) // 4, self.least(n))
 
     def long_prefix(self, n: int) -> int:
         return self.prefix(n) - 1 + self.depth(n) if n else 0
@@ -112,12 +118,12 @@ class Threshold:
         the smallest partner."""
         return max(1, self.depth(self.least(n)))
 
-    def column(self, name: str):
-        """``prefix`` or ``shared`` of the column n, in whole numbers."""
+    def shared_column(self):
+        """``shared`` of the column n."""
         least = lambda n: f"(({n}) * {self.num} + {self.den - 1}) div {self.den}"
         prefix = lambda n: f"(({n}) - {least(n)} + 1)"
-        depth = lambda n: f"least(({prefix(n)} + 1) div 2, {least(n)})"
-        return F.expr(prefix("n") if name == "prefix" else f"greatest(1, {depth(least('n'))})")
+        depth = lambda n: f"least(({prefix(n)} + 3) div 4, {least(n)})"
+        return F.expr(f"greatest(1, {depth(least('n'))})")
 
     def links(self, overlap, n, m):
         """Whether an overlap (a number, array or column) is enough."""
@@ -133,84 +139,111 @@ def low64(key: bytes) -> int:
 
 
 def signature(s: np.ndarray, bits: int) -> bytes:
-    out = np.zeros(bits, dtype=bool)
-    out[(s.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
+    """Hashed bitmap of a set, as long as the set asks for.  Half of it or-ed
+    with the other half is the bitmap of half the length."""
+    size = 1 << max(9, (bits * len(s) - 1).bit_length())
+    out = np.zeros(size, dtype=bool)
+    out[(s.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (size - 1)] = True
     return np.packbits(out).tobytes()
 
 
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (uint64 words) brought to a shorter length."""
+    while len(words) > size:
+        words = words[:len(words) // 2] | words[len(words) // 2:]
+    return words
+
+
 def _texts(batches, column):
     for whole in batches:
         for b in slices(whole, column, SLICE_BYTES):
             yield b, utf8_list(b.column(column))
 
 
-def common_slots(docs: DataFrame, words: int) -> np.ndarray:
-    """Bitmap of the sketch slots that hold common shingles.  Every document
-    is counted; SKETCH_SLOTS bits reach the driver at most."""
-    def count(batches):
+def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """Per row: doc_id, text_key, n, set_key (and 64 bits of it).  The same
+    scan counts every shingle in a sketch; returned is the bitmap of the slots
+    that some task finds common, of SKETCH_SLOTS bits at most."""
+    schema = "doc_id long, text_key long, n int, set_key binary, key64 long, common array<long>"
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
         slots = np.zeros(SKETCH_SLOTS, dtype=np.int64)
-        for _, texts in _texts(batches, 0):
+        for b, texts in _texts(batches, 2):
             sets = shingle_sets(texts, words)
             slots += np.bincount(np.concatenate(sets) & (SKETCH_SLOTS - 1), minlength=SKETCH_SLOTS)
+            keys = [set_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()),
+                 pa.array([low64(k) for k in keys], pa.int64()), pa.nulls(len(keys), types[5])], names=names)
         hot = np.flatnonzero(slots >= max(COMMON_COUNT, COMMON_TIMES * slots.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(hot)], names=["slot"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:5]), pa.array([hot.tolist()], types[5])], names=names)
 
-    return key_bitmap(docs.select("text").mapInArrow(count, "slot long").distinct(), "slot", SKETCH_SLOTS)
+    rows = stage(docs.select("doc_id", "text_key", "text").mapInArrow(run, schema), "ngram-sets")
+    slots = rows.where("common is not null").select(F.explode("common").alias("slot")).distinct()
+    return rows.where("common is null").drop("common"), key_bitmap(slots, "slot", SKETCH_SLOTS)
 
 
-def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
-    """Per row: row, doc_id, text_key, n, set_key (and 64 bits of it) and the
-    longer prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_slots(docs, words))
+def prefix_shingles(docs: DataFrame, words: int, t: Threshold, common: np.ndarray) -> DataFrame:
+    """(token, cls, short) of the longer prefix of every set; short: the token
+    is in the short prefix.  A task sends equal sets once."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        for b, texts in _texts(batches, 2):
-            sets = shingle_sets(texts, words)
-            heads = [s[np.argsort(in_bitmap(shared.value, s), kind="stable")[:t.long_prefix(len(s))]] for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-            keys = [set_key(s) for s in sets]
+        seen = set()
+        for _, texts in _texts(batches, 0):
+            tokens, classes, short = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for s in shingle_sets(texts, words):
+                if not len(s):
+                    continue
+                key = low64(set_key(s))
+                if key in seen:
+                    continue
+                if len(seen) < SEEN_SETS:
+                    seen.add(key)
+                head = s[np.argsort(in_bitmap(shared.value, s), kind="stable")[:t.long_prefix(len(s))]]
+                tokens.append(head)
+                classes.append(np.full(len(head), key))
+                short.append(np.arange(len(head)) < t.prefix(len(s)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.binary()),
-                 pa.array([low64(k) for k in keys], pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(heads))],
-                names=["doc_id", "text_key", "n", "set_key", "key64", "prefix"])
+                [pa.array(np.concatenate(x)) for x in (tokens, classes, short)], names=["token", "cls", "short"])
 
-    rows = docs.select("doc_id", "text_key", "text").mapInArrow(
-        run, "doc_id long, text_key long, n int, set_key binary, key64 long, prefix array<long>")
-    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
+    return docs.select("text").mapInArrow(run, "token long, cls long, short boolean")
 
 
-def shared_shingles(classes: DataFrame) -> DataFrame:
-    """(cls, n, pos, token) of prefix shingles that two or more classes have."""
-    rows = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    return rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
+def held_by_two(rows: DataFrame) -> DataFrame:
+    """Rows whose token is held by two or more classes."""
+    w = Window.partitionBy("token")
+    return (rows.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
+            .where("lo <> hi").drop("lo", "hi"))
 
 
 def members(docs: DataFrame, classes: DataFrame, words: int, bits: int) -> DataFrame:
-    """(cls, arr, sig): sorted array and signature of the given classes (cls,
-    set_key, key64), from a second scan of the texts through a fixed-size
-    bitmap.  A task sends a set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(classes, "key64"))
+    """(cls, arr, sig): sorted array and signature of the given classes (cls),
+    from a scan of the texts through a fixed-size bitmap.  A task sends a set
+    once."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(classes, "cls"))
 
     def run(batches):
         seen = set()
         for _, texts in _texts(batches, 0):
             sets = [s for s in shingle_sets(texts, words) if len(s)]
-            keys = [set_key(s) for s in sets]
-            low = np.array([low64(k) for k in keys], dtype=np.int64)
+            keys = np.array([low64(set_key(s)) for s in sets], dtype=np.int64)
             out = []
-            for i in np.flatnonzero(in_bitmap(shared.value, low)):
+            for i in np.flatnonzero(in_bitmap(shared.value, keys)):
                 if keys[i] not in seen:
-                    seen.add(keys[i])
                     out.append(i)
+                    if len(seen) < SEEN_SETS:
+                        seen.add(keys[i])
             ends = np.concatenate([[0], np.cumsum([len(sets[i]) for i in out])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in out], pa.binary()),
+                [pa.array(keys[out]),
                  pa.ListArray.from_arrays(ends, np.concatenate([sets[i] for i in out]) if out else np.zeros(0, np.int64)),
-                 pa.array([signature(sets[i], bits) for i in out], pa.binary())], names=["set_key", "arr", "sig"])
+                 pa.array([signature(sets[i], bits) for i in out], pa.binary())], names=["cls", "arr", "sig"])
 
-    found = docs.select("text").mapInArrow(run, "set_key binary, arr array<long>, sig binary")
-    return (found.join(classes.select("cls", "set_key"), "set_key")
-            .groupBy("cls").agg(F.first("arr").alias("arr"), F.first("sig").alias("sig")))
+    return (docs.select("text").mapInArrow(run, "cls long, arr array<long>, sig binary")
+            .join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
 def verified(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:
@@ -222,53 +255,59 @@ def verified(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:
                  "ngram-links")
 
 
-def star_pairs(tiles: DataFrame, sigs: DataFrame, t: Threshold, bits: int) -> DataFrame:
-    """One pair (a, b) per class: with the most central class among those that
-    lead its prefix shingles and pass the bound.
+def led(tiles: DataFrame) -> DataFrame:
+    """(lead, m, s, cls, n): the classes that join the tile of each leader, the
+    leader's own size m and rank s included.
 
-    ``tiles``: (cls, n, token, shared), shared the number of its shingles that
-    other classes have; the leader has the most of them."""
-    best = F.struct((-F.col("shared")).alias("s"), F.col("cls").alias("lead"), F.col("n").alias("m"))
-    lead = tiles.groupBy("token").agg(F.min(best).alias("l")).select("token", "l.*")
-    pairs = (tiles.join(lead, "token").where(F.col("cls") != F.col("lead"))
-             .where((F.col("n") * t.den >= F.col("m") * t.num) & (F.col("m") * t.den >= F.col("n") * t.num))
-             .select("cls", "n", "lead", "m", "s").distinct())
+    ``tiles``: (cls, n, token, shared), shared the number of the class's
+    shingles that other classes have; the leader of a token has the most."""
+    best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("cls").alias("lead"), F.col("n").alias("m")))
+    leads = tiles.groupBy("token").agg(best.alias("l")).select("token", "l.*")
+    return tiles.join(leads, "token").select("lead", "m", "s", "cls", "n").distinct()
+
+
+def star_pairs(places: DataFrame, sigs: DataFrame, t: Threshold) -> DataFrame:
+    """One pair (a, b) per class: with the most central of its leaders that
+    passes the bound."""
+    pairs = places.where(F.col("cls") != F.col("lead")).where(
+        (F.col("n") * t.den >= F.col("m") * t.num) & (F.col("m") * t.den >= F.col("n") * t.num))
     x = sigs.select("cls", F.col("sig").alias("p"))
     y = sigs.select(F.col("cls").alias("lead"), F.col("sig").alias("q"))
-    near = pairs.join(x, "cls").join(y, "lead").where(may_link(t, bits))
-    return near.groupBy(F.col("cls").alias("a")).agg(F.min(F.struct("s", "lead")).alias("l")).select(
-        "a", F.col("l.lead").alias("b"))
 
+    def passing(batches):
+        for b in batches:
+            n, m = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)
+            p, q = ([np.frombuffer(v, dtype=np.uint64) for v in b.column(i).to_pylist()] for i in (5, 6))
+            differ = np.array([np.bitwise_count(folded(u, len(v)) ^ folded(v, len(u))).sum() for u, v in zip(p, q)], dtype=np.int64)
+            yield b.select([0, 1, 2]).filter(pa.array(t.links((n + m - differ) // 2, n, m)))
 
-def may_link(t: Threshold, bits: int):
-    """Column: the bound from signatures p and q and sizes n and m allows a link."""
-    step = 8        # bytes as one long
-    longs = lambda c, i: F.conv(F.hex(F.substring(c, i * step + 1, step)), 16, -10).cast("long")
-    differ = sum((F.bit_count(longs("p", i).bitwiseXOR(longs("q", i))) for i in range(bits // 8 // step)), F.lit(0))
-    return t.links(F.floor((F.col("n") + F.col("m") - differ) / 2), F.col("n"), F.col("m"))
+    near = pairs.join(x, "cls").join(y, "lead").select("cls", "lead", "s", "n", "m", "p", "q").mapInArrow(
+        passing, "cls long, lead long, s long")
+    return near.groupBy(F.col("cls").alias("a")).agg(F.min(F.struct("s", "lead")).alias("l")).select(
+        "a", F.col("l.lead").alias("b"))
 
 
-def tile_pairs(tiles: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
-    """Cut each shingle's classes, in order of size, into tiles and give every
+def tile_pairs(places: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
+    """Cut each leader's classes, in order of size, into tiles and give every
     row to the tile pairs (i, j) that can hold links: adds i, j."""
-    order = Window.partitionBy("token").orderBy("n", "cls")
-    rows = tiles.withColumn("tile", F.floor((F.row_number().over(order) - 1) / tile_rows).cast("int"))
-    spans = rows.groupBy("token", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a = spans.select("token", F.col("tile").alias("i"), F.col("hi").alias("hi_i"))
-    b = spans.select("token", F.col("tile").alias("j"), F.col("lo").alias("lo_j"))
-    met = a.join(b, "token").where((F.col("i") <= F.col("j")) & (F.col("hi_i") * t.den >= F.col("lo_j") * t.num))
-    sides = met.select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).select(
-        "token", "i", "j", "tile")
-    return rows.join(sides, ["token", "tile"])
+    order = Window.partitionBy("lead").orderBy("n", "cls")
+    rows = places.withColumn("tile", F.floor((F.row_number().over(order) - 1) / tile_rows).cast("int"))
+    spans = rows.groupBy("lead", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a = spans.select("lead", F.col("tile").alias("i"), F.col("hi").alias("hi_i"))
+    b = spans.select("lead", F.col("tile").alias("j"), F.col("lo").alias("lo_j"))
+    met = a.join(b, "lead").where((F.col("i") <= F.col("j")) & (F.col("hi_i") * t.den >= F.col("lo_j") * t.num))
+    sides = met.select("lead", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).select(
+        "lead", "i", "j", "tile")
+    return rows.join(sides, ["lead", "tile"])
 
 
 def _runs_of(batches):
-    """Batches cut into runs of equal (token, i, j), whole across batches."""
+    """Batches cut into runs of equal (lead, i, j), whole across batches."""
     held = None
     for b in batches:
         t = pa.Table.from_batches([b])
         t = pa.concat_tables([held, t]) if held is not None else t
-        key = [t[c].to_numpy() for c in ("token", "i", "j")]
+        key = [t[c].to_numpy() for c in ("lead", "i", "j")]
         cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
         last = int(cut[-1]) if len(cut) else 0
         if last:
@@ -278,40 +317,43 @@ def _runs_of(batches):
         yield held.combine_chunks(), np.array([0, held.num_rows])
 
 
-def compare_tiles(rows: DataFrame, t: Threshold, bits: int) -> DataFrame:
+def compare_tiles(rows: DataFrame, t: Threshold) -> DataFrame:
     """Pairs (a, b) of different components that pass the bound, each under its
-    smallest common prefix shingle.  ``rows``: token, i, j, tile, n, cls,
-    component, sig, heads (the class's prefix shingles that are in tiles)."""
+    smallest common leader.  ``rows``: lead, i, j, tile, n, cls, component, sig,
+    leads (the leaders whose tiles the class is in)."""
     def run(batches):
         for table, cuts in _runs_of(batches):
-            col = {c: table[c].to_numpy() for c in ("token", "i", "j", "tile", "n", "cls", "component")}
-            sig, heads, out = table["sig"].chunk(0), table["heads"].chunk(0), []
+            col = {c: table[c].to_numpy() for c in ("lead", "i", "j", "tile", "n", "cls", "component")}
+            sig, leads, out = table["sig"].chunk(0), table["leads"].chunk(0), []
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi - lo < 2 or (col["component"][lo:hi] == col["component"][lo]).all():
                     continue
                 n, comp, tile, cls = (col[c][lo:hi] for c in ("n", "component", "tile", "cls"))
-                token, same = col["token"][lo], col["i"][lo] == col["j"][lo]
-                words = np.frombuffer(b"".join(sig.slice(lo, hi - lo).to_pylist()), dtype=np.uint64).reshape(hi - lo, -1)
-                first = np.searchsorted(n * t.den, n * t.num)       # rows are in order of size
+                lead, same = col["lead"][lo], col["i"][lo] == col["j"][lo]
+                maps = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in sig.slice(lo, hi - lo)]
+                sizes = np.array([len(v) for v in maps])
+                by_size = {z: (at := np.flatnonzero(sizes == z), np.vstack([maps[k] for k in at])) for z in set(sizes.tolist())}
+                first = np.searchsorted(n.astype(np.int64) * t.den, n.astype(np.int64) * t.num)       # rows are in order of size
                 for y in range(1, hi - lo):
-                    x = np.arange(first[y], y)
-                    x = x[(comp[x] != comp[y]) & (same | (tile[x] != tile[y]))]
-                    if not len(x):
-                        continue
-                    differ = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)
-                    x = x[t.links((n[x] + n[y] - differ) // 2, n[x].astype(np.int64), int(n[y]))]
-                    if not len(x):
-                        continue
-                    mine = heads[lo + y].values.to_numpy()
-                    for k in x.tolist():
-                        if np.intersect1d(mine, heads[lo + k].values.to_numpy(), assume_unique=True)[0] == token:
-                            out.append((cls[k], cls[y]))
+                    for z, (at, matrix) in by_size.items():
+                        # a smaller set never has the longer bitmap
+                        k = np.arange(*np.searchsorted(at, (first[y], y))) if z <= sizes[y] else np.arange(0)
+                        k = k[(comp[at[k]] != comp[y]) & (same | (tile[at[k]] != tile[y]))]
+                        if not len(k):
+                            continue
+                        differ = np.bitwise_count(matrix[k] ^ folded(maps[y], z)).sum(axis=1, dtype=np.int64)
+                        x = at[k]
+                        x = x[t.links((n[x] + n[y] - differ) // 2, n[x].astype(np.int64), int(n[y]))]
+                        mine = leads[lo + y].values.to_numpy() if len(x) else None
+                        for v in x.tolist():
+                            if np.intersect1d(mine, leads[lo + v].values.to_numpy(), assume_unique=True)[0] == lead:
+                                out.append((cls[v], cls[y]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in out], pa.int64()),
                                                   pa.array([int(p[1]) for p in out], pa.int64())], names=["a", "b"])
 
-    columns = ("token", "i", "j", "tile", "n", "cls", "component", "sig", "heads")
-    return (rows.select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "cls")
+    columns = ("lead", "i", "j", "tile", "n", "cls", "component", "sig", "leads")
+    return (rows.select(*columns).repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "n", "cls")
             .mapInArrow(run, "a long, b long"))
 
 
@@ -322,31 +364,31 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     t = Threshold(*similarity)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
-    sets = document_sets(docs, words, t)
+    sets, common = document_sets(docs, words)
     groups = stage(sets.where("n > 0").groupBy("set_key").agg(
-        F.min("row").alias("cls"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size")), "ngram-classes")
-    first = sets.where("n > 0").join(groups.select("cls"), F.col("row") == F.col("cls"), "left_semi").select(
-        F.col("row").alias("cls"), "n", "prefix")
-    shared = stage(shared_shingles(first), "ngram-shared")
+        F.min("key64").alias("cls"), F.min("n").alias("n"), F.min("doc_id").alias("least_id"),
+        F.count(F.lit(1)).alias("size")), "ngram-classes")
+    if not groups.groupBy("cls").count().where("count > 1").isEmpty():
+        raise RuntimeError("two different sets agree in the 64 bits that name classes")
+    shared = stage(held_by_two(prefix_shingles(docs, words, t, common)).distinct(), "ngram-shared")
 
     # classes with enough shared shingles; the short prefixes of those
-    counts = shared.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= t.column("shared"))
-    candidates = stage(counts.join(groups.select("cls", "set_key"), "cls").join(
-        sets.select(F.col("row").alias("cls"), "key64"), "cls"), "ngram-candidates")
-    short = shared.where(F.col("pos") < t.column("prefix")).join(candidates.select("cls", "shared"), "cls")
-    both = short.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    tiles = stage(both.select("cls", "n", "token", "shared"), "ngram-tiles")
-    arrays = stage(members(docs, candidates, words, bits), "ngram-members")
+    candidates = (shared.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
+                  .join(groups.select("cls", "n"), "cls").where(F.col("shared") >= t.shared_column()))
+    tiles = stage(held_by_two(shared.where("short").drop("short").join(candidates, "cls")), "ngram-tiles")
+    places = stage(led(tiles), "ngram-places")
+    arrays = stage(members(docs, places.select("cls").distinct(), words, bits), "ngram-members")
     sigs = arrays.select("cls", "sig")
 
-    links = verified(star_pairs(tiles, sigs, t, bits), arrays, t)
-    part = stage(components(links), "ngram-star").withColumnRenamed("node", "cls")
-    placed = tiles.join(part, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_ = placed.groupBy("token").agg((F.min("component") != F.max("component")).alias("open")).where("open")
-    placed = stage(placed.join(open_.select("token"), "token", "left_semi"), "ngram-open")
-    heads = placed.groupBy("cls").agg(F.sort_array(F.collect_list("token")).alias("heads"))
-    rows = tile_pairs(placed, t, tile_rows).join(sigs, "cls").join(heads, "cls")
-    more = verified(compare_tiles(rows, t, bits), arrays, t)
+    links = verified(star_pairs(places, sigs, t), arrays, t)
+    star = components(links).withColumnRenamed("node", "cls")
+    placed = places.select("lead", "cls", "n").join(star, "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls"))
+    open_ = placed.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    placed = stage(placed.join(open_.select("lead"), "lead", "left_semi"), "ngram-open")
+    leads = placed.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads"))
+    rows = tile_pairs(placed, t, tile_rows).join(sigs, "cls").join(leads, "cls")
+    more = verified(compare_tiles(rows, t), arrays, t)
     final = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
     named = groups.join(final, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
