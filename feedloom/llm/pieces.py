@@ -26,6 +26,7 @@ Models with a normalisation table or user-defined pieces are refused.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from array import array
@@ -39,11 +40,11 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import slices
 
 MARK = "▁"
-#: Distinct words a task remembers; beyond it the memory starts anew.
-CACHE_WORDS = 200_000
-#: Pairs of pieces whose compatibility a task remembers.
+#: Distinct words a worker remembers; beyond it the memory starts anew.
+CACHE_WORDS = 800_000
+#: Pairs of pieces whose compatibility a worker remembers.
 CACHE_PAIRS = 1_000_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 UNIGRAM, BPE = 1, 2
 #: Penalty of an unknown character below the worst piece (the library's value).
 UNKNOWN_PENALTY = 10.0
@@ -76,7 +77,8 @@ class Pieces:
                     else " ⁇ ".encode() if p.type == kinds.UNKNOWN else p.piece.replace(MARK, " ").encode()
                     for p in m.pieces]
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.names = [p.piece for p in m.pieces]
+        self._pairs: dict[int, bool] = {}
 
     @cached_property
     def halves(self) -> dict[str, tuple[str, str] | None]:
@@ -91,9 +93,11 @@ class Pieces:
         return out
 
     @cached_property
-    def endings(self) -> set[str]:
-        """Every ending of a piece: beyond the first miss no longer piece ends there."""
-        return {p[i:] for p in self.ids for i in range(len(p))}
+    def endings(self) -> dict[str, int]:
+        """Every ending of a piece, with the id of the piece that it is, or -1.
+        Where a part is no ending, no longer piece ends either."""
+        usable = self.ids if self.type == UNIGRAM else self.halves
+        return dict.fromkeys((p[i:] for p in self.ids for i in range(len(p))), -1) | {p: self.ids[p] for p in usable}
 
     @cached_property
     def strange(self) -> re.Pattern:
@@ -147,66 +151,74 @@ class Pieces:
         the border would come first, and spoil them, if the two parts that
         meet there form a piece of better rank than the merge undone last; of
         equal rank, if that merge was to the right of the border."""
-        known = self._pairs.get((a, b))
-        if known is not None:
-            return known
         ids, scores, halves = self.ids, self.scores, self.halves
         left, right, undone, to_right = a, b, float("-inf"), True
-        known = True
         while True:
             p = ids.get(left + right)
             if p is not None and (scores[p] > undone or scores[p] == undone and to_right):
-                known = False
-                break
+                return False
             in_left, in_right = halves[left], halves[right]
             if in_left is None and in_right is None:
-                break
+                return True
             if in_right is None or in_left is not None and scores[ids[left]] < scores[ids[right]]:
                 undone, to_right, left = scores[ids[left]], False, in_left[1]
             else:
                 undone, to_right, right = scores[ids[right]], True, in_right[0]
+
+    def _remembered(self, pair: int) -> bool:
+        """``compatible`` of two piece ids packed into one number."""
         if len(self._pairs) >= CACHE_PAIRS:
             self._pairs.clear()
-        self._pairs[a, b] = known
+        known = self._pairs[pair] = self.compatible(self.names[pair >> 32], self.names[pair & 0xFFFFFFFF])
         return known
 
     # ------------------------------------------------- shared-prefix traversal
 
-    def _step_bpe(self, word: str, i: int, states: list) -> tuple:
-        """The one valid last piece of the first i characters."""
-        ids, endings, halves = self.ids, self.endings, self.halves
-        for begin in range(i - 1, -1, -1):
-            part = word[begin:i]
-            if part not in endings:
-                break
-            if part in ids and part in halves and (begin == 0 or self.compatible(states[begin][1], part)):
-                return (begin, part)
-        raise ValueError(f"no segmentation of {word[:i]!r}")
-
-    def _step_unigram(self, word: str, i: int, states: list) -> tuple:
-        """The best last piece of the first i characters, with the score; of
-        equal scores the longest piece."""
-        best = None
-        for begin in range(i - 1, -1, -1):
-            part = word[begin:i]
-            if part not in self.endings and begin < i - 1:
-                break
-            p = self.ids.get(part)
-            if p is not None:
-                score = states[begin][2] + self.scores[p]
-            elif begin == i - 1:
-                score = states[begin][2] + self.worst - UNKNOWN_PENALTY
-            else:
-                continue
-            if best is None or score >= best[2]:
-                best = (begin, part, score)
-        return best
-
     def traverse(self, words: list[str]) -> dict[str, list[int]]:
-        """Pieces of each of the sorted, distinct words."""
-        step = self._step_unigram if self.type == UNIGRAM else self._step_bpe
-        states: list[tuple] = [(0, "", 0.0)]
-        before, out = "", {}
+        """Pieces of each of the sorted, distinct words: a depth-first walk of
+        their trie that keeps the forward states of the shared prefix."""
+        return self._traverse_unigram(words) if self.type == UNIGRAM else self._traverse_bpe(words)
+
+    def _traverse_bpe(self, words: list[str]) -> dict[str, list[int]]:
+        """State i: where the one valid last piece of the first i characters
+        begins, and that piece."""
+        endings, pairs, remembered, out = self.endings.get, self._pairs.get, self._remembered, {}
+        begins, last, before = [0], [0], ""
+        for word in words:
+            n = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                n += 1
+            del begins[n + 1:], last[n + 1:]
+            for i in range(n + 1, len(word) + 1):
+                for begin in range(i - 1, -1, -1):
+                    piece = endings(word[begin:i])
+                    if piece is None:
+                        raise ValueError(f"no segmentation of {word[:i]!r}")
+                    if piece >= 0:
+                        if begin == 0:
+                            break
+                        pair = last[begin] << 32 | piece
+                        known = pairs(pair)
+                        if known or known is None and remembered(pair):
+                            break
+                begins.append(begin)
+                last.append(piece)
+            path, at = [], len(word)
+            while at:
+                path.append(last[at])
+                at = begins[at]
+            path.reverse()
+            out[word] = path
+            before = word
+        return out
+
+    def _traverse_unigram(self, words: list[str]) -> dict[str, list[int]]:
+        """State i: where the last piece of the best path begins, that piece
+        (-1: unknown), and the score; of equal scores the longest piece."""
+        endings, scores, out = self.endings.get, self.scores, {}
+        states, before = [(0, -1, 0.0)], ""
         for word in words:
             n = 0
             for a, b in zip(before, word):
@@ -215,14 +227,23 @@ class Pieces:
                 n += 1
             del states[n + 1:]
             for i in range(n + 1, len(word) + 1):
-                states.append(step(word, i, states))
-            ids, at = [], len(word)
+                best = (i - 1, -1, states[i - 1][2] + self.worst - UNKNOWN_PENALTY)
+                for begin in range(i - 1, -1, -1):
+                    piece = endings(word[begin:i])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        score = states[begin][2] + scores[piece]
+                        if score >= best[2] or best[1] < 0:
+                            best = (begin, piece, score)
+                states.append(best)
+            path, at = [], len(word)
             while at:
-                begin, part = states[at][:2]
-                p = self.ids.get(part)
-                ids += reversed(self.fallback(part)) if p is None else (p,)
+                begin, piece = states[at][:2]
+                path += (piece,) if piece >= 0 else reversed(self.fallback(word[begin]))
                 at = begin
-            out[word] = ids[::-1]
+            path.reverse()
+            out[word] = path
             before = word
         return out
 
@@ -277,15 +298,39 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The int32 ids of each text, as bytes."""
-        words = [self.pieces.marked_words(t) for t in texts]
-        distinct = set().union(*words) if words else set()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        cut = self.pieces.marked_words
+        collecting = gc.isenabled()
+        gc.disable()        # a million small lists, no cycles: walking over them again and again is a fifth of the time
+        try:
+            return self._encode(texts, cut)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts, cut) -> list[bytes]:
+        distinct = set()
+        for t in texts:
+            distinct.update(cut(t))
         new = distinct.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {}, distinct
+        del distinct
         for w, ids in self.pieces.encode_words(new).items():
             self.known[w] = array("i", ids).tobytes()
         known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        return [b"".join([known[w] for w in cut(t)]) for t in texts]
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(model: bytes) -> Encoder:
+    """The worker's encoder for a model: its words outlive a task."""
+    key = hash(model)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model)
+    return _encoders[key]
 
 
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +343,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     schema = "doc_id long, ids array<int>, n_pieces int, round_trip boolean"
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for whole in batches:
             for b in slices(whole, 1, SLICE_BYTES):
                 texts = [t or "" for t in b.column(1).to_pylist()]
