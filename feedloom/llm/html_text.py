@@ -9,7 +9,8 @@ content and select the region:
 
 * ``article`` or ``main`` elements, if they hold at least half of the content;
 * else the smallest container that holds most of it, from the first content
-  line (with a heading right before it) to the last.
+  line to the last, with the headings before it and the paragraphs of the same
+  parent next to them.
 
 Every other line of the region is kept, however short.  In a region without
 ``article`` or ``main``, lines below the threshold that are mostly links go.
@@ -242,14 +243,21 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         region = _container(lines, content, size, total) & usable
         at = np.flatnonzero(content & region)
         first, last = at[0], at[-1]
-        while first and lines[first - 1].heading and region[first - 1]:
-            first -= 1
         order = np.arange(len(lines))
         links = np.array([2 * x.linked > len(t) for t, x in zip(texts, lines)], dtype=bool)
+        while first and region[first - 1] and (lines[first - 1].heading or _sibling(lines, first - 1, first, links)):
+            first -= 1
+        while last + 1 < len(lines) and region[last + 1] and _sibling(lines, last + 1, last, links):
+            last += 1
         region &= (order >= first) & (order <= last) & (content | ~links)
     return "\n\n".join(t for t, k in zip(texts, region) if k)
 
 
+def _sibling(lines, i: int, of: int, links) -> bool:
+    """Whether line i is text of the same parent element as its neighbour."""
+    return not links[i] and len(lines[i].path) > 0 and lines[i].path[:-1] == lines[of].path[:-1]
+
+
 def _container(lines, content, size, total) -> np.ndarray:
     """Lines of the smallest element that holds most of the content."""
     held: dict[int, float] = {}
@@ -262,7 +270,9 @@ def _container(lines, content, size, total) -> np.ndarray:
     if not big:
         return np.ones(len(lines), dtype=bool)
     # a single block that outweighs the rest is not yet a container of blocks
-    many = [n for n in big if sum(n in lines[i].path for i in np.flatnonzero(content)) > 1] or big
+    many = [n for n in big if sum(n in lines[i].path for i in np.flatnonzero(content)) > 1]
+    if not many:
+        return np.ones(len(lines), dtype=bool)
     best = max(many, key=lambda n: depth[n])
     return np.array([best in x.path for x in lines], dtype=bool)
 

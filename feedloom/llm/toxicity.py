@@ -44,11 +44,11 @@ SLOTS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 #: Texts of a training sample in which a feature occurs at least.
 MIN_TEXTS = 3
-STEPS = 200
-RATE = 0.05
-#: The L1 term is this times prior / sqrt(positives), the size of chance
-#: differences between the positives and the rest.
-L1 = 1.0
+STEPS = 120
+RATE = 0.08
+#: The L1 term of a feature in units of its chance level: the standard error of
+#: prior * (its frequency among the positives).  First to select, then to fit.
+SELECT, FIT = 3.0, 0.5
 DEFAULT_PRIOR = 0.05
 #: Scores from here on are predicted toxic.
 CUT = 0.5
@@ -96,39 +96,53 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
-          steps: int = STEPS, rate: float = RATE, l1_factor: float = L1) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sparse weights (slots, values) and intercept from feature sets."""
-    rows = positive + unlabelled
-    n_pos, n_unl = len(positive), len(unlabelled)
-    lengths = np.array([len(r) for r in rows])
-    slots = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    used, column, times = np.unique(slots, return_inverse=True, return_counts=True)
-    often = times[column] >= MIN_TEXTS
-    row = np.repeat(np.arange(len(rows)), lengths)[often]
-    used, column = np.unique(used[column[often]], return_inverse=True)
-    w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    weight_pos, weight_unl = prior / n_pos, 1.0 / n_unl
-    l1 = l1_factor * prior / np.sqrt(n_pos)
-    is_pos = np.arange(len(rows)) < n_pos
+def minimise(row: np.ndarray, column: np.ndarray, n_rows: int, n_pos: int, w: np.ndarray, b: float, prior: float,
+             l1: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative risk from weights w and intercept b.  Entry i
+    says that text row[i] has feature column[i]; the first n_pos texts are the
+    positives."""
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    is_pos = np.arange(n_rows) < n_pos
+    weight_pos, weight_unl = prior / n_pos, 1.0 / (n_rows - n_pos)
     for step in range(1, steps + 1):
-        score = np.bincount(row, weights=w[column], minlength=len(rows)) + b
+        score = np.bincount(row, weights=w[column], minlength=n_rows) + b
         p = 0.5 * (1 + np.tanh(0.5 * score))
         as_clean = np.logaddexp(0, score)                       # l(-)
         clean = weight_unl * as_clean[~is_pos].sum() - weight_pos * as_clean[is_pos].sum()
         toward = np.where(is_pos, -weight_pos * p, weight_unl * p)          # gradient of the clean risk
         g = np.where(is_pos, weight_pos * (p - 1), 0.0) + toward if clean >= 0 else -toward
-        grad = np.append(np.bincount(column, weights=g[row], minlength=len(used)), g.sum())
+        grad = np.append(np.bincount(column, weights=g[row], minlength=len(w)), g.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         scale = rate / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         move = scale * m / (1 - 0.9 ** step)
-        w -= move[:-1]
-        b -= move[-1]
+        w, b = w - move[:-1], b - move[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - l1 * scale[:-1], 0)     # proximal step of the L1 term
-    keep = np.flatnonzero(w)
-    return used[keep].astype(np.int64), w[keep], b
+    return w, b
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
+          steps: int = STEPS, rate: float = RATE, select: float = SELECT, fit_: float = FIT) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sparse weights (slots, values) and intercept from feature sets: a
+    strong L1 term selects features, then those are fitted with a weak one."""
+    rows, n_pos = positive + unlabelled, len(positive)
+    slots = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, column, times = np.unique(slots, return_inverse=True, return_counts=True)
+    often = times[column] >= MIN_TEXTS
+    row = row[often]
+    used, column, times = np.unique(slots[often], return_inverse=True, return_counts=True)
+    share = times / len(rows)
+    chance = prior * np.sqrt(share * (1 - share) / n_pos)
+    b = float(np.log(prior / (1 - prior)))
+    w, b = minimise(row, column, len(rows), n_pos, np.zeros(len(used)), b, prior, select * chance, steps, rate)
+    chosen = np.flatnonzero(w)
+    place = np.full(len(used), -1)
+    place[chosen] = np.arange(len(chosen))
+    inside = place[column] >= 0
+    w, b = minimise(row[inside], place[column[inside]], len(rows), n_pos, w[chosen], b, prior, fit_ * chance[chosen],
+                    2 * steps, rate)
+    return used[chosen].astype(np.int64), w, b
 
 
 @dataclass
