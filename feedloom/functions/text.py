@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The embedding input is cut at this many characters.
 EMBED_TEXT_MAX_CHARS = 8000
 
-# HTML entities decoded in text and attribute values
-# (entity, character); '&amp;' goes last so '&amp;lt;' stays '&lt;'.
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
+# A tag, whose quoted attribute values may hold '>'; failing that, up to the next '>'.
+TAG = r"""(?s)<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[^>]*>"""
 
 
 def strip_ws(c: Column) -> Column:
@@ -42,30 +36,30 @@ def truncate_chars(c: Column, n: int = EMBED_TEXT_MAX_CHARS) -> Column:
     return F.substring(c, 1, n)
 
 
-def title_preview(title: Column, n: int = 60) -> Column:
-    """``title[:n]``."""
-    return F.substring(title, 1, n)
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else html.unescape(t))
 
 
 def unescape_entities(c: Column) -> Column:
-    out = c
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode named and numeric character references.  Only rows that hold an
+    ``&`` carry text to the Arrow helper."""
+    has = F.contains(c, F.lit("&"))
+    return F.when(has, _unescape(F.when(has, c))).otherwise(c)
 
 
-def strip_comments_and_scripts(html: Column) -> Column:
+def strip_comments_and_scripts(page: Column) -> Column:
     """Drop comments, <script> and <style> blocks: their markup is not markup."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    out = F.regexp_replace(page, r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(out, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
     return F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
 
 
-def clean_html(html: Column) -> Column:
+def clean_html(page: Column) -> Column:
     """text of an HTML fragment — no tags, scripts, comments; entities
     decoded; runs of whitespace collapsed to one space; stripped."""
-    out = strip_comments_and_scripts(html)
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    out = strip_comments_and_scripts(page)
+    out = F.regexp_replace(out, TAG, " ")
     out = unescape_entities(out)
-    out = F.regexp_replace(out, r"\s+", " ")
+    out = F.regexp_replace(out, r"(?U)\s+", " ")
     return strip_ws(out)

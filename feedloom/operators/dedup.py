@@ -4,10 +4,9 @@ grouping and resolution (D3, D4, A8-A10, A14, M5).
 * D2 first-wins ingest: in arrival order a row is rejected if a stored row
   or an earlier *accepted* row has similarity >= threshold; rejected rows
   suppress nobody; rows without a vector are accepted and suppress nobody.
-  Computed in rounds with one flag per row from blocked matrix products
-  (``similarity.has_similar``) — the pairs above the threshold are never
-  listed, so a large cluster of copies costs no more than its matrix
-  product.
+  The pairs at or above the threshold are found once, over the first of
+  each group of equal vectors (a cluster of copies is one node), and the
+  choice then iterates on those edges alone.
 * D3 greedy groups: in id order, an article not yet processed with a
   vector takes its k=20 nearest (self included) at >= threshold; if any
   other remains, the smallest id of all is the keeper, the rest join the
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators.fixpoint import first_in_order_independent
-from feedloom.operators.similarity import DEFAULT_BLOCK_ROWS, has_similar, knn_join, nearest_match
+from feedloom.operators.similarity import DEFAULT_BLOCK_ROWS, knn_join, nearest_match, similar_pairs
 from feedloom.session import ensure_checkpoint_dir
 
 # The callers' similarity threshold and neighbour count.
@@ -38,65 +37,48 @@ def ingest_dedup(batch: DataFrame, store_vectors: DataFrame | None, threshold: f
                  id_col: str = "article_id", pos_col: str = "pos", vec: str = "embedding",
                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """D1 + D2: batch ``(id, pos, embedding)`` -> ``(id, pos, accepted,
-    duplicate_id, similarity, reason)``.  ``reason`` is 'store' (J9 match),
-    'batch' (an earlier accepted row) or null."""
+    duplicate_id, similarity, reason)``.  A rejected row names the most
+    similar row that was stored before it came: one of the store (``reason``
+    'store') or an earlier accepted one of the batch ('batch'), ties to the
+    smaller id."""
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
     rows = batch.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), F.col(vec).alias("embedding"))
-    with_vec = rows.where(F.col("embedding").isNotNull())
+    vecs = rows.where(F.col("embedding").isNotNull()).withColumn("key", F.md5(F.to_json("embedding"))).checkpoint()
+
+    hits = spark.createDataFrame([], "id long, y long, similarity double")
     if store_vectors is not None:
         store = store_vectors.select(F.col("article_id").alias("sid"), F.col("embedding"))
-        store_hit = nearest_match(with_vec, store, threshold, batch_id="id", store_id="sid",
-                                  block_rows=block_rows).checkpoint()
-    else:
-        store_hit = None
-    undecided = with_vec if store_hit is None else \
-        with_vec.join(store_hit.select(F.col("x").alias("id")), "id", "left_anti")
-    undecided = undecided.checkpoint()
-    dim = undecided.select(F.size("embedding").alias("d")).where("d > 0").limit(1).collect()
-    dim = int(dim[0]["d"]) if dim else 0
-    chosen_parts: list[DataFrame] = []
-    out_parts: list[DataFrame] = []
-    new_chosen, n_chosen = None, 0
-    n_undecided = undecided.count()
-    while n_undecided > 0:
-        if new_chosen is not None:
-            hit = has_similar(undecided, new_chosen, threshold, left_id="id", right_id="id",
-                              order="pos", block_rows=block_rows,
-                              sizes=(n_undecided, n_chosen, dim)).where("hit")
-            out = undecided.join(hit.select(F.col("x").alias("id")), "id", "left_semi").select("id").checkpoint()
-            out_parts.append(out)
-            undecided = undecided.join(out, "id", "left_anti").checkpoint()
-            n_undecided = undecided.count()
-            if n_undecided == 0:
-                break
-        earlier = has_similar(undecided, undecided, threshold, left_id="id", right_id="id",
-                              order="pos", block_rows=block_rows,
-                              sizes=(n_undecided, n_undecided, dim)).where("hit")
-        chosen = undecided.join(earlier.select(F.col("x").alias("id")), "id", "left_anti").checkpoint()
-        n_chosen = chosen.count()
-        chosen_parts.append(chosen.select("id"))
-        undecided = undecided.join(chosen, "id", "left_anti").checkpoint()
-        n_undecided -= n_chosen
-        new_chosen = chosen
-    status = rows.select("id", "pos")
-    if store_hit is not None:
-        status = status.join(store_hit.select(F.col("x").alias("id"), "duplicate_id", "similarity"), "id", "left")
-    else:
-        status = status.withColumn("duplicate_id", F.lit(None).cast("long")) \
-            .withColumn("similarity", F.lit(None).cast("double"))
-    rejected_in_batch = None
-    for p in out_parts:
-        rejected_in_batch = p if rejected_in_batch is None else rejected_in_batch.unionByName(p)
-    if rejected_in_batch is not None:
-        status = status.join(rejected_in_batch.withColumn("_batch_dup", F.lit(True)), "id", "left")
-    else:
-        status = status.withColumn("_batch_dup", F.lit(None).cast("boolean"))
-    reason = (F.when(F.col("duplicate_id").isNotNull(), F.lit("store"))
-              .when(F.col("_batch_dup"), F.lit("batch")))
-    return status.select(F.col("id").alias(id_col), F.col("pos").alias(pos_col),
-                         reason.isNull().alias("accepted"), "duplicate_id", "similarity",
-                         reason.alias("reason"))
+        hits = nearest_match(vecs, store, threshold, batch_id="id", store_id="sid", block_rows=block_rows).select(
+            F.col("x").alias("id"), F.col("duplicate_id").alias("y"), "similarity").checkpoint()
+
+    # equal vectors: only the first of each can be accepted, and it stands for
+    # all of them in the similarity pairs, which are found once
+    place = vecs.select("id", "pos", "key")
+    first = place.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("f")).select("key", "f.*")
+    pairs = similar_pairs(vecs.join(first.select("id"), "id", "left_semi"), threshold, "id",
+                          block_rows=block_rows).select("x", "y", "similarity").checkpoint()
+    free = first.select("id", "pos").join(hits.select("id"), "id", "left_anti")
+    x, y = free.select(F.col("id").alias("x"), F.col("pos").alias("xp")), free.select(F.col("id").alias("y"), F.col("pos").alias("yp"))
+    before = pairs.join(x, "x").join(y, "y").where("yp < xp").select(F.col("y").alias("src"), F.col("x").alias("dst"))
+    accepted = (first_in_order_independent(free.select(F.col("id").alias("node")), before).where("chosen")
+                .select(F.col("node").alias("y")).join(y, "y").checkpoint())
+
+    # what each row that is not accepted matched in the batch
+    met = pairs.join(accepted, "y").select(F.col("x").alias("rep"), "y", "yp", "similarity").unionByName(
+        accepted.select(F.col("y").alias("rep"), "y", "yp", F.lit(1.0).alias("similarity")))
+    rep = place.join(first.select("key", F.col("id").alias("rep")), "key").select("id", "pos", "rep")
+    in_batch = rep.join(met, "rep").where((F.col("yp") < F.col("pos")) & (F.col("y") != F.col("id")))
+    best = (hits.withColumn("reason", F.lit("store"))
+            .unionByName(in_batch.select("id", "y", "similarity").withColumn("reason", F.lit("batch")))
+            .groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "y", "similarity", "reason")).alias("b")))
+    out = rows.select("id", "pos").join(best, "id", "left").join(accepted.select(F.col("y").alias("id"), F.lit(True).alias("in")),
+                                                                 "id", "left")
+    rejected = F.col("in").isNull() & F.col("b").isNotNull()
+    return out.select(F.col("id").alias(id_col), F.col("pos").alias(pos_col), (~rejected).alias("accepted"),
+                      F.when(rejected, F.col("b.y")).alias("duplicate_id"),
+                      F.when(rejected, F.col("b.similarity")).alias("similarity"),
+                      F.when(rejected, F.col("b.reason")).alias("reason"))
 
 
 # ------------------------------------------------------------------ D3

@@ -137,7 +137,8 @@ def tags_per_article(tags: DataFrame, article_tags: DataFrame,
     bridge = article_tags.select("article_id", "tag_id")
     if article_ids is not None:
         bridge = bridge.join(article_ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    named = bridge.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    # the tag dimension is the closed vocabulary: a hot tag_id never shuffles
+    named = bridge.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), "name")), "tag_id")
     return named.groupBy("article_id").agg(F.array_sort(F.collect_list("name")).alias("tags"))
 
 

@@ -30,7 +30,7 @@ from feedloom.session import ensure_checkpoint_dir
 log = logging.getLogger(__name__)
 
 
-def first_in_order_independent(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def first_in_order_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes(node)``, ``edges(src, dst)`` with src before dst in the visit
     order.  Returns ``(node, chosen boolean)`` for every node."""
     spark = nodes.sparkSession
@@ -45,8 +45,6 @@ def first_in_order_independent(nodes: DataFrame, edges: DataFrame, max_rounds: i
     remaining = undecided.count()
     while remaining > 0:
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
         has_in = live.select(F.col("dst").alias("node")).distinct()
         chosen = undecided.join(has_in, "node", "left_anti").checkpoint()
         out = (live.join(chosen.select(F.col("node").alias("src")), "src", "left_semi")

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.tagging import clean_tag_names
@@ -37,27 +37,23 @@ def max_id(df: DataFrame, col: str = "id") -> int:
 
 def dense_ids(df: DataFrame, order_cols: Sequence[str], base: int, id_col: str = "id") -> DataFrame:
     """Exact ids ``base+1 .. base+n`` in ``order_cols`` order without a
-    single-partition window: range-partition and sort, count rows per
-    partition (one number per partition reaches the driver), prefix-sum the
-    counts, add.  The sorted, numbered rows are checkpointed first so a
-    recomputation after an executor loss cannot renumber them."""
+    single-partition window over them: range-partition and sort, count rows
+    per partition, sum up the counts (a window over one row per partition),
+    add.  The sorted, numbered rows are checkpointed first so a recomputation
+    after an executor loss cannot renumber them."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = [F.col(c) for c in order_cols]
     ranged = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
               .withColumn("_mono", F.monotonically_increasing_id())
               .checkpoint())
-    per_part = (ranged.groupBy(F.shiftright("_mono", _ROW_BITS).alias("_p"))
-                .agg(F.count(F.lit(1)).alias("_n")).orderBy("_p").collect())
-    offsets, running = [], 0
-    for row in per_part:
-        offsets.extend([F.lit(int(row["_p"])), F.lit(running)])
-        running += int(row["_n"])
-    if not offsets:
-        return ranged.drop("_mono").withColumn(id_col, F.lit(None).cast("long"))
-    offset_of = F.create_map(*offsets)
+    # rows before each partition: one small row per partition, joined back
+    part = F.shiftright("_mono", _ROW_BITS)
+    counts = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = F.col("_mono").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    new_id = (F.lit(base) + F.element_at(offset_of, F.shiftright("_mono", _ROW_BITS)) + local + 1).cast("long")
-    return ranged.withColumn(id_col, new_id).drop("_mono")
+    return (ranged.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+            .withColumn(id_col, (F.lit(base) + F.col("_before") + local + 1).cast("long")).drop("_mono", "_p", "_before"))
 
 
 # ------------------------------------------------------------------ M7
@@ -138,7 +134,8 @@ def replace_tag_sets_delta(article_tags: DataFrame, replaced_ids: DataFrame, sur
     deleted = article_tags.join(replaced_ids.select(F.col("id").alias("article_id")), "article_id",
                                 "left_semi").select("id")
     live_names = names.join(surviving_ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    pairs = (live_names.join(tags.select(F.col("id").alias("tag_id"), "name"), "name")
+    # the tag dimension is the closed vocabulary: a hot name never shuffles
+    pairs = (live_names.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), "name")), "name")
              .groupBy("article_id", "tag_id").agg(F.min("tag_idx").alias("_i")))
     numbered = dense_ids(pairs, ["article_id", "_i"], max_id(article_tags) if id_base is None else id_base)
     added = numbered.select("id", "article_id", "tag_id", F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))
@@ -191,20 +188,22 @@ def orphan_bridge_rows(article_tags: DataFrame, articles: DataFrame) -> DataFram
 
 def unused_tags(tags: DataFrame, article_tags: DataFrame) -> DataFrame:
     """Tags no bridge row uses."""
-    return tags.join(article_tags.select(F.col("tag_id").alias("id")), "id", "left_anti")
+    used = article_tags.select(F.col("tag_id").alias("id")).distinct()
+    return tags.join(used, "id", "left_anti")
 
 
 def clean_up(articles: DataFrame, tags: DataFrame, article_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M6: J11 then J12 — returns (article_tags, tags)."""
     bridge = article_tags.join(articles.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    kept_tags = tags.join(bridge.select(F.col("tag_id").alias("id")), "id", "left_semi")
+    kept_tags = tags.join(bridge.select(F.col("tag_id").alias("id")).distinct(), "id", "left_semi")
     return bridge, kept_tags
 
 
 # ------------------------------------------------------------------ S8
 
 def constraint_violations(articles: DataFrame, tags: DataFrame, article_tags: DataFrame) -> DataFrame:
-    """One row per violation ``(constraint_name, key)``; empty when clean."""
+    """One row per violation ``(constraint_name, key)``; empty when clean.
+    An unknown tag id is one violation, however many rows use it."""
     def rows(df: DataFrame, name: str, key: Column) -> DataFrame:
         return df.select(F.lit(name).alias("constraint_name"), key.cast("string").alias("key"))
 
@@ -219,8 +218,8 @@ def constraint_violations(articles: DataFrame, tags: DataFrame, article_tags: Da
                     F.concat_ws(",", F.col("article_id").cast("string"), F.col("tag_id").cast("string")))
     fk_article = rows(orphan_bridge_rows(article_tags, articles), "article_tags.article_id FOREIGN KEY",
                       F.col("article_id"))
-    fk_tag = rows(article_tags.join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_anti"),
-                  "article_tags.tag_id FOREIGN KEY", F.col("tag_id"))
+    unknown = article_tags.select("tag_id").distinct().join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_anti")
+    fk_tag = rows(unknown, "article_tags.tag_id FOREIGN KEY", F.col("tag_id"))
     out = null_title
     for p in (null_link, dup_link, dup_id, dup_name, dup_pair, fk_article, fk_tag):
         out = out.unionByName(p)

@@ -1,26 +1,22 @@
-"""Exact nearest-neighbour joins as blocked matrix products.
+"""Exact nearest-neighbour joins as tiles of matrix products.
 
 Spark has no vector join, and a cross join with per-pair expressions is
-quadratic *rows*.  Here each side is cut into hash blocks of at most about
-``block_rows`` vectors; every (left block, right block) pair is one
-cogroup task that does one NumPy matrix product and returns only a
-bounded per-row result (top-k rows, or one flag per row).  So
-
-* no task ever holds more than two blocks (group size is bounded by the
-  hash blocking, whatever the key distribution: there are no hot keys),
-* no pair list is ever materialised — tasks emit ``k`` rows or one flag per
-  left row, and partial results merge through ``WindowGroupLimit`` or an
-  ``OR`` aggregate with map-side combine,
-* the work is ``n_left × n_right`` multiply-adds, spread over
-  ``B_left × B_right`` independent tasks.
-
-When one side is small enough (its size is checked against
-``BROADCAST_MAX_BYTES``) and the other side spans several blocks — the
-ingest case, a new batch against the whole store — the small side is
-broadcast instead and the big side is streamed through ``mapInPandas`` in
-its own partitions, in slices of ``block_rows``: the big side is never
-shuffled or replicated, and each task merges its partial results (top-k
-per row, or the rows with a hit) before anything leaves it.
+quadratic *rows*.  Here both sides are laid out in cells around pivots (a
+bounded number of the vectors themselves), large cells are cut into tiles of
+at most about ``block_rows`` vectors, and every pair of tiles that can hold a
+match is one cogroup task: one NumPy matrix product that returns a bounded
+result per left row.
+
+* By the triangle inequality two cells whose pivots lie further apart than
+  both radii plus the distance limit hold no match; those pairs of tiles are
+  never made.  The limit follows from the similarity threshold, so the join
+  stays exact.  (Vectors without any structure give no pruning; an exact join
+  of those is quadratic work whatever the plan.)
+* There are enough pivots for every core to get work on small inputs too.
+  There is one plan for every size, and no side passes through the driver:
+  what does is the pivots and one row of counts per cell.
+* No pair list is made by the top-k join: a task emits at most ``k`` rows per
+  left row, and partial results merge through ``WindowGroupLimit``.
 
 Distances are L2 in double precision; the similarity is the reference's
 ``max(0, 1 - d²/2)`` (cosine for unit vectors, F11).  Top-k is taken by
@@ -42,9 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 4096
-# Largest side (rows x dim x 8 bytes, as float64 in the task) that is
-# broadcast; above it both sides go through the blocked cogroup.
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Upper bound of the pivots, and so of what reaches the driver and is broadcast.
+MAX_PIVOTS = 128
 
 
 def similarity_from_distance(d):
@@ -52,9 +47,9 @@ def similarity_from_distance(d):
     return F.greatest(F.lit(0.0), F.lit(1.0) - d * d / F.lit(2.0))
 
 
-def distance_limit(threshold: float) -> float:
+def distance_limit(threshold: float | None) -> float:
     """Largest L2 distance whose similarity is still >= threshold."""
-    return math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
+    return math.inf if threshold is None or threshold <= 0 else math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -63,85 +58,59 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def _dim(df: DataFrame, vec: str) -> int:
-    first = df.select(F.size(vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    return int(first[0]["d"]) if first else 0
+def _pivots(vectors: DataFrame, id_col: str, vec_col: str, n: int) -> np.ndarray:
+    """At most ``n`` of the vectors, chosen by a hash of the id."""
+    rows = vectors.orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(n).select(vec_col).toPandas()
+    return _matrix(rows[vec_col])
 
 
-def _broadcast_apply(small: DataFrame, big: DataFrame, small_is_left: bool,
-                     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                     combine: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                     block_rows: int) -> DataFrame:
-    """``fn`` over (small side, slice of the big side) inside the big side's
-    own partitions; ``combine`` merges a task's partial results."""
-    spark = big.sparkSession
-    shared = spark.sparkContext.broadcast(small.toPandas())   # size checked by the caller
-    flush_rows = 4 * block_rows
+def _placed(df: DataFrame, vec: str, cell: str, pivots) -> DataFrame:
+    """Add the nearest pivot (``cell``) and the distance to it (``cell``_r)."""
+    schema = T.StructType([*df.schema.fields, T.StructField(cell, T.IntegerType()), T.StructField(f"{cell}_r", T.DoubleType())])
 
     def run(batches):
-        s = shared.value
-        s_blocks = [s.iloc[i:i + block_rows] for i in range(0, len(s), block_rows)]
-        parts: list[pd.DataFrame] = []
-        held = 0
         for pdf in batches:
-            for j in range(0, len(pdf), block_rows):
-                piece = pdf.iloc[j:j + block_rows]
-                for sb in s_blocks:
-                    out = fn(sb, piece) if small_is_left else fn(piece, sb)
-                    if len(out):
-                        parts.append(out)
-                        held += len(out)
-                if held > flush_rows * max(1, len(s_blocks)):
-                    parts = [combine(pd.concat(parts, ignore_index=True))]
-                    held = len(parts[0])
-        if parts:
-            yield combine(pd.concat(parts, ignore_index=True))
-
-    return big.mapInPandas(run, schema)
-
-
-def block_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-                schema: str, block_rows: int = DEFAULT_BLOCK_ROWS,
-                left_blocks: int | None = None, right_blocks: int | None = None,
-                combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-                broadcast_max_bytes: int | None = None, sizes: tuple[int, int, int] | None = None
-                ) -> DataFrame:
-    """Run ``fn(left_block, right_block)`` for every pair of hash blocks.
-
-    ``left`` must have columns ``(lid, lvec, ...)`` and ``right``
-    ``(rid, rvec, ...)``; each row is replicated once per block of the
-    other side under distinct column names (a cogroup of two views with
-    equal names would be ambiguous).  With ``combine`` (a merge of partial
-    results that the caller's next step also applies) a small side is
-    broadcast instead, see the module notes.  ``sizes`` = (left rows, right
-    rows, vector width) when the caller knows them already."""
-    nl, nr = (sizes[0], sizes[1]) if sizes else (left.count(), right.count())
-    bl = left_blocks or max(1, math.ceil(nl / block_rows))
-    br = right_blocks or max(1, math.ceil(nr / block_rows))
-    limit = BROADCAST_MAX_BYTES if broadcast_max_bytes is None else broadcast_max_bytes
-    if combine is not None and max(bl, br) > 1:
-        small_is_left = nl <= nr
-        small = left if small_is_left else right
-        n_small = min(nl, nr)
-        dim = sizes[2] if sizes else _dim(small, "lvec" if small_is_left else "rvec")
-        if n_small * dim * 8 <= limit:
-            big = right if small_is_left else left
-            return _broadcast_apply(small, big, small_is_left, fn, combine, schema, block_rows)
-    # both grouping keys must have the same types on the two sides (int, int)
-    lrep = (left.withColumn("_lb", F.pmod(F.xxhash64("lid"), F.lit(bl)).cast("int"))
-            .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-    rrep = (right.withColumn("_lb2", F.explode(F.sequence(F.lit(0), F.lit(bl - 1))))
-            .withColumn("_rb2", F.pmod(F.xxhash64("rid"), F.lit(br)).cast("int")))
-
-    def run(ldf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        # a left block always reaches fn, even when its right partner is empty
-        ldf = ldf.drop(columns=["_lb", "_rb"], errors="ignore")
-        rdf = rdf.drop(columns=["_lb2", "_rb2"], errors="ignore")
-        return fn(ldf, rdf)
-
-    return (lrep.groupBy("_lb", "_rb")
-            .cogroup(rrep.groupBy("_lb2", "_rb2"))
-            .applyInPandas(run, schema))
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at:at + 1024]
+                d2 = _sq_dist(_matrix(part[vec]), pivots.value)
+                near = d2.argmin(axis=1)
+                yield part.assign(**{cell: near.astype(np.int32), f"{cell}_r": np.sqrt(d2[np.arange(len(near)), near])})
+
+    return df.mapInPandas(run, schema)
+
+
+def _cells(placed: DataFrame, cell: str, block_rows: int) -> dict[int, tuple[float, int]]:
+    """Radius and number of tiles of each cell (one row per pivot)."""
+    rows = placed.groupBy(cell).agg(F.max(f"{cell}_r").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    return {r[cell]: (r["r"], max(1, -(-r["n"] // block_rows))) for r in rows}
+
+
+def tile_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+               schema: str, limit: float, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``fn(left tile, right tile)`` for every pair of tiles that can hold two
+    vectors within ``limit``.  ``left`` has columns ``(lid, lvec, ...)`` and
+    ``right`` ``(rid, rvec, ...)``; both are read more than once."""
+    spark = left.sparkSession
+    n = right.count()
+    pieces = max(-(-n // block_rows), math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    points = _pivots(right, "rid", "rvec", min(MAX_PIVOTS, pieces))
+    if not len(points):
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(points)
+    l, r = _placed(left, "lvec", "lc", shared), _placed(right, "rvec", "rc", shared)
+    lcells, rcells = _cells(l, "lc", block_rows), _cells(r, "rc", block_rows)
+    apart = np.sqrt(_sq_dist(points, points))
+    met = [(a, b, nl, nr) for a, (ra, nl) in lcells.items() for b, (rb, nr) in rcells.items()
+           if apart[a, b] <= ra + rb + limit + 1e-6]
+    pairs = F.broadcast(spark.createDataFrame(met, "lc int, rc int, ln int, rn int"))   # at most MAX_PIVOTS squared
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lrep = (l.join(pairs, "lc").withColumn("lt", F.pmod(F.xxhash64("lid"), F.col("ln")).cast("int"))
+            .withColumn("rt", upto("rn")).drop("lc_r", "ln", "rn"))
+    rrep = (r.join(pairs.select(F.col("lc").alias("lc2"), "rc", F.col("ln").alias("ln2"), F.col("rn").alias("rn2")), "rc")
+            .withColumn("rt2", F.pmod(F.xxhash64("rid"), F.col("rn2")).cast("int")).withColumn("lt2", upto("ln2"))
+            .withColumnRenamed("rc", "rc2").drop("rc_r", "ln2", "rn2"))
+    return (lrep.groupBy("lc", "lt", "rc", "rt").cogroup(rrep.groupBy("lc2", "lt2", "rc2", "rt2"))
+            .applyInPandas(lambda x, y: fn(x, y), schema))
 
 
 def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,7 +126,8 @@ def _exact_sq(a_rows: np.ndarray, b_rows: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", diff, diff)
 
 
-def _topk_fn(k: int, max_d2: float | None, exclude_self: bool):
+def _topk_fn(k: int | None, max_d2: float | None, exclude_self: bool):
+    """Per left row its ``k`` nearest (all, if None) within the limit."""
     empty = pd.DataFrame({"x": pd.Series([], dtype="int64"), "y": pd.Series([], dtype="int64"),
                           "distance": pd.Series([], dtype="float64")})
 
@@ -170,7 +140,7 @@ def _topk_fn(k: int, max_d2: float | None, exclude_self: bool):
         d2 = _sq_dist(a, b)
         if exclude_self:
             d2[lid[:, None] == rid[None, :]] = np.inf
-        kk = min(k, d2.shape[1])
+        kk = d2.shape[1] if k is None else min(k, d2.shape[1])
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         cand = d2 <= (kth[:, None] + 1e-9)
         if max_d2 is not None:
@@ -191,20 +161,13 @@ def _topk_fn(k: int, max_d2: float | None, exclude_self: bool):
         start = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
         counts = np.diff(np.r_[start, len(rows)])
         rank = np.arange(len(rows)) - np.repeat(start, counts)
-        sel = rank < k
+        sel = rank < kk
         return pd.DataFrame({"x": lid[rows[sel]], "y": rid[cols[sel]],
                              "distance": np.sqrt(exact[sel])})
 
     return fn
 
 
-def _topk_combine(k: int):
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "distance", "y"], kind="mergesort")
-        return pdf.groupby("x", sort=False).head(k).reset_index(drop=True)
-    return combine
-
-
 def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None,
              left_id: str = "article_id", right_id: str = "article_id",
              vec: str = "embedding", exclude_self: bool = False,
@@ -217,8 +180,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None
     max_d2 = None if threshold is None else 2.0 * (1.0 - threshold)
     if threshold is not None and threshold <= 0:
         max_d2 = None
-    part = block_apply(l, r, _topk_fn(k, max_d2, exclude_self), "x long, y long, distance double",
-                       block_rows, combine=_topk_combine(k))
+    part = tile_apply(l, r, _topk_fn(k, max_d2, exclude_self), "x long, y long, distance double",
+                      distance_limit(threshold), block_rows)
     w = Window.partitionBy("x").orderBy(F.col("distance").asc(), F.col("y").asc())
     top = part.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     out = top.withColumn("similarity", similarity_from_distance(F.col("distance")))
@@ -237,48 +200,15 @@ def nearest_match(batch: DataFrame, store: DataFrame, threshold: float,
     return m.select("x", F.col("y").alias("duplicate_id"), "similarity")
 
 
-def _exists_fn(max_d2: float, ordered: bool):
-    empty = pd.DataFrame({"x": pd.Series([], dtype="int64"), "hit": pd.Series([], dtype="bool")})
-
-    def fn(ldf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if len(ldf) == 0:
-            return empty
-        lid = ldf["lid"].to_numpy(dtype=np.int64)
-        if len(rdf) == 0:
-            return pd.DataFrame({"x": lid, "hit": np.zeros(len(lid), dtype=bool)})
-        a, b = _matrix(ldf["lvec"]), _matrix(rdf["rvec"])
-        d2 = _sq_dist(a, b)
-        cand = d2 <= max_d2 + 1e-9
-        if ordered:
-            cand &= rdf["rpos"].to_numpy()[None, :] < ldf["lpos"].to_numpy()[:, None]
-        hit = np.zeros(len(lid), dtype=bool)
-        rows, cols = np.nonzero(cand)
-        if len(rows):
-            exact = _exact_sq(a[rows], b[cols])
-            ok = (1.0 - exact / 2.0) >= (1.0 - max_d2 / 2.0) - 1e-12
-            hit[np.unique(rows[ok])] = True
-        return pd.DataFrame({"x": lid, "hit": hit})
-
-    return fn
-
-
-def has_similar(left: DataFrame, right: DataFrame, threshold: float, *, left_id: str, right_id: str,
-                vec: str = "embedding", order: str | None = None,
-                block_rows: int = DEFAULT_BLOCK_ROWS, sizes: tuple[int, int, int] | None = None) -> DataFrame:
-    """Per left row: is there a right row with similarity >= threshold (and,
-    with ``order``, an earlier one)?  ``(x, hit)`` — at most one flag per
-    row, never pairs; a row with no hit may be absent (use ``where("hit")``)."""
-    lcols = [F.col(left_id).alias("lid"), F.col(vec).alias("lvec")]
-    rcols = [F.col(right_id).alias("rid"), F.col(vec).alias("rvec")]
-    if order:
-        lcols.append(F.col(order).alias("lpos"))
-        rcols.append(F.col(order).alias("rpos"))
-    l, r = left.select(*lcols), right.select(*rcols)
-    part = block_apply(l, r, _exists_fn(2.0 * (1.0 - threshold), order is not None),
-                       "x long, hit boolean", block_rows, combine=_hits_only, sizes=sizes)
-    return part.groupBy("x").agg(F.max(F.col("hit").cast("int")).cast("boolean").alias("hit"))
-
-
-def _hits_only(pdf: pd.DataFrame) -> pd.DataFrame:
-    hits = pdf[pdf["hit"]]
-    return hits.drop_duplicates("x").reset_index(drop=True)
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, vec: str = "embedding",
+                  block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Every pair ``(x, y, distance, similarity)``, x <> y in both directions,
+    with similarity >= ``threshold``.  For vectors of which equal ones have
+    been grouped; null vectors take no part."""
+    l = vectors.select(F.col(id_col).alias("lid"), F.col(vec).alias("lvec")).where("lvec is not null")
+    r = vectors.select(F.col(id_col).alias("rid"), F.col(vec).alias("rvec")).where("rvec is not null")
+    max_d2 = 2.0 * (1.0 - threshold) if threshold > 0 else None
+    part = tile_apply(l, r, _topk_fn(None, max_d2, True), "x long, y long, distance double",
+                      distance_limit(threshold), block_rows)
+    return part.withColumn("similarity", similarity_from_distance(F.col("distance"))).where(
+        F.col("similarity") >= F.lit(threshold))

@@ -2,8 +2,9 @@
 
 The reference asks a language model to pick one or more tags out of a
 closed list and to drop articles that fit none.  Here the tagger is a rule
-table ``(id, name, phrase)`` matched natively on the normalised text
-`` ' ' || lower(title || ' ' || summary) || ' ' ``: the rule table rides in
+table ``(id, name, phrase)`` matched natively on the normalised text (title
+and summary in lower case, runs of anything but letters and digits as one
+space, a space at both ends): the rule table rides in
 the projection as a literal array, so tagging is a map-only step with no
 join and no Python.  An external model can be plugged in through
 ``model_tagger`` (``mapInPandas``), with the batch size and tries as
@@ -52,9 +53,9 @@ RULE_TYPE = T.StructType([
 ])
 
 
-def rules_frame(spark: SparkSession, rules: Sequence[tuple] = FIXTURE_RULES) -> DataFrame:
+def rules_frame(spark: SparkSession, rules: Sequence[tuple] = DEFAULT_RULES) -> DataFrame:
     """Distinct (id, name) of a rule table as a tag dimension source."""
-    return spark.createDataFrame(list(rules), RULE_TYPE)
+    return spark.createDataFrame(list(rules), RULE_TYPE).dropDuplicates(["id", "name"])
 
 
 def _rules_literal(rules: Sequence[tuple]) -> Column:
@@ -64,17 +65,16 @@ def _rules_literal(rules: Sequence[tuple]) -> Column:
 
 def tag_text(title: Column, summary: Column) -> Column:
     """Normalised text the rules match against (padded so ' the ' can hit both ends)."""
-    return F.concat(F.lit(" "),
-                    F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "),
-                                     F.coalesce(summary, F.lit("")))),
-                    F.lit(" "))
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit(""))))
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
 
 def tag_articles(df: DataFrame, rules: Sequence[tuple] | None = None,
                  with_ids: bool = False, title: str = "title",
                  summary: str = "summary") -> DataFrame:
-    """Add ``tags array<string>`` (distinct, rule order); optionally ``tag_ids``."""
-    rules = FIXTURE_RULES if rules is None else rules
+    """Add ``tags array<string>`` (distinct, rule order); optionally ``tag_ids``.
+    ``rules`` default to ``DEFAULT_RULES``."""
+    rules = DEFAULT_RULES if rules is None else rules
     text = tag_text(F.col(title), F.col(summary))
     hit = F.filter(_rules_literal(rules), lambda r: F.contains(text, r["phrase"]))
     out = df.withColumn("_hits", hit)

@@ -10,13 +10,13 @@ from __future__ import annotations
 FX_CTES = r"""
 fx_articles AS (
   SELECT doc_id + 1 AS id,
-    substr(split_part(text, chr(10), 1), 1, 80) AS title,
+    CASE WHEN doc_id % 7 = 0 THEN text ELSE substr(split_part(text, chr(10), 1), 1, 80) END AS title,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS summary,
     'https://' || source || '.example.com/a/' || doc_id AS link,
     CASE doc_id % 4
       WHEN 0 THEN strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT), '%Y-%m-%dT%H:%M:%S') || 'Z'
       WHEN 1 THEN strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT), '%Y-%m-%dT%H:%M:%S') || '-06:00'
-      WHEN 2 THEN NULL ELSE 'not a date' END AS published,
+      WHEN 2 THEN NULL ELSE CASE WHEN doc_id % 8 = 7 THEN '08:00:00' ELSE 'not a date' END END AS published,
     CAST(NULL AS VARCHAR) AS updated,
     source,
     CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'https://img.example.com/' || doc_id || '.png' END AS og_image,
@@ -30,21 +30,25 @@ fx_tags AS (SELECT id, name, TIMESTAMP '2024-01-01' AS created_at FROM fx_rules)
 fx_article_tags AS (
   SELECT a.id * 16 + r.id AS id, a.id AS article_id, r.id AS tag_id, a.created_at
   FROM fx_articles a JOIN fx_rules r
-    ON contains(' ' || lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')) || ' ', r.phrase)),
+    ON contains(' ' || regexp_replace(lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')), '[^\p{L}\p{N}]+', ' ', 'g') || ' ', r.phrase)),
 fx_feed AS (
   SELECT a.*, coalesce((SELECT list(t.name ORDER BY t.name) FROM fx_article_tags x JOIN fx_tags t ON t.id = x.tag_id
                         WHERE x.article_id = a.id), []::VARCHAR[]) AS tags
   FROM fx_articles a),
 fx_entries AS (
-  SELECT 'https://feed' || (user_id % 7) || '.example.com/rss' AS feed_url, event_id AS pos,
+  SELECT 'https://' || ['arktimes.com', 'www.arkansasbusiness.com', 'talkbusiness.net', 'arkansasadvocate.com', 'www.kark.com', 'www.google.com', 'feed6.example.com'][user_id % 7 + 1] || '/rss' AS feed_url, event_id AS pos,
     CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type || ' ' || user_id END AS title,
     CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'https://news.example.com/' || user_id || '/' || event_type END AS link,
     CASE WHEN event_id % 5 = 0 THEN '' ELSE 'value ' || CAST(floor(value) AS BIGINT) END AS summary,
     props AS content,
-    CASE event_id % 4
+    CASE event_id % 8
       WHEN 0 THEN strftime(ts, '%d %b %Y %H:%M:%S') || ' +0000'
       WHEN 1 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT'
-      WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' ELSE NULL END AS published_raw,
+      WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'
+      WHEN 4 THEN strftime(ts, '%A, %d %b %y %H:%M:%S') || ' EST'
+      WHEN 5 THEN strftime(ts, '%H:%M:%S')
+      WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+      WHEN 7 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-06:00' ELSE NULL END AS published_raw,
     CAST(NULL AS VARCHAR) AS updated_raw
   FROM events),
 fx_pages AS (
@@ -54,6 +58,7 @@ fx_pages AS (
     WHEN 2 THEN '<meta property="og:image" content="//cdn.example.com/' || page_id || '.png">'
     WHEN 3 THEN '<meta property="og:image" content=""><meta name="twitter:image" content="t' || page_id || '.png">'
     WHEN 4 THEN '<meta property="article:image" content="https://a.example.com/' || page_id || '.png">'
+    WHEN 6 THEN '<meta data-x="a>b" property="og:image" content="/a&#038;b' || page_id || '.png?x=1&gt;2">'
     WHEN 5 THEN '<!-- <meta property="og:image" content="/commented.png"> -->' ELSE '' END) AS html
   FROM pages),
 fx_vectors AS (SELECT vec_id + 1 AS article_id, embedding FROM embeddings)
@@ -70,7 +75,7 @@ def with_fx(body: str, extra_ctes: str = "") -> str:
 
 def iso_ts(col: str) -> str:
     """DuckDB twin of F5 (ISO text to UTC instant, naive)."""
-    return f"(try_cast({col} AS TIMESTAMPTZ) AT TIME ZONE 'UTC')"
+    return f"(CASE WHEN {col} LIKE '____-%' THEN try_cast({col} AS TIMESTAMPTZ) END AT TIME ZONE 'UTC')"
 
 
 FEED_COLS = "id, title, summary, link, published, updated, source, og_image"
@@ -183,9 +188,14 @@ _STORE = """store_links AS (SELECT link FROM fx_entries
 
 
 def _feed_iso(col: str) -> str:
-    stripped = f"regexp_replace(regexp_replace(trim({col}), '^[A-Za-z]{{3}},\\s*', ''), '\\s+(GMT|UT|UTC|Z)$', ' +0000')"
-    return (f"strftime(coalesce(try_cast({col} AS TIMESTAMPTZ), try_strptime({stripped}, '%d %b %Y %H:%M:%S %z'))"
-            f" AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00')")
+    """Expected text of each fixture style, written out: offsets stay as given."""
+    rfc = lambda fmt, tail: f"strftime(strptime(regexp_replace({col}, ' [^ ]+$', ''), '{fmt}'), '%Y-%m-%dT%H:%M:%S') || '{tail}'"
+    return (f"CASE WHEN regexp_matches({col}, '^[0-9:]+$') THEN NULL"
+            f" WHEN {col} LIKE '%Z' THEN replace({col}, 'Z', '+00:00')"
+            f" WHEN {col} LIKE '____-__-__T%' THEN {col}"
+            f" WHEN {col} LIKE '% +0000' THEN {rfc('%d %b %Y %H:%M:%S', '+00:00')}"
+            f" WHEN {col} LIKE '% GMT' THEN {rfc('%a, %d %b %Y %H:%M:%S', '+00:00')}"
+            f" WHEN {col} LIKE '% EST' THEN {rfc('%A, %d %b %y %H:%M:%S', '-05:00')} END")
 
 
 def _source(col: str) -> str:
@@ -213,11 +223,23 @@ SQL["A12_ingest_stats"] = with_fx(f"""
 SELECT feed_url, count(*) AS entries,
   count(*) FILTER (WHERE link = '') AS skipped_no_link,
   count(*) FILTER (WHERE link <> '' AND link IN (SELECT link FROM store_links)) AS skipped_stored,
-  count(*) FILTER (WHERE link <> '' AND link NOT IN (SELECT link FROM store_links)) AS new_entries
+  count(*) FILTER (WHERE link <> '' AND link NOT IN (SELECT link FROM store_links)) AS new_entries,
+  count(*) FILTER (WHERE link <> '' AND link NOT IN (SELECT link FROM store_links) AND link LIKE '%/c%') AS images_found
 FROM ({_P1}) GROUP BY feed_url""", _STORE)
 SQL["S1_feed_scan"] = with_fx(f"SELECT pos, title, link, summary2 AS summary, published_raw FROM ({_P3})")
-SQL["U1_feed_union"] = with_fx(
-    "SELECT feed_url, count(*) AS entries, count(link) AS with_link_field FROM fx_entries GROUP BY feed_url")
+_LANDED = "coalesce(title, '') AS title, coalesce(link, '') AS link, coalesce(summary, '') AS summary"
+SQL["U1_feed_union"] = with_fx("""
+SELECT feed_url, count(*) AS entries, count(DISTINCT link) AS links FROM (
+  SELECT 'https://even.example.com/rss' AS feed_url, coalesce(link, '') AS link FROM fx_entries WHERE pos % 2 = 0
+  UNION ALL SELECT 'https://third.example.com/rss', coalesce(link, '') FROM fx_entries WHERE pos % 3 = 0) GROUP BY feed_url""")
+SQL["S1_rss_files"] = with_fx(f"""
+SELECT feed_url, row_number() OVER (ORDER BY o, pos) AS pos, {_LANDED} FROM (
+  SELECT *, CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END AS o FROM (SELECT * REPLACE (
+    CASE WHEN pos % 4 = 0 THEN 'https://small.example.com/rss' ELSE 'https://large.example.com/rss' END AS feed_url) FROM fx_entries))""")
+SQL["S1_atom_files"] = with_fx(f"""
+SELECT row_number() OVER (ORDER BY pos) AS pos, {_LANDED} FROM fx_entries""")
+SQL["S2_feed_list"] = with_fx(f"""
+SELECT feed_url, {_source('feed_url')} AS source, count(*) AS entries FROM fx_entries GROUP BY feed_url""")
 
 # ------------------------------------------------------------------ images and HTML
 
@@ -232,8 +254,7 @@ def _attr(t: str, name: str) -> str:
 
 
 def _unescape(x: str) -> str:
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
-                    ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&#038;", "&"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
         x = f"replace({x}, '{ent}', '{ch}')"
     return x
 
@@ -246,7 +267,7 @@ def _first(kind_attr: str, value: str) -> str:
 
 _REF = f"""(SELECT page_id, url, coalesce({_first('property', 'og:image')}, {_first('name', 'twitter:image')},
       {_first('property', 'article:image')}) AS ref
-  FROM (SELECT page_id, url, regexp_extract_all({_CLEAN}, '(?is)<meta\\b[^>]*>') AS metas FROM fx_pages))"""
+  FROM (SELECT page_id, url, regexp_extract_all({_CLEAN}, '(?is)<meta\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS metas FROM fx_pages))"""
 
 _RESOLVED = """CASE WHEN ref IS NULL THEN NULL
   WHEN starts_with(ref, 'http://') OR starts_with(ref, 'https://') THEN ref
@@ -266,11 +287,23 @@ SQL["P9_blocked_pages"] = with_fx(f"SELECT page_id, {_BLOCKED} AS blocked FROM f
 _X4 = f"""(SELECT url, max(CASE WHEN {_BLOCKED} OR trim(url) = '' THEN NULL ELSE {_RESOLVED} END) AS og_image
   FROM {_REF} GROUP BY url)"""
 SQL["X4_page_images"] = with_fx(f"SELECT url, og_image FROM {_X4}")
+_GROWN = """EXISTS (SELECT 1 FROM grown g WHERE contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), g.domain))"""
+_GROWN_CTE = """grown AS (SELECT DISTINCT domain FROM (
+  SELECT 'example.net' AS domain
+  UNION ALL SELECT lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''))
+  FROM pages WHERE page_id % 9 = 0) WHERE domain <> '')"""
+SQL["X4_grown_blocklist"] = with_fx(f"""
+SELECT url, max(CASE WHEN bad OR trim(url) = '' THEN NULL ELSE {_RESOLVED} END) AS og_image
+FROM (SELECT *, {_GROWN} AS bad FROM {_REF}) GROUP BY url""", _GROWN_CTE)
+SQL["P11_blank_urls"] = with_fx(f"""
+SELECT url, max(CASE WHEN {_BLOCKED} OR trim(url) = '' THEN NULL ELSE {_RESOLVED} END) AS og_image
+FROM (SELECT * REPLACE (CASE page_id % 10 WHEN 0 THEN '' WHEN 5 THEN '  ' ELSE url END AS url) FROM {_REF}) GROUP BY url""")
 SQL["J6_attach_images"] = with_fx(f"""
 SELECT a.id, coalesce(p.url, a.link) AS link, x.og_image
 FROM fx_articles a LEFT JOIN pages p ON p.page_id + 1 = a.id LEFT JOIN {_X4} x ON x.url = coalesce(p.url, a.link)""")
+_NO_TAGS = "regexp_replace(" + _CLEAN + """, '(?s)<(?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[^>]*>', ' ', 'g')"""
 SQL["F10_clean_html"] = with_fx(f"""
-SELECT page_id, regexp_replace(regexp_replace({_unescape(f"regexp_replace({_CLEAN}, '(?s)<[^>]*>', ' ', 'g')")},
+SELECT page_id, regexp_replace(regexp_replace({_unescape(_NO_TAGS)},
   '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages""")
 
 # ------------------------------------------------------------------ similarity and dedup
@@ -327,14 +360,16 @@ def _d2_ctes(batch: str, thr: float, stored: str | None, sfx: str = "") -> str:
     store_part = ""
     if stored:
         store_part = f""",
-shit{sfx} AS (SELECT x, y AS duplicate_id FROM (
+shit{sfx} AS (SELECT x, y AS duplicate_id, d FROM (
   SELECT b.article_id AS x, s.article_id AS y,
     list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS d,
     row_number() OVER (PARTITION BY b.article_id ORDER BY list_distance(b.embedding::DOUBLE[], s.embedding::DOUBLE[]), s.article_id) AS r
   FROM {batch} b, {stored} s) WHERE r = 1 AND greatest(0, 1 - d * d / 2) >= {thr})"""
+    store_match = f"UNION ALL SELECT x, duplicate_id, d, 'store' FROM shit{sfx}" if stored else ""
     not_store = f"WHERE v.article_id NOT IN (SELECT x FROM shit{sfx})" if stored else ""
     return f"""
-bpairs{sfx} AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b FROM {batch} a JOIN {batch} b ON a.article_id < b.article_id
+bpairs{sfx} AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b,
+    list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM {batch} a JOIN {batch} b ON a.article_id < b.article_id
   WHERE greatest(0, 1 - pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2) / 2) >= {thr}){store_part},
 bnodes{sfx} AS MATERIALIZED (SELECT v.article_id AS id, row_number() OVER (ORDER BY v.article_id) AS rn,
    coalesce((SELECT list(p.a) FROM bpairs{sfx} p WHERE p.b = v.article_id), []::BIGINT[]) AS preds
@@ -344,7 +379,11 @@ walk3{sfx}(rn, acc) AS (
   UNION ALL
   SELECT w.rn + 1, CASE WHEN len(list_intersect(w.acc, n.preds)) > 0 THEN w.acc ELSE list_append(w.acc, n.id) END
   FROM walk3{sfx} w JOIN bnodes{sfx} n ON n.rn = w.rn + 1),
-accepted{sfx} AS (SELECT unnest(acc) AS id FROM (SELECT acc FROM walk3{sfx} ORDER BY rn DESC LIMIT 1))"""
+accepted{sfx} AS (SELECT unnest(acc) AS id FROM (SELECT acc FROM walk3{sfx} ORDER BY rn DESC LIMIT 1)),
+matched{sfx} AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(d, 9), y) AS r FROM (
+    SELECT p.b AS x, p.a AS y, p.d, 'batch' AS reason FROM bpairs{sfx} p JOIN accepted{sfx} k ON k.id = p.a
+    {store_match}) m WHERE x NOT IN (SELECT id FROM accepted{sfx})) WHERE r = 1)"""
 
 
 SQL["J8_knn_similarity"] = with_fx("""
@@ -360,16 +399,14 @@ SELECT x AS article_id, y AS duplicate_id, round(greatest(0, 1 - d * d / 2), 6)
 WHERE r = 1 AND greatest(0, 1 - d * d / 2) >= 0.3""")
 
 SQL["D2_ingest_dedup"] = with_fx("""
-SELECT v.article_id, v.article_id IN (SELECT id FROM accepted) AS accepted,
-  CASE WHEN v.article_id IN (SELECT id FROM accepted) THEN NULL ELSE 'batch' END AS reason
-FROM fx_vectors v""", _d2_ctes("fx_vectors", 0.3, None))
+SELECT v.article_id, m.x IS NULL AS accepted, m.reason, m.y AS duplicate_id,
+  CASE WHEN m.x IS NOT NULL THEN round(greatest(0, 1 - m.d * m.d / 2), 6) END AS similarity
+FROM fx_vectors v LEFT JOIN matched m ON m.x = v.article_id""", _d2_ctes("fx_vectors", 0.3, None))
 
 SQL["D2_ingest_dedup_with_store"] = with_fx("""
-SELECT v.article_id, v.article_id IN (SELECT id FROM accepted) AS accepted,
-  CASE WHEN v.article_id IN (SELECT x FROM shit) THEN 'store'
-       WHEN v.article_id IN (SELECT id FROM accepted) THEN NULL ELSE 'batch' END AS reason,
-  (SELECT duplicate_id FROM shit WHERE shit.x = v.article_id) AS duplicate_id
-FROM d2batch v""", """
+SELECT v.article_id, m.x IS NULL AS accepted, m.reason, m.y AS duplicate_id,
+  CASE WHEN m.x IS NOT NULL THEN round(greatest(0, 1 - m.d * m.d / 2), 6) END AS similarity
+FROM d2batch v LEFT JOIN matched m ON m.x = v.article_id""", """
 d2batch AS (SELECT * FROM fx_vectors WHERE article_id > (SELECT max(article_id) / 5 FROM fx_vectors)),
 d2store AS (SELECT * FROM fx_vectors WHERE article_id <= (SELECT max(article_id) / 5 FROM fx_vectors)),""" +
     _d2_ctes("d2batch", 0.3, "d2store"))
@@ -402,16 +439,18 @@ SELECT id, length({_EMBED_TEXT}) AS n_chars, substr({_EMBED_TEXT}, 1, 100) AS he
 FROM fx_articles""")
 
 _SPARSE = f"""
-etxt AS (SELECT id, {_EMBED_TEXT} AS t FROM fx_articles
+etxt AS (SELECT id, title || ' ' || coalesce(summary, '') AS t FROM fx_articles
          WHERE regexp_replace(title || ' ' || coalesce(summary, ''), '^\\s+|\\s+$', '', 'g') <> ''),
 ewords AS (SELECT id, list_filter(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM etxt),
 esh AS (SELECT id, CASE WHEN len(ws) = 1 THEN ws
           ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END AS s FROM ewords),
-ecnt AS (SELECT id, (('0x' || substr(md5(sh), 1, 8))::BIGINT) % 1536 AS bucket, count(*) AS c
-         FROM (SELECT id, unnest(s) AS sh FROM esh) GROUP BY ALL),
+ecnt AS (SELECT id, (('0x' || substr(md5(sh), 1, 8))::BIGINT) % 1536 AS bucket,
+           CAST(sum(CASE WHEN substr(md5(sh), 9, 1) < '8' THEN 1 ELSE -1 END) AS BIGINT) AS c
+         FROM (SELECT id, unnest(s) AS sh FROM esh) GROUP BY ALL HAVING c <> 0),
 sparse AS (SELECT id AS article_id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS weight FROM ecnt)"""
 
-SQL["X3_embed_sparse"] = with_fx("SELECT article_id, bucket, round(weight, 6) AS weight FROM sparse", _SPARSE)
+SQL["X3_embed_sparse"] = with_fx(
+    "SELECT article_id, bucket, round(weight::FLOAT::DOUBLE, 6) AS weight FROM sparse", _SPARSE)
 
 _TEXT_VECTORS = _SPARSE + """,
 tvec AS (SELECT article_id, list_transform(range(0, 1536),
@@ -433,7 +472,7 @@ wbatch0 AS (
 wbatch AS (
   SELECT w.*, list_concat(
       coalesce((SELECT list(r.name ORDER BY r.id) FROM fx_rules r
-                WHERE contains(' ' || lower(coalesce(w.title, '') || ' ' || coalesce(w.summary, '')) || ' ', r.phrase)),
+                WHERE contains(' ' || regexp_replace(lower(coalesce(w.title, '') || ' ' || coalesce(w.summary, '')), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', r.phrase)),
                []::VARCHAR[]),
       CASE WHEN w.pos % 3 = 0 THEN [' New Tag ', ''] ELSE []::VARCHAR[] END) AS tags
   FROM wbatch0 w),
@@ -517,10 +556,10 @@ _R2 = _TEXT_VECTORS + """,
 r2tagged AS (
   SELECT a.id, a.title, a.link, lower(a.source) || '.example.com' AS source,
     (SELECT list(DISTINCT r.name) FROM fx_rules r
-     WHERE contains(' ' || lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')) || ' ', r.phrase)) AS names
+     WHERE contains(' ' || regexp_replace(lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', r.phrase)) AS names
   FROM fx_articles a
   WHERE EXISTS (SELECT 1 FROM fx_rules r
-                WHERE contains(' ' || lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')) || ' ', r.phrase))),
+                WHERE contains(' ' || regexp_replace(lower(coalesce(a.title, '') || ' ' || coalesce(a.summary, '')), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', r.phrase))),
 r2vec AS (SELECT * FROM tvec WHERE article_id IN (SELECT id FROM r2tagged)),""" + _d2_ctes("r2vec", 0.7, None) + """,
 r2acc AS (SELECT id FROM accepted UNION SELECT id FROM r2tagged WHERE id NOT IN (SELECT article_id FROM tvec))"""
 
@@ -532,6 +571,7 @@ SQL["A11_load_stats"] = with_fx("""
 SELECT 'batch_articles' AS metric, count(*) AS value FROM r2tagged
 UNION ALL SELECT 'loaded', count(*) FROM r2acc
 UNION ALL SELECT 'duplicates_skipped', (SELECT count(*) FROM r2tagged) - (SELECT count(*) FROM r2acc)
+UNION ALL SELECT 'images_found', 0
 UNION ALL SELECT 'total_articles', count(*) FROM r2acc
 UNION ALL SELECT 'total_tags', count(DISTINCT n) FROM (SELECT unnest(names) AS n FROM r2tagged WHERE id IN (SELECT id FROM r2acc))
 UNION ALL SELECT 'total_embeddings', count(*) FROM r2vec WHERE article_id IN (SELECT id FROM r2acc)""", _R2)
@@ -552,11 +592,15 @@ SQL["D5_store_after_dedup"] = with_fx("""
 SELECT t.name, count(*) AS article_count FROM fx_article_tags x JOIN fx_tags t ON t.id = x.tag_id
 WHERE x.article_id NOT IN (SELECT id FROM removed_ids) GROUP BY t.name""", _D5)
 
-SQL["S9_snapshot"] = with_fx("SELECT count(*) AS articles, min(id) AS min_id, max(id) AS max_id FROM fx_articles")
+SQL["S9_snapshot"] = with_fx("""
+SELECT a.id, a.link, md5(a.title) AS title_md5,
+  (SELECT count(*) FROM fx_article_tags x WHERE x.article_id = a.id) AS n_tags FROM fx_articles a""")
 
 SQL["F13_request_bodies"] = with_fx("""
 SELECT (id - 1) // 10 AS batch_no, count(*) AS n_articles, count(*) AS parsed,
-  arg_min(link, id) AS first_link, arg_max(link, id) AS last_link
+  arg_min(link, id) AS first_link, arg_max(link, id) AS last_link,
+  md5(string_agg(title || '|' || coalesce(summary, '') || '|' || coalesce(published, '') || '|' || coalesce(updated, '')
+      || '|' || source || '|' || coalesce(og_image, ''), chr(10) ORDER BY id)) AS body_md5
 FROM fx_articles GROUP BY (id - 1) // 10""")
 
 SQL["P10_grow_blocklist"] = with_fx("""
@@ -565,7 +609,35 @@ SELECT DISTINCT domain FROM (
   UNION ALL SELECT lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''))
   FROM pages WHERE page_id % 9 = 0) WHERE domain <> ''""")
 
-SQL["F12_vector_json"] = with_fx("SELECT article_id, true AS same, len(embedding) AS dim FROM fx_vectors")
+SQL["F12_vector_json"] = with_fx("""
+SELECT article_id, len(embedding) AS dim, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[-1]::DOUBLE, 6) AS last,
+  round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)), 4) AS weighted FROM fx_vectors""")
+
+SQL["F11_normalised"] = with_fx("""
+SELECT article_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS first
+FROM fx_vectors""")
+
+SQL["S10_absent_store"] = with_fx("""
+SELECT 'fixture' AS store, count(*) AS articles FROM fx_articles UNION ALL SELECT 'absent', 0""")
+
+SQL["P16_page_arguments"] = with_fx("""
+SELECT l AS page_limit, o AS page_offset, l BETWEEN 0 AND 500 AND o >= 0 AS accepted,
+  CASE WHEN l BETWEEN 0 AND 500 AND o >= 0 THEN greatest(0, least(l, (SELECT count(*) FROM fx_articles) - o)) END AS n_rows
+FROM (VALUES (0, 0), (500, 0), (501, 0), (-1, 0), (10, -1), (10, 5), (500, 150)) v(l, o)""")
+
+SQL["U2_failed_batches"] = with_fx("SELECT id, 'Technology' AS tag FROM fx_articles WHERE length(title) % 3 <> 0")
+
+SQL["X2_blank_text"] = with_fx("SELECT id, id % 10 <> 0 AS has_vector FROM fx_articles")
+
+SQL["T3_stream_links"] = with_fx("SELECT DISTINCT coalesce(link, '') AS link FROM fx_entries WHERE coalesce(link, '') <> ''")
+
+SQL["O8_keyset_page"] = with_fx("SELECT id, created_at FROM fx_articles ORDER BY created_at DESC, id LIMIT 25 OFFSET 31")
+
+SQL["X1_default_rules"] = with_fx("""
+SELECT id, CASE id % 6
+    WHEN 0 THEN ['Artificial Intelligence', 'Technology'] WHEN 1 THEN ['Artificial Intelligence', 'Startups']
+    WHEN 2 THEN ['Startups'] WHEN 3 THEN ['Artificial Intelligence'] ELSE []::VARCHAR[] END AS tags
+FROM fx_articles""")
 
 # R2 twice: run 1 = articles with id <= max/2; run 2 = all articles, of which
 # the links stored by run 1 are dropped (J4) and the rest are tested against
@@ -587,6 +659,14 @@ r2final AS (
 _R2_TWO_SELECT = """
 SELECT f.new_id AS id, t.link, f.created_at, list_sort(t.names) AS tags
 FROM r2final f JOIN r2tagged t ON t.id = f.id"""
+_POLLED = _R2_TWO_SELECT.replace("AS tags", "AS tags, 'KARK 4 News' AS source")
 
 SQL["R2_ingest_two_runs"] = with_fx(_R2_TWO_SELECT, _R2_TWO)
-SQL["T1_stream_poll"] = with_fx(_R2_TWO_SELECT, _R2_TWO)
+SQL["T1_stream_poll"] = with_fx(_POLLED, _R2_TWO)
+SQL["T2_two_streams"] = with_fx(_POLLED, _R2_TWO)
+SQL["T2_replay"] = with_fx("""
+SELECT row_number() OVER (ORDER BY a.id) AS id, t.link FROM r2acc a JOIN r2tagged t ON t.id = a.id""", _R2)
+SQL["R2_ingest_with_pages"] = with_fx("""
+SELECT row_number() OVER (ORDER BY a.id) AS id, t.link,
+  CASE WHEN a.id % 4 = 0 THEN 'https://img.example.com/p' || a.id || '.png' END AS og_image
+FROM r2acc a JOIN r2tagged t ON t.id = a.id""", _R2)

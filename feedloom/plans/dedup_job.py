@@ -5,8 +5,8 @@
 
 An empty store ends early.  Groups and resolution are checkpointed into the
 shared checkpoint folder (each is read several times, and each is the
-result of an iterative fixpoint).  The rewrite is one commit of new table
-versions: until the commit log is appended, readers see the old store.
+result of an iterative fixpoint).  The job writes one batch: the vectors that
+were missing, and the keys that go.
 """
 
 from __future__ import annotations
@@ -32,35 +32,36 @@ class DedupResult(NamedTuple):
     resolution: DataFrame       # D4 (keep_id, group_pos, applied)
     removed: DataFrame          # M5 (id)
     snapshot_path: str | None
-    versions: dict
 
 
 def dedup_store(spark: SparkSession, root: str, at: dt.datetime, threshold: float = DEFAULT_THRESHOLD,
                 k: int = DEDUP_K, dim: int = EMBEDDING_DIM, take_snapshot: bool = True) -> DedupResult:
     ensure_checkpoint_dir(spark)
-    store = ST.open_store(spark, root)
+    own = ST.Batch("dedup", int(at.strftime("%Y%m%d%H%M%S")))
+    store = ST.open_store(spark, root, own)
     articles = store.articles
     if articles.limit(1).count() == 0:       # empty store: nothing to do
         empty = spark.createDataFrame([], "metric string, value long")
         none = spark.createDataFrame([], "keep_id long, member_id long, group_pos long")
         return DedupResult(empty, none, spark.createDataFrame([], "keep_id long, group_pos long, applied boolean"),
-                           spark.createDataFrame([], "id long"), None, {})
+                           spark.createDataFrame([], "id long"), None)
     snap = ST.snapshot(spark, root, at) if take_snapshot else None               # S9
     text = articles.select("id", embed_text(F.col("title"), F.col("summary")).alias("_text"))  # S3, F1
     vectors = (embed(text, "id", "_text", dim)                                   # X3
                .select(F.col("id").alias("article_id"), "embedding").checkpoint())
-    stored_vectors = M.upsert_embeddings(store.article_embeddings,               # S5
-                                         vectors.select(F.col("article_id").alias("id"), "embedding"))
+    missing = M.delete_embeddings(vectors.where("embedding is not null"),        # S5: a stored vector stays
+                                  store.article_embeddings.select(F.col("article_id").alias("id"))).checkpoint()
     groups = duplicate_groups(vectors, articles.select("id"), threshold, k).checkpoint()   # D3
     resolution = resolve_groups(groups).checkpoint()                             # D4
     removed = removed_ids(groups, resolution).checkpoint()
     summary = dedup_summary(articles, vectors, groups, resolution, removed)      # A14
-    if removed.limit(1).count() == 0:
-        return DedupResult(summary, groups, resolution, removed, snap,
-                           ST.commit(spark, root, {"article_embeddings": stored_vectors}, at))
-    kept_articles = M.delete_articles(articles, removed)                         # M5
-    kept_vectors = M.delete_embeddings(stored_vectors, removed)
+    kept_articles = M.delete_articles(articles.select("id"), removed)            # M5
     kept_bridge, kept_tags = M.clean_up(kept_articles, store.tags, store.article_tags)  # M6: J11, J12
-    versions = ST.commit(spark, root, {"articles": kept_articles, "tags": kept_tags,
-                                       "article_tags": kept_bridge, "article_embeddings": kept_vectors}, at)
-    return DedupResult(summary, groups, resolution, removed, snap, versions)
+    gone = {"articles": removed.select("id"),
+            "tags": store.tags.select("id").join(kept_tags.select("id"), "id", "left_anti").checkpoint(),
+            "article_tags": store.article_tags.select("id").join(kept_bridge.select("id"), "id", "left_anti").checkpoint(),
+            "article_embeddings": removed.select(F.col("id").alias("article_id"))}
+    if removed.isEmpty():         # as the reference: without duplicates nothing is cleaned up
+        gone = {}
+    ST.write_batch(spark, root, own, {"article_embeddings": missing}, gone)
+    return DedupResult(summary, groups, resolution, removed, snap)

@@ -219,7 +219,9 @@ def j4_new_links(spark, sf):
 def a12_ingest_stats(spark, sf):
     from feedloom.sources.feeds import ingest_stats
     e = _entries(spark, sf)
-    return ingest_stats(e, _store_links(e))
+    # preview images of the links whose path begins with "c"
+    images = e.select(F.col("link").alias("url")).where("link like '%/c%'").distinct().withColumn("og_image", F.lit("i.png"))
+    return ingest_stats(e, _store_links(e), images)
 
 
 def _xml_el(tag: str, c):
@@ -243,11 +245,69 @@ def s1_feed_scan(spark, sf):
     return out.select("pos", "title", "link", "summary", "published_raw")
 
 
+def _landing_items(e):
+    """Entries in the column names of an RSS item."""
+    return e.select("pos", "title", "link", F.col("summary").alias("description"), F.col("published_raw").alias("pubDate"))
+
+
+def _landed(df):
+    return [F.coalesce(c, F.lit("")).alias(c) for c in ("title", "link", "summary")]
+
+
 @register("U1_feed_union")
 def u1_feed_union(spark, sf):
-    e = _entries(spark, sf)
-    return e.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entries"),
-                                     F.count("link").alias("with_link_field"))
+    """Two landed feeds that share items, in one read of the feed list."""
+    from feedloom.sources.feeds import read_rss
+    from feedloom.streaming.poll import land_rss
+    root, e = _fresh_root(spark, "u1-feeds"), _landing_items(_entries(spark, sf))
+    for name, n in (("even", 2), ("third", 3)):
+        land_rss(e.where(F.col("pos") % n == 0), f"{root}/{name}")
+    got = read_rss(spark, [("https://even.example.com/rss", f"{root}/even/*.xml"),
+                           ("https://third.example.com/rss", f"{root}/third/*.xml")])
+    return got.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entries"),
+                                       F.countDistinct(F.coalesce("link", F.lit(""))).alias("links"))
+
+
+@register("S1_rss_files")
+def s1_rss_files(spark, sf):
+    """The larger feed is listed first and written as several files: arrival
+    order is that of the list, then the place in the feed."""
+    from feedloom.sources.feeds import read_rss
+    from feedloom.streaming.poll import land_rss
+    root, e = _fresh_root(spark, "s1-feeds"), _landing_items(_entries(spark, sf))
+    land_rss(e.where(F.col("pos") % 4 != 0), f"{root}/a", files=3)
+    land_rss(e.where(F.col("pos") % 4 == 0), f"{root}/b")
+    got = read_rss(spark, [("https://large.example.com/rss", f"{root}/a/*.xml"), ("https://small.example.com/rss", f"{root}/b/*.xml")])
+    return got.select("feed_url", "pos", *_landed(got))
+
+
+@register("S1_atom_files")
+def s1_atom_files(spark, sf):
+    from feedloom.sources.feeds import read_atom
+    path = f"{_fresh_root(spark, 'atom-feeds')}/feed"
+    link = lambda rel, end: F.struct(F.concat(F.coalesce("link", F.lit("")), F.lit(end)).alias("_href"), F.lit(rel).alias("_rel"))
+    (_entries(spark, sf).repartitionByRange(2, "pos").sortWithinPartitions("pos")
+     .select("title", F.array(link("self", "#self"), link("alternate", "")).alias("link"), "summary")
+     .write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path))
+    got = read_atom(spark, f"{path}/*.xml")
+    return got.select("pos", *_landed(got))
+
+
+@register("S2_feed_list")
+def s2_feed_list(spark, sf):
+    """Feeds landed in the folders of their URLs: the URL comes back from the
+    path, and with it the source name (P4)."""
+    from feedloom.functions.urls import source_name
+    from feedloom.sources.feeds import feed_folder, read_rss
+    from feedloom.sources.tables import FEED_HOSTS
+    from feedloom.streaming.poll import land_rss
+    root, e = _fresh_root(spark, "s2-feeds"), _entries(spark, sf)
+    urls = [f"https://{h}/rss" for h in FEED_HOSTS]
+    for u in urls:
+        land_rss(_landing_items(e.where(F.col("feed_url") == u)), root, feed_url=u)
+    got = read_rss(spark, [f"{feed_folder(root, u)}/*.xml" for u in urls])
+    return got.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entries")).select(
+        "feed_url", source_name(F.col("feed_url")).alias("source"), "entries")
 
 
 # ------------------------------------------------------------------ images and HTML
@@ -287,6 +347,30 @@ def x4_page_images(spark, sf):
     return page_images(_pages(spark, sf), FIXTURE_BLOCKLIST)
 
 
+def _grown_blocklist(spark, sf):
+    from feedloom.operators.images import grow_blocklist
+    from feedloom.sources.tables import load
+    p = load(spark, sf, "pages")
+    log = p.select("url", F.when(F.col("page_id") % 9 == 0, F.lit(403)).otherwise(F.lit(200)).alias("status"))
+    start = spark.createDataFrame([(d,) for d in FIXTURE_BLOCKLIST], "domain string")
+    return grow_blocklist(start, log)
+
+
+@register("X4_grown_blocklist")
+def x4_grown_blocklist(spark, sf):
+    """The blocklist that the crawl log grew, at work in the image step."""
+    from feedloom.operators.images import page_images
+    return page_images(_pages(spark, sf), _grown_blocklist(spark, sf))
+
+
+@register("P11_blank_urls")
+def p11_blank_urls(spark, sf):
+    from feedloom.operators.images import page_images
+    p = _pages(spark, sf)
+    blank = F.when(F.col("page_id") % 10 == 0, F.lit("")).when(F.col("page_id") % 10 == 5, F.lit("  ")).otherwise(F.col("url"))
+    return page_images(p.withColumn("url", blank), FIXTURE_BLOCKLIST)
+
+
 @register("J6_attach_images")
 def j6_attach_images(spark, sf):
     from feedloom.operators.images import attach_images, page_images
@@ -343,7 +427,7 @@ def d2_ingest_dedup(spark, sf):
     from feedloom.operators.dedup import ingest_dedup
     v = _vectors(spark, sf).withColumn("pos", F.col("article_id"))
     st = ingest_dedup(v, None, VECTOR_TEST_THRESHOLD)
-    return st.select("article_id", "accepted", "reason")
+    return st.select("article_id", "accepted", "reason", "duplicate_id", F.round("similarity", 6).alias("similarity"))
 
 
 @register("D2_ingest_dedup_with_store")
@@ -356,7 +440,7 @@ def d2_ingest_dedup_with_store(spark, sf):
     batch = (v.where(F.col("article_id") > fifth)
              .select("article_id", "embedding", F.col("article_id").alias("pos")))
     st = ingest_dedup(batch, store, VECTOR_TEST_THRESHOLD)
-    return st.select("article_id", "accepted", "reason", "duplicate_id")
+    return st.select("article_id", "accepted", "reason", "duplicate_id", F.round("similarity", 6).alias("similarity"))
 
 
 @register("D3_duplicate_groups")
@@ -401,10 +485,12 @@ def f1_embed_text(spark, sf):
 @register("X3_embed_sparse")
 def x3_embed_sparse(spark, sf):
     from feedloom.functions.text import embed_text
-    from feedloom.operators.embed import sparse_embedding
+    from feedloom.operators.embed import embed
     a = fixture_store(spark, sf).articles.withColumn("_t", embed_text(F.col("title"), F.col("summary")))
-    sp = sparse_embedding(a, "id", "_t")
-    return sp.select(F.col("id").alias("article_id"), "bucket", F.round("weight", 6).alias("weight"))
+    v = embed(a.select("id", "_t"), "id", "_t")
+    return (v.select(F.col("id").alias("article_id"), F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
+            .select("article_id", F.col("bucket").cast("long").alias("bucket"),
+                    F.round(F.col("w").cast("double"), 6).alias("weight")))
 
 
 @register("D3_text_duplicate_groups")
@@ -429,7 +515,7 @@ def write_fixture(spark, sf):
     title (same link: replaced), plus every fiftieth new one twice.  Batch
     tags come from the rule tagger, plus a padded new tag and a blank one
     on every third row."""
-    from feedloom.operators.tagging import tag_articles
+    from feedloom.operators.tagging import FIXTURE_RULES, tag_articles
     s = fixture_store(spark, sf)
     a = s.articles
     half = F.lit(max_over(a, "id", 2))
@@ -443,7 +529,7 @@ def write_fixture(spark, sf):
              .unionByName(newer.where(F.col("id") % 50 == 1).select(
                  (F.col("id") + 2_000_000).alias("pos"), F.concat(F.lit("again "), "title").alias("title"),
                  *fields[1:])))
-    batch = tag_articles(batch)
+    batch = tag_articles(batch, FIXTURE_RULES)
     extra = F.when(F.col("pos") % 3 == 0, F.array(F.lit(" New Tag "), F.lit(""))) \
         .otherwise(F.array().cast("array<string>"))
     batch = batch.withColumn("tags", F.concat("tags", extra))
@@ -660,13 +746,11 @@ def r2_ingest_two_runs(spark, sf):
 
 
 def _fixture_store_root(spark, sf):
-    """The fixture store committed as version 1 of a fresh store root."""
-    import datetime as dt
-    from feedloom.sources.store import commit
+    """The fixture store written as one batch of a fresh store root."""
+    from feedloom.sources.store import Batch, write_batch
     root = _fresh_root(spark, "d5-store")
     s = fixture_store(spark, sf)
-    commit(spark, root, {"articles": s.articles, "tags": s.tags, "article_tags": s.article_tags},
-           dt.datetime(2024, 1, 2))
+    write_batch(spark, root, Batch("fixture", 1), {"articles": s.articles, "tags": s.tags, "article_tags": s.article_tags})
     return root
 
 
@@ -698,13 +782,24 @@ def s9_snapshot(spark, sf):
     """The snapshot taken before the rewrite holds the store as it was."""
     from feedloom.sources.store import open_snapshot
     root, res = _dedup_job(spark, sf)
-    a = open_snapshot(spark, root, res.snapshot_path).articles
-    return a.agg(F.count(F.lit(1)).alias("articles"), F.min("id").alias("min_id"),
-                 F.max("id").alias("max_id"))
+    st = open_snapshot(spark, root, res.snapshot_path)
+    n = st.article_tags.groupBy("article_id").agg(F.count(F.lit(1)).alias("n_tags"))
+    return (st.articles.join(n, F.col("id") == F.col("article_id"), "left")
+            .select("id", "link", F.md5("title").alias("title_md5"), F.coalesce("n_tags", F.lit(0)).alias("n_tags")))
 
 
 # ------------------------------------------------------------------ incremental
 
+FEED_URL = "https://www.kark.com/rss"
+
+
+def _polled(spark, root):
+    from feedloom.sources.store import open_store
+    st = open_store(spark, root)
+    tags = FD.denormalised_feed(st.articles, st.tags, st.article_tags).select("id", "tags")
+    return st.articles.join(tags, "id").select("id", "link", "created_at", "tags", "source")
+
+
 @register("T1_stream_poll")
 def t1_stream_poll(spark, sf):
     """The two runs of R2_ingest_two_runs as two polls of a landing folder:
@@ -712,22 +807,64 @@ def t1_stream_poll(spark, sf):
     only the newly landed file; the second one's J4 drops the links stored
     by the first."""
     import datetime as dt
-    from feedloom.sources.store import open_store
     from feedloom.streaming.poll import land_rss, poll_into_store
     from feedloom.operators.tagging import FIXTURE_RULES
     root = _fresh_root(spark, "t1-store")
     landing = f"{root}/_landing"
-    e = article_entries(spark, sf).select("pos", "title", "link", F.col("summary").alias("description"),
-                                          F.col("published_raw").alias("pubDate"))
+    e = _landing_items(article_entries(spark, sf))
     first = e.where(F.col("pos") <= F.lit(max_over(e, "pos", 2)))
     stamps = iter([dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 2)])
-    land_rss(first, landing)
-    poll_into_store(spark, landing, root, rules=FIXTURE_RULES, clock=lambda: next(stamps))
-    land_rss(e, landing)
-    poll_into_store(spark, landing, root, rules=FIXTURE_RULES, clock=lambda: next(stamps))
-    st = open_store(spark, root)
-    tags = FD.denormalised_feed(st.articles, st.tags, st.article_tags).select("id", "tags")
-    return st.articles.join(tags, "id").select("id", "link", "created_at", "tags")
+    for df in (first, e):
+        land_rss(df, landing, feed_url=FEED_URL)
+        poll_into_store(spark, landing, root, rules=FIXTURE_RULES, clock=lambda: next(stamps))
+    return _polled(spark, root)
+
+
+@register("T2_two_streams")
+def t2_two_streams(spark, sf):
+    """The same two batches by two streams with checkpoints of their own: both
+    begin at batch 0, and neither is taken for the other's."""
+    import datetime as dt
+    from feedloom.streaming.poll import land_rss, poll_into_store
+    from feedloom.operators.tagging import FIXTURE_RULES
+    root = _fresh_root(spark, "t2-store")
+    e = _landing_items(article_entries(spark, sf))
+    first = e.where(F.col("pos") <= F.lit(max_over(e, "pos", 2)))
+    stamps = iter([dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 2)])
+    for name, df in (("a", first), ("b", e)):
+        land_rss(df, f"{root}/_landing_{name}", feed_url=FEED_URL)
+        poll_into_store(spark, f"{root}/_landing_{name}", root, f"{root}/_ck_{name}", rules=FIXTURE_RULES,
+                        clock=lambda: next(stamps))
+    return _polled(spark, root)
+
+
+@register("T2_replay")
+def t2_replay(spark, sf):
+    """A micro-batch delivered twice under one id leaves what one delivery leaves."""
+    import datetime as dt
+    from feedloom.sources.store import open_store
+    from feedloom.streaming.poll import batch_writer, entry_files, land_rss
+    from feedloom.operators.tagging import FIXTURE_RULES
+    root = _fresh_root(spark, "t2-replay")
+    land_rss(_landing_items(article_entries(spark, sf)), f"{root}/_landing", feed_url=FEED_URL)
+    write = batch_writer(spark, root, [], rules=FIXTURE_RULES, clock=lambda: dt.datetime(2024, 3, 1), stream_id="one")
+    for _ in range(2):
+        write(entry_files(spark, f"{root}/_landing"), 0)
+    return open_store(spark, root).articles.select("id", "link")
+
+
+@register("R2_ingest_with_pages")
+def r2_ingest_with_pages(spark, sf):
+    """One run with the pages of every fourth article: their preview images."""
+    from feedloom.operators.tagging import FIXTURE_RULES
+    from feedloom.plans.ingest import ingest
+    from feedloom.sources.store import open_store
+    root, a = _fresh_root(spark, "r2-pages"), fixture_store(spark, sf).articles
+    pages = a.where(F.col("id") % 4 == 0).select(F.col("link").alias("url"), F.concat(
+        F.lit('<meta property="og:image" content="https://img.example.com/p'), F.col("id").cast("string"),
+        F.lit('.png">')).alias("html"))
+    ingest(spark, root, article_entries(spark, sf), INGEST_TS_1, pages=pages, rules=FIXTURE_RULES)
+    return open_store(spark, root).articles.select("id", "link", "og_image")
 
 
 # ------------------------------------------------------------------ request bodies, blocklist, vector text
@@ -742,24 +879,106 @@ def f13_request_bodies(spark, sf):
     items = F.from_json("body", schema)
     return b.select("batch_no", "n_articles", F.size(items).alias("parsed"),
                     F.element_at(items, 1)["link"].alias("first_link"),
-                    F.element_at(items, -1)["link"].alias("last_link"))
+                    F.element_at(items, -1)["link"].alias("last_link"),
+                    F.md5(F.array_join(F.transform(items, lambda x: F.concat_ws("|", *(
+                        F.coalesce(x[c], F.lit("")) for c in ("title", "summary", "published", "updated", "source", "og_image")))),
+                        "\n")).alias("body_md5"))
 
 
 @register("P10_grow_blocklist")
 def p10_grow_blocklist(spark, sf):
     """A crawl log over the pages (every ninth answered 403) grows the blocklist."""
-    from feedloom.operators.images import grow_blocklist
-    from feedloom.sources.tables import load
-    p = load(spark, sf, "pages")
-    log = p.select("url", F.when(F.col("page_id") % 9 == 0, F.lit(403)).otherwise(F.lit(200)).alias("status"))
-    start = spark.createDataFrame([(d,) for d in FIXTURE_BLOCKLIST], "domain string")
-    return grow_blocklist(start, log)
+    return _grown_blocklist(spark, sf)
 
 
 @register("F12_vector_json")
 def f12_vector_json(spark, sf):
-    """Vectors to JSON text and back give the same vectors."""
+    """Vectors to JSON text and back: what comes back."""
     from feedloom.operators.embed import vector_from_json, vector_to_json
-    v = _vectors(spark, sf)
-    back = vector_from_json(vector_to_json(F.col("embedding")))
-    return v.select("article_id", (back == F.col("embedding")).alias("same"), F.size(back).alias("dim"))
+    v = _vectors(spark, sf).select("article_id", vector_from_json(vector_to_json(F.col("embedding"))).alias("e"))
+    one = lambda i: F.round(F.element_at("e", i).cast("double"), 6)
+    weighted = F.aggregate(F.transform("e", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
+    return v.select("article_id", F.size("e").alias("dim"), one(1).alias("first"), one(-1).alias("last"),
+                    F.round(weighted, 4).alias("weighted"))
+
+
+@register("F11_normalised")
+def f11_normalised(spark, sf):
+    """Vectors of another length brought to unit length."""
+    from feedloom.operators.embed import l2_normalise
+    v = _vectors(spark, sf).select("article_id", F.transform("embedding", lambda x: (x * 3).cast("float")).alias("e"))
+    return v.select("article_id", F.round(F.element_at(l2_normalise(F.col("e")), 1).cast("double"), 5).alias("first"))
+
+
+# ------------------------------------------------------------------ smaller rules
+
+@register("S10_absent_store")
+def s10_absent_store(spark, sf):
+    from feedloom.sources.store import open_store
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("articles")).select(F.lit(name).alias("store"), "articles")
+    absent = open_store(spark, _fresh_root(spark, "absent")).articles
+    return count(open_store(spark, _fixture_store_root(spark, sf)).articles, "fixture").unionByName(count(absent, "absent"))
+
+
+@register("P16_page_arguments")
+def p16_page_arguments(spark, sf):
+    """Which page arguments are accepted, and the rows that they give."""
+    s, out = fixture_store(spark, sf), []
+    for limit, offset in ((0, 0), (500, 0), (501, 0), (-1, 0), (10, -1), (10, 5), (500, 150)):
+        try:
+            n = FD.feed_page(s.articles, s.tags, s.article_tags, None, limit, offset).count()
+        except ValueError:
+            n = None
+        out.append((limit, offset, n is not None, n))
+    return spark.createDataFrame(out, "page_limit int, page_offset int, accepted boolean, n_rows long")
+
+
+@register("U2_failed_batches")
+def u2_failed_batches(spark, sf):
+    """A model that fails on some batches: their articles are left out."""
+    from feedloom.operators.tagging import model_tagger
+    call = lambda rows: None if len(rows[0]["title"]) % 3 == 0 else [["Technology"]]
+    tagged = model_tagger(fixture_store(spark, sf).articles.select("id", "title"), call, batch_size=1, tries=2)
+    return tagged.select("id", F.element_at("tags", 1).alias("tag"))
+
+
+@register("X1_default_rules")
+def x1_default_rules(spark, sf):
+    """The default rules on punctuated phrases."""
+    from feedloom.operators.tagging import tag_articles
+    phrases = ("New AI-powered software.", "AI, startups: what's next", "(Venture capital)", "MACHINE  LEARNING!", "said airtight", "")
+    a = fixture_store(spark, sf).articles.select(
+        "id", F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.col("id") % 6 + 1).cast("int")).alias("title"),
+        F.lit(None).cast("string").alias("summary"))
+    return tag_articles(a).select("id", "tags")
+
+
+@register("X2_blank_text")
+def x2_blank_text(spark, sf):
+    """A blank text gives a null vector for its own row only."""
+    from feedloom.operators.embed import embed
+    a = fixture_store(spark, sf).articles.select(
+        "id", F.when(F.col("id") % 20 == 0, F.lit(" \n")).when(F.col("id") % 10 != 0, F.concat(F.lit("x "), "title")).alias("t"))
+    return embed(a, "id", "t").select("id", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@register("T3_stream_links")
+def t3_stream_links(spark, sf):
+    """Entries landed twice, their links deduplicated by a stream."""
+    from feedloom.streaming.poll import dedup_links, entry_stream, land_rss
+    root, e = _fresh_root(spark, "t3-links"), _landing_items(_entries(spark, sf))
+    for _ in range(2):
+        land_rss(e, f"{root}/landing")
+    links = entry_stream(spark, f"{root}/landing").select("link").where("link <> ''")
+    (dedup_links(links).writeStream.format("parquet").option("checkpointLocation", f"{root}/ck")
+     .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return spark.read.parquet(f"{root}/out")
+
+
+@register("O8_keyset_page")
+def o8_keyset_page(spark, sf):
+    """The page behind a given row, found by its key instead of an offset."""
+    a = fixture_store(spark, sf).articles.select("id", "created_at")
+    order = (F.desc("created_at"), F.asc("id"))
+    last = a.orderBy(*order).offset(30).limit(1).first()
+    return FD.keyset_after(a, last.created_at, last.id).orderBy(*order).limit(25)

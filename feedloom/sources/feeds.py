@@ -9,29 +9,66 @@ quarantine (M7) instead of failing the read.
 
 from __future__ import annotations
 
-from typing import Sequence
+import re
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom import schemas as S
 from feedloom.functions.dates import feed_date_iso
 from feedloom.functions.urls import source_name
+from feedloom.operators.mutate import dense_ids
 
 
-def _with_position(df: DataFrame) -> DataFrame:
-    """Arrival order: file path, then order inside the file."""
-    return (df.withColumn("feed_url", F.col("_metadata.file_path"))
-              .withColumn("pos", F.monotonically_increasing_id()))
+def feed_folder(landing: str, feed_url: str) -> str:
+    """Where the files of a feed land: ``<landing>/feed=<URL, percent-encoded>``."""
+    return f"{landing.rstrip('/')}/feed={quote(feed_url, safe='')}"
 
 
-def read_rss(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """S1 (RSS 2.0): one row per ``<item>`` in ENTRIES shape plus ``_corrupt_record``."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .schema(S.RSS_ITEM).load(paths))
-    return rss_columns(_with_position(raw))
+def feed_of_path(path: Column) -> Column:
+    """The feed URL that a landed file's folder names, or the file's path.
+    (The path column is itself percent-encoded, hence decoded twice.)"""
+    folder = F.regexp_extract(path, r"/feed=([^/]+)/[^/]+$", 1)
+    return F.when(folder != F.lit(""), F.url_decode(F.url_decode(folder))).otherwise(path)
+
+
+def _read_feeds(spark: SparkSession, feeds, row_tag: str, schema) -> DataFrame:
+    """Rows of the feeds' files with ``feed_url`` and ``pos``, the dense
+    arrival number by (order of the feed list, place in the file).
+
+    ``feeds`` is a path, a list of paths, or a list of (feed URL, path)."""
+    feeds = [feeds] if isinstance(feeds, str) else list(feeds)
+    listed = [(i, None, f) if isinstance(f, str) else (i, f[0], f[1]) for i, f in enumerate(feeds)]
+    raw = (spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load([p for _, _, p in listed]))
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    # the list is the caller's; a listed folder or pattern stands for its files
+    files = [(i, url, f) for i, url, p in listed for f in _files_of(spark, p)]
+    order = F.broadcast(spark.createDataFrame(files, "_feed int, _url string, _key string").dropDuplicates(["_key"]))
+    named = (raw.withColumn("_mono", F.monotonically_increasing_id())
+             .withColumn("_key", F.regexp_replace(F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))), r"^file:/+", "/"))
+             .join(order, "_key", "left")
+             .withColumn("feed_url", F.coalesce("_url", feed_of_path(F.col("_path")))))
+    return dense_ids(named, ["_feed", "_path", "_block", "_mono"], 0, "pos")
+
+
+def _files_of(spark: SparkSession, path: str) -> list[str]:
+    """Files that a listed path, folder or pattern stands for."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(p) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [re.sub(r"^file:/+", "/", s.getPath().toString()) for s in inside]
+    return out
+
+
+def read_rss(spark: SparkSession, feeds) -> DataFrame:
+    """S1 + S2 + U1 (RSS 2.0): one row per ``<item>`` of every listed feed, in
+    ENTRIES shape plus ``_corrupt_record``; repeats are kept."""
+    return rss_columns(_read_feeds(spark, feeds, "item", S.RSS_ITEM))
 
 
 def rss_columns(raw: DataFrame) -> DataFrame:
@@ -45,13 +82,9 @@ def rss_columns(raw: DataFrame) -> DataFrame:
         "_corrupt_record")
 
 
-def read_atom(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_atom(spark: SparkSession, feeds) -> DataFrame:
     """S1 (Atom): link is the ``href`` of the first alternate (or only) link."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = (spark.read.format("xml").option("rowTag", "entry").option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .schema(S.ATOM_ENTRY).load(paths))
-    return atom_columns(_with_position(raw))
+    return atom_columns(_read_feeds(spark, feeds, "entry", S.ATOM_ENTRY))
 
 
 def atom_columns(raw: DataFrame) -> DataFrame:
@@ -113,23 +146,15 @@ def summary_fallback(entries: DataFrame) -> DataFrame:
                     .otherwise(F.col("summary")))
 
 
-# Largest number of distinct batch links that is broadcast to probe the store.
-BATCH_LINKS_BROADCAST_MAX = 2_000_000
-
-
 def stored_among(store_links: DataFrame, entries: DataFrame) -> DataFrame:
     """The stored links that this batch mentions, distinct.
 
     The store's link column is the big side: an anti join against it would
-    shuffle all of it every poll.  Instead the batch's distinct links (a
-    poll's worth, counted first) are broadcast and the store is only
-    scanned; what comes back is no larger than the batch.  Above the size
-    bound the plain shuffle join is used."""
-    batch_links = entries.select("link").where(F.col("link").isNotNull()).distinct()
-    stored = store_links.select("link")
-    if batch_links.count() <= BATCH_LINKS_BROADCAST_MAX:
-        return stored.join(F.broadcast(batch_links), "link", "left_semi").distinct()
-    return stored.join(batch_links, "link", "left_semi").distinct()
+    shuffle all of it every poll.  The batch's distinct links are the right
+    side of a semi join, which the planner may broadcast by its own statistics;
+    what comes back is no larger than the batch."""
+    batch_links = entries.select("link").where(F.col("link").isNotNull() & (F.col("link") != F.lit(""))).distinct()
+    return store_links.select("link").join(batch_links, "link", "left_semi").distinct()
 
 
 def new_links_only(entries: DataFrame, store_links: DataFrame) -> DataFrame:
@@ -148,18 +173,30 @@ def clean_entries(entries: DataFrame, store_links: DataFrame | None = None) -> D
         "feed_url", "pos", "title", "summary", "link",
         feed_date_iso(F.col("published_raw")).alias("published"),
         feed_date_iso(F.col("updated_raw")).alias("updated"),
-        source_name(F.col("feed_url")).alias("source"))
+        source_name(F.col("feed_url")).alias("source"), "published_raw", "updated_raw")
+
 
+def ingest_stats(entries: DataFrame, store_links: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Per feed — entries, without link, already stored, new, and new
+    ones with a preview image (``images``: url, og_image).
 
-def ingest_stats(entries: DataFrame, store_links: DataFrame) -> DataFrame:
-    """Per feed — entries, without link, already stored, new."""
-    e = default_fields(entries)
+    Entries without a link never meet a join: as the one key ``''`` they would
+    all land in one task."""
+    e = default_fields(entries).select("feed_url", "link")
+    linked = e.where(F.col("link") != F.lit(""))
     stored = stored_among(store_links, e).withColumn("_stored", F.lit(True))
-    j = e.join(stored, "link", "left")
-    no_link = F.col("link") == F.lit("")
-    is_stored = ~no_link & F.col("_stored").isNotNull()
-    return j.groupBy("feed_url").agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.count(F.when(no_link, 1)).alias("skipped_no_link"),
-        F.count(F.when(is_stored, 1)).alias("skipped_stored"),
-        F.count(F.when(~no_link & ~is_stored, 1)).alias("new_entries"))
+    j = linked.join(stored, "link", "left")
+    has_image = F.lit(False)
+    if images is not None:
+        j = j.join(images.where(F.col("og_image").isNotNull()).select(F.col("url").alias("link"), F.lit(True).alias("_img")),
+                   "link", "left")
+        has_image = F.col("_img").isNotNull()
+    is_new = F.col("_stored").isNull()
+    one = lambda c: F.count(F.when(c, 1))
+    parts = (j.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entries"), F.lit(0).cast("long").alias("skipped_no_link"),
+                                       one(~is_new).alias("skipped_stored"), one(is_new).alias("new_entries"),
+                                       one(is_new & has_image).alias("images_found"))
+             .unionByName(e.where(F.col("link") == F.lit("")).groupBy("feed_url").agg(
+                 F.count(F.lit(1)).alias("entries"), F.count(F.lit(1)).alias("skipped_no_link"),
+                 *(F.lit(0).cast("long").alias(c) for c in ("skipped_stored", "new_entries", "images_found")))))
+    return parts.groupBy("feed_url").agg(*(F.sum(c).alias(c) for c in parts.columns[1:]))

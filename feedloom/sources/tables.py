@@ -11,12 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators.tagging import tag_articles, rules_frame
+from feedloom.functions.urls import SOURCE_NAMES
+from feedloom.operators.tagging import FIXTURE_RULES, rules_frame, tag_articles
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# Hosts of the fixture feeds: those with a source name, and one without.
+FEED_HOSTS = tuple(h for h, _ in SOURCE_NAMES) + ("feed6.example.com",)
+
 EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z in epoch seconds
 
 
@@ -24,34 +28,27 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keyed(df: DataFrame, key: str) -> DataFrame:
-    """Lay a derived store table out like a written one: hash-partitioned by
-    its key over the cluster's parallelism.  (Each driver table is a single
-    Parquet row group, which a scan cannot split; a store at scale is many
-    files.)  Joins and aggregations on the key reuse this partitioning, and
-    the per-row text work downstream runs on every core."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, key)
-
-
 def _ntz_from_epoch(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
 
 def fx_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles store: ties of ten on created_at; published in four styles."""
-    d = keyed(load(spark, sf_dir, "documents"), "doc_id")
+    """Articles store: ties of ten on created_at; published in four styles.
+    Where the summary is null, the title holds the whole text."""
+    d = load(spark, sf_dir, "documents")
     minute_iso = F.date_format(F.timestamp_seconds(F.lit(EPOCH_2024) + d.doc_id * 60),
                                "yyyy-MM-dd'T'HH:mm:ss")
-    m4 = d.doc_id % 4
+    m4, m8 = d.doc_id % 4, d.doc_id % 8
     return d.select(
         (d.doc_id + 1).alias("id"),
-        F.substring(F.split_part(d.text, F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.when(d.doc_id % 7 == 0, d.text)
+         .otherwise(F.substring(F.split_part(d.text, F.lit("\n"), F.lit(1)), 1, 80)).alias("title"),
         F.when(d.doc_id % 7 == 0, F.lit(None).cast("string")).otherwise(d.text).alias("summary"),
         F.concat(F.lit("https://"), d.source, F.lit(".example.com/a/"), d.doc_id.cast("string")).alias("link"),
         F.when(m4 == 0, F.concat(minute_iso, F.lit("Z")))
          .when(m4 == 1, F.concat(minute_iso, F.lit("-06:00")))
          .when(m4 == 2, F.lit(None).cast("string"))
+         .when(m8 == 7, F.lit("08:00:00"))
          .otherwise(F.lit("not a date")).alias("published"),
         F.lit(None).cast("string").alias("updated"),
         d.source.alias("source"),
@@ -64,14 +61,14 @@ def fx_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_tags(spark: SparkSession) -> DataFrame:
     """Tag dimension: the fixture rule table's (id, name)."""
-    return rules_frame(spark).select(
+    return rules_frame(spark, FIXTURE_RULES).select(
         "id", "name", _ntz_from_epoch(F.lit(EPOCH_2024)).alias("created_at"))
 
 
 def fx_article_tags(spark: SparkSession, sf_dir: str, articles: DataFrame | None = None) -> DataFrame:
     """Bridge rows from the rule tagger over title + summary (X1 applied to the store)."""
     a = articles if articles is not None else fx_articles(spark, sf_dir)
-    tagged = tag_articles(a.select("id", "title", "summary", "created_at"), rules=None,
+    tagged = tag_articles(a.select("id", "title", "summary", "created_at"), FIXTURE_RULES,
                           with_ids=True)
     return (tagged
             .select(F.col("id").alias("article_id"), F.explode("tag_ids").alias("tag_id"),
@@ -81,11 +78,13 @@ def fx_article_tags(spark: SparkSession, sf_dir: str, articles: DataFrame | None
 
 
 def fx_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw feed entries from ``events``: repeats, missing fields, three date styles."""
-    e = keyed(load(spark, sf_dir, "events"), "event_id")
-    m4 = e.event_id % 4
+    """Raw feed entries from ``events``: repeats, missing fields, seven date styles."""
+    e = load(spark, sf_dir, "events")
+    m8 = e.event_id % 8
+    iso = F.date_format(e.ts, "yyyy-MM-dd'T'HH:mm:ss")
     return e.select(
-        F.concat(F.lit("https://feed"), (e.user_id % 7).cast("string"), F.lit(".example.com/rss")).alias("feed_url"),
+        F.concat(F.lit("https://"), F.element_at(F.array(*[F.lit(h) for h in FEED_HOSTS]), (e.user_id % 7 + 1).cast("int")),
+                 F.lit("/rss")).alias("feed_url"),
         e.event_id.alias("pos"),
         F.when(e.event_id % 13 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(e.event_type, F.lit(" "), e.user_id.cast("string"))).alias("title"),
@@ -95,9 +94,13 @@ def fx_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e.event_id % 5 == 0, F.lit(""))
          .otherwise(F.concat(F.lit("value "), F.floor(e.value).cast("string"))).alias("summary"),
         e.props.alias("content"),
-        F.when(m4 == 0, F.concat(F.date_format(e.ts, "dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
-         .when(m4 == 1, F.concat(F.date_format(e.ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
-         .when(m4 == 2, F.concat(F.date_format(e.ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        F.when(m8 == 0, F.concat(F.date_format(e.ts, "dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+         .when(m8 == 1, F.concat(F.date_format(e.ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+         .when(m8 == 2, F.concat(iso, F.lit("Z")))
+         .when(m8 == 4, F.concat(F.date_format(e.ts, "EEEE, dd MMM yy HH:mm:ss"), F.lit(" EST")))
+         .when(m8 == 5, F.date_format(e.ts, "HH:mm:ss"))
+         .when(m8 == 6, iso)
+         .when(m8 == 7, F.concat(iso, F.lit("-06:00")))
          .otherwise(F.lit(None).cast("string")).alias("published_raw"),
         F.lit(None).cast("string").alias("updated_raw"),
     )
@@ -105,7 +108,7 @@ def fx_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with preview-image meta tags injected by page_id % 7."""
-    p = keyed(load(spark, sf_dir, "pages"), "page_id")
+    p = load(spark, sf_dir, "pages")
     pid = p.page_id.cast("string")
     m7 = p.page_id % 7
     inject = (F.when(m7 == 0, F.concat(F.lit('<meta property="og:image" content="https://img.example.com/'), pid, F.lit('.png">')))
@@ -113,6 +116,7 @@ def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(m7 == 2, F.concat(F.lit('<meta property="og:image" content="//cdn.example.com/'), pid, F.lit('.png">')))
               .when(m7 == 3, F.concat(F.lit('<meta property="og:image" content=""><meta name="twitter:image" content="t'), pid, F.lit('.png">')))
               .when(m7 == 4, F.concat(F.lit('<meta property="article:image" content="https://a.example.com/'), pid, F.lit('.png">')))
+              .when(m7 == 6, F.concat(F.lit('<meta data-x="a>b" property="og:image" content="/a&#038;b'), pid, F.lit('.png?x=1&gt;2">')))
               .when(m7 == 5, F.lit('<!-- <meta property="og:image" content="/commented.png"> -->'))
               .otherwise(F.lit("")))
     charset = F.lit('<meta charset="utf-8">')
@@ -121,5 +125,5 @@ def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = keyed(load(spark, sf_dir, "embeddings"), "vec_id")
+    v = load(spark, sf_dir, "embeddings")
     return v.select((v.vec_id + 1).alias("article_id"), v.embedding.alias("embedding"))
