@@ -26,11 +26,11 @@ Models with a normalisation table or user-defined pieces are refused.
 
 from __future__ import annotations
 
+import functools
 import gc
 import heapq
 import re
 from array import array
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import slices
 
 MARK = "▁"
-#: Distinct words a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 800_000
+#: Distinct words a task remembers; beyond it the memory starts anew.
+CACHE_WORDS = 600_000
 #: Pairs of pieces whose compatibility a worker remembers.
 CACHE_PAIRS = 1_000_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 UNIGRAM, BPE = 1, 2
 #: Penalty of an unknown character below the worst piece (the library's value).
 UNKNOWN_PENALTY = 10.0
@@ -80,7 +80,7 @@ class Pieces:
         self.names = [p.piece for p in m.pieces]
         self._pairs: dict[int, bool] = {}
 
-    @cached_property
+    @functools.cached_property
     def halves(self) -> dict[str, tuple[str, str] | None]:
         """For each piece that merging its own characters gives back, the two
         parts merged last; None for a single character."""
@@ -92,14 +92,14 @@ class Pieces:
                 out[p] = last
         return out
 
-    @cached_property
+    @functools.cached_property
     def endings(self) -> dict[str, int]:
         """Every ending of a piece, with the id of the piece that it is, or -1.
         Where a part is no ending, no longer piece ends either."""
         usable = self.ids if self.type == UNIGRAM else self.halves
         return dict.fromkeys((p[i:] for p in self.ids for i in range(len(p))), -1) | {p: self.ids[p] for p in usable}
 
-    @cached_property
+    @functools.cached_property
     def strange(self) -> re.Pattern:
         """A character that has no piece of its own."""
         return re.compile("[^" + "".join(map(re.escape, sorted(self.alphabet))) + "]")
@@ -292,45 +292,40 @@ class Pieces:
 class Encoder:
     """Encodes texts, remembering a bounded number of distinct words."""
 
-    def __init__(self, model: bytes):
-        self.pieces = Pieces(model)
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The int32 ids of each text, as bytes."""
-        cut = self.pieces.marked_words
         collecting = gc.isenabled()
         gc.disable()        # a million small lists, no cycles: walking over them again and again is a fifth of the time
         try:
-            return self._encode(texts, cut)
+            return self._encode(texts)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts, cut) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # the words of a very long text are not held, but cut a second time
+        cut = self.pieces.marked_words
+        words = [cut(t) if len(t) <= SLICE_BYTES else None for t in texts]
         distinct = set()
-        for t in texts:
-            distinct.update(cut(t))
+        for t, ws in zip(texts, words):
+            distinct.update(cut(t) if ws is None else ws)
         new = distinct.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, new = {}, distinct
-        del distinct
         for w, ids in self.pieces.encode_words(new).items():
             self.known[w] = array("i", ids).tobytes()
         known = self.known
-        return [b"".join([known[w] for w in cut(t)]) for t in texts]
-
-
-_encoders: dict[int, Encoder] = {}
+        return [b"".join(map(known.__getitem__, cut(t) if ws is None else ws)) for t, ws in zip(texts, words)]
 
 
-def encoder_of(model: bytes) -> Encoder:
-    """The worker's encoder for a model: its words outlive a task."""
-    key = hash(model)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+@functools.lru_cache(maxsize=1)
+def pieces_of(model: bytes) -> Pieces:
+    """The worker's tables of a model, kept from task to task."""
+    return Pieces(model)
 
 
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,7 +338,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     schema = "doc_id long, ids array<int>, n_pieces int, round_trip boolean"
 
     def run(batches):
-        encoder = encoder_of(shared.value)
+        encoder = Encoder(pieces_of(shared.value))
         for whole in batches:
             for b in slices(whole, 1, SLICE_BYTES):
                 texts = [t or "" for t in b.column(1).to_pylist()]
