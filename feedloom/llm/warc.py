@@ -114,7 +114,9 @@ def decide_revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     groups = (rows.where(F.octet_length(payload) >= min_revisit_bytes)
               .groupBy("payload_hash").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("keeper"))
               .where("n > 1").select("payload_hash", "keeper"))
-    return rows.join(groups, "payload_hash", "left")
+    # written first: a join of two plain inputs is one that Spark splits where a
+    # group is large (a join with an aggregate in the same stage is not)
+    return rows.join(stage(groups, "warc-groups"), "payload_hash", "left")
 
 
 def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> DataFrame:
