@@ -92,11 +92,11 @@ def link_weak(parts: DataFrame, reach: int) -> DataFrame:
     weak = parts.where(F.col("kind").isin("secret", "endpoint"))
     strong = parts.where(F.col("kind").isin("access", "secret", "assign")).select(
         F.col("row"), F.col("kind").alias("of"), F.col("start").alias("s"), F.col("end").alias("e"))
-    # a part lies in every stretch that it, widened by the reach, touches
-    first = F.floor(F.greatest(F.col("s") - reach, F.lit(0)) / reach)
-    last = F.floor((F.col("e") + reach) / reach)
-    near = strong.withColumn("stretch", F.explode(F.sequence(first, last)))
-    placed = weak.withColumn("stretch", F.floor(F.col("start") / reach))
+    # parts in one scope share a stretch: a weak part lies in all that it touches,
+    # a strong one in all that it touches when widened by the reach
+    touched = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / reach), F.floor(hi / reach)))
+    near = strong.withColumn("stretch", touched(F.col("s") - reach, F.col("e") + reach))
+    placed = weak.withColumn("stretch", touched(F.col("start"), F.col("end")))
     gap = F.greatest(F.col("start") - F.col("e"), F.col("s") - F.col("end"))
     scope = (placed.join(near, ["row", "stretch"])
              .where((gap <= reach) & ~((F.col("of") == F.col("kind")) & (F.col("s") == F.col("start"))))
