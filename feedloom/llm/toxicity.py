@@ -44,6 +44,8 @@ SLOTS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 #: Texts of a training sample in which a feature occurs at least.
 MIN_TEXTS = 3
+#: Entries (text, feature) summed at once: bounds the memory of a step.
+ENTRIES = 1 << 20
 STEPS = 120
 RATE = 0.08
 #: The L1 term of a feature in units of its chance level: the standard error of
@@ -104,14 +106,19 @@ def minimise(row: np.ndarray, column: np.ndarray, n_rows: int, n_pos: int, w: np
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     is_pos = np.arange(n_rows) < n_pos
     weight_pos, weight_unl = prior / n_pos, 1.0 / (n_rows - n_pos)
+    parts = [(row[i:i + ENTRIES], column[i:i + ENTRIES]) for i in range(0, len(row), ENTRIES)]
     for step in range(1, steps + 1):
-        score = np.bincount(row, weights=w[column], minlength=n_rows) + b
+        score = np.full(n_rows, b)
+        for r, c in parts:
+            score += np.bincount(r, weights=w[c], minlength=n_rows)
         p = 0.5 * (1 + np.tanh(0.5 * score))
         as_clean = np.logaddexp(0, score)                       # l(-)
         clean = weight_unl * as_clean[~is_pos].sum() - weight_pos * as_clean[is_pos].sum()
         toward = np.where(is_pos, -weight_pos * p, weight_unl * p)          # gradient of the clean risk
         g = np.where(is_pos, weight_pos * (p - 1), 0.0) + toward if clean >= 0 else -toward
-        grad = np.append(np.bincount(column, weights=g[row], minlength=len(w)), g.sum())
+        grad = np.append(np.zeros(len(w)), g.sum())
+        for r, c in parts:
+            grad[:-1] += np.bincount(c, weights=g[r], minlength=len(w))
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         scale = rate / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -127,17 +134,20 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     strong L1 term selects features, then those are fitted with a weak one."""
     rows, n_pos = positive + unlabelled, len(positive)
     slots = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    _, column, times = np.unique(slots, return_inverse=True, return_counts=True)
-    often = times[column] >= MIN_TEXTS
-    row = row[often]
-    used, column, times = np.unique(slots[often], return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    times = np.bincount(slots, minlength=SLOTS)
+    used = np.flatnonzero(times >= MIN_TEXTS)
+    often = times[slots] >= MIN_TEXTS
+    place = np.full(SLOTS, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    row, column, times = row[often], place[slots[often]], times[used]
+    del slots, often
     share = times / len(rows)
     chance = prior * np.sqrt(share * (1 - share) / n_pos)
     b = float(np.log(prior / (1 - prior)))
     w, b = minimise(row, column, len(rows), n_pos, np.zeros(len(used)), b, prior, select * chance, steps, rate)
     chosen = np.flatnonzero(w)
-    place = np.full(len(used), -1)
+    place = np.full(len(used), -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     inside = place[column] >= 0
     w, b = minimise(row[inside], place[column[inside]], len(rows), n_pos, w[chosen], b, prior, fit_ * chance[chosen],
