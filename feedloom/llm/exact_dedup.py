@@ -96,6 +96,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .select("content_hash", "text_sha256", "group_size", F.col("first.id").alias("keep_id"),
                       F.when(F.coalesce("n_texts", F.lit(1)) == 1, F.lit(1)).otherwise(
                           F.raise_error(F.lit("two different texts agree in both digests"))).alias("n_texts")))
+    # written first: a join of two plain tables is one that Spark splits where a
+    # group is large (a join with an aggregate in the same stage is not)
+    groups = stage(groups, "exact-groups")
     return (keys.join(groups, ["content_hash", "text_sha256"])
             .where("n_texts = 1")
             .select("doc_id", "text_key", "keep_id", "group_size",
