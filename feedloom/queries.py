@@ -630,7 +630,7 @@ def s8_constraints_clean_store(spark, sf):
 @register("S3_article_scan")
 def s3_article_scan(spark, sf):
     a = fixture_store(spark, sf).articles
-    return a.select("id", "title", "summary", "link", "published").orderBy("id")
+    return a.select("id", "title", "summary", "link", "published")
 
 
 @register("S5_embedding_upsert")
