@@ -18,8 +18,8 @@ document with its component; no list of all pairs of a group is made.
    provisional components, so that a large group of copies mostly falls
    together in one linear step.
 5. Size-banded tiles: where a leader's classes are still of two or more
-   components, they are cut, in order of size, into tiles of bounded rows, and
-   tiles meet only if their sizes allow a link.  Hashed bitmaps bound the
+   components, they are cut into bands of sizes and these into tiles of bounded
+   rows, and tiles meet only if their sizes allow a link.  Hashed bitmaps bound the
    overlap from above: |x & y| <= (|x| + |y| - bits(X xor Y)) / 2.  A pair that
    passes is kept under its smallest common leader alone.
 6. What passes is decided by the exact intersection of the sorted arrays, and
@@ -39,6 +39,7 @@ component unless all ids in it are null; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -288,13 +289,20 @@ def star_pairs(places: DataFrame, sigs: DataFrame, t: Threshold) -> DataFrame:
 
 
 def tile_pairs(places: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
-    """Cut each leader's classes, in order of size, into tiles and give every
-    row to the tile pairs (i, j) that can hold links: adds i, j."""
-    order = Window.partitionBy("lead").orderBy("n", "cls")
-    rows = places.withColumn("tile", F.floor((F.row_number().over(order) - 1) / tile_rows).cast("int"))
-    spans = rows.groupBy("lead", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a = spans.select("lead", F.col("tile").alias("i"), F.col("hi").alias("hi_i"))
-    b = spans.select("lead", F.col("tile").alias("j"), F.col("lo").alias("lo_j"))
+    """Cut each leader's classes into bands of sizes, and large bands by hash,
+    into tiles of about ``tile_rows``; give every row to the tile pairs (i, j)
+    that can hold links: adds i, j.  Bands are counted, not sorted, so a leader
+    with very many classes is no task of its own."""
+    band = F.col("n") if t.num == t.den else F.floor(F.log("n") / math.log(t.den / t.num))
+    rows = places.withColumn("band", band.cast("long"))
+    bands = stage(rows.groupBy("lead", "band").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts")), "ngram-bands")
+    number = lambda part: F.shiftleft("band", 32) + part
+    rows = (rows.join(bands.select("lead", "band", "parts"), ["lead", "band"])
+            .withColumn("tile", number(F.pmod(F.xxhash64("cls"), F.col("parts")))).drop("band", "parts"))
+    tiles = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("tile", number(F.col("part")))
+    a = tiles.select("lead", F.col("tile").alias("i"), F.col("hi").alias("hi_i"))
+    b = tiles.select("lead", F.col("tile").alias("j"), F.col("lo").alias("lo_j"))
     met = a.join(b, "lead").where((F.col("i") <= F.col("j")) & (F.col("hi_i") * t.den >= F.col("lo_j") * t.num))
     sides = met.select("lead", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).select(
         "lead", "i", "j", "tile")
@@ -395,6 +403,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     keys = named.join(names, "component").where("size > 1 or component_id <> least_id or least_id is null").select(
         F.col("set_key"), "component_id")
-    return (sets.join(keys, "set_key", "left")
+    # written first: a join of two plain tables is one that Spark splits where a class is large
+    return (sets.join(stage(keys, "ngram-named"), "set_key", "left")
             .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
