@@ -254,7 +254,7 @@ def _attr(t: str, name: str) -> str:
 
 
 def _unescape(x: str) -> str:
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&#038;", "&"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&#038;", "&"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
         x = f"replace({x}, '{ent}', '{ch}')"
     return x
 
