@@ -289,12 +289,14 @@ def star_pairs(places: DataFrame, sigs: DataFrame, t: Threshold) -> DataFrame:
 
 
 def tile_pairs(places: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
-    """Cut each leader's classes into bands of sizes, and large bands by hash,
-    into tiles of about ``tile_rows``; give every row to the tile pairs (i, j)
-    that can hold links: adds i, j.  Bands are counted, not sorted, so a leader
-    with very many classes is no task of its own."""
+    """Cut the classes of each leader that has more than ``tile_rows`` into
+    bands of sizes, and large bands by hash, into tiles of about that many
+    rows; give every row to the tile pairs (i, j) that can hold links: adds i,
+    j.  Bands are counted, not sorted, so a leader with very many classes is no
+    task of its own.  ``places``: lead, cls, n, component, classes (of the lead)."""
     band = F.col("n") if t.num == t.den else F.floor(F.log("n") / math.log(t.den / t.num))
-    rows = places.withColumn("band", band.cast("long"))
+    band = F.when(F.col("classes") > tile_rows, band).otherwise(0)
+    rows = places.withColumn("band", band.cast("long")).drop("classes")
     bands = stage(rows.groupBy("lead", "band").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts")), "ngram-bands")
     number = lambda part: F.shiftleft("band", 32) + part
@@ -392,8 +394,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     star = components(links).withColumnRenamed("node", "cls")
     placed = places.select("lead", "cls", "n").join(star, "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
-    open_ = placed.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    placed = stage(placed.join(open_.select("lead"), "lead", "left_semi"), "ngram-open")
+    open_ = placed.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                       F.count(F.lit(1)).alias("classes")).where("lo <> hi")
+    placed = stage(placed.join(open_.select("lead", "classes"), "lead"), "ngram-open")
     leads = placed.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads"))
     rows = tile_pairs(placed, t, tile_rows).join(sigs, "cls").join(leads, "cls")
     more = verified(compare_tiles(rows, t), arrays, t)
