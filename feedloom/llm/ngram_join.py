@@ -78,9 +78,10 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     h = span_hashes(data, starts, ends)
     first = np.searchsorted(starts, begins)         # first word of each text
     count = np.diff(first)
-    out = np.zeros(max(0, len(h) - words + 1), dtype=np.uint64)
+    m = max(0, len(h) - words + 1)
+    out = np.zeros(m, dtype=np.uint64)
     for j in range(words):
-        out += h[j:len(h) - words + 1 + j] * _FACTORS[j]
+        out += h[j:j + m] * _FACTORS[j]
     out = mix(out).view(np.int64)
     sets = []
     for f, c in zip(first.tolist(), count.tolist()):
