@@ -2,7 +2,8 @@ r"""Operator 7: Jaccard join on word n-grams, exact, and its components.
 
 A document is the set of its distinct word shingles (64-bit hashes).  Two
 documents link when den * |x & y| >= num * |x | y|.  The answer is one row per
-document with its component; no list of all pairs of a group is made.
+document with its component and its number of links; every link is found and
+counted, but no list of all pairs of a group is made.
 
 1. Equal sets form a class.
 2. Shingles have a fixed total order: those that a sketch over all documents
@@ -14,16 +15,15 @@ document with its component; no list of all pairs of a group is made.
 3. Each prefix shingle is led by the most central class that has it, and a
    class joins the tiles of the leaders of its shingles: two linked classes
    meet in the tile of the leader of a shingle that they share.
-4. Star: a class is tested against one of its leaders.  Verified links give
-   provisional components, so that a large group of copies mostly falls
-   together in one linear step.
-5. Size-banded tiles: where a leader's classes are still of two or more
-   components, they are cut into bands of sizes and these into tiles of bounded
-   rows, and tiles meet only if their sizes allow a link.  Hashed bitmaps bound the
-   overlap from above: |x & y| <= (|x| + |y| - bits(X xor Y)) / 2.  A pair that
-   passes is kept under its smallest common leader alone.
-6. What passes is decided by the exact intersection of the sorted arrays, and
-   the components are completed.
+4. Size-banded tiles: a leader's classes are cut into bands of sizes and these
+   into tiles of bounded rows and shingles, and tiles meet only if their sizes
+   allow a link.  Hashed bitmaps bound the overlap from above:
+   |x & y| <= (|x| + |y| - bits(X xor Y)) / 2.  A pair that passes is kept under
+   its smallest common leader alone.
+5. Classes with such a pair bring their arrays to the tile, which decides by
+   the exact overlap.  It sends one row per linked class: how many documents it
+   links to there, and a class that links lead to.  Sums of the counts are the links, and
+   components are completed from the rest.
 
 No step drops pairs that could link, whatever the size of a group.
 
@@ -59,6 +59,10 @@ TILE_ROWS = 1024
 SKETCH_SLOTS = 1 << 20
 #: A slot is common when a task counts this many, and this many times the mean.
 COMMON_COUNT, COMMON_TIMES = 32, 8
+#: Shingles of a tile.
+TILE_SHINGLES = 1 << 20
+#: Columns of a block of the membership matrix of a tile.
+BLOCK_COLUMNS = 1 << 12
 SLICE_BYTES = 2 << 20
 #: Sets a task remembers to have sent (beyond it, it may send one again).
 SEEN_SETS = 1 << 20
@@ -248,58 +252,29 @@ def members(docs: DataFrame, classes: DataFrame, words: int, bits: int) -> DataF
             .join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
-def verified(pairs: DataFrame, arrays: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, b) whose exact overlap is enough."""
-    a = arrays.select(F.col("cls").alias("a"), F.col("arr").alias("x"))
-    b = arrays.select(F.col("cls").alias("b"), F.col("arr").alias("y"))
-    overlap = F.size(F.array_intersect("x", "y"))
-    return stage(pairs.join(a, "a").join(b, "b").where(t.links(overlap, F.size("x"), F.size("y"))).select("a", "b"),
-                 "ngram-links")
-
-
 def led(tiles: DataFrame) -> DataFrame:
-    """(lead, m, s, cls, n): the classes that join the tile of each leader, the
-    leader's own size m and rank s included.
+    """(lead, cls, n, size): the classes that join the tile of each leader.
 
-    ``tiles``: (cls, n, token, shared), shared the number of the class's
+    ``tiles``: (cls, n, size, token, shared), shared the number of the class's
     shingles that other classes have; the leader of a token has the most."""
-    best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("cls").alias("lead"), F.col("n").alias("m")))
-    leads = tiles.groupBy("token").agg(best.alias("l")).select("token", "l.*")
-    return tiles.join(leads, "token").select("lead", "m", "s", "cls", "n").distinct()
-
-
-def star_pairs(places: DataFrame, sigs: DataFrame, t: Threshold) -> DataFrame:
-    """One pair (a, b) per class: with the most central of its leaders that
-    passes the bound."""
-    pairs = places.where(F.col("cls") != F.col("lead")).where(
-        (F.col("n") * t.den >= F.col("m") * t.num) & (F.col("m") * t.den >= F.col("n") * t.num))
-    x = sigs.select("cls", F.col("sig").alias("p"))
-    y = sigs.select(F.col("cls").alias("lead"), F.col("sig").alias("q"))
-
-    def passing(batches):
-        for b in batches:
-            n, m = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy().astype(np.int64)
-            p, q = ([np.frombuffer(v, dtype=np.uint64) for v in b.column(i).to_pylist()] for i in (5, 6))
-            differ = np.array([np.bitwise_count(folded(u, len(v)) ^ folded(v, len(u))).sum() for u, v in zip(p, q)], dtype=np.int64)
-            yield b.select([0, 1, 2]).filter(pa.array(t.links((n + m - differ) // 2, n, m)))
-
-    near = pairs.join(x, "cls").join(y, "lead").select("cls", "lead", "s", "n", "m", "p", "q").mapInArrow(
-        passing, "cls long, lead long, s long")
-    return near.groupBy(F.col("cls").alias("a")).agg(F.min(F.struct("s", "lead")).alias("l")).select(
-        "a", F.col("l.lead").alias("b"))
-
-
-def tile_pairs(places: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
-    """Cut the classes of each leader that has more than ``tile_rows`` into
-    bands of sizes, and large bands by hash, into tiles of about that many
-    rows; give every row to the tile pairs (i, j) that can hold links: adds i,
-    j.  Bands are counted, not sorted, so a leader with very many classes is no
-    task of its own.  ``places``: lead, cls, n, component, classes (of the lead)."""
+    best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("cls").alias("lead")))
+    leads = tiles.groupBy("token").agg(best.alias("l")).select("token", "l.lead")
+    return tiles.join(leads, "token").select("lead", "cls", "n", "size").distinct()
+
+
+def tile_pairs(places: DataFrame, t: Threshold, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """Cut the classes of each leader that has more than ``tile_rows`` (or
+    ``tile_shingles`` in them) into bands of sizes, and large bands by hash, into
+    tiles of about that many; give every row to the tile pairs (i, j) that can
+    hold links: adds i, j.  Bands are counted, not sorted, so a leader with very
+    many classes is no task of its own.  ``places``: lead, cls, n, size, classes
+    and shingles (of the lead)."""
     band = F.col("n") if t.num == t.den else F.floor(F.log("n") / math.log(t.den / t.num))
-    band = F.when(F.col("classes") > tile_rows, band).otherwise(0)
-    rows = places.withColumn("band", band.cast("long")).drop("classes")
+    band = F.when((F.col("classes") > tile_rows) | (F.col("shingles") > tile_shingles), band).otherwise(0)
+    rows = places.withColumn("band", band.cast("long")).drop("classes", "shingles")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / tile_rows), F.least(F.count(F.lit(1)), F.ceil(F.sum("n") / tile_shingles)))
     bands = stage(rows.groupBy("lead", "band").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.ceil(F.count(F.lit(1)) / tile_rows).alias("parts")), "ngram-bands")
+        F.min("n").alias("lo"), F.max("n").alias("hi"), parts.alias("parts")), "ngram-bands")
     number = lambda part: F.shiftleft("band", 32) + part
     rows = (rows.join(bands.select("lead", "band", "parts"), ["lead", "band"])
             .withColumn("tile", number(F.pmod(F.xxhash64("cls"), F.col("parts")))).drop("band", "parts"))
@@ -328,50 +303,125 @@ def _runs_of(batches):
         yield held.combine_chunks(), np.array([0, held.num_rows])
 
 
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """|sets[x] & sets[y]| of each pair (x, y), exact; y is in order."""
+    rows, sizes = len(sets), np.array([len(s) for s in sets])
+    _, col, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = held > 1                      # what one set alone has is in no overlap
+    number = np.cumsum(several) - 1
+    width = int(several.sum())
+    row, use = np.repeat(np.arange(rows), sizes), several[col]
+    row, col = row[use], number[col[use]]
+    begins = np.searchsorted(row, np.arange(rows + 1))
+    sizes = np.diff(begins)
+    if 30 * sizes[x].sum() > rows * rows * width:
+        # many pairs of like sets: products of the membership matrix
+        order = np.argsort(col, kind="stable")
+        at, among = np.searchsorted(col[order], np.arange(0, width + BLOCK_COLUMNS, BLOCK_COLUMNS)), np.zeros((rows, rows))
+        for k, (lo, hi) in enumerate(zip(at, at[1:])):
+            block = np.zeros((rows, min(BLOCK_COLUMNS, width - k * BLOCK_COLUMNS)), dtype=np.float32)
+            block[row[order[lo:hi]], col[order[lo:hi]] - k * BLOCK_COLUMNS] = 1
+            among += block @ block.T
+        return among[x, y].astype(np.int64)
+    out, marked = np.zeros(len(x), dtype=np.int64), np.zeros(width, dtype=bool)
+    cuts = np.flatnonzero(np.diff(y, prepend=-1, append=-1))
+    for lo, hi in zip(cuts, cuts[1:]):
+        mine = col[begins[y[lo]]:begins[y[lo] + 1]]
+        marked[mine] = True
+        for k in range(lo, hi):
+            out[k] = np.count_nonzero(marked[col[begins[x[k]]:begins[x[k] + 1]]])
+        marked[mine] = False
+    return out
+
+
+def roots(rows: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest row that pairs (x, y) lead to, of each row."""
+    label = np.arange(rows)
+    while True:
+        least, new = np.minimum(label[x], label[y]), label.copy()
+        for side in (x, y, label[x], label[y]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def compare_tiles(rows: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, b) of different components that pass the bound, each under its
-    smallest common leader.  ``rows``: lead, i, j, tile, n, cls, component, sig,
-    leads (the leaders whose tiles the class is in)."""
+    """Compare the classes of each tile pair.  A pair counts under its smallest
+    common leader alone.  ``rows``: lead, i, j, tile, n, cls, size, sig, leads
+    (the leaders whose tiles the class is in), and perhaps arr.
+
+    Without arr: the rows (lead, i, j, tile, n, cls, size) that have a pair
+    which passes the bound.  With arr: (a, b, links), for a class a that has
+    links in the tile, documents it links to there and a class b (perhaps a)
+    that links lead to."""
+    keys, exact = ["lead", "i", "j", "tile", "n", "cls", "size"], "arr" in rows.columns
+
+    def candidates(n, tile, maps, same):
+        """Pairs that pass the bound, in order of y."""
+        sizes, out = np.array([len(v) for v in maps]), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        by_size = {z: (at := np.flatnonzero(sizes == z), np.vstack([maps[k] for k in at])) for z in set(sizes.tolist())}
+        first = np.searchsorted(n * t.den, n * t.num)       # rows are in order of size
+        for y in range(1, len(n)):
+            for z, (at, matrix) in by_size.items():
+                # a smaller set never has the longer bitmap
+                k = np.arange(*np.searchsorted(at, (first[y], y))) if z <= sizes[y] else np.arange(0)
+                k = k if same else k[tile[at[k]] != tile[y]]
+                if not len(k):
+                    continue
+                differ = np.bitwise_count(matrix[k] ^ folded(maps[y], z)).sum(axis=1, dtype=np.int64)
+                x = at[k]
+                x = x[t.links((n[x] + n[y] - differ) // 2, n[x], n[y])]
+                out.append((x, np.full(len(x), y)))
+        return tuple(map(np.concatenate, zip(*out)))
+
     def run(batches):
         for table, cuts in _runs_of(batches):
-            col = {c: table[c].to_numpy() for c in ("lead", "i", "j", "tile", "n", "cls", "component")}
-            sig, leads, out = table["sig"].chunk(0), table["leads"].chunk(0), []
+            col = {c: table[c].to_numpy() for c in keys}
+            sig, leads = table["sig"].chunk(0), table["leads"].chunk(0)
             for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo < 2 or (col["component"][lo:hi] == col["component"][lo]).all():
+                if hi - lo < 2:
                     continue
-                n, comp, tile, cls = (col[c][lo:hi] for c in ("n", "component", "tile", "cls"))
-                lead, same = col["lead"][lo], col["i"][lo] == col["j"][lo]
+                n, tile, cls, size = (col[c][lo:hi] for c in ("n", "tile", "cls", "size"))
+                n = n.astype(np.int64)
                 maps = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in sig.slice(lo, hi - lo)]
-                sizes = np.array([len(v) for v in maps])
-                by_size = {z: (at := np.flatnonzero(sizes == z), np.vstack([maps[k] for k in at])) for z in set(sizes.tolist())}
-                first = np.searchsorted(n.astype(np.int64) * t.den, n.astype(np.int64) * t.num)       # rows are in order of size
-                for y in range(1, hi - lo):
-                    for z, (at, matrix) in by_size.items():
-                        # a smaller set never has the longer bitmap
-                        k = np.arange(*np.searchsorted(at, (first[y], y))) if z <= sizes[y] else np.arange(0)
-                        k = k[(comp[at[k]] != comp[y]) & (same | (tile[at[k]] != tile[y]))]
-                        if not len(k):
-                            continue
-                        differ = np.bitwise_count(matrix[k] ^ folded(maps[y], z)).sum(axis=1, dtype=np.int64)
-                        x = at[k]
-                        x = x[t.links((n[x] + n[y] - differ) // 2, n[x].astype(np.int64), int(n[y]))]
-                        mine = leads[lo + y].values.to_numpy() if len(x) else None
-                        for v in x.tolist():
-                            if np.intersect1d(mine, leads[lo + v].values.to_numpy(), assume_unique=True)[0] == lead:
-                                out.append((cls[v], cls[y]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in out], pa.int64()),
-                                                  pa.array([int(p[1]) for p in out], pa.int64())], names=["a", "b"])
-
-    columns = ("lead", "i", "j", "tile", "n", "cls", "component", "sig", "leads")
+                x, y = candidates(n, tile, maps, col["i"][lo] == col["j"][lo])
+                if len(x):
+                    before = [(v := leads[k].values.to_numpy())[v < col["lead"][lo]] for k in range(lo, hi)]
+                    first = overlaps(before, x, y) == 0
+                    x, y = x[first], y[first]
+                if not exact:
+                    near = np.unique(np.concatenate([x, y]))
+                    if len(near):
+                        yield table.select(keys).take(pa.array(lo + near)).combine_chunks().to_batches()[0]
+                    continue
+                if len(x):
+                    arr = table["arr"].chunk(0)
+                    both = overlaps([arr[k].values.to_numpy() for k in range(lo, hi)], x, y)
+                    linked = t.links(both, n[x], n[y])
+                    x, y = x[linked], y[linked]
+                if len(x):
+                    count = np.zeros(hi - lo, dtype=np.int64)
+                    np.add.at(count, x, size[y])
+                    np.add.at(count, y, size[x])
+                    has = np.flatnonzero(count)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cls[has]), pa.array(cls[roots(hi - lo, x, y)[has]]), pa.array(count[has])],
+                        names=["a", "b", "links"])
+
+    columns = [*keys, "sig", "leads"] + (["arr"] if exact else [])
+    schema = "a long, b long, links long" if exact else rows.select(*keys).schema
     return (rows.select(*columns).repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "n", "cls")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(run, schema))
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id",
-               text_col: str = "text", bits: int = BITS, tile_rows: int = TILE_ROWS) -> DataFrame:
+               text_col: str = "text", bits: int = BITS, tile_rows: int = TILE_ROWS,
+               tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id (smallest doc_id
-    that links lead to, its own included)."""
+    that links lead to, its own included), n_links (other rows that it links
+    with, those with an equal set included)."""
     t = Threshold(*similarity)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
@@ -385,29 +435,28 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
 
     # classes with enough shared shingles; the short prefixes of those
     candidates = (shared.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
-                  .join(groups.select("cls", "n"), "cls").where(F.col("shared") >= t.shared_column()))
+                  .join(groups.select("cls", "n", "size"), "cls").where(F.col("shared") >= t.shared_column()))
     tiles = stage(held_by_two(shared.where("short").drop("short").join(candidates, "cls")), "ngram-tiles")
     places = stage(led(tiles), "ngram-places")
     arrays = stage(members(docs, places.select("cls").distinct(), words, bits), "ngram-members")
-    sigs = arrays.select("cls", "sig")
-
-    links = verified(star_pairs(places, sigs, t), arrays, t)
-    star = components(links).withColumnRenamed("node", "cls")
-    placed = places.select("lead", "cls", "n").join(star, "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls"))
-    open_ = placed.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                       F.count(F.lit(1)).alias("classes")).where("lo <> hi")
-    placed = stage(placed.join(open_.select("lead", "classes"), "lead"), "ngram-open")
+    of_lead = places.groupBy("lead").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")).where("classes > 1")
+    placed = stage(places.join(of_lead, "lead"), "ngram-open")
     leads = placed.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads"))
-    rows = tile_pairs(placed, t, tile_rows).join(sigs, "cls").join(leads, "cls")
-    more = verified(compare_tiles(rows, t), arrays, t)
-    final = components(links.unionByName(more)).withColumnRenamed("node", "cls")
+    leads = stage(leads, "ngram-leads")
+    rows = tile_pairs(placed, t, tile_rows, tile_shingles).join(arrays.select("cls", "sig"), "cls").join(leads, "cls")
+    near = stage(compare_tiles(rows, t), "ngram-near")
+    # the arrays go only where a class has a pair that may link
+    found = stage(compare_tiles(near.join(arrays, "cls").join(leads, "cls"), t), "ngram-links")
+    final = components(found.select("a", "b")).withColumnRenamed("node", "cls")
+    counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
 
     named = groups.join(final, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    keys = named.join(names, "component").where("size > 1 or component_id <> least_id or least_id is null").select(
-        F.col("set_key"), "component_id")
+    keys = (named.join(names, "component").join(counts, "cls", "left")
+            .where("size > 1 or links > 0 or component_id <> least_id or least_id is null")
+            .select("set_key", "component_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     # written first: a join of two plain tables is one that Spark splits where a class is large
     return (sets.join(stage(keys, "ngram-named"), "set_key", "left")
             .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
-                    F.coalesce("component_id", "doc_id").alias("component_id")))
+                    F.coalesce("component_id", "doc_id").alias("component_id"),
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))

@@ -169,4 +169,5 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(to_id) AS componen
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
 def op7_ngram_join(spark, sf):
     from feedloom.llm.ngram_join import ngram_join
-    return ngram_join(table(spark, sf, "documents"), words=4, similarity=(85, 100)).drop("text_key")
+    return ngram_join(table(spark, sf, "documents"), words=4, similarity=(85, 100)).select(
+        "doc_id", "n_shingles", "component_id")
