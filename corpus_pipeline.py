@@ -16,6 +16,8 @@ from feedloom.llm.queries import MIX_TARGETS, PIECE_MODEL
 
 #: Near duplicates in the pipeline: five-word shingles, Jaccard 0.8 or more.
 NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
+#: Slots that the weights of the mix are rounded to, as its test has them.
+MIX_CYCLE = 1000
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the documents in the order of the mix (files and rows in them)."""
     from feedloom.llm.mixing import mix
     carried = {f"_c{i}": F.col(c) for i, c in enumerate(docs.columns)}
-    order = mix(docs, MIX_TARGETS, extra=carried)
+    order = mix(docs, MIX_TARGETS, cycle=MIX_CYCLE, extra=carried)
     return (order.repartitionByRange("position").sortWithinPartitions("position")
             .select(*(F.col(k).alias(c) for k, c in zip(carried, docs.columns))))
 

@@ -7,10 +7,14 @@ the released blocks, the one due first.  With weights that sum to 1 no block
 misses its deadline and none starts before its release, so after any number of
 slots each source has got its share to within less than one block.
 
-Weights are kept as whole shares of a cycle of ``cycle`` slots.  The schedule
-repeats with the cycle, in which every source gets exactly its shares, so one
-cycle is computed and any block's slot follows from it by arithmetic:
-the blocks of a large source need no simulation.  When a source has no blocks left,
+Weights are exact fractions, brought to a common denominator: the cycle, in
+which every source gets exactly its whole shares.  The schedule repeats with
+it, so one cycle is computed and any block's slot follows from it by
+arithmetic: the blocks of a large source need no simulation.  A cycle longer
+than its epoch is computed as far as the epoch goes, so weights without a
+short common denominator cost the driver a step per block.  (A given ``cycle``
+rounds the weights to whole shares of so many slots instead; the shares then
+are off the targets by that rounding.)  When a source has no blocks left,
 its weight goes to the others in proportion and a new epoch starts; no
 document is dropped.  There are at most as many epochs as sources.
 
@@ -29,13 +33,17 @@ read.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
-CYCLE = 1000
+#: A weight is the fraction of at most this denominator that it is a float of
+#: (to its last bits), else the exact value of the float.
+DENOMINATOR, LAST_BITS = 10 ** 6, Fraction(1, 1 << 50)
 #: Hash ranges that a source is numbered in.
 RANGES = 1024
 
@@ -43,7 +51,8 @@ RANGES = 1024
 @dataclass(frozen=True)
 class Share:
     """A source in an epoch: its first block, number of blocks, shares of the
-    cycle, length of the cycle, and the slot in it of each of its shares."""
+    cycle, length of the cycle, and the slot in it of each of its shares, with
+    the window that the slot is in."""
     source: str | None
     epoch: int
     start_slot: int
@@ -52,6 +61,8 @@ class Share:
     shares: int
     cycle: int
     slots: list[int]
+    releases: list[int]
+    deadlines: list[int]
 
 
 def whole_shares(weights: dict, cycle: int) -> dict:
@@ -69,8 +80,22 @@ def whole_shares(weights: dict, cycle: int) -> dict:
     return out
 
 
-def cycle_slots(shares: dict) -> dict:
-    """Earliest deadline first over one cycle: the slots each source gets."""
+def exact_shares(weights: dict) -> dict:
+    """Whole shares in exactly the proportions of the weights."""
+    def fraction(w):
+        near = Fraction(w).limit_denominator(DENOMINATOR)
+        return near if abs(near - Fraction(w)) <= LAST_BITS * Fraction(w) else Fraction(w)
+
+    exact = {s: fraction(w) for s, w in weights.items()}
+    whole = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * whole) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: n // common for s, n in out.items()}
+
+
+def cycle_slots(shares: dict, left: dict | None = None) -> dict:
+    """Earliest deadline first over one cycle: the slots each source gets.
+    With ``left``, it ends with the first source that has had so many."""
     cycle = sum(shares.values())
     names = sorted(shares, key=lambda s: (s is None, str(s)))
     waiting = [(0, n, 1) for n in range(len(names))]        # release, source, block
@@ -82,12 +107,14 @@ def cycle_slots(shares: dict) -> dict:
             heapq.heappush(ready, (-(-i * cycle // shares[names[n]]), n, i))
         deadline, n, i = heapq.heappop(ready)
         out[names[n]].append(t)
+        if left and i == left[names[n]]:
+            break
         if i < shares[names[n]]:
             heapq.heappush(waiting, (i * cycle // shares[names[n]], n, i + 1))
     return out
 
 
-def plan(blocks: dict, targets: dict, cycle: int = CYCLE) -> list[Share]:
+def plan(blocks: dict, targets: dict, cycle: int | None = None) -> list[Share]:
     """The epochs of a mix of sources with so many blocks each."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
@@ -95,14 +122,19 @@ def plan(blocks: dict, targets: dict, cycle: int = CYCLE) -> list[Share]:
     while left:
         weights = {s: targets.get(s, 0) for s in left}
         weights = {s: w for s, w in weights.items() if w > 0} or dict.fromkeys(left, 1)
-        shares = whole_shares(weights, max(cycle, 4 * len(weights)))
-        slots, size = cycle_slots(shares), sum(shares.values())
-        # the epoch ends behind the last block of the source that runs out first
-        end = min((left[s] - 1) // shares[s] * size + slots[s][(left[s] - 1) % shares[s]] for s in weights) + 1
+        shares = whole_shares(weights, max(cycle, 4 * len(weights))) if cycle else exact_shares(weights)
+        slots, size = cycle_slots(shares, {s: left[s] for s in weights}), sum(shares.values())
+        releases = {s: [i * size // shares[s] for i in range(len(x))] for s, x in slots.items()}
+        deadlines = {s: [-(-i * size // shares[s]) for i in range(1, len(x) + 1)] for s, x in slots.items()}
+        if (end := sum(map(len, slots.values()))) < size:   # the epoch is shorter than the cycle
+            shares, size = {s: len(x) for s, x in slots.items()}, end
+        else:
+            # the epoch ends behind the last block of the source that runs out first
+            end = min((left[s] - 1) // shares[s] * size + slots[s][(left[s] - 1) % shares[s]] for s in weights) + 1
         for s in weights:
             n = end // size * shares[s] + sum(x < end % size for x in slots[s])
             if n:
-                out.append(Share(s, epoch, slot, done[s], n, shares[s], size, slots[s]))
+                out.append(Share(s, epoch, slot, done[s], n, shares[s], size, slots[s], releases[s], deadlines[s]))
                 done[s] += n
                 left[s] -= n
                 if not left[s]:
@@ -112,7 +144,7 @@ def plan(blocks: dict, targets: dict, cycle: int = CYCLE) -> list[Share]:
 
 
 def mix(docs: DataFrame, targets: dict, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS,
-        cycle: int = CYCLE, pool_target: float = 0.0, extra: dict[str, Column] | None = None) -> DataFrame:
+        cycle: int | None = None, pool_target: float = 0.0, extra: dict[str, Column] | None = None) -> DataFrame:
     """Per row: doc_id, pool, block (within its pool, from 0), epoch, slot,
     release, deadline and position (order of the mix; unique).
 
@@ -134,8 +166,10 @@ def mix(docs: DataFrame, targets: dict, id_col: str = "doc_id", source_col: str
     weights = dict(targets) | {None: pool_target}
     shares = plan({s: -(-n // block_rows) for s, n in totals.items()}, weights, cycle)
     table = spark.createDataFrame(
-        [(s.source, s.epoch, s.start_slot, s.first_block, s.blocks, s.shares, s.cycle, s.slots) for s in shares],
-        "pool string, epoch int, start_slot long, first_block long, blocks long, shares long, size long, slots array<int>")
+        [(s.source, s.epoch, s.start_slot, s.first_block, s.blocks, s.shares, s.cycle, s.slots, s.releases, s.deadlines)
+         for s in shares],
+        "pool string, epoch int, start_slot long, first_block long, blocks long, shares long, size long, "
+        "slots array<long>, releases array<long>, deadlines array<long>")
 
     within = Window.partitionBy("pool", "range").orderBy("o", "doc_id")
     ranked = rows.withColumn("i", F.row_number().over(within)).alias("r")
@@ -147,9 +181,8 @@ def mix(docs: DataFrame, targets: dict, id_col: str = "doc_id", source_col: str
     here = F.col("block") - F.col("first_block")
     mixed = ranked.join(t, F.col("r.pool").eqNullSafe(F.col("t.pool")) & (here >= 0) & (here < F.col("blocks")))
     lap, nth = F.expr("(block - first_block) div shares"), F.expr("(block - first_block) % shares")
-    slot = F.col("start_slot") + lap * F.col("size") + F.element_at("slots", (nth + 1).cast("int"))
+    at = lambda c: F.col("start_slot") + lap * F.col("size") + F.element_at(c, (nth + 1).cast("int"))
+    slot = at("slots")
     return mixed.select(
-        "doc_id", F.col("r.pool").alias("pool"), "block", "epoch", slot.alias("slot"),
-        (F.col("start_slot") + F.expr("(block - first_block) * size div shares")).alias("release"),
-        (F.col("start_slot") + F.expr("((block - first_block + 1) * size + shares - 1) div shares")).alias("deadline"),
-        (slot * block_rows + F.col("rank") % block_rows).alias("position"), *extra)
+        "doc_id", F.col("r.pool").alias("pool"), "block", "epoch", slot.alias("slot"), at("releases").alias("release"),
+        at("deadlines").alias("deadline"), (slot * block_rows + F.col("rank") % block_rows).alias("position"), *extra)
