@@ -3,12 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and reread as the next stage's ``docs``.  All but the last
 return the columns of ``documents``.  Rows are filtered or put in order, never
-changed; rows without an id are kept unless they are toxic or exact copies.
+changed; the last stage reads the order of the mix from its files and returns
+it as ``position``; rows without an id are kept unless they are toxic or exact copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import stage, text_key
@@ -59,10 +60,24 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(*(F.col(k).alias(c) for k, c in zip(carried, docs.columns))))
 
 
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` as read from the Parquet files of one write, and each row's
+    number (from 0) in the order in which its files and rows were written.  A
+    scan packs files by length, so its own order says nothing."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    number = lambda pattern: F.regexp_extract("_file", pattern, 1).try_cast("long")
+    before = Window.orderBy(number(r"^part-(\d+)-"), number(r"-c(\d+)\."), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).select(
+        "_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(files), "_file"), F.col("_before") + F.col("_row")
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document."""
+    """The pieces of every document, and its position in the mix."""
     from feedloom.llm.pieces import encode_decode
-    return encode_decode(docs, PIECE_MODEL)
+    rows, position = in_file_order(docs)
+    return encode_decode(rows, PIECE_MODEL, extra={"position": position})
 
 
 STAGES = [

@@ -34,8 +34,9 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.llm.common import slices
 
@@ -328,14 +329,19 @@ def pieces_of(model: bytes) -> Pieces:
     return Pieces(model)
 
 
-def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
+                  extra: dict[str, Column] | None = None) -> DataFrame:
     """Per row: doc_id, ids, n_pieces, and whether decoding the ids gives the
-    text back.  The model file is read by the driver and sent to the tasks."""
+    text back.  ``extra`` names columns to carry along.  The model file is read by the driver and sent to the tasks."""
     with open(model_file, "rb") as f:
         model = f.read()
     Pieces(model)   # refuse early
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, ids array<int>, n_pieces int, round_trip boolean"
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"),
+                       *(c.alias(k) for k, c in (extra or {}).items()))
+    schema = T.StructType.fromDDL("doc_id long, ids array<int>, n_pieces int, round_trip boolean")
+    schema = T.StructType([*schema.fields, *rows.schema.fields[2:]])
+    names = schema.names
 
     def run(batches):
         encoder = Encoder(pieces_of(shared.value))
@@ -348,7 +354,6 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 same = [encoder.pieces.decode(np.frombuffer(c, dtype=np.int32).tolist()) == t.replace(MARK, " ")
                         for c, t in zip(coded, texts)]
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(counts), pa.array(same)],
-                                                 names=["doc_id", "ids", "n_pieces", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(counts), pa.array(same), *b.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
