@@ -4,7 +4,8 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and reread as the next stage's ``docs``.  All but the last
 return the columns of ``documents``.  Rows are filtered or put in order, never
 changed; the last stage reads the order of the mix from its files and returns
-it as ``position``; rows without an id are kept unless they are toxic or exact copies.
+it as ``position``; rows without an id are kept unless they are toxic or exact
+or near copies of rows that stay.
 """
 
 from __future__ import annotations
@@ -45,10 +46,13 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document that names each component of near copies."""
+    """Keep one document of each component of near copies: the smallest id, null
+    last, and of equal ids the smallest text key."""
     from feedloom.llm.ngram_join import ngram_join
     found = ngram_join(docs, NEAR_WORDS, NEAR_SIMILARITY)
-    return keep_rows(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    kept = found.where("component is not null").groupBy("component").agg(first.alias("k")).select("k.doc_id", "k.text_key")
+    return keep_rows(docs, kept.unionByName(found.where("component is null").select("doc_id", "text_key")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -421,7 +421,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
                tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id (smallest doc_id
     that links lead to, its own included), n_links (other rows that it links
-    with, those with an equal set included)."""
+    with, those with an equal set included), component (a number of the
+    component that null ids have too; null for an empty set)."""
     t = Threshold(*similarity)
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
@@ -454,9 +455,10 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     keys = (named.join(names, "component").join(counts, "cls", "left")
             .where("size > 1 or links > 0 or component_id <> least_id or least_id is null")
-            .select("set_key", "component_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+            .select("set_key", "component_id", "component", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     # written first: a join of two plain tables is one that Spark splits where a class is large
     return (sets.join(stage(keys, "ngram-named"), "set_key", "left")
             .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    F.when(F.col("n") > 0, F.coalesce("component", "key64")).alias("component")))
