@@ -10,6 +10,7 @@ import os
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -171,3 +172,30 @@ def op7_ngram_join(spark, sf):
     from feedloom.llm.ngram_join import ngram_join
     return ngram_join(table(spark, sf, "documents"), words=4, similarity=(85, 100)).select(
         "doc_id", "n_shingles", "component_id")
+
+
+@register("op13_hard_negatives", r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM a JOIN v c ON c.vec_id <> a.vec_id),
+p AS (
+  SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, own ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.own, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.label <> s.own
+    AND 100 * s.score BETWEEN 80 * p.positive_score AND 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5""")
+def op13_hard_negatives(spark, sf):
+    from feedloom.llm.hard_negatives import hard_negatives
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf, "embeddings").withColumn("label", noisy), lambda i: i % 100 == 0)
