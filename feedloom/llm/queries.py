@@ -199,3 +199,26 @@ def op13_hard_negatives(spark, sf):
     from feedloom.llm.hard_negatives import hard_negatives
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf, "embeddings").withColumn("label", noisy), lambda i: i % 100 == 0)
+
+
+@register("op11_minhash", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+           WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
+reach AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.to_id)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(to_id) AS component_id, doc_id = min(to_id) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
+def op11_minhash(spark, sf):
+    from feedloom.llm.minhash import near_duplicates
+    return near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
