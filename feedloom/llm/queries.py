@@ -222,3 +222,38 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
 def op11_minhash(spark, sf):
     from feedloom.llm.minhash import near_duplicates
     return near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op12_collocations", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g
+  FROM w, range(1, 6) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE len(g) >= 2),
+covered AS (
+  SELECT DISTINCT c.lang, c.g
+  FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, len(g)),
+                 lambda k: list_transform(range(1, len(g) - k + 2), lambda i: g[i:i + k - 1])))) AS part
+        FROM c WHERE len(g) > 2) o
+  JOIN c ON c.lang = o.lang AND c.g = o.part AND 100 * o.f >= 100 * c.f),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, n.n, x.f AS l, y.f AS r,
+         CAST((1000::HUGEINT * c.f * n.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.g ORDER BY (1000::HUGEINT * c.f * n.n) // (x.f::HUGEINT * y.f), k) AS nth
+  FROM c JOIN n USING (lang), range(1, 5) t(k)
+  JOIN f x ON true JOIN f y ON true
+  WHERE k < len(c.g) AND x.lang = c.lang AND y.lang = c.lang AND x.g = c.g[:k] AND y.g = c.g[k + 1:]),
+s AS (
+  SELECT cuts.*, array_to_string(cuts.g, ' ') AS phrase FROM cuts ANTI JOIN covered ON covered.lang = cuts.lang AND covered.g = cuts.g
+  WHERE nth = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM k WHERE rank <= 2000""")
+def op12_collocations(spark, sf):
+    from feedloom.llm.collocations import collocations
+    return collocations(table(spark, sf, "documents"))
