@@ -61,7 +61,7 @@ COORDINATES, POSITIONS = 128, 1 << 20
 #: Chance that a pair which just links is no candidate.
 MISS = 1e-7
 #: Rows and shingles of a tile, rows that meet one copy of a leader's set.
-TILE_ROWS, TILE_SHINGLES, PART_ROWS = 1024, 1 << 20, 4096
+TILE_ROWS, TILE_SHINGLES, PART_ROWS = 1024, 1 << 20, 256
 #: Shingles whose runs are reduced at once; bytes of text taken at once.
 RUN_ROWS, SLICE_BYTES = 2048, 2 << 20
 #: Sets a task remembers to have signed or sent (beyond it, it may do so again).
