@@ -4,9 +4,11 @@ grouping and resolution (D3, D4, A8-A10, A14, M5).
 * D2 first-wins ingest: in arrival order a row is rejected if a stored row
   or an earlier *accepted* row has similarity >= threshold; rejected rows
   suppress nobody; rows without a vector are accepted and suppress nobody.
-  The pairs at or above the threshold are found once, over the first of
-  each group of equal vectors (a cluster of copies is one node), and the
-  choice then iterates on those edges alone.
+  Decided in rounds over the first of each group of equal vectors: undecided
+  rows stream past the tiles of undecided and newly accepted ones and bring
+  back one row each, whether an accepted row is near and which undecided one
+  is the earliest.  No list of similar pairs is made: a cluster of m near
+  copies costs m rows a round and not m squared.
 * D3 greedy groups: in id order, an article not yet processed with a
   vector takes its k=20 nearest (self included) at >= threshold; if any
   other remains, the smallest id of all is the keeper, the rest join the
@@ -19,13 +21,19 @@ grouping and resolution (D3, D4, A8-A10, A14, M5).
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators.fixpoint import first_in_order_independent
-from feedloom.operators.similarity import DEFAULT_BLOCK_ROWS, knn_join, nearest_match, similar_pairs
+from feedloom.operators.similarity import (DEFAULT_BLOCK_ROWS, Layout, Side, _exact_sq, _sq_dist, cells_within, distance_limit,
+                                           knn_join, lay_out, nearest_match, stream_past, vector_rows)
 from feedloom.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 # The callers' similarity threshold and neighbour count.
 DEFAULT_THRESHOLD = 0.70
 DEDUP_K = 20
@@ -35,45 +43,42 @@ DEDUP_K = 20
 
 def ingest_dedup(batch: DataFrame, store_vectors: DataFrame | None, threshold: float = DEFAULT_THRESHOLD,
                  id_col: str = "article_id", pos_col: str = "pos", vec: str = "embedding",
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = DEFAULT_BLOCK_ROWS, hits: DataFrame | None = None) -> DataFrame:
     """D1 + D2: batch ``(id, pos, embedding)`` -> ``(id, pos, accepted,
     duplicate_id, similarity, reason)``.  A rejected row names the most
     similar row that was stored before it came: one of the store (``reason``
     'store') or an earlier accepted one of the batch ('batch'), ties to the
-    smaller id."""
+    smaller id.  ``hits`` (id, y, similarity) may give the matches in the store
+    instead of its vectors."""
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
     rows = batch.select(F.col(id_col).alias("id"), F.col(pos_col).alias("pos"), F.col(vec).alias("embedding"))
     vecs = rows.where(F.col("embedding").isNotNull()).withColumn("key", F.md5(F.to_json("embedding"))).checkpoint()
 
-    hits = spark.createDataFrame([], "id long, y long, similarity double")
+    if hits is None:
+        hits = spark.createDataFrame([], "id long, y long, similarity double")
+    else:
+        hits = hits.select("id", "y", "similarity").checkpoint()
     if store_vectors is not None:
         store = store_vectors.select(F.col("article_id").alias("sid"), F.col("embedding"))
         hits = nearest_match(vecs, store, threshold, batch_id="id", store_id="sid", block_rows=block_rows).select(
             F.col("x").alias("id"), F.col("duplicate_id").alias("y"), "similarity").checkpoint()
 
-    # equal vectors: only the first of each can be accepted, and it stands for
-    # all of them in the similarity pairs, which are found once
-    place = vecs.select("id", "pos", "key")
-    first = place.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("f")).select("key", "f.*")
-    pairs = similar_pairs(vecs.join(first.select("id"), "id", "left_semi"), threshold, "id",
-                          block_rows=block_rows).select("x", "y", "similarity").checkpoint()
-    free = first.select("id", "pos").join(hits.select("id"), "id", "left_anti")
-    x, y = free.select(F.col("id").alias("x"), F.col("pos").alias("xp")), free.select(F.col("id").alias("y"), F.col("pos").alias("yp"))
-    before = pairs.join(x, "x").join(y, "y").where("yp < xp").select(F.col("y").alias("src"), F.col("x").alias("dst"))
-    accepted = (first_in_order_independent(free.select(F.col("id").alias("node")), before).where("chosen")
-                .select(F.col("node").alias("y")).join(y, "y").checkpoint())
-
-    # what each row that is not accepted matched in the batch
-    met = pairs.join(accepted, "y").select(F.col("x").alias("rep"), "y", "yp", "similarity").unionByName(
-        accepted.select(F.col("y").alias("rep"), "y", "yp", F.lit(1.0).alias("similarity")))
-    rep = place.join(first.select("key", F.col("id").alias("rep")), "key").select("id", "pos", "rep")
-    in_batch = rep.join(met, "rep").where((F.col("yp") < F.col("pos")) & (F.col("y") != F.col("id")))
+    # equal vectors: only the first of each can be accepted
+    first = vecs.groupBy("key").agg(F.min(F.struct("pos", "id")).alias("f")).select("f.id")
+    free = first.join(hits.select("id"), "id", "left_anti")
+    at = lay_out(vector_rows(vecs.join(free, "id", "left_semi"), "id", "embedding", F.col("pos")), block_rows)
+    accepted, in_batch = spark.createDataFrame([], "id long"), spark.createDataFrame([], "id long, y long, similarity double")
+    if at is not None:
+        sent = cells_within(vector_rows(vecs, "id", "embedding", F.col("pos")), at, distance_limit(threshold)).checkpoint()
+        accepted = first_wins(sent, at, threshold)
+        # what each row that is not accepted matched in the batch
+        in_batch = (stream_past(sent.join(accepted, "id", "left_anti"), at, _nearest_before(threshold), "id long, y long, similarity double",
+                                right=at.rows.join(accepted, "id", "left_semi")))
     best = (hits.withColumn("reason", F.lit("store"))
-            .unionByName(in_batch.select("id", "y", "similarity").withColumn("reason", F.lit("batch")))
+            .unionByName(in_batch.withColumn("reason", F.lit("batch")))
             .groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "y", "similarity", "reason")).alias("b")))
-    out = rows.select("id", "pos").join(best, "id", "left").join(accepted.select(F.col("y").alias("id"), F.lit(True).alias("in")),
-                                                                 "id", "left")
+    out = rows.select("id", "pos").join(best, "id", "left").join(accepted.withColumn("in", F.lit(True)), "id", "left")
     rejected = F.col("in").isNull() & F.col("b").isNotNull()
     return out.select(F.col("id").alias(id_col), F.col("pos").alias(pos_col), (~rejected).alias("accepted"),
                       F.when(rejected, F.col("b.y")).alias("duplicate_id"),
@@ -81,6 +86,79 @@ def ingest_dedup(batch: DataFrame, store_vectors: DataFrame | None, threshold: f
                       F.when(rejected, F.col("b.reason")).alias("reason"))
 
 
+def _near_before(left: Side, tile: Side, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left row, tile row, similarity) of the pairs at the threshold whose tile
+    row arrived first."""
+    near = _sq_dist(left.vec, tile.vec) <= (2.0 * (1.0 - threshold) + 1e-9 if threshold > 0 else np.inf)
+    r, c = np.nonzero(near & (tile.ord[None, :] < left.ord[:, None]))
+    d = np.sqrt(_exact_sq(left.vec[r], tile.vec[c]))
+    sim = np.maximum(0.0, 1.0 - d * d / 2.0)
+    keep = sim >= threshold
+    return r[keep], c[keep], sim[keep]
+
+
+def _first_of_runs(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(keys, prepend=-1))
+
+
+def _blockers(threshold: float):
+    """Per left row: whether an accepted tile row (mark 1) comes before it, and
+    the earliest undecided one."""
+    def fn(tile: Side, left: Side):
+        r, c, _ = _near_before(left, tile, threshold)
+        if not len(r):
+            return None
+        order = np.lexsort((tile.id[c], tile.ord[c], 1 - tile.mark[c], r))
+        r, c = r[order], c[order]
+        top = _first_of_runs(r)
+        r, c = r[top], c[top]
+        return {"id": left.id[r], "done": tile.mark[c].astype(np.int32), "ord": tile.ord[c], "y": tile.id[c]}
+    return fn
+
+
+def _nearest_before(threshold: float):
+    """Per left row: the most similar tile row that came before it."""
+    def fn(tile: Side, left: Side):
+        r, c, sim = _near_before(left, tile, threshold)
+        if not len(r):
+            return None
+        order = np.lexsort((tile.id[c], -sim, r))
+        r, c, sim = r[order], c[order], sim[order]
+        top = _first_of_runs(r)
+        return {"id": left.id[r[top]], "y": tile.id[c[top]], "similarity": sim[top]}
+    return fn
+
+
+def first_wins(sent: DataFrame, at: Layout, threshold: float) -> DataFrame:
+    """(id) of the accepted ones among the rows of the layout, in arrival order
+    (``ord``).  ``sent``: those rows (and perhaps others) with their cells.
+
+    A round accepts the undecided rows that no accepted or undecided row comes
+    before at the threshold, and rejects those before which an accepted one
+    does; a row whose earliest undecided predecessor is accepted goes at once.
+    An accepted row is compared in the round after that and never again."""
+    undecided, fresh, parts, rounds = at.rows.select("id").checkpoint(), None, [], 0
+    remaining = undecided.count()
+    while remaining:
+        rounds += 1
+        right = at.rows.join(undecided, "id", "left_semi").withColumn("mark", F.lit(0))
+        if fresh is not None:
+            right = right.unionByName(at.rows.join(fresh, "id", "left_semi").withColumn("mark", F.lit(1)))
+        met = stream_past(sent.join(undecided, "id", "left_semi"), at, _blockers(threshold), "id long, done int, ord long, y long", right=right)
+        blocked = met.groupBy("id").agg(F.max("done").alias("done"), F.min(F.when(F.col("done") == 0, F.struct("ord", "y"))).alias("first"))
+        blocked = blocked.select("id", "done", "first.y").checkpoint()
+        fresh = undecided.join(blocked.select("id"), "id", "left_anti").checkpoint()
+        parts.append(fresh)
+        waiting = blocked.where("done = 0").join(fresh.select(F.col("id").alias("y")), "y", "left_anti")
+        undecided = waiting.select("id").checkpoint()
+        remaining = undecided.count()
+        log.info("first wins, round %d: %d undecided", rounds, remaining)
+    out = parts[0] if parts else undecided
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.checkpoint() if len(parts) > 1 else out
+
+
 # ------------------------------------------------------------------ D3
 
 def neighbours(vectors: DataFrame, threshold: float = DEFAULT_THRESHOLD, k: int = DEDUP_K,

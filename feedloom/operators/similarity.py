@@ -1,22 +1,25 @@
-"""Exact nearest-neighbour joins as tiles of matrix products.
+"""Exact nearest-neighbour joins as streams past tiles.
 
 Spark has no vector join, and a cross join with per-pair expressions is
-quadratic *rows*.  Here both sides are laid out in cells around pivots (a
-bounded number of the vectors themselves), large cells are cut into tiles of
-at most about ``block_rows`` vectors, and every pair of tiles that can hold a
-match is one cogroup task: one NumPy matrix product that returns a bounded
-result per left row.
-
-* By the triangle inequality two cells whose pivots lie further apart than
-  both radii plus the distance limit hold no match; those pairs of tiles are
-  never made.  The limit follows from the similarity threshold, so the join
-  stays exact.  (Vectors without any structure give no pruning; an exact join
-  of those is quadratic work whatever the plan.)
-* There are enough pivots for every core to get work on small inputs too.
-  There is one plan for every size, and no side passes through the driver:
+quadratic *rows*.  Here the right side is laid out in cells around pivots (a
+bounded number of its own vectors), and large cells are cut into tiles of about
+``block_rows`` vectors.  A left row is sent to the cells that can hold a match,
+and streams past their tiles: a task holds one tile and a slice of left rows,
+does one NumPy matrix product, and returns a bounded result per row.  A tile is
+copied only so often that no task has more than ``PART_ROWS`` rows to stream.
+
+* A cell is left out for a row where the triangle inequality (distance to the
+  pivot less the cell's radius) or the plane half-way between the cell's pivot
+  and the row's own puts every vector of it beyond the row's bound.
+* The bound of a top-k join is found by a first pass: a row meets the nearest
+  cells that hold k vectors, and its k-th best there bounds what the second
+  pass looks for.  A similarity threshold bounds all rows alike.  The join is
+  exact with or without either.  (Vectors without any structure give no
+  pruning; an exact join of those is quadratic work whatever the plan.)
+* There is one plan for every size, and no side passes through the driver:
   what does is the pivots and one row of counts per cell.
 * No pair list is made by the top-k join: a task emits at most ``k`` rows per
-  left row, and partial results merge through ``WindowGroupLimit``.
+  left row and tile, and partial results merge through ``WindowGroupLimit``.
 
 Distances are L2 in double precision; the similarity is the reference's
 ``max(0, 1 - d²/2)`` (cosine for unit vectors, F11).  Top-k is taken by
@@ -29,17 +32,21 @@ equals "threshold then top-k" (exact).
 from __future__ import annotations
 
 import math
-from typing import Callable
+from typing import Callable, NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 4096
-# Upper bound of the pivots, and so of what reaches the driver and is broadcast.
-MAX_PIVOTS = 128
+#: Upper bound of the pivots, and so of what reaches the driver and is broadcast.
+MAX_PIVOTS = 2048
+#: Left rows that stream past one copy of a tile; rows taken at once.
+PART_ROWS, SLICE_ROWS = 8192, 1024
+#: Slack of the distance bounds against rounding.
+SLACK = 1e-6
 
 
 def similarity_from_distance(d):
@@ -52,122 +59,218 @@ def distance_limit(threshold: float | None) -> float:
     return math.inf if threshold is None or threshold <= 0 else math.sqrt(max(0.0, 2.0 * (1.0 - threshold)))
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows of a list column as float64."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def _pivots(vectors: DataFrame, id_col: str, vec_col: str, n: int) -> np.ndarray:
-    """At most ``n`` of the vectors, chosen by a hash of the id."""
-    rows = vectors.orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(n).select(vec_col).toPandas()
-    return _matrix(rows[vec_col])
+def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    an = np.einsum("ij,ij->i", a, a)
+    bn = np.einsum("ij,ij->i", b, b)
+    d2 = an[:, None] + bn[None, :] - 2.0 * (a @ b.T)
+    np.maximum(d2, 0.0, out=d2)
+    return d2
 
 
-def _placed(df: DataFrame, vec: str, cell: str, pivots) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it (``cell``_r)."""
-    schema = T.StructType([*df.schema.fields, T.StructField(cell, T.IntegerType()), T.StructField(f"{cell}_r", T.DoubleType())])
+def _exact_sq(a_rows: np.ndarray, b_rows: np.ndarray) -> np.ndarray:
+    diff = a_rows - b_rows
+    return np.einsum("ij,ij->i", diff, diff)
 
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at:at + 1024]
-                d2 = _sq_dist(_matrix(part[vec]), pivots.value)
-                near = d2.argmin(axis=1)
-                yield part.assign(**{cell: near.astype(np.int32), f"{cell}_r": np.sqrt(d2[np.arange(len(near)), near])})
 
-    return df.mapInPandas(run, schema)
+# ------------------------------------------------------------------ cells
 
+class Layout(NamedTuple):
+    """A side laid out in cells: ``rows`` (id, vec, ord, mark, cell), and for
+    the tasks and the driver pivots, radius, vectors and tiles of each cell."""
+    rows: DataFrame
+    shared: object
+    cells: DataFrame
 
-def _cells(placed: DataFrame, cell: str, block_rows: int) -> dict[int, tuple[float, int]]:
-    """Radius and number of tiles of each cell (one row per pivot)."""
-    rows = placed.groupBy(cell).agg(F.max(f"{cell}_r").alias("r"), F.count(F.lit(1)).alias("n")).collect()
-    return {r[cell]: (r["r"], max(1, -(-r["n"] // block_rows))) for r in rows}
 
+def vector_rows(df: DataFrame, id_col: str, vec_col: str, ord_col: Column | None = None, mark: Column | None = None) -> DataFrame:
+    """(id, vec, ord, mark) of the rows that have a vector; ``ord`` and ``mark``
+    are numbers that the compared sides may use."""
+    zero = F.lit(0)
+    return df.where(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+        (zero if ord_col is None else ord_col).cast("long").alias("ord"), (zero if mark is None else mark).cast("int").alias("mark"))
 
-def tile_apply(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-               schema: str, limit: float, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """``fn(left tile, right tile)`` for every pair of tiles that can hold two
-    vectors within ``limit``.  ``left`` has columns ``(lid, lvec, ...)`` and
-    ``right`` ``(rid, rvec, ...)``; both are read more than once."""
-    spark = left.sparkSession
-    n = right.count()
-    pieces = max(-(-n // block_rows), math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
-    points = _pivots(right, "rid", "rvec", min(MAX_PIVOTS, pieces))
-    if not len(points):
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(points)
-    l, r = _placed(left, "lvec", "lc", shared), _placed(right, "rvec", "rc", shared)
-    lcells, rcells = _cells(l, "lc", block_rows), _cells(r, "rc", block_rows)
-    apart = np.sqrt(_sq_dist(points, points))
-    met = [(a, b, nl, nr) for a, (ra, nl) in lcells.items() for b, (rb, nr) in rcells.items()
-           if apart[a, b] <= ra + rb + limit + 1e-6]
-    pairs = F.broadcast(spark.createDataFrame(met, "lc int, rc int, ln int, rn int"))   # at most MAX_PIVOTS squared
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lrep = (l.join(pairs, "lc").withColumn("lt", F.pmod(F.xxhash64("lid"), F.col("ln")).cast("int"))
-            .withColumn("rt", upto("rn")).drop("lc_r", "ln", "rn"))
-    rrep = (r.join(pairs.select(F.col("lc").alias("lc2"), "rc", F.col("ln").alias("ln2"), F.col("rn").alias("rn2")), "rc")
-            .withColumn("rt2", F.pmod(F.xxhash64("rid"), F.col("rn2")).cast("int")).withColumn("lt2", upto("ln2"))
-            .withColumnRenamed("rc", "rc2").drop("rc_r", "ln2", "rn2"))
-    return (lrep.groupBy("lc", "lt", "rc", "rt").cogroup(rrep.groupBy("lc2", "lt2", "rc2", "rt2"))
-            .applyInPandas(lambda x, y: fn(x, y), schema))
 
+def _per_slice(df: DataFrame, vec: str, name: str, kind: T.DataType, fn) -> DataFrame:
+    """Add column ``name`` = fn(vectors, batch) computed on slices of rows."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
-def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    an = np.einsum("ij,ij->i", a, a)
-    bn = np.einsum("ij,ij->i", b, b)
-    d2 = an[:, None] + bn[None, :] - 2.0 * (a @ b.T)
-    np.maximum(d2, 0.0, out=d2)
-    return d2
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
+                new = fn(_matrix(part.column(part.schema.get_field_index(vec))), part)
+                yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, name])
 
+    return df.mapInArrow(run, schema)
 
-def _exact_sq(a_rows: np.ndarray, b_rows: np.ndarray) -> np.ndarray:
-    diff = a_rows - b_rows
-    return np.einsum("ij,ij->i", diff, diff)
 
+def lay_out(right: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> Layout | None:
+    """Cells of ``right`` (id, vec, ord, mark); None if it is empty."""
+    spark = right.sparkSession
+    n = right.count()
+    pieces = min(MAX_PIVOTS, max(-(-n // block_rows), math.ceil(math.sqrt(spark.sparkContext.defaultParallelism))))
+    chosen = right.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(pieces).select("vec").toArrow()
+    if not chosen.num_rows:
+        return None
+    points = np.unique(_matrix(chosen["vec"].combine_chunks()), axis=0)     # equal pivots are one
+    pivots = spark.sparkContext.broadcast(points)
+
+    def nearest(x, _):
+        d2 = _sq_dist(x, pivots.value)
+        at = d2.argmin(axis=1)
+        return pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.sqrt(d2[np.arange(len(at)), at]))], ["cell", "r"])
+
+    kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType())])
+    rows = _per_slice(right, "vec", "at", kind, nearest).select("id", "vec", "ord", "mark", "at.cell", "at.r").checkpoint()
+    radius, count = np.full(len(points), -math.inf), np.zeros(len(points), dtype=np.int64)
+    for r in rows.groupBy("cell").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect():     # one row per pivot
+        radius[r.cell], count[r.cell] = r.r, r.n
+    tiles = [(c, int(-(-m // block_rows))) for c, m in enumerate(count.tolist()) if m]
+    cells = spark.createDataFrame(tiles, "cell int, tiles int")
+    return Layout(rows.drop("r"), spark.sparkContext.broadcast((points, radius, count, np.sqrt(_sq_dist(points, points)))), cells)
+
+
+def nearest_cells(left: DataFrame, at: Layout, k: int) -> DataFrame:
+    """Add ``cells``: the cells of the nearest pivots, up to k vectors in all."""
+    shared = at.shared
+
+    def choose(x, _):
+        points, _, count, _ = shared.value
+        d2 = _sq_dist(x, points)
+        d2[:, count == 0] = np.inf
+        order = np.argsort(d2, axis=1, kind="stable")
+        held = np.cumsum(count[order], axis=1) - count[order]
+        return _lists(order, (held < k) & (count[order] > 0))
+
+    return _per_slice(left, "vec", "cells", T.ArrayType(T.IntegerType()), choose)
+
+
+def cells_within(left: DataFrame, at: Layout, limit: float = math.inf) -> DataFrame:
+    """Add ``cells``: the cells that can hold a vector within ``limit``, and
+    within ``bound`` if left has that column (null: none is known); those in
+    ``seen``, if it has that, are left out."""
+    shared = at.shared
+
+    def choose(x, part):
+        points, radius, count, apart = shared.value
+        d2 = _sq_dist(x, points)
+        own = d2.argmin(axis=1)
+        near = d2[np.arange(len(x)), own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.nan_to_num((d2 - near[:, None]) / (2 * apart[own]), nan=0.0, posinf=0.0, neginf=0.0)
+        least = np.maximum(np.sqrt(d2) - radius, plane)
+        most = np.full(len(x), limit)
+        names = part.schema.names
+        if "bound" in names:
+            most = np.minimum(most, np.nan_to_num(part.column(names.index("bound")).to_numpy(zero_copy_only=False), nan=np.inf))
+        use = (least <= most[:, None] + SLACK) & (count > 0)
+        if "seen" in names:
+            seen = part.column(names.index("seen"))
+            use[np.repeat(np.arange(len(x)), np.diff(seen.offsets.to_numpy())), seen.flatten().to_numpy()] = False
+        return _lists(np.broadcast_to(np.arange(len(points)), use.shape), use)
+
+    return _per_slice(left, "vec", "cells", T.ArrayType(T.IntegerType()), choose)
+
+
+def _lists(cells: np.ndarray, use: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, cells[use].astype(np.int32))
+
+
+class Side(NamedTuple):
+    """Rows of a tile, or of a slice that streams past it."""
+    id: np.ndarray
+    vec: np.ndarray
+    ord: np.ndarray
+    mark: np.ndarray
+
+
+def stream_past(left: DataFrame, at: Layout, fn: Callable[[Side, Side], dict | None], schema: str,
+                right: DataFrame | None = None) -> DataFrame:
+    """``fn(tile, left rows)`` for every tile of the cells that a left row
+    names.  ``left``: id, vec, ord, mark, cells.  ``right`` (rows of the layout,
+    perhaps with other marks) takes the place of all its rows.  What ``fn``
+    returns are columns of ``schema``."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    sent = left.select("id", "vec", "ord", "mark", F.explode("cells").alias("cell"))
+    # one row per cell
+    parts = sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    plan = F.broadcast(at.cells.join(parts, "cell"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    side = lambda n: F.lit(n).alias("side")
+    rest = ("id", "vec", "ord", "mark")
+    rows = at.rows if right is None else right
+    held = rows.join(plan, "cell").select("cell", of("tiles").alias("tile"), upto("parts").alias("part"), side(0), *rest)
+    past = sent.join(plan, "cell").select("cell", upto("tiles").alias("tile"), of("parts").alias("part"), side(1), *rest)
+
+    def run(batches):
+        tile = last = None
+        for b in batches:
+            keys = [b.column(i).to_numpy() for i in range(4)]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if b.num_rows else np.zeros(0, int)
+            for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
+                key = tuple(k[lo] for k in keys[:3]) if hi > lo else last
+                if key != last:
+                    tile, last = None, key
+                for a in range(lo, hi, SLICE_ROWS):
+                    p = b.slice(a, min(SLICE_ROWS, hi - a))
+                    here = Side(p.column(4).to_numpy(), _matrix(p.column(5)), p.column(6).to_numpy(), p.column(7).to_numpy())
+                    if keys[3][lo] == 0:
+                        tile = here if tile is None else Side(*map(np.concatenate, zip(tile, here)))
+                    elif tile is not None:
+                        out = fn(tile, here)
+                        if out is not None:
+                            yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in names], names=names)
+
+    return (held.unionByName(past).repartition("cell", "tile", "part").sortWithinPartitions("cell", "tile", "part", "side")
+            .mapInArrow(run, schema))
+
+
+# ------------------------------------------------------------------ top-k
 
 def _topk_fn(k: int | None, max_d2: float | None, exclude_self: bool):
     """Per left row its ``k`` nearest (all, if None) within the limit."""
-    empty = pd.DataFrame({"x": pd.Series([], dtype="int64"), "y": pd.Series([], dtype="int64"),
-                          "distance": pd.Series([], dtype="float64")})
-
-    def fn(ldf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if len(ldf) == 0 or len(rdf) == 0:
-            return empty
-        a, b = _matrix(ldf["lvec"]), _matrix(rdf["rvec"])
-        lid = ldf["lid"].to_numpy(dtype=np.int64)
-        rid = rdf["rid"].to_numpy(dtype=np.int64)
-        d2 = _sq_dist(a, b)
+    def fn(tile: Side, left: Side):
+        d2 = _sq_dist(left.vec, tile.vec)
         if exclude_self:
-            d2[lid[:, None] == rid[None, :]] = np.inf
+            d2[left.id[:, None] == tile.id[None, :]] = np.inf
         kk = d2.shape[1] if k is None else min(k, d2.shape[1])
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         cand = d2 <= (kth[:, None] + 1e-9)
         if max_d2 is not None:
             cand &= d2 <= max_d2 + 1e-9
         rows, cols = np.nonzero(cand)
-        if len(rows) == 0:
-            return empty
-        exact = _exact_sq(a[rows], b[cols])
+        exact = _exact_sq(left.vec[rows], tile.vec[cols])
         if exclude_self:
-            exact[lid[rows] == rid[cols]] = np.inf
+            exact[left.id[rows] == tile.id[cols]] = np.inf
         keep = np.isfinite(exact)
         if max_d2 is not None:
             keep &= (1.0 - exact / 2.0) >= (1.0 - max_d2 / 2.0) - 1e-12
         rows, cols, exact = rows[keep], cols[keep], exact[keep]
-        order = np.lexsort((rid[cols], exact, rows))
+        if not len(rows):
+            return None
+        order = np.lexsort((tile.id[cols], exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         # rank inside each left row, keep the first k
         start = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-        counts = np.diff(np.r_[start, len(rows)])
-        rank = np.arange(len(rows)) - np.repeat(start, counts)
+        rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
         sel = rank < kk
-        return pd.DataFrame({"x": lid[rows[sel]], "y": rid[cols[sel]],
-                             "distance": np.sqrt(exact[sel])})
+        return {"x": left.id[rows[sel]], "y": tile.id[cols[sel]], "distance": np.sqrt(exact[sel])}
 
     return fn
 
 
+PAIRS = "x long, y long, distance double"
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None,
              left_id: str = "article_id", right_id: str = "article_id",
              vec: str = "embedding", exclude_self: bool = False,
@@ -175,16 +278,25 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, threshold: float | None
     """For every left row its ``k`` nearest right rows by L2 (ties by id),
     then those with similarity >= ``threshold``.  Output
     ``(x, y, distance, similarity)``; null vectors take no part."""
-    l = left.where(F.col(vec).isNotNull()).select(F.col(left_id).alias("lid"), F.col(vec).alias("lvec"))
-    r = right.where(F.col(vec).isNotNull()).select(F.col(right_id).alias("rid"), F.col(vec).alias("rvec"))
-    max_d2 = None if threshold is None else 2.0 * (1.0 - threshold)
-    if threshold is not None and threshold <= 0:
-        max_d2 = None
-    part = tile_apply(l, r, _topk_fn(k, max_d2, exclude_self), "x long, y long, distance double",
-                      distance_limit(threshold), block_rows)
+    spark = left.sparkSession
+    l, r = vector_rows(left, left_id, vec), vector_rows(right, right_id, vec)
+    max_d2 = None if threshold is None or threshold <= 0 else 2.0 * (1.0 - threshold)
+    fn, limit = _topk_fn(k, max_d2, exclude_self), distance_limit(threshold)
+    at = lay_out(r, block_rows)
+    if at is None:
+        return spark.createDataFrame([], PAIRS + ", similarity double")
     w = Window.partitionBy("x").orderBy(F.col("distance").asc(), F.col("y").asc())
-    top = part.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-    out = top.withColumn("similarity", similarity_from_distance(F.col("distance")))
+    best = lambda df: df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    first = nearest_cells(l, at, k + 1 if exclude_self else k).checkpoint()
+    found = best(stream_past(first, at, fn, PAIRS)).drop("_r").checkpoint()
+    # a row with k neighbours looks no further than the last of them
+    bound = found.groupBy("x").agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+    rest = first.withColumnRenamed("cells", "seen").join(bound.select(F.col("x").alias("id"), "bound"), "id", "left")
+    rest = cells_within(rest, at, limit).where(F.size("cells") > 0).checkpoint()
+    out = found
+    if not rest.isEmpty():
+        out = best(found.unionByName(stream_past(rest, at, fn, PAIRS))).drop("_r")
+    out = out.withColumn("similarity", similarity_from_distance(F.col("distance")))
     if threshold is not None:
         out = out.where(F.col("similarity") >= F.lit(threshold))   # P13, inclusive
     return out
@@ -203,12 +315,14 @@ def nearest_match(batch: DataFrame, store: DataFrame, threshold: float,
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, vec: str = "embedding",
                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Every pair ``(x, y, distance, similarity)``, x <> y in both directions,
-    with similarity >= ``threshold``.  For vectors of which equal ones have
-    been grouped; null vectors take no part."""
-    l = vectors.select(F.col(id_col).alias("lid"), F.col(vec).alias("lvec")).where("lvec is not null")
-    r = vectors.select(F.col(id_col).alias("rid"), F.col(vec).alias("rvec")).where("rvec is not null")
+    with similarity >= ``threshold``.  Quadratic in the size of a group of near
+    copies: nothing in the library builds on it."""
+    rows = vector_rows(vectors, id_col, vec)
+    at = lay_out(rows, block_rows)
+    if at is None:
+        return vectors.sparkSession.createDataFrame([], PAIRS + ", similarity double")
     max_d2 = 2.0 * (1.0 - threshold) if threshold > 0 else None
-    part = tile_apply(l, r, _topk_fn(None, max_d2, True), "x long, y long, distance double",
-                      distance_limit(threshold), block_rows)
+    sent = cells_within(rows, at, distance_limit(threshold))
+    part = stream_past(sent, at, _topk_fn(None, max_d2, True), PAIRS)
     return part.withColumn("similarity", similarity_from_distance(F.col("distance"))).where(
         F.col("similarity") >= F.lit(threshold))
