@@ -4,9 +4,12 @@ The reference asks a language model to pick one or more tags out of a
 closed list and to drop articles that fit none.  Here the tagger is a rule
 table ``(id, name, phrase)`` matched natively on the normalised text (title
 and summary in lower case, runs of anything but letters and digits as one
-space, a space at both ends): the rule table rides in
-the projection as a literal array, so tagging is a map-only step with no
-join and no Python.  An external model can be plugged in through
+space, a space at both ends): the rules ride in the projection, so tagging is
+a map-only step with no join and no Python.  The text is normalised once per
+article.  A few rules are one ``contains`` each; more are hashed by the first
+word of their phrase: the words of an article are looked up in the set of first
+words, and only the rules that begin with a word at hand are tested, so the
+cost does not grow with the rules.  An external model can be plugged in through
 ``model_tagger`` (``mapInPandas``), with the batch size and tries as
 parameters.
 """
@@ -58,9 +61,40 @@ def rules_frame(spark: SparkSession, rules: Sequence[tuple] = DEFAULT_RULES) ->
     return spark.createDataFrame(list(rules), RULE_TYPE).dropDuplicates(["id", "name"])
 
 
-def _rules_literal(rules: Sequence[tuple]) -> Column:
-    return F.array(*[F.struct(F.lit(int(i)).cast("long").alias("id"), F.lit(n).alias("name"),
-                              F.lit(p).alias("phrase")) for i, n, p in rules])
+#: Up to this many rules are tested one by one.
+FEW_RULES = 24
+RULE = "struct<pos:int,id:bigint,name:string,phrase:string>"
+
+
+def _rule(pos: int, rule: tuple) -> Column:
+    i, name, phrase = rule
+    return F.struct(F.lit(pos).alias("pos"), F.lit(int(i)).cast("long").alias("id"), F.lit(name).alias("name"), F.lit(phrase).alias("phrase"))
+
+
+def first_word(phrase: str) -> str | None:
+    """The word that a text must have to hold ``phrase``; None for a phrase that
+    may begin inside a word or end inside its first."""
+    parts = phrase.split(" ")
+    return parts[1] if len(parts) > 2 and parts[0] == "" and parts[1] else None
+
+
+def _hits(text: Column, rules: Sequence[tuple]) -> Column:
+    """The rules whose phrase the text holds, in rule order."""
+    rules = list(enumerate(rules))
+    by_word: dict[str, list] = {}
+    if len(rules) > FEW_RULES:
+        for pos, rule in rules:
+            if (w := first_word(rule[2])) is not None:
+                by_word.setdefault(w, []).append(_rule(pos, rule))
+    tested = [(pos, rule) for pos, rule in rules if not by_word or first_word(rule[2]) is None]
+    hits = (F.array_compact(F.array(*[F.when(F.contains(text, F.lit(r[2])), _rule(pos, r)) for pos, r in tested]))
+            if tested else F.array().cast(f"array<{RULE}>"))
+    if by_word:
+        table = F.create_map(*[x for w, rs in by_word.items() for x in (F.lit(w), F.array(*rs))])
+        present = F.filter(F.array_distinct(F.split(text, " ")), lambda w: w.isin(*by_word))
+        begun = F.flatten(F.transform(present, lambda w: F.element_at(table, w)))
+        hits = F.array_sort(F.concat(hits, F.filter(begun, lambda r: F.contains(text, r["phrase"]))))
+    return hits
 
 
 def tag_text(title: Column, summary: Column) -> Column:
@@ -75,13 +109,14 @@ def tag_articles(df: DataFrame, rules: Sequence[tuple] | None = None,
     """Add ``tags array<string>`` (distinct, rule order); optionally ``tag_ids``.
     ``rules`` default to ``DEFAULT_RULES``."""
     rules = DEFAULT_RULES if rules is None else rules
-    text = tag_text(F.col(title), F.col(summary))
-    hit = F.filter(_rules_literal(rules), lambda r: F.contains(text, r["phrase"]))
-    out = df.withColumn("_hits", hit)
-    out = out.withColumn("tags", F.array_distinct(F.transform("_hits", lambda r: r["name"])))
+    free = [c for c in ("_tag_text", "_tag_hits", "_tag_text_", "_tag_hits_", "_tag_text__", "_tag_hits__") if c not in df.columns]
+    text_col, hits_col = free[:2]
+    out = df.withColumn(text_col, tag_text(F.col(title), F.col(summary)))
+    out = out.withColumn(hits_col, _hits(F.col(text_col), rules)).drop(text_col)
+    out = out.withColumn("tags", F.array_distinct(F.transform(hits_col, lambda r: r["name"])))
     if with_ids:
-        out = out.withColumn("tag_ids", F.array_distinct(F.transform("_hits", lambda r: r["id"])))
-    return out.drop("_hits")
+        out = out.withColumn("tag_ids", F.array_distinct(F.transform(hits_col, lambda r: r["id"])))
+    return out.drop(hits_col)
 
 
 def discard_untagged(df: DataFrame, tags: str = "tags") -> DataFrame:
