@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import slices, utf8_list
+from feedloom.llm.common import slices, text_key, utf8_list
 from feedloom.llm.hashing import joined, runs, span_hashes
 
 MAX_POSITIVES = 3000
@@ -169,6 +169,24 @@ class Model:
         return 0.5 * (1 + np.tanh(0.5 * total))
 
 
+def sample_texts(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fold, text) of the texts to train on: of ``positives`` (id) fold -1, of
+    all texts the number of a classifier; none held out.  A row for each (id,
+    text), so an id with many rows counts as its texts do and a repeated row
+    once, and the sizes are bounded by the parameters above."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), text.alias("text"))
+    rows = rows.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    pairs = rows.select("id", "key").distinct()
+    order = F.xxhash64("id", "key", F.lit(5))
+    pos = (pairs.join(positives, "id", "left_semi").orderBy(order, "id", "key").limit(MAX_POSITIVES)
+           .withColumn("fold", F.lit(-1)))
+    unl = (pairs.orderBy(order, "id", "key").limit(MAX_UNLABELLED * CLASSIFIERS)
+           .withColumn("fold", F.pmod(F.xxhash64("id", "key", F.lit(6)), F.lit(CLASSIFIERS)).cast("int")))
+    sample = F.broadcast(pos.unionByName(unl))
+    return rows.join(sample, ["id", "key"]).dropDuplicates(["id", "key", "fold"]).select("fold", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic") -> Model:
     """Train on the rows that are not held out."""
@@ -178,14 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .groupBy("id").agg(F.max("y").alias("y")))
     prior = known.agg(F.avg("y")).first()[0]
     prior = min(max(DEFAULT_PRIOR if prior is None else prior, 0.001), 0.9)
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    order = F.xxhash64("id", F.lit(5))
-    pos = known.where("y = 1").select("id").orderBy(order, "id").limit(MAX_POSITIVES).withColumn("fold", F.lit(-1))
-    unl = (ids.orderBy(order, "id").limit(MAX_UNLABELLED * CLASSIFIERS)
-           .withColumn("fold", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(CLASSIFIERS)).cast("int")))
-    # the sample's ids: bounded by the parameters above
-    sample = F.broadcast(pos.unionByName(unl))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id")
+    texts = sample_texts(docs, known.where("y = 1").select("id"), id_col, text_col)
 
     def featurise(batches):
         for whole in batches:
