@@ -12,10 +12,8 @@ which every source gets exactly its whole shares.  The schedule repeats with
 it, so one cycle is computed and any block's slot follows from it by
 arithmetic: the blocks of a large source need no simulation.  A cycle longer
 than its epoch is computed as far as the epoch goes, so weights without a
-short common denominator cost the driver a step per block.  (A given ``cycle``
-rounds the weights to whole shares of so many slots instead; the shares then
-are off the targets by that rounding.)  When a source has no blocks left,
-its weight goes to the others in proportion and a new epoch starts; no
+short common denominator cost the driver a step per block.  When a source has
+no blocks left, its weight goes to the others in proportion and a new epoch starts; no
 document is dropped.  There are at most as many epochs as sources.
 
 What reaches the driver is one count per target (sources without a target are
@@ -65,21 +63,6 @@ class Share:
     deadlines: list[int]
 
 
-def whole_shares(weights: dict, cycle: int) -> dict:
-    """Whole shares of the cycle by largest remainder, at least one each."""
-    total = sum(weights.values())
-    exact = {s: w * cycle / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    while sum(out.values()) != cycle:
-        if sum(out.values()) < cycle:
-            for s in order[:cycle - sum(out.values())]:
-                out[s] += 1
-        else:
-            out[max(out, key=lambda s: (out[s], str(s)))] -= 1
-    return out
-
-
 def exact_shares(weights: dict) -> dict:
     """Whole shares in exactly the proportions of the weights."""
     def fraction(w):
@@ -114,7 +97,7 @@ def cycle_slots(shares: dict, left: dict | None = None) -> dict:
     return out
 
 
-def plan(blocks: dict, targets: dict, cycle: int | None = None) -> list[Share]:
+def plan(blocks: dict, targets: dict) -> list[Share]:
     """The epochs of a mix of sources with so many blocks each."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
@@ -122,7 +105,7 @@ def plan(blocks: dict, targets: dict, cycle: int | None = None) -> list[Share]:
     while left:
         weights = {s: targets.get(s, 0) for s in left}
         weights = {s: w for s, w in weights.items() if w > 0} or dict.fromkeys(left, 1)
-        shares = whole_shares(weights, max(cycle, 4 * len(weights))) if cycle else exact_shares(weights)
+        shares = exact_shares(weights)
         slots, size = cycle_slots(shares, {s: left[s] for s in weights}), sum(shares.values())
         releases = {s: [i * size // shares[s] for i in range(len(x))] for s, x in slots.items()}
         deadlines = {s: [-(-i * size // shares[s]) for i in range(1, len(x) + 1)] for s, x in slots.items()}
@@ -144,19 +127,20 @@ def plan(blocks: dict, targets: dict, cycle: int | None = None) -> list[Share]:
 
 
 def mix(docs: DataFrame, targets: dict, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS,
-        cycle: int | None = None, pool_target: float = 0.0, extra: dict[str, Column] | None = None) -> DataFrame:
+        pool_target: float = 0.0, tie: Column | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """Per row: doc_id, pool, block (within its pool, from 0), epoch, slot,
     release, deadline and position (order of the mix; unique).
 
     ``targets`` maps sources to weights, ``pool_target`` is the weight of all
-    other sources together.  ``extra`` names columns to carry along."""
+    other sources together.  Rows with one id are in the order of ``tie``, if
+    given, which must tell them apart.  ``extra`` names columns to carry along."""
     spark = docs.sparkSession
     extra = extra or {}
     source = F.col(source_col).cast("string")
     order = F.xxhash64(F.col(id_col).cast("long"), F.lit(17))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.when(source.isin(*targets), source).alias("pool"),
-        order.alias("o"), *(c.alias(k) for k, c in extra.items()))
+        order.alias("o"), (F.lit(0) if tie is None else tie).alias("t"), *(c.alias(k) for k, c in extra.items()))
     rows = rows.withColumn("range", F.pmod(F.shiftright("o", 32), F.lit(RANGES)).cast("int"))
 
     counts = rows.groupBy("pool", "range").agg(F.count(F.lit(1)).alias("n"))
@@ -164,14 +148,14 @@ def mix(docs: DataFrame, targets: dict, id_col: str = "doc_id", source_col: str
     offsets = counts.select("pool", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     totals = {r.pool: r.n for r in counts.groupBy("pool").agg(F.sum("n").alias("n")).collect()}
     weights = dict(targets) | {None: pool_target}
-    shares = plan({s: -(-n // block_rows) for s, n in totals.items()}, weights, cycle)
+    shares = plan({s: -(-n // block_rows) for s, n in totals.items()}, weights)
     table = spark.createDataFrame(
         [(s.source, s.epoch, s.start_slot, s.first_block, s.blocks, s.shares, s.cycle, s.slots, s.releases, s.deadlines)
          for s in shares],
         "pool string, epoch int, start_slot long, first_block long, blocks long, shares long, size long, "
         "slots array<long>, releases array<long>, deadlines array<long>")
 
-    within = Window.partitionBy("pool", "range").orderBy("o", "doc_id")
+    within = Window.partitionBy("pool", "range").orderBy("o", "doc_id", "t")
     ranked = rows.withColumn("i", F.row_number().over(within)).alias("r")
     # both tables are bounded by the number of targets: targets x RANGES, targets x targets
     o, t = F.broadcast(offsets).alias("f"), F.broadcast(table).alias("t")
