@@ -18,15 +18,18 @@ from feedloom.llm.queries import MIX_TARGETS, PIECE_MODEL
 
 #: Near duplicates in the pipeline: five-word shingles, Jaccard 0.8 or more.
 NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
-#: Slots that the weights of the mix are rounded to, as its test has them.
-MIX_CYCLE = 1000
+
+
+def free_names(docs: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``docs`` has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    return [f"_k{i}" for i in range(n + len(taken)) if f"_k{i}" not in taken][:n]
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) is among ``kept`` (doc_id,
     text_key), one of each repeated row."""
-    free = iter(f"_k{i}" for i in range(1000) if f"_k{i}" not in docs.columns)
-    a, b = next(free), next(free)
+    a, b = free_names(docs, 2)
     no_id = F.lit(-(1 << 63))
     rows = docs.withColumn(a, F.coalesce("doc_id", no_id)).withColumn(b, text_key(F.col("text")))
     keys = kept.select(F.coalesce("doc_id", no_id).alias(a), F.col("text_key").alias(b))
@@ -59,7 +62,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the documents in the order of the mix (files and rows in them)."""
     from feedloom.llm.mixing import mix
     carried = {f"_c{i}": F.col(c) for i, c in enumerate(docs.columns)}
-    order = mix(docs, MIX_TARGETS, cycle=MIX_CYCLE, extra=carried)
+    order = mix(docs, MIX_TARGETS, tie=text_key(F.col("text")), extra=carried)
     return (order.repartitionByRange("position").sortWithinPartitions("position")
             .select(*(F.col(k).alias(c) for k, c in zip(carried, docs.columns))))
 
@@ -68,13 +71,15 @@ def in_file_order(docs: DataFrame) -> tuple[DataFrame, Column]:
     """``docs`` as read from the Parquet files of one write, and each row's
     number (from 0) in the order in which its files and rows were written.  A
     scan packs files by length, so its own order says nothing."""
-    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    number = lambda pattern: F.regexp_extract("_file", pattern, 1).try_cast("long")
-    before = Window.orderBy(number(r"^part-(\d+)-"), number(r"-c(\d+)\."), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    file, row, before, n = free_names(docs, 4)
+    rows = docs.select("*", docs.metadataColumn("_metadata").getField("file_name").alias(file),
+                       docs.metadataColumn("_metadata").getField("row_index").alias(row))
+    number = lambda pattern: F.regexp_extract(file, pattern, 1).try_cast("long")
+    earlier = Window.orderBy(number(r"^part-(\d+)-"), number(r"-c(\d+)\."), file).rowsBetween(Window.unboundedPreceding, -1)
     # one row per file
-    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).select(
-        "_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(files), "_file"), F.col("_before") + F.col("_row")
+    files = rows.groupBy(file).agg(F.count(F.lit(1)).alias(n)).select(
+        file, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    return rows.join(F.broadcast(files), file), F.col(before) + F.col(row)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
