@@ -52,9 +52,10 @@ from feedloom.llm.hashing import joined, mix, runs, span_hashes
 LONGEST, LEAST, REPORT = 5, 100, 2000
 #: A longer phrase covers a candidate with this many hundredths of its count.
 COVER = 100
-SLICE_BYTES = 4 << 20
-#: Bits of the bitmap of frequent hashes: 16 for each, these at least and at most.
-FEWEST_BITS, MOST_BITS = 20, 28
+SLICE_BYTES, OUT_ROWS = 4 << 20, 1 << 16
+#: The bitmap of frequent hashes has a bit for each of these shifts of a hash,
+#: about 32 bits per hash, and 2 ** these at least and at most.
+PROBES, FEWEST_BITS, MOST_BITS = (0, 18, 36), 20, 28
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -89,8 +90,10 @@ class Words:
             h += self.words[j:j + m] * _FACTORS[j]
         return mix(h).view(np.int64), self.piece[:m] == self.piece[n - 1:n - 1 + m]
 
-    def text(self, at: int, n: int) -> list[str]:
-        return [self.data[self.starts[i]:self.ends[i]].tobytes().decode() for i in range(at, at + n)]
+    def texts(self, at: np.ndarray, n: int) -> list[list[str]]:
+        """The n words from each of the given ones on."""
+        data, of = self.data.tobytes(), at[:, None] + np.arange(n)
+        return [[data[a:b].decode() for a, b in zip(x, y)] for x, y in zip(self.starts[of].tolist(), self.ends[of].tolist())]
 
 
 def _words(batches):
@@ -109,7 +112,7 @@ def frequent_hashes(docs: DataFrame, n: int, least: int, shorter: DataFrame | No
             h, use = w.phrases(n)
             if shared is not None:
                 part, _ = w.phrases(n - 1)
-                known = in_bitmap(shared.value, part)
+                known = maybe(shared.value, part)
                 use = use & known[:len(h)] & known[1:1 + len(h)]
             h, count = np.unique(h[use], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(count.astype(np.int64))], names=["h", "c"])
@@ -119,8 +122,25 @@ def frequent_hashes(docs: DataFrame, n: int, least: int, shorter: DataFrame | No
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """Bitmap of the hashes, sized by their number within fixed bounds."""
-    bits = min(MOST_BITS, max(FEWEST_BITS, (16 * hashes.count()).bit_length()))
-    return key_bitmap(hashes, "h", 1 << bits)
+    bits = min(MOST_BITS, max(FEWEST_BITS, (32 * hashes.count()).bit_length()))
+    probes = F.explode(F.array(*[F.shiftrightunsigned("h", s) for s in PROBES]))
+    return key_bitmap(hashes.select(probes.alias("h")), "h", 1 << bits)
+
+
+def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """True where a hash may be among those of the bitmap (never a false no)."""
+    out = in_bitmap(bits, h)
+    for s in PROBES[1:]:
+        on = np.flatnonzero(out)
+        out[on] = in_bitmap(bits, (h[on].view(np.uint64) >> np.uint64(s)).view(np.int64))
+    return out
+
+
+def _absent(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which keys are not in the sorted ``among``."""
+    if not len(among):
+        return np.ones(len(keys), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] != keys
 
 
 def exact_counts(docs: DataFrame, hashes: DataFrame, longest: int, least: int) -> DataFrame:
@@ -129,20 +149,31 @@ def exact_counts(docs: DataFrame, hashes: DataFrame, longest: int, least: int) -
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(hashes))
 
     def run(batches):
+        # a phrase is read once in a task and counted by its hash; what is held is at most the task's own text
+        total: dict[str, int] = {}
+        seen, phrases, hashes, counts = np.zeros(0, np.int64), [], [], []
         for w in _words(batches):
-            total = np.bincount(w.lang, minlength=len(w.names))
-            langs, texts, counts = list(w.names), [[] for _ in w.names], total.tolist()
+            for lang, c in zip(w.names, np.bincount(w.lang, minlength=len(w.names)).tolist()):
+                total[lang] = total.get(lang, 0) + c
             for n in range(1, longest + 1):
                 h, use = w.phrases(n)
-                at = np.flatnonzero(use & in_bitmap(shared.value, h))
-                _, first, count = np.unique(h[at], return_index=True, return_counts=True)
-                first = at[first].tolist()
-                langs += [w.names[k] for k in w.lang[first]] if first else []
-                texts += [w.text(i, n) for i in first]
-                counts += count.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(counts, pa.int64())],
-                names=["lang", "words", "c"])
+                at = np.flatnonzero(use & maybe(shared.value, h))
+                h, first, count = np.unique(h[at], return_index=True, return_counts=True)
+                hashes.append(h)
+                counts.append(count)
+                new = _absent(h, seen)
+                if new.any():
+                    at = at[first[new]]
+                    phrases += [(k, w.names[lang], words) for k, lang, words in zip(h[new].tolist(), w.lang[at].tolist(), w.texts(at, n))]
+                    seen = np.sort(np.concatenate([seen, h[new]]))
+        hashes, at = np.unique(np.concatenate([seen[:0], *hashes]), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([np.zeros(0), *counts]), minlength=len(hashes)).astype(np.int64)
+        rows = [(lang, [], c) for lang, c in total.items()]
+        rows += [(lang, words, int(sums[np.searchsorted(hashes, k)])) for k, lang, words in phrases]
+        for k in range(0, len(rows), OUT_ROWS):
+            langs, words, c = zip(*rows[k:k + OUT_ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(c, pa.int64())],
+                                             names=["lang", "words", "c"])
 
     rows = docs.mapInArrow(run, "lang string, words array<string>, c long")
     return rows.groupBy("lang", "words").agg(F.sum("c").alias("f")).where((F.col("f") >= least) | (F.size("words") == 0))
