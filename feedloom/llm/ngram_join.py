@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import in_bitmap, key_bitmap, slices, stage, text_key, utf8_list
+from feedloom.llm.common import in_bitmap, key_bitmap, slices, stage, text_key, unstage, utf8_list
 from feedloom.llm.components import components
 from feedloom.llm.hashing import joined, mix, runs, span_hashes
 
@@ -438,16 +438,20 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     candidates = (shared.groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
                   .join(groups.select("cls", "n", "size"), "cls").where(F.col("shared") >= t.shared_column()))
     tiles = stage(held_by_two(shared.where("short").drop("short").join(candidates, "cls")), "ngram-tiles")
+    unstage(shared)
     places = stage(led(tiles), "ngram-places")
+    unstage(tiles)
     arrays = stage(members(docs, places.select("cls").distinct(), words, bits), "ngram-members")
     of_lead = places.groupBy("lead").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")).where("classes > 1")
     placed = stage(places.join(of_lead, "lead"), "ngram-open")
+    unstage(places)
     leads = placed.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads"))
     leads = stage(leads, "ngram-leads")
     rows = tile_pairs(placed, t, tile_rows, tile_shingles).join(arrays.select("cls", "sig"), "cls").join(leads, "cls")
     near = stage(compare_tiles(rows, t), "ngram-near")
     # the arrays go only where a class has a pair that may link
     found = stage(compare_tiles(near.join(arrays, "cls").join(leads, "cls"), t), "ngram-links")
+    unstage(placed, near, arrays, leads)
     final = components(found.select("a", "b")).withColumnRenamed("node", "cls")
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
 
