@@ -23,7 +23,7 @@ def strip_ws(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     """True when null or whitespace only."""
-    return c.isNull() | (strip_ws(c) == F.lit(""))
+    return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
 def embed_text(title: Column, summary: Column) -> Column:
@@ -63,3 +63,8 @@ def clean_html(page: Column) -> Column:
     out = unescape_entities(out)
     out = F.regexp_replace(out, r"(?U)\s+", " ")
     return strip_ws(out)
+
+
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)

@@ -29,6 +29,16 @@ FEED_COLUMNS = ("id", "title", "summary", "link", "published", "updated", "sourc
 TAG_PAGE_COLUMNS = ("id", "title", "summary", "link", "published", "updated", "created_at")
 
 
+#: Rows of a tag table up to which it is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (a count that
+    stops there); a larger one is left to the planner and its skew join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # ---------------------------------------------------------------- arguments
 
 def check_page_args(limit: int, offset: int) -> None:
@@ -58,6 +68,14 @@ def tag_counts(tags: DataFrame, article_tags: DataFrame) -> DataFrame:
             .orderBy(F.desc("article_count"), F.asc("name")))
 
 
+def tag_counts_kept(tags: DataFrame, counts: DataFrame) -> DataFrame:
+    """A1 from kept counts (``store.kept_tag_counts``): the same rows, without
+    reading the bridge."""
+    return (tags.join(counts, tags.id == counts.tag_id, "left")
+            .select(tags.name.alias("name"), F.coalesce(counts.n, F.lit(0)).cast("long").alias("article_count"))
+            .orderBy(F.desc("article_count"), F.asc("name")))
+
+
 def popular_tags(tags: DataFrame, article_tags: DataFrame, limit: int = 10) -> DataFrame:
     """A2/O4 (J3): tags used at least once, count desc, name asc, top ``limit``."""
     per_tag = article_tags.groupBy("tag_id").agg(F.count("article_id").alias("n"))
@@ -137,8 +155,8 @@ def tags_per_article(tags: DataFrame, article_tags: DataFrame,
     bridge = article_tags.select("article_id", "tag_id")
     if article_ids is not None:
         bridge = bridge.join(article_ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    # the tag dimension is the closed vocabulary: a hot tag_id never shuffles
-    named = bridge.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), "name")), "tag_id")
+    # with a vocabulary of a checked size a hot tag_id never shuffles
+    named = bridge.join(small(tags.select(F.col("id").alias("tag_id"), "name")), "tag_id")
     return named.groupBy("article_id").agg(F.array_sort(F.collect_list("name")).alias("tags"))
 
 
@@ -181,15 +199,64 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: An offset from here on is found by counts; ranges counted at once; rows that
+#: a range is narrowed down to where its values allow.
+DEEP_OFFSET, RANGES, RANGE_ROWS = 10_000, 4096, 10_000
+
+
 def _page_keys(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
                tag, limit: int, offset: int) -> DataFrame:
     """The page's ``(id, created_at)`` only: the tag join and the top-k never
     carry article text (a popular tag may cover a third of the store)."""
     keys = filter_by_tags(articles.select("id", "created_at"), tags, article_tags, tag)
+    if offset >= DEEP_OFFSET:
+        keys, offset = range_of_page(keys, limit, offset)
     ordered = _newest_first(keys)
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def range_of_page(keys: DataFrame, limit: int, offset: int, range_rows: int = RANGE_ROWS,
+                  ranges: int = RANGES) -> tuple[DataFrame, int]:
+    """The part of ``keys`` (id, created_at) that holds the page, and the page's
+    offset in it.
+
+    Rows are counted per range of ``created_at``, newest first, and the running
+    sum names the ranges that the page lies in; those are counted again in finer
+    ranges until few rows are left, ties within one instant by ranges of ``id``.
+    A count passes at most ``ranges`` rows to the driver, and only the last
+    range is sorted."""
+    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    rows, skip = keys, offset
+    for value, newest in ((micros, True), (F.col("id"), False)):
+        while True:
+            least, most, n = rows.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+            if n <= range_rows or least is None or least == most:
+                break
+            width = -(-(most - least + 1) // ranges)
+            bucket = F.floor((value - F.lit(least)) / F.lit(width)).cast("long")
+            counts = sorted(((r.b, r.n) for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=newest)
+            before, picked = 0, []
+            for b, c in counts:
+                if before + c > skip and before < skip + max(limit, 1):
+                    picked.append((b, before))
+                before += c
+            if not picked:                      # the page lies behind the last row
+                return rows.limit(0), 0
+            low, high = min(b for b, _ in picked), max(b for b, _ in picked)
+            first, last = least + low * width, least + (high + 1) * width - 1
+            if newest:                          # on the column itself: the predicate reaches the Parquet scan
+                at = lambda m: F.timestamp_micros(F.lit(m)).cast(keys.schema["created_at"].dataType)
+                rows = rows.where(F.col("created_at").between(at(first), at(last)))
+            else:
+                rows = rows.where(value.between(first, last))
+            skip -= picked[0][1]
+            if len(picked) == len(counts) or width == 1 and len(picked) > 1:
+                break
+        if rows.agg(F.min(value) == F.max(value)).first()[0] is not True:
+            break                               # more than one value: ids do not decide yet
+    return rows, skip
+
+
 def _page_rows(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
                tag, limit: int, offset: int) -> DataFrame:
     """Late materialisation: the ≤ offset+limit page keys (a bounded set,
@@ -274,8 +341,13 @@ def top_tag_sample(articles: DataFrame, tags: DataFrame, article_tags: DataFrame
                    n: int = 3, preview: int = 60) -> DataFrame:
     """First ``n`` articles of the most popular tag, with title previews."""
     top = popular_tags(tags, article_tags, 1).select(F.col("name").alias("top_tag"))
-    top_ids = F.broadcast(tags.join(top, tags.name == top.top_tag).select(F.col("id").alias("tag_id"), "top_tag"))
-    hits = article_tags.join(top_ids, "tag_id").select(F.col("article_id").alias("id"), "top_tag")
+    best = tags.join(top, tags.name == top.top_tag).select(F.col("id").alias("tag_id"), "top_tag")
+    return _newest_of_tag(articles, article_tags, best, n, preview)
+
+
+def _newest_of_tag(articles: DataFrame, article_tags: DataFrame, best: DataFrame, n: int, preview: int) -> DataFrame:
+    """The newest ``n`` articles of the one tag in ``best`` (tag_id, top_tag)."""
+    hits = article_tags.join(F.broadcast(best), "tag_id").select(F.col("article_id").alias("id"), "top_tag")
     # late materialisation: the join and top-n on (id, created_at), titles
     # fetched for the n chosen ids only
     keys = _checkpointed(articles.select("id", "created_at").join(hits, "id")
@@ -289,16 +361,20 @@ def run_report(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
                top_n: int = 5, sample: int = 3) -> DataFrame:
     """One table with the report's lines: tag count total, top tags,
     article count of the top tag and its sample titles."""
-    counts = tag_counts(tags, article_tags)
+    # the bridge is counted once: a row per tag, written
+    used = article_tags.groupBy("tag_id").agg(F.count("article_id").alias("n"))
+    counts = _checkpointed(tags.join(used, tags.id == used.tag_id, "left").select(
+        "id", "name", F.coalesce("n", F.lit(0)).alias("article_count")))
     n_tags = counts.agg(F.count(F.lit(1)).alias("value")).select(
         F.lit("unique_tags").alias("item"), F.lit(None).cast("string").alias("label"),
         F.col("value").cast("long").alias("value"), F.lit(0).alias("rank"))
     w = Window.orderBy(F.desc("article_count"), F.asc("name"))
-    top = popular_tags(tags, article_tags, top_n).select(
-        F.lit("top_tag").alias("item"), F.col("name").alias("label"),
-        F.col("article_count").cast("long").alias("value"),
-        F.row_number().over(w).alias("rank"))
-    sample_rows = top_tag_sample(articles, tags, article_tags, sample).select(
+    ranked = counts.where("article_count > 0").orderBy(F.desc("article_count"), F.asc("name")).limit(max(top_n, 1))
+    ranked = _checkpointed(ranked.select("id", "name", "article_count", F.row_number().over(w).alias("rank")))
+    top = ranked.where(F.col("rank") <= top_n).select(F.lit("top_tag").alias("item"), F.col("name").alias("label"),
+                                                      F.col("article_count").cast("long").alias("value"), "rank")
+    best = ranked.where("rank = 1").select(F.col("id").alias("tag_id"), F.col("name").alias("top_tag"))
+    sample_rows = _newest_of_tag(articles, article_tags, best, sample, 60).select(
         F.lit("sample_title").alias("item"), F.col("title_preview").alias("label"),
         F.col("id").alias("value"),
         F.row_number().over(Window.orderBy(F.desc("created_at"), F.asc("id"))).alias("rank"))

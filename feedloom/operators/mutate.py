@@ -22,6 +22,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.operators.feed import small
 from feedloom.operators.tagging import clean_tag_names
 from feedloom.session import ensure_checkpoint_dir
 
@@ -58,11 +59,17 @@ def dense_ids(df: DataFrame, order_cols: Sequence[str], base: int, id_col: str =
 
 # ------------------------------------------------------------------ M7
 
-def quarantine_articles(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def quarantine_articles(batch: DataFrame, dim: int | None = None, vec: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """M7: rows that break NOT NULL title / NOT NULL non-empty link are set
-    aside with a reason; the rest go on."""
+    aside with a reason; the rest go on.  With ``dim``, so are rows whose vector
+    has another length or holds a null or non-finite number (a null vector is
+    none: that row goes on)."""
     reason = (F.when(F.col("title").isNull(), F.lit("null title"))
               .when(F.col("link").isNull() | (F.col("link") == F.lit("")), F.lit("missing link")))
+    if dim is not None:
+        odd = F.exists(vec, lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
+        reason = (reason.when(F.col(vec).isNotNull() & (F.size(vec) != F.lit(dim)), F.lit("vector length"))
+                  .when(F.col(vec).isNotNull() & odd, F.lit("vector not finite")))
     marked = batch.withColumn("_reason", reason)
     return (marked.where(F.col("_reason").isNull()).drop("_reason"),
             marked.where(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason"))
@@ -128,14 +135,14 @@ def get_or_create_tags(tags: DataFrame, inserted: DataFrame, batch_ts) -> tuple[
 def replace_tag_sets_delta(article_tags: DataFrame, replaced_ids: DataFrame, surviving_ids: DataFrame,
                            names: DataFrame, tags: DataFrame, batch_ts,
                            id_base: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """M3 + M4 as a delta: ``(added, deleted_ids)`` — the bridge rows of
-    replaced articles go (cascade); every surviving inserted article gets one
+    """M3 + M4 as a delta: ``(added, deleted)`` — the bridge rows of replaced
+    articles (id, tag_id) go (cascade); every surviving inserted article gets one
     row per distinct tag."""
     deleted = article_tags.join(replaced_ids.select(F.col("id").alias("article_id")), "article_id",
-                                "left_semi").select("id")
+                                "left_semi").select("id", "tag_id")
     live_names = names.join(surviving_ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    # the tag dimension is the closed vocabulary: a hot name never shuffles
-    pairs = (live_names.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), "name")), "name")
+    # with a vocabulary of a checked size a hot name never shuffles
+    pairs = (live_names.join(small(tags.select(F.col("id").alias("tag_id"), "name")), "name")
              .groupBy("article_id", "tag_id").agg(F.min("tag_idx").alias("_i")))
     numbered = dense_ids(pairs, ["article_id", "_i"], max_id(article_tags) if id_base is None else id_base)
     added = numbered.select("id", "article_id", "tag_id", F.lit(batch_ts).cast("timestamp_ntz").alias("created_at"))
@@ -203,24 +210,28 @@ def clean_up(articles: DataFrame, tags: DataFrame, article_tags: DataFrame) -> t
 
 def constraint_violations(articles: DataFrame, tags: DataFrame, article_tags: DataFrame) -> DataFrame:
     """One row per violation ``(constraint_name, key)``; empty when clean.
-    An unknown tag id is one violation, however many rows use it."""
-    def rows(df: DataFrame, name: str, key: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("constraint_name"), key.cast("string").alias("key"))
-
-    null_title = rows(articles.where(F.col("title").isNull()), "articles.title NOT NULL", F.col("id"))
-    null_link = rows(articles.where(F.col("link").isNull()), "articles.link NOT NULL", F.col("id"))
-    dup_link = rows(articles.where(F.col("link").isNotNull()).groupBy("link").count().where("count > 1"),
-                    "articles.link UNIQUE", F.col("link"))
-    dup_id = rows(articles.groupBy("id").count().where("count > 1"), "articles.id PRIMARY KEY", F.col("id"))
-    dup_name = rows(tags.groupBy("name").count().where("count > 1"), "tags.name UNIQUE", F.col("name"))
-    dup_pair = rows(article_tags.groupBy("article_id", "tag_id").count().where("count > 1"),
-                    "article_tags (article_id, tag_id) UNIQUE",
-                    F.concat_ws(",", F.col("article_id").cast("string"), F.col("tag_id").cast("string")))
-    fk_article = rows(orphan_bridge_rows(article_tags, articles), "article_tags.article_id FOREIGN KEY",
-                      F.col("article_id"))
-    unknown = article_tags.select("tag_id").distinct().join(tags.select(F.col("id").alias("tag_id")), "tag_id", "left_anti")
-    fk_tag = rows(unknown, "article_tags.tag_id FOREIGN KEY", F.col("tag_id"))
-    out = null_title
-    for p in (null_link, dup_link, dup_id, dup_name, dup_pair, fk_article, fk_tag):
-        out = out.unionByName(p)
-    return out
+    A null key violates NOT NULL alone, and an unknown tag id is one violation,
+    however many rows use it."""
+    # every table once: its rows say what they claim, and one pre-aggregated
+    # grouping by claim and key finds the claims that fail
+    def says(df: DataFrame, *claims: tuple[Column, str, Column, int]) -> DataFrame:
+        each = F.array(*[F.when(when, F.struct(F.lit(name).alias("constraint_name"), key.cast("string").alias("key"), F.lit(has).alias("has")))
+                         for when, name, key, has in claims])
+        return df.select(F.explode(F.array_compact(each)).alias("c")).select("c.*")
+
+    yes, article_key, tag_key = F.lit(True), "article_tags.article_id FOREIGN KEY", "article_tags.tag_id FOREIGN KEY"
+    title, link = F.col("title"), F.col("link")
+    claims = says(articles, (title.isNull(), "articles.title NOT NULL", F.col("id"), 0), (link.isNull(), "articles.link NOT NULL", F.col("id"), 0),
+                  (link.isNotNull(), "articles.link UNIQUE", link, 0), (yes, "articles.id PRIMARY KEY", F.col("id"), 0),
+                  (yes, article_key, F.col("id"), 1))
+    claims = claims.unionByName(says(tags, (yes, "tags.name UNIQUE", F.col("name"), 0), (yes, tag_key, F.col("id"), 1)))
+    pair = F.concat_ws(",", F.col("article_id").cast("string"), F.col("tag_id").cast("string"))
+    claims = claims.unionByName(says(article_tags, (yes, "article_tags (article_id, tag_id) UNIQUE", pair, 0),
+                                     (yes, article_key, F.col("article_id"), 0), (yes, tag_key, F.col("tag_id"), 0)))
+    found = claims.groupBy("constraint_name", "key").agg(F.count(F.when(F.col("has") == 0, 1)).alias("n"), F.max("has").alias("has"))
+    # rows of a null title or link, and orphans, are a violation each; a repeated key and an unknown tag are one
+    name, n = F.col("constraint_name"), F.col("n")
+    times = (F.when(name.endswith("NOT NULL"), n).when(name == article_key, F.when(F.col("has") == 0, n).otherwise(0))
+             .when(name == tag_key, F.when(F.col("has") == 0, 1).otherwise(0)).otherwise(F.when(n > 1, 1).otherwise(0)))
+    return found.select("constraint_name", "key", times.cast("int").alias("times")).where("times > 0").select(
+        "constraint_name", F.explode(F.array_repeat("key", F.col("times"))).alias("key"))

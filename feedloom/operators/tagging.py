@@ -16,6 +16,7 @@ parameters.
 
 from __future__ import annotations
 
+import json
 from typing import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,12 +86,13 @@ def _hits(text: Column, rules: Sequence[tuple]) -> Column:
     if len(rules) > FEW_RULES:
         for pos, rule in rules:
             if (w := first_word(rule[2])) is not None:
-                by_word.setdefault(w, []).append(_rule(pos, rule))
+                by_word.setdefault(w, []).append(dict(zip(("pos", "id", "name", "phrase"), (pos, *rule))))
     tested = [(pos, rule) for pos, rule in rules if not by_word or first_word(rule[2]) is None]
     hits = (F.array_compact(F.array(*[F.when(F.contains(text, F.lit(r[2])), _rule(pos, r)) for pos, r in tested]))
             if tested else F.array().cast(f"array<{RULE}>"))
     if by_word:
-        table = F.create_map(*[x for w, rs in by_word.items() for x in (F.lit(w), F.array(*rs))])
+        # one literal, read once while planning
+        table = F.from_json(F.lit(json.dumps(by_word)), f"map<string,array<{RULE}>>")
         present = F.filter(F.array_distinct(F.split(text, " ")), lambda w: w.isin(*by_word))
         begun = F.flatten(F.transform(present, lambda w: F.element_at(table, w)))
         hits = F.array_sort(F.concat(hits, F.filter(begun, lambda r: F.contains(text, r["phrase"]))))

@@ -231,7 +231,7 @@ _LANDED = "coalesce(title, '') AS title, coalesce(link, '') AS link, coalesce(su
 SQL["U1_feed_union"] = with_fx("""
 SELECT feed_url, count(*) AS entries, count(DISTINCT link) AS links FROM (
   SELECT 'https://even.example.com/rss' AS feed_url, coalesce(link, '') AS link FROM fx_entries WHERE pos % 2 = 0
-  UNION ALL SELECT 'https://third.example.com/rss', coalesce(link, '') FROM fx_entries WHERE pos % 3 = 0) GROUP BY feed_url""")
+  UNION ALL SELECT 'https://other.example.com/rss', coalesce(link, '') FROM fx_entries WHERE pos % 2 = 1 OR pos % 3 = 0) GROUP BY feed_url""")
 SQL["S1_rss_files"] = with_fx(f"""
 SELECT feed_url, row_number() OVER (ORDER BY o, pos) AS pos, {_LANDED} FROM (
   SELECT *, CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END AS o FROM (SELECT * REPLACE (
@@ -633,11 +633,49 @@ SQL["T3_stream_links"] = with_fx("SELECT DISTINCT coalesce(link, '') AS link FRO
 
 SQL["O8_keyset_page"] = with_fx("SELECT id, created_at FROM fx_articles ORDER BY created_at DESC, id LIMIT 25 OFFSET 31")
 
-SQL["X1_default_rules"] = with_fx("""
-SELECT id, CASE id % 6
-    WHEN 0 THEN ['Artificial Intelligence', 'Technology'] WHEN 1 THEN ['Artificial Intelligence', 'Startups']
-    WHEN 2 THEN ['Startups'] WHEN 3 THEN ['Artificial Intelligence'] ELSE []::VARCHAR[] END AS tags
-FROM fx_articles""")
+_TAG_TEXT = ("' ' || regexp_replace(lower(coalesce({t}, '') || ' ' || coalesce(summary, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '")
+
+SQL["X1_default_rules"] = with_fx(f"""
+SELECT id, coalesce(list(name ORDER BY first) FILTER (name IS NOT NULL), []::VARCHAR[]) AS tags FROM (
+  SELECT t.id, r.name, min(r.n) AS first
+  FROM (SELECT id, {_TAG_TEXT.format(t="title || ' ' || ['New AI-powered software.', 'AI, startups: what''s next', '(Venture capital)', 'MACHINE  LEARNING!', 'said airtight', ''][id % 6 + 1]")} AS t
+        FROM fx_articles) t
+  LEFT JOIN (VALUES (1, 'Artificial Intelligence', ' artificial intelligence '), (2, 'Artificial Intelligence', ' machine learning '),
+    (3, 'Artificial Intelligence', ' ai '), (4, 'Artificial Intelligence', ' llm '), (5, 'Startups', ' startup '), (6, 'Startups', ' startups '),
+    (7, 'Startups', ' venture capital '), (8, 'Startups', ' seed round '), (9, 'Technology', ' technology '), (10, 'Technology', ' software '),
+    (11, 'Technology', ' tech ')) r(n, name, phrase) ON contains(t.t, r.phrase)
+  GROUP BY t.id, r.name) GROUP BY id""")
+
+SQL["X1_many_rules"] = with_fx(f"""
+SELECT t.id, coalesce(list(r.name ORDER BY r.n) FILTER (r.name IS NOT NULL), []::VARCHAR[]) AS tags
+FROM (SELECT id, {_TAG_TEXT.format(t="title")} AS t FROM fx_articles) t
+LEFT JOIN (
+  SELECT i * 32 + j AS n, w[i + 1] || ' ' || w[j + 1] AS name
+  FROM (SELECT string_split('an the re on ti sh er in ha ed es or st en th nd is of and to that was with he at tion be by from ou ea le', ' ') AS w),
+       range(0, 32) a(i), range(0, 32) b(j)) r ON contains(t.t, ' ' || r.name || ' ')
+GROUP BY t.id""")
+
+SQL["T3_link_state"] = with_fx("""
+SELECT coalesce(link, '') AS link, 1 AS passed FROM fx_entries WHERE coalesce(link, '') <> '' GROUP BY ALL""")
+
+SQL["T3_vector_state"] = with_fx("""
+SELECT v.article_id, m.x IS NULL AS accepted, m.y AS duplicate_id,
+  CASE WHEN m.x IS NOT NULL THEN round(greatest(0, 1 - m.d * m.d / 2), 6) END AS similarity
+FROM fx_vectors v LEFT JOIN matched m ON m.x = v.article_id""", _d2_ctes("fx_vectors", 0.3, None))
+
+SQL["A1_kept_counts"] = with_fx("""
+SELECT t.name, count(x.article_id) AS article_count
+FROM fx_tags t LEFT JOIN fx_article_tags x ON x.tag_id = t.id AND x.article_id % 7 <> 0 GROUP BY t.id, t.name""")
+
+SQL["O2_deep_page"] = """
+SELECT id, created_at FROM (
+  SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS created_at, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS r,
+         count(*) OVER () // 2 AS half FROM orders)
+WHERE r > half AND r <= half + 100"""
+
+SQL["M7_vectors"] = with_fx("""
+SELECT article_id, CASE article_id % 50 WHEN 0 THEN 'vector length' WHEN 1 THEN 'vector not finite' WHEN 3 THEN 'vector length' END AS reason
+FROM fx_vectors""")
 
 # R2 twice: run 1 = articles with id <= max/2; run 2 = all articles, of which
 # the links stored by run 1 are dropped (J4) and the rest are tested against

@@ -59,7 +59,7 @@ def dedup_store(spark: SparkSession, root: str, at: dt.datetime, threshold: floa
     kept_bridge, kept_tags = M.clean_up(kept_articles, store.tags, store.article_tags)  # M6: J11, J12
     gone = {"articles": removed.select("id"),
             "tags": store.tags.select("id").join(kept_tags.select("id"), "id", "left_anti").checkpoint(),
-            "article_tags": store.article_tags.select("id").join(kept_bridge.select("id"), "id", "left_anti").checkpoint(),
+            "article_tags": store.article_tags.select("id", "tag_id").join(kept_bridge.select("id"), "id", "left_anti").checkpoint(),
             "article_embeddings": removed.select(F.col("id").alias("article_id"))}
     if removed.isEmpty():         # as the reference: without duplicates nothing is cleaned up
         gone = {}

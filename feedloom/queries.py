@@ -256,14 +256,15 @@ def _landed(df):
 
 @register("U1_feed_union")
 def u1_feed_union(spark, sf):
-    """Two landed feeds that share items, in one read of the feed list."""
+    """Two landed feeds that hold all entries between them and share some, in
+    one read of the feed list."""
     from feedloom.sources.feeds import read_rss
     from feedloom.streaming.poll import land_rss
     root, e = _fresh_root(spark, "u1-feeds"), _landing_items(_entries(spark, sf))
-    for name, n in (("even", 2), ("third", 3)):
-        land_rss(e.where(F.col("pos") % n == 0), f"{root}/{name}")
+    land_rss(e.where("pos % 2 = 0"), f"{root}/even")
+    land_rss(e.where("pos % 2 = 1 or pos % 3 = 0"), f"{root}/other")
     got = read_rss(spark, [("https://even.example.com/rss", f"{root}/even/*.xml"),
-                           ("https://third.example.com/rss", f"{root}/third/*.xml")])
+                           ("https://other.example.com/rss", f"{root}/other/*.xml")])
     return got.groupBy("feed_url").agg(F.count(F.lit(1)).alias("entries"),
                                        F.countDistinct(F.coalesce("link", F.lit(""))).alias("links"))
 
@@ -949,26 +950,109 @@ def u2_failed_batches(spark, sf):
     return tagged.select("id", F.element_at("tags", 1).alias("tag"))
 
 
+#: Phrases put into titles so that the default rules have something to find.
+PHRASES = ("New AI-powered software.", "AI, startups: what's next", "(Venture capital)", "MACHINE  LEARNING!", "said airtight", "")
+
+
 @register("X1_default_rules")
 def x1_default_rules(spark, sf):
-    """The default rules on punctuated phrases."""
+    """The default rules over title and summary of every article, a punctuated
+    phrase added to each title."""
     from feedloom.operators.tagging import tag_articles
-    phrases = ("New AI-powered software.", "AI, startups: what's next", "(Venture capital)", "MACHINE  LEARNING!", "said airtight", "")
-    a = fixture_store(spark, sf).articles.select(
-        "id", F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.col("id") % 6 + 1).cast("int")).alias("title"),
-        F.lit(None).cast("string").alias("summary"))
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("id") % 6 + 1).cast("int"))
+    a = fixture_store(spark, sf).articles.select("id", F.concat("title", F.lit(" "), phrase).alias("title"), "summary")
     return tag_articles(a).select("id", "tags")
 
 
+#: Two-word phrases of these are a rule table of 1,024 rules.
+RULE_WORDS = ("an the re on ti sh er in ha ed es or st en th nd is of and to that was with he at tion be by from ou ea le").split()
+
+
+@register("X1_many_rules")
+def x1_many_rules(spark, sf):
+    """A large rule table: every pair of words as a phrase."""
+    from feedloom.operators.tagging import tag_articles
+    rules = [(i * 32 + j, f"{a} {b}", f" {a} {b} ") for i, a in enumerate(RULE_WORDS) for j, b in enumerate(RULE_WORDS)]
+    return tag_articles(fixture_store(spark, sf).articles.select("id", "title", "summary"), rules).select("id", "tags")
+
+
 @register("X2_blank_text")
 def x2_blank_text(spark, sf):
-    """A blank text gives a null vector for its own row only."""
+    """Among whole texts, a blank one gives a null vector for its own row only."""
     from feedloom.operators.embed import embed
-    a = fixture_store(spark, sf).articles.select(
-        "id", F.when(F.col("id") % 20 == 0, F.lit(" \n")).when(F.col("id") % 10 != 0, F.concat(F.lit("x "), "title")).alias("t"))
+    text = F.concat(F.lit("x "), "title", F.lit(" "), F.coalesce("summary", F.lit("")))
+    a = _spread(fixture_store(spark, sf).articles, "id").select(
+        "id", F.when(F.col("id") % 20 == 0, F.lit(" \n")).when(F.col("id") % 10 != 0, text).alias("t"))
     return embed(a, "id", "t").select("id", F.col("embedding").isNotNull().alias("has_vector"))
 
 
+@register("T3_link_state")
+def t3_link_state(spark, sf):
+    """Entries landed in two polls, each all of them: the state of the first
+    poll lets no link pass again in the second."""
+    from feedloom.streaming.keyed_state import first_links
+    from feedloom.streaming.poll import entry_stream, land_rss
+    root, e = _fresh_root(spark, "t3-state"), _landing_items(_entries(spark, sf))
+    for _ in range(2):
+        land_rss(e, f"{root}/landing")
+        rows = entry_stream(spark, f"{root}/landing").where("link <> ''").select("link", "_mtime", "_path", "_block")
+        (first_links(rows, ["_mtime", "_path", "_block"]).writeStream.format("parquet").option("checkpointLocation", f"{root}/ck")
+         .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return spark.read.parquet(f"{root}/out").groupBy("link").agg(F.count(F.lit(1)).alias("passed"))
+
+
+@register("T3_vector_state")
+def t3_vector_state(spark, sf):
+    """Vectors in two polls, the second against the state of the first: together
+    the choice is that of one walk over all of them."""
+    from feedloom.streaming.keyed_state import VectorState, poll_vectors
+    v = _vectors(spark, sf).withColumn("pos", F.col("article_id"))
+    half = F.ceil(F.col("article_id") / F.lit(max_over(v, "article_id", 2)))
+    state = VectorState.create(spark, _fresh_root(spark, "t3-vectors"), v, threshold=VECTOR_TEST_THRESHOLD)
+    out = None
+    for n in (1, 2):
+        got = poll_vectors(state, v.where(half == n), n)
+        out = got if out is None else out.unionByName(got)
+    return out.select("article_id", "accepted", "duplicate_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("A1_kept_counts")
+def a1_kept_counts(spark, sf):
+    """The fixture store written in two batches, a third deleting the bridge
+    rows of every seventh article: counts kept by the batches."""
+    from feedloom.sources import store as ST
+    root, s = _fresh_root(spark, "a1-store"), fixture_store(spark, sf)
+    bridge = s.article_tags.checkpoint()
+    for n, half in ((1, "article_id % 2 = 0"), (2, "article_id % 2 = 1")):
+        ST.write_batch(spark, root, ST.Batch("fixture", n), {"article_tags": bridge.where(half)} | ({"tags": s.tags} if n == 1 else {}))
+    ST.write_batch(spark, root, ST.Batch("fixture", 3), {}, {"article_tags": bridge.where("article_id % 7 = 0").select("id")})
+    return FD.tag_counts_kept(ST.read_table(spark, root, "tags"), ST.kept_tag_counts(spark, root))
+
+
+@register("O2_deep_page")
+def o2_deep_page(spark, sf):
+    """A page half-way down a long list with many ties (the orders as stored
+    keys), found by counts of ranges."""
+    from feedloom.sources.tables import load
+    keys = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
+    part, skip = FD.range_of_page(keys, 100, keys.count() // 2, range_rows=200, ranges=64)
+    return part.orderBy(F.desc("created_at"), "id").offset(skip).limit(100)
+
+
+@register("M7_vectors")
+def m7_vectors(spark, sf):
+    """Vectors of the wrong length or with odd numbers are set aside with a
+    reason, rows without a vector go on."""
+    from feedloom.operators.mutate import quarantine_articles
+    v, i = _vectors(spark, sf), F.col("article_id") % 50
+    odd = F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))
+    vec = (F.when(i == 0, F.slice("embedding", 1, 10)).when(i == 1, odd).when(i == 2, F.lit(None))
+           .when(i == 3, F.array().cast("array<float>")).otherwise(F.col("embedding")))
+    rows = v.select("article_id", F.lit("t").alias("title"), F.concat(F.lit("l"), "article_id").alias("link"), vec.alias("embedding"))
+    good, bad = quarantine_articles(rows, 64)
+    return good.select("article_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("article_id", "reason"))
+
+
 @register("T3_stream_links")
 def t3_stream_links(spark, sf):
     """Entries landed twice, their links deduplicated by a stream."""
