@@ -52,7 +52,7 @@ from feedloom.llm.hashing import joined, mix, runs, span_hashes
 LONGEST, LEAST, REPORT = 5, 100, 2000
 #: A longer phrase covers a candidate with this many hundredths of its count.
 COVER = 100
-SLICE_BYTES, OUT_ROWS = 4 << 20, 1 << 16
+SLICE_BYTES, OUT_ROWS = 1 << 20, 1 << 16
 #: The bitmap of frequent hashes has a bit for each of these shifts of a hash,
 #: about 32 bits per hash, and 2 ** these at least and at most.
 PROBES, FEWEST_BITS, MOST_BITS = (0, 18, 36), 20, 28
@@ -73,7 +73,7 @@ class Words:
         data, begins = joined(texts)
         self.data = _LOWER[data]
         self.starts, self.ends = runs(_WORD[self.data])
-        self.piece = np.cumsum(_BREAK[self.data])[self.starts]          # texts end with a break
+        self.piece = np.cumsum(_BREAK[self.data], dtype=np.int32)[self.starts]         # texts end with a break
         names = sorted(set(langs))
         code = {x: i for i, x in enumerate(names)}
         count = np.diff(np.searchsorted(self.starts, begins))
