@@ -215,46 +215,57 @@ def _page_keys(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
+def _place_of(keys: DataFrame, position: int, range_rows: int, ranges: int):
+    """A short range around the row at ``position`` (newest first, from 0): its
+    instants (lowest, highest, in microseconds), its ids if it is a part of one
+    instant, the rows before it and its own."""
+    rows, before, bounds = keys, 0, []
+    at = lambda m: F.timestamp_micros(F.lit(m)).cast(keys.schema["created_at"].dataType)
+    for value, newest in ((F.unix_micros(F.col("created_at").cast("timestamp")), True), (F.col("id"), False)):
+        while True:
+            least, most, n = rows.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+            if n <= range_rows or least == most:
+                break
+            width = -(-(most - least + 1) // ranges)
+            bucket = F.floor((value - F.lit(least)) / F.lit(width)).cast("long")
+            counts = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+            for b, c in sorted(((r.b, r.n) for r in counts), reverse=newest):
+                if before + c > position:
+                    break
+                before += c
+            first, last = least + b * width, least + (b + 1) * width - 1
+            # on the column itself, so that the predicate reaches the Parquet scan
+            rows = rows.where(F.col("created_at").between(at(first), at(last)) if newest else value.between(first, last))
+        bounds.append((least, most))
+        if n <= range_rows:
+            break
+    return bounds[0], bounds[1] if len(bounds) > 1 else None, before, n
+
+
 def range_of_page(keys: DataFrame, limit: int, offset: int, range_rows: int = RANGE_ROWS,
                   ranges: int = RANGES) -> tuple[DataFrame, int]:
     """The part of ``keys`` (id, created_at) that holds the page, and the page's
     offset in it.
 
     Rows are counted per range of ``created_at``, newest first, and the running
-    sum names the ranges that the page lies in; those are counted again in finer
+    sum names the range of the page's first row; it is counted again in finer
     ranges until few rows are left, ties within one instant by ranges of ``id``.
-    A count passes at most ``ranges`` rows to the driver, and only the last
-    range is sorted."""
-    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
-    rows, skip = keys, offset
-    for value, newest in ((micros, True), (F.col("id"), False)):
-        while True:
-            least, most, n = rows.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
-            if n <= range_rows or least is None or least == most:
-                break
-            width = -(-(most - least + 1) // ranges)
-            bucket = F.floor((value - F.lit(least)) / F.lit(width)).cast("long")
-            counts = sorted(((r.b, r.n) for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=newest)
-            before, picked = 0, []
-            for b, c in counts:
-                if before + c > skip and before < skip + max(limit, 1):
-                    picked.append((b, before))
-                before += c
-            if not picked:                      # the page lies behind the last row
-                return rows.limit(0), 0
-            low, high = min(b for b, _ in picked), max(b for b, _ in picked)
-            first, last = least + low * width, least + (high + 1) * width - 1
-            if newest:                          # on the column itself: the predicate reaches the Parquet scan
-                at = lambda m: F.timestamp_micros(F.lit(m)).cast(keys.schema["created_at"].dataType)
-                rows = rows.where(F.col("created_at").between(at(first), at(last)))
-            else:
-                rows = rows.where(value.between(first, last))
-            skip -= picked[0][1]
-            if len(picked) == len(counts) or width == 1 and len(picked) > 1:
-                break
-        if rows.agg(F.min(value) == F.max(value)).first()[0] is not True:
-            break                               # more than one value: ids do not decide yet
-    return rows, skip
+    The page's last row is found alike.  A count passes at most ``ranges`` rows to
+    the driver, and only what lies between the two is sorted."""
+    total = keys.count()
+    if offset >= total or limit <= 0:
+        return keys.limit(0), 0
+    last = min(offset + limit, total) - 1
+    start = end = _place_of(keys, offset, range_rows, ranges)
+    if last >= start[2] + start[3]:
+        end = _place_of(keys, last, range_rows, ranges)
+    created, at = F.col("created_at"), lambda m: F.timestamp_micros(F.lit(m)).cast(keys.schema["created_at"].dataType)
+    part = keys.where(created.between(at(end[0][0]), at(start[0][1])))
+    if start[1]:
+        part = part.where((created != at(start[0][0])) | (F.col("id") >= start[1][0]))
+    if end[1]:
+        part = part.where((created != at(end[0][0])) | (F.col("id") <= end[1][1]))
+    return part, offset - start[2]
 
 
 def _page_rows(articles: DataFrame, tags: DataFrame, article_tags: DataFrame,

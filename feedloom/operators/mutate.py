@@ -36,13 +36,17 @@ def max_id(df: DataFrame, col: str = "id") -> int:
     return int(v) if v is not None else 0
 
 
-def dense_ids(df: DataFrame, order_cols: Sequence[str], base: int, id_col: str = "id") -> DataFrame:
+def dense_ids(df: DataFrame, order_cols: Sequence[str], base: int, id_col: str = "id", unique: bool = False) -> DataFrame:
     """Exact ids ``base+1 .. base+n`` in ``order_cols`` order without a
     single-partition window over them: range-partition and sort, count rows
     per partition, sum up the counts (a window over one row per partition),
     add.  The sorted, numbered rows are checkpointed first so a recomputation
-    after an executor loss cannot renumber them."""
+    after an executor loss cannot renumber them.  Where the order columns are
+    ``unique``, they alone are sorted and numbered, and the rows (with their
+    texts) meet their numbers in a join."""
     ensure_checkpoint_dir(df.sparkSession)
+    if unique:
+        return df.join(dense_ids(df.select(*order_cols), order_cols, base, id_col), list(order_cols))
     cols = [F.col(c) for c in order_cols]
     ranged = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
               .withColumn("_mono", F.monotonically_increasing_id())
@@ -88,7 +92,7 @@ def upsert_articles_delta(articles: DataFrame, batch: DataFrame, batch_ts, id_ba
     with its id (for M2/M3/S5: a replaced row's tags and vector were written
     before it was replaced)."""
     base = max_id(articles) if id_base is None else id_base
-    numbered = dense_ids(batch, ["pos"], base)
+    numbered = dense_ids(batch, ["pos"], base, unique=True)      # arrival numbers are unique
     ts = F.lit(batch_ts).cast("timestamp_ntz")
     # last write per link: partial max per link (a hot link is pre-aggregated),
     # then a semi join on (link, pos), a key with no hot value

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import feed as FD
 from feedloom.plans.fixture_store import fixture_store
+from feedloom.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -393,12 +394,6 @@ def f10_clean_html(spark, sf):
 
 # ------------------------------------------------------------------ similarity and dedup
 
-def _spread(df, key):
-    """Rows of a driver table (one row group, which a scan cannot split) over
-    the cores, before heavy work per row."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 # Fixture vectors have no pair >= 0.70, so the vector fixtures are tested at 0.30.
 VECTOR_TEST_THRESHOLD = 0.30
 
@@ -494,7 +489,7 @@ def x3_embed_sparse(spark, sf):
     from feedloom.functions.text import embed_text
     from feedloom.operators.embed import embed
     a = fixture_store(spark, sf).articles.withColumn("_t", embed_text(F.col("title"), F.col("summary")))
-    v = embed(_spread(a.select("id", "_t"), "id"), "id", "_t")
+    v = embed(spread(a.select("id", "_t"), "id"), "id", "_t")
     return (v.select(F.col("id").alias("article_id"), F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
             .select("article_id", F.col("bucket").cast("long").alias("bucket"),
                     F.round(F.col("w").cast("double"), 6).alias("weight")))
@@ -507,7 +502,7 @@ def d3_text_duplicate_groups(spark, sf):
     from feedloom.operators.dedup import duplicate_groups
     from feedloom.operators.embed import embed
     a = fixture_store(spark, sf).articles.withColumn("_t", embed_text(F.col("title"), F.col("summary")))
-    vec = embed(_spread(a.select("id", "_t"), "id"), "id", "_t").select(F.col("id").alias("article_id"), "embedding")
+    vec = embed(spread(a.select("id", "_t"), "id"), "id", "_t").select(F.col("id").alias("article_id"), "embedding")
     return duplicate_groups(vec, None, 0.70)
 
 
@@ -699,7 +694,7 @@ def article_entries(spark, sf):
     """Feed entries in the ENTRIES shape, one per fixture article (its
     source's feed, arrival order = article id)."""
     a = fixture_store(spark, sf).articles
-    a = _spread(a, "id")
+    a = spread(a, "id")
     return a.select(F.concat(F.lit("https://"), "source", F.lit(".example.com/rss")).alias("feed_url"),
                     F.col("id").alias("pos"), "title", "link", "summary",
                     F.lit(None).cast("string").alias("content"),
@@ -758,7 +753,7 @@ def _fixture_store_root(spark, sf):
     from feedloom.sources.store import Batch, write_batch
     root = _fresh_root(spark, "d5-store")
     s = fixture_store(spark, sf)
-    write_batch(spark, root, Batch("fixture", 1), {"articles": _spread(s.articles, "id"), "tags": s.tags, "article_tags": s.article_tags})
+    write_batch(spark, root, Batch("fixture", 1), {"articles": spread(s.articles, "id"), "tags": s.tags, "article_tags": s.article_tags})
     return root
 
 
@@ -981,7 +976,7 @@ def x2_blank_text(spark, sf):
     """Among whole texts, a blank one gives a null vector for its own row only."""
     from feedloom.operators.embed import embed
     text = F.concat(F.lit("x "), "title", F.lit(" "), F.coalesce("summary", F.lit("")))
-    a = _spread(fixture_store(spark, sf).articles, "id").select(
+    a = spread(fixture_store(spark, sf).articles, "id").select(
         "id", F.when(F.col("id") % 20 == 0, F.lit(" \n")).when(F.col("id") % 10 != 0, text).alias("t"))
     return embed(a, "id", "t").select("id", F.col("embedding").isNotNull().alias("has_vector"))
 

@@ -28,6 +28,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan that cannot be split (a driver table is one row group) over
+    the cores, before heavy work per row; a scan of enough tasks stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if tasks >= cores else df.repartition(cores, key)
+
+
 def _ntz_from_epoch(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
@@ -68,7 +76,7 @@ def fx_tags(spark: SparkSession) -> DataFrame:
 def fx_article_tags(spark: SparkSession, sf_dir: str, articles: DataFrame | None = None) -> DataFrame:
     """Bridge rows from the rule tagger over title + summary (X1 applied to the store)."""
     a = articles if articles is not None else fx_articles(spark, sf_dir)
-    tagged = tag_articles(a.select("id", "title", "summary", "created_at"), FIXTURE_RULES,
+    tagged = tag_articles(spread(a.select("id", "title", "summary", "created_at"), "id"), FIXTURE_RULES,
                           with_ids=True)
     return (tagged
             .select(F.col("id").alias("article_id"), F.explode("tag_ids").alias("tag_id"),
