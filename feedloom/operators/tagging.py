@@ -7,9 +7,9 @@ and summary in lower case, runs of anything but letters and digits as one
 space, a space at both ends): the rules ride in the projection, so tagging is
 a map-only step with no join and no Python.  The text is normalised once per
 article.  A few rules are one ``contains`` each; more are hashed by the first
-word of their phrase: the words of an article are looked up in the set of first
-words, and only the rules that begin with a word at hand are tested, so the
-cost does not grow with the rules.  An external model can be plugged in through
+two words of their phrase (by the first, if it has no second whole word): the
+words of an article are looked up in the set of those, and only the rules that
+begin with words at hand are tested, so the cost does not grow with the rules.  An external model can be plugged in through
 ``model_tagger`` (``mapInPandas``), with the batch size and tries as
 parameters.
 """
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.functions.text import once
+
 # The closed tag vocabulary of the reference, in its order.
 VOCABULARY = ("Artificial Intelligence", "Technology", "Startups")
 
@@ -79,24 +81,41 @@ def first_word(phrase: str) -> str | None:
     return parts[1] if len(parts) > 2 and parts[0] == "" and parts[1] else None
 
 
+def first_pair(phrase: str) -> str | None:
+    """The two words that a text must have next to each other to hold
+    ``phrase``; None if its second word may be a part of one."""
+    parts = phrase.split(" ")
+    return f"{parts[1]} {parts[2]}" if first_word(phrase) is not None and len(parts) > 3 and parts[2] else None
+
+
 def _hits(text: Column, rules: Sequence[tuple]) -> Column:
     """The rules whose phrase the text holds, in rule order."""
     rules = list(enumerate(rules))
     by_word: dict[str, list] = {}
+    by_pair: dict[str, list] = {}
     if len(rules) > FEW_RULES:
         for pos, rule in rules:
             if (w := first_word(rule[2])) is not None:
-                by_word.setdefault(w, []).append(dict(zip(("pos", "id", "name", "phrase"), (pos, *rule))))
-    tested = [(pos, rule) for pos, rule in rules if not by_word or first_word(rule[2]) is None]
+                p = first_pair(rule[2])
+                (by_word if p is None else by_pair).setdefault(p or w, []).append(dict(zip(("pos", "id", "name", "phrase"), (pos, *rule))))
+    tested = [(pos, rule) for pos, rule in rules if not (by_word or by_pair) or first_word(rule[2]) is None]
     hits = (F.array_compact(F.array(*[F.when(F.contains(text, F.lit(r[2])), _rule(pos, r)) for pos, r in tested]))
             if tested else F.array().cast(f"array<{RULE}>"))
-    if by_word:
+
+    def begun(present: Column, rules_of: dict) -> Column:
         # one literal, read once while planning
-        table = F.from_json(F.lit(json.dumps(by_word)), f"map<string,array<{RULE}>>")
-        present = F.filter(F.array_distinct(F.split(text, " ")), lambda w: w.isin(*by_word))
-        begun = F.flatten(F.transform(present, lambda w: F.element_at(table, w)))
-        hits = F.array_sort(F.concat(hits, F.filter(begun, lambda r: F.contains(text, r["phrase"]))))
-    return hits
+        table = F.from_json(F.lit(json.dumps(rules_of)), f"map<string,array<{RULE}>>")
+        found = F.flatten(F.transform(F.filter(present, lambda w: w.isin(*rules_of)), lambda w: F.element_at(table, w)))
+        return F.filter(found, lambda r: F.contains(text, r["phrase"]))
+
+    looked_up = []
+    if by_word:
+        looked_up.append(begun(F.array_distinct(F.split(text, " ")), by_word))
+    if by_pair:
+        heads = sorted({p.split(" ")[0] for p in by_pair})
+        looked_up.append(begun(once(F.split(text, " "), lambda words: F.array_distinct(F.array_compact(F.transform(
+            words, lambda w, i: F.when(w.isin(*heads), F.concat(w, F.lit(" "), F.get(words, i + 1))))))), by_pair))
+    return F.array_sort(F.concat(hits, *looked_up)) if looked_up else hits
 
 
 def tag_text(title: Column, summary: Column) -> Column:
