@@ -27,12 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from feedloom.operators.dedup import DEFAULT_THRESHOLD, ingest_dedup
-from feedloom.operators.similarity import (Layout, _exact_sq, _matrix, _sq_dist, cells_within, distance_limit, nearest_cells,
-                                           vector_rows)
+from feedloom.operators.dedup import DEFAULT_THRESHOLD, _nearest_before, ingest_dedup
+from feedloom.operators.similarity import Layout, Side, _matrix, _sq_dist, cells_within, distance_limit, nearest_cells, vector_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Vectors of a cell compared at once.
+#: Vectors of a cell kept, and compared, at once.
 STATE_ROWS = 1024
 
 
@@ -97,41 +96,37 @@ class CellVectors(StatefulProcessor):
         self.threshold, self.ttl = threshold, None if expiry_seconds is None else expiry_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "id long, vec array<float>", self.ttl)
+        # a row of the state is a chunk of vectors: as many rows as vectors cost a call each
+        self.held = handle.getListState("held", "ids binary, vecs binary", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             new = pdf[pdf["role"] == "add"]
             if len(new):
-                self.held.appendList([(int(i), [float(x) for x in v]) for i, v in zip(new["id"], new["vec"])])
+                ids, vecs = new["id"].to_numpy(np.int64), np.vstack([np.asarray(v, dtype=np.float32) for v in new["vec"]])
+                self.held.appendList([(ids[a:a + STATE_ROWS].tobytes(), vecs[a:a + STATE_ROWS].tobytes()) for a in range(0, len(ids), STATE_ROWS)])
             asked = pdf[pdf["role"] == "ask"]
             if len(asked):
                 yield from self._answers(asked)
 
     def _answers(self, asked: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        x = np.vstack([np.asarray(v, dtype=np.float64) for v in asked["vec"]])
-        best, y = np.full(len(x), -1.0), np.zeros(len(x), dtype=np.int64)
-        for ids, vecs in self._chunks():
-            near = _sq_dist(x, vecs) <= (2.0 * (1.0 - self.threshold) + 1e-9 if self.threshold > 0 else np.inf)
-            r, c = np.nonzero(near)
-            d = np.sqrt(_exact_sq(x[r], vecs[c]))
-            sim = np.maximum(0.0, 1.0 - d * d / 2.0)
-            for i, j, s in zip(r.tolist(), ids[c].tolist(), sim.tolist()):
-                if s >= self.threshold and (s > best[i] or s == best[i] and j < y[i]):
-                    best[i], y[i] = s, j
+        x = np.vstack([np.asarray(v, dtype=np.float32) for v in asked["vec"]])
+        n, nearest = len(x), _nearest_before(self.threshold)
+        best, y = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
+        left = Side(np.arange(n), x, np.ones(n, np.int64), np.zeros(n, np.int32))
+        for ids, vecs in self._chunks():        # all that is held came before
+            out = nearest(Side(ids, vecs, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)), left)
+            if out is not None:
+                i, j, s = out["id"], out["y"], out["similarity"]
+                better = (s > best[i]) | ((s == best[i]) & (j < y[i]))
+                best[i[better]], y[i[better]] = s[better], j[better]
         hit = best >= 0
         yield pd.DataFrame({"batch": asked["batch"].to_numpy()[hit], "id": asked["id"].to_numpy()[hit], "y": y[hit], "similarity": best[hit]})
 
     def _chunks(self):
-        ids, vecs = [], []
-        for i, v in self.held.get():
-            ids.append(i)
-            vecs.append(v)
-            if len(ids) == STATE_ROWS:
-                yield np.array(ids, dtype=np.int64), np.array(vecs, dtype=np.float64)
-                ids, vecs = [], []
-        if ids:
-            yield np.array(ids, dtype=np.int64), np.array(vecs, dtype=np.float64)
+        for ids, vecs in self.held.get():
+            ids = np.frombuffer(bytes(ids), dtype=np.int64)
+            yield ids, np.frombuffer(bytes(vecs), dtype=np.float32).reshape(len(ids), -1)
 
     def close(self) -> None:
         pass
