@@ -117,9 +117,10 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, batch_ts, id_base: in
 def get_or_create_tags_delta(tags: DataFrame, inserted: DataFrame, batch_ts,
                              id_base: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M2 as a delta: ``(created, names)``; ``names(article_id, pos, tag_idx,
-    name)`` are the cleaned tag names of the inserted articles."""
+    name)`` are the cleaned tag names of the inserted articles, written once:
+    the tags behind them cost a pass over the texts each time they are asked."""
     names = inserted.select(F.col("id").alias("article_id"), "pos",
-                            F.posexplode(clean_tag_names(F.col("tags"))).alias("tag_idx", "name"))
+                            F.posexplode(clean_tag_names(F.col("tags"))).alias("tag_idx", "name")).checkpoint()
     first_seen = names.groupBy("name").agg(F.min(F.struct("pos", "tag_idx")).alias("_first"))
     fresh = first_seen.join(tags.select("name"), "name", "left_anti") \
         .select("name", F.col("_first.pos").alias("_p"), F.col("_first.tag_idx").alias("_i"))
