@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import slices, stage, utf8_list
+from feedloom.session import file_system as open_store
 from feedloom.session import work_dir
 
 #: Texts handled at once in a task, and the largest single read.
@@ -47,16 +48,6 @@ INDEX = ("path string, offset long, length long, page_id long, url string, paylo
          "record_type string, refers_to long, split long")
 
 
-def open_store(uri: str):
-    """File system and path of a folder named by URI or by plain path."""
-    from pyarrow import fs
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data, usedforsecurity=False).digest()).decode()
 
