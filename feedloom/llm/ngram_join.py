@@ -20,7 +20,7 @@ counted, but no list of all pairs of a group is made.
    allow a link.  Hashed bitmaps bound the overlap from above:
    |x & y| <= (|x| + |y| - bits(X xor Y)) / 2.  A pair that passes is kept under
    its smallest common leader alone.
-5. Classes with such a pair bring their arrays to the tile, which decides by
+5. Classes with such a pair, and no others, bring their arrays to the tile, which decides by
    the exact overlap.  It sends one row per linked class: how many documents it
    links to there, and a class that links lead to.  Sums of the counts are the links, and
    components are completed from the rest.
@@ -225,10 +225,10 @@ def held_by_two(rows: DataFrame) -> DataFrame:
             .where("lo <> hi").drop("lo", "hi"))
 
 
-def members(docs: DataFrame, classes: DataFrame, words: int, bits: int) -> DataFrame:
-    """(cls, arr, sig): sorted array and signature of the given classes (cls),
-    from a scan of the texts through a fixed-size bitmap.  A task sends a set
-    once."""
+def members(docs: DataFrame, classes: DataFrame, words: int, bits: int | None = None) -> DataFrame:
+    """(cls, sig) with ``bits``, else (cls, arr): signature, or sorted array, of
+    the given classes (cls), from a scan of the texts through a fixed-size
+    bitmap.  A task sends a set once."""
     shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(classes, "cls"))
 
     def run(batches):
@@ -242,13 +242,17 @@ def members(docs: DataFrame, classes: DataFrame, words: int, bits: int) -> DataF
                     out.append(i)
                     if len(seen) < SEEN_SETS:
                         seen.add(keys[i])
+            if bits is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array([signature(sets[i], bits) for i in out], pa.binary())],
+                                                 names=["cls", "sig"])
+                continue
             ends = np.concatenate([[0], np.cumsum([len(sets[i]) for i in out])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[out]),
-                 pa.ListArray.from_arrays(ends, np.concatenate([sets[i] for i in out]) if out else np.zeros(0, np.int64)),
-                 pa.array([signature(sets[i], bits) for i in out], pa.binary())], names=["cls", "arr", "sig"])
+                 pa.ListArray.from_arrays(ends, np.concatenate([sets[i] for i in out]) if out else np.zeros(0, np.int64))],
+                names=["cls", "arr"])
 
-    return (docs.select("text").mapInArrow(run, "cls long, arr array<long>, sig binary")
+    return (docs.select("text").mapInArrow(run, "cls long, arr array<long>" if bits is None else "cls long, sig binary")
             .join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
@@ -441,17 +445,18 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     unstage(shared)
     places = stage(led(tiles), "ngram-places")
     unstage(tiles)
-    arrays = stage(members(docs, places.select("cls").distinct(), words, bits), "ngram-members")
+    maps = stage(members(docs, places.select("cls").distinct(), words, bits), "ngram-maps")
     of_lead = places.groupBy("lead").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")).where("classes > 1")
     placed = stage(places.join(of_lead, "lead"), "ngram-open")
     unstage(places)
     leads = placed.groupBy("cls").agg(F.sort_array(F.collect_list("lead")).alias("leads"))
     leads = stage(leads, "ngram-leads")
-    rows = tile_pairs(placed, t, tile_rows, tile_shingles).join(arrays.select("cls", "sig"), "cls").join(leads, "cls")
+    rows = tile_pairs(placed, t, tile_rows, tile_shingles).join(maps, "cls").join(leads, "cls")
     near = stage(compare_tiles(rows, t), "ngram-near")
-    # the arrays go only where a class has a pair that may link
-    found = stage(compare_tiles(near.join(arrays, "cls").join(leads, "cls"), t), "ngram-links")
-    unstage(placed, near, arrays, leads)
+    # an array is made, and goes, only where a class has a pair that may link
+    arrays = stage(members(docs, near.select("cls").distinct(), words), "ngram-members")
+    found = stage(compare_tiles(near.join(maps, "cls").join(arrays, "cls").join(leads, "cls"), t), "ngram-links")
+    unstage(placed, near, maps, arrays, leads)
     final = components(found.select("a", "b")).withColumnRenamed("node", "cls")
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
 
