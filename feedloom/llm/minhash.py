@@ -14,8 +14,9 @@ candidate more is compared.)
 
 1. One scan writes every document's set key, size, signature and band keys;
    equal sets form a class (a task that has met a set does not sign it again).
-2. Classes that share a band key meet under the key's leader, its smallest
-   class: places (leader, class), few per class however large the group.
+2. Classes that share a band key meet under the key's leader, its most central
+   class (whose keys are shared the most): places (leader, class), few per class
+   however large the group.
 3. First round: each class is compared, on full sets, with the leader that it
    shares the most bands with.  The linked pairs give provisional components.
 4. Second round: only leaders whose classes are in several provisional
@@ -46,7 +47,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import in_bitmap, key_bitmap, slices, stage, text_key, unstage, utf8_list
@@ -176,12 +177,19 @@ def arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def places(classes: DataFrame) -> DataFrame:
     """(lead, cls, shared): each class under the leader of every band key that
-    it shares with another class; shared: how many keys lead there."""
+    it shares with another class; shared: how many keys lead there.  The leader
+    has the most places in its keys: the text that others are copies of, not one
+    copy of many, so that fewer are left unlinked by the first round."""
     keys = classes.select("cls", F.explode("bands").alias("bucket"))
-    ends = keys.groupBy("bucket").agg(F.min("cls").alias("lead"), F.max("cls").alias("last"))
-    leads = stage(ends.where("lead <> last").select("bucket", "lead"), "minhash-leads")
-    out = stage(keys.join(leads, "bucket").groupBy("lead", "cls").agg(F.count(F.lit(1)).alias("shared")), "minhash-places")
-    unstage(leads)
+    held = keys.groupBy("bucket").agg(F.min("cls").alias("first"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("held"))
+    # a class has one row per band
+    met = F.sum("held").over(Window.partitionBy("cls"))
+    rows = keys.join(held.where("first <> last").select("bucket", "held"), "bucket")
+    rows = stage(rows.select("cls", "bucket", met.alias("met")), "minhash-shared")
+    best = F.min(F.struct((-F.col("met")).alias("m"), F.col("cls").alias("lead")))
+    leads = stage(rows.groupBy("bucket").agg(best.alias("l")).select("bucket", "l.lead"), "minhash-leads")
+    out = stage(rows.join(leads, "bucket").groupBy("lead", "cls").agg(F.count(F.lit(1)).alias("shared")), "minhash-places")
+    unstage(rows, leads)
     return out
 
 
@@ -233,10 +241,10 @@ def star_links(star: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def open_tiles(placed: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
-    """(lead, band, part, side, cls, n, comp): the classes of the leaders that
-    have several components (``placed``: lead, cls, n, comp), each in one tile
-    (side 0), and those outside the leader's largest component once more in
-    every tile of sizes that could link (side 1)."""
+    """(lead, band, part, side, cls, n, comp, sig): the classes of the leaders
+    that have several components (``placed``: lead, cls, n, comp, sig), each in
+    one tile (side 0), and those outside the leader's largest component once more
+    in every tile of sizes that could link (side 1)."""
     per = placed.groupBy("lead", "comp").agg(F.count(F.lit(1)).alias("c"))
     several = per.groupBy("lead").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
     several = stage(several.where("comps > 1").select("lead", F.col("m.comp").alias("main")), "minhash-open")
@@ -246,7 +254,7 @@ def open_tiles(placed: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / tile_rows), F.ceil(F.sum("n") / TILE_SHINGLES))
     cells = stage(rows.groupBy("lead", "band").agg(parts.alias("parts")), "minhash-cells")
     side = lambda n: F.lit(n).cast("int").alias("side")
-    out = ("cls", "n", "comp")
+    out = ("cls", "n", "comp", "sig")
     held = rows.join(cells, ["lead", "band"]).select(
         "lead", "band", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"), side(0), *out)
     near = rows.where("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -257,11 +265,11 @@ def open_tiles(placed: DataFrame, t: Threshold, tile_rows: int) -> DataFrame:
 
 def compare_tiles(rows: DataFrame, t: Threshold, agree: int) -> DataFrame:
     """Compare the rows of side 1 with the tile (side 0) that they stream past,
-    as far as their components differ.  ``rows``: as of ``open_tiles``, with sig
-    and perhaps arr.  Without arr: the rows that have a pair which agrees in
+    as far as their components differ.  ``rows``: as of ``open_tiles``, perhaps
+    with arr.  Without arr: the rows that have a pair which agrees in
     enough coordinates.  With arr: (a, b), components joined by a link; two
     that a tile has joined already are not compared again there."""
-    keys, exact = ["lead", "band", "part", "side", "cls", "n", "comp"], "arr" in rows.columns
+    keys, exact = ["lead", "band", "part", "side", "cls", "n", "comp", "sig"], "arr" in rows.columns
 
     def run(batches):
         tile, near = [], []
@@ -313,7 +321,7 @@ def compare_tiles(rows: DataFrame, t: Threshold, agree: int) -> DataFrame:
                 yield b.select(keys).take(pa.array(mine, pa.int64()))
         yield from flush()
 
-    columns = [*keys, "sig"] + (["arr"] if exact else [])
+    columns = keys + (["arr"] if exact else [])
     schema = "a long, b long" if exact else rows.select(*keys).schema
     return (rows.select(*columns).repartition("lead", "band", "part").sortWithinPartitions("lead", "band", "part", "side", "cls")
             .mapInArrow(run, schema))
@@ -338,14 +346,15 @@ def joined_classes(docs: DataFrame, classes: DataFrame, words: int, t: Threshold
     unstage(star)
 
     comp = F.coalesce("component", "cls").alias("comp")
-    named = placed.select("lead", "cls").join(classes.select("cls", "n"), "cls").join(first, "cls", "left")
-    named = stage(named.select("lead", "cls", "n", comp), "minhash-named")
+    # what a place needs is joined before it is copied to tiles
+    named = placed.select("lead", "cls").join(classes.select("cls", "n", "sig"), "cls").join(first, "cls", "left")
+    named = stage(named.select("lead", "cls", "n", comp, "sig"), "minhash-named")
     unstage(placed)
-    agree, signatures = least_agreement(t.num / t.den), classes.select("cls", "sig")
-    near = stage(compare_tiles(open_tiles(named, t, tile_rows).join(signatures, "cls"), t, agree), "minhash-near")
+    agree = least_agreement(t.num / t.den)
+    near = stage(compare_tiles(open_tiles(named, t, tile_rows), t, agree), "minhash-near")
     unstage(named)
     # full sets go only where a class has a pair that may link
-    second = compare_tiles(near.join(signatures, "cls").join(full, "cls"), t, agree)
+    second = compare_tiles(near.join(full, "cls"), t, agree)
     last = components(second).select(F.col("node").alias("comp"), F.col("component").alias("merged"))
     unstage(near, full)
     return (classes.select("cls", "set_key", "least_id").join(first, "cls", "left")
