@@ -44,8 +44,8 @@ MARK = "▁"
 #: Distinct words a task remembers; beyond it the memory starts anew.
 CACHE_WORDS = 600_000
 #: Pairs of pieces whose compatibility a worker remembers.
-CACHE_PAIRS = 1_000_000
-SLICE_BYTES = 4 << 20
+CACHE_PAIRS = 400_000
+SLICE_BYTES = 1 << 20
 UNIGRAM, BPE = 1, 2
 #: Penalty of an unknown character below the worst piece (the library's value).
 UNKNOWN_PENALTY = 10.0

@@ -54,7 +54,7 @@ SELECT, FIT = 3.0, 0.5
 DEFAULT_PRIOR = 0.05
 #: Scores from here on are predicted toxic.
 CUT = 0.5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,15 +133,20 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     """Sparse weights (slots, values) and intercept from feature sets: a
     strong L1 term selects features, then those are fitted with a weak one."""
     rows, n_pos = positive + unlabelled, len(positive)
-    slots = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    times = np.bincount(slots, minlength=SLOTS)
+    # a few texts at once: the whole sample is held as int32 columns and nothing wider
+    times, held, first = np.zeros(SLOTS, dtype=np.int64), 0, 0
+    for i, r in enumerate(rows, 1):
+        held += len(r)
+        if held >= ENTRIES or i == len(rows):
+            times += np.bincount(np.concatenate(rows[first:i]), minlength=SLOTS)
+            held, first = 0, i
     used = np.flatnonzero(times >= MIN_TEXTS)
-    often = times[slots] >= MIN_TEXTS
     place = np.full(SLOTS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
-    row, column, times = row[often], place[slots[often]], times[used]
-    del slots, often
+    columns = [(c := place[r])[c >= 0] for r in rows]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+    column, times = np.concatenate(columns), times[used]
+    del columns
     share = times / len(rows)
     chance = prior * np.sqrt(share * (1 - share) / n_pos)
     b = float(np.log(prior / (1 - prior)))
