@@ -5,13 +5,15 @@ candidate.  Cut into two parts it scores floor(1000 a n / (l r)): a, l, r are
 the counts of the phrase and of its parts, n all words of the language.  The
 lowest cut counts.  Candidates that a longer candidate covers are dropped.
 
-1. Which phrases can be frequent is found order by order.  A scan counts the
-   64-bit hashes of the phrases of one order, as far as both phrases of one
-   word less may be frequent (a bitmap of those hashes says so); equal hashes
-   are counted by sorting, in the task first.  A hash counts at least what its
-   phrase does, so nothing frequent is lost.
-2. One more scan counts the phrases of all orders that are left, by their
-   words: these are the exact counts.  The phrase of no word stands for n.
+1. Words are counted by language and spelling.  From then on a word is a 64-bit
+   number, its hash; words that share one with a frequent word are looked for
+   among all counted words, and if there are any, they get other hashes and the
+   step is done again.  So the number of a frequent word is its own.
+2. Phrases are counted order by order by the numbers of their words, as far as
+   both phrases of one word less may be frequent (a bitmap of hashes says so;
+   it never says no wrongly).  These are exact counts, so no scan follows that
+   returns every frequent phrase once per task: a frequent phrase is spelled
+   once, by joining the words of step 1.  The phrase of no word stands for n.
 3. The stream of all counts is put in prefix order (range partitions, sorted by
    words): a phrase follows those it begins with, and those that go on from it
    follow it.  One pass merges the orders in lockstep, a stack holding the open
@@ -38,7 +40,9 @@ columns are not read; no candidate gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +56,7 @@ from feedloom.llm.hashing import joined, mix, runs, span_hashes
 LONGEST, LEAST, REPORT = 5, 100, 2000
 #: A longer phrase covers a candidate with this many hundredths of its count.
 COVER = 100
-SLICE_BYTES, OUT_ROWS = 1 << 20, 1 << 16
+SLICE_BYTES = 1 << 20
 #: The bitmap of frequent hashes has a bit for each of these shifts of a hash,
 #: about 32 bits per hash, and 2 ** these at least and at most.
 PROBES, FEWEST_BITS, MOST_BITS = (0, 18, 36), 20, 28
@@ -67,9 +71,10 @@ _FACTORS = np.random.Generator(np.random.PCG64(12)).integers(0, 1 << 63, 64, dty
 
 
 class Words:
-    """The words of a few texts: where they stand, and hashes of phrases."""
+    """The words of a few texts: where they stand, and their numbers.  Words
+    whose hash is one of ``shared`` (sorted) get another for this ``turn``."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]):
+    def __init__(self, texts: list[bytes], langs: list[str], shared: np.ndarray, turn: int):
         data, begins = joined(texts)
         self.data = _LOWER[data]
         self.starts, self.ends = runs(_WORD[self.data])
@@ -80,44 +85,98 @@ class Words:
         self.names, self.lang = names, np.repeat([code[x] for x in langs], count).astype(np.int64)
         salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], dtype=np.uint64)
         self.words = span_hashes(self.data, self.starts, self.ends) + (salt[self.lang] if names else np.uint64(0))
+        for i in np.flatnonzero(~_absent(self.words, shared)).tolist():
+            word = self.data[self.starts[i]:self.ends[i]].tobytes()
+            other = hashlib.blake2b(word, digest_size=8, key=turn.to_bytes(4, "little"), salt=salt[self.lang[i]].tobytes())
+            self.words[i] = int.from_bytes(other.digest(), "little")
+
+    def counted(self) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+        """Number, language, spelling and count of the different words."""
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int32)
+        spelled = pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(offsets), pa.py_buffer(self.data[_WORD[self.data]])).dictionary_encode()
+        at = spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, first, count = np.unique(self.lang * len(spelled.dictionary) + at, return_index=True, return_counts=True)
+        return (self.words[first].view(np.int64), pa.array(self.names, pa.string()).take(pa.array(self.lang[first])),
+                spelled.dictionary.take(pa.array(at[first])), count)
 
     def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash (int64) of the n words from each word on, and whether they lie
         in one piece."""
         m = max(0, len(self.words) - n + 1)
-        h = np.full(m, n, dtype=np.uint64)
-        for j in range(n):
-            h += self.words[j:j + m] * _FACTORS[j]
-        return mix(h).view(np.int64), self.piece[:m] == self.piece[n - 1:n - 1 + m]
+        return phrase_hashes([self.words[j:j + m] for j in range(n)]), self.piece[:m] == self.piece[n - 1:n - 1 + m]
 
-    def texts(self, at: np.ndarray, n: int) -> list[list[str]]:
-        """The n words from each of the given ones on."""
-        data, of = self.data.tobytes(), at[:, None] + np.arange(n)
-        return [[data[a:b].decode() for a, b in zip(x, y)] for x, y in zip(self.starts[of].tolist(), self.ends[of].tolist())]
 
+def phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """Hash (int64) of phrases whose first words have the numbers ``words[0]``,
+    and so on."""
+    h = np.full(len(words[0]), len(words), dtype=np.uint64)
+    for j, w in enumerate(words):
+        h += w * _FACTORS[j]
+    return mix(h).view(np.int64)
 
-def _words(batches):
+
+def _words(batches, shared: np.ndarray, turn: int):
     for whole in batches:
         for b in slices(whole, 1, SLICE_BYTES):
-            yield Words(utf8_list(b.column(1)), b.column(0).to_pylist())
+            yield Words(utf8_list(b.column(1)), b.column(0).to_pylist(), shared, turn)
+
+
+def _absent(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which keys are not in the sorted ``among``."""
+    if not len(among):
+        return np.ones(len(keys), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] != keys
+
+
+def counted_words(docs: DataFrame, least: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(w1, lang, word, f) of every word, staged, no two of which share the
+    number w1 of one that occurs ``least`` times; and what makes the numbers:
+    the hashes that would be shared, and the turn."""
+    shared = np.zeros(0, dtype=np.uint64)
+    for turn in itertools.count():
+        def run(batches, shared=shared, turn=turn):
+            for w in _words(batches, shared, turn):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in w.counted()], names=["w1", "lang", "word", "c"])
+
+        words = stage(docs.mapInArrow(run, "w1 long, lang string, word string, c long").groupBy("w1", "lang", "word").agg(F.sum("c").alias("f")),
+                      "words")
+        twice = words.groupBy("w1").agg(F.count("*").alias("k"), F.max("f").alias("f")).where((F.col("k") > 1) & (F.col("f") >= least))
+        found = twice.select("w1").toArrow()["w1"].to_numpy().view(np.uint64)
+        if not len(found):
+            return words, shared, turn
+        unstage(words)
+        shared = np.union1d(shared, found)
+
 
+def _columns(n: int) -> list[str]:
+    return [f"w{j}" for j in range(1, n + 1)]
 
-def frequent_hashes(docs: DataFrame, n: int, least: int, shorter: DataFrame | None) -> DataFrame:
-    """(h) of the phrases of n words that may occur ``least`` times; ``shorter``
-    has those of n - 1 words."""
-    shared = None if shorter is None else docs.sparkSession.sparkContext.broadcast(bitmap(shorter))
+
+def frequent_phrases(docs: DataFrame, n: int, least: int, shorter: DataFrame, shared: np.ndarray, turn: int) -> DataFrame:
+    """(w1, w2, ..., f): the phrases of n words, by the numbers of these, that
+    occur ``least`` times; ``shorter`` has those of n - 1 words."""
+    def hashed(batches):
+        for b in batches:
+            words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(words))], names=["h"])
+
+    known = docs.sparkSession.sparkContext.broadcast(bitmap(shorter.select(_columns(n - 1)).mapInArrow(hashed, "h long")))
 
     def run(batches):
-        for w in _words(batches):
+        for w in _words(batches, shared, turn):
             h, use = w.phrases(n)
-            if shared is not None:
-                part, _ = w.phrases(n - 1)
-                known = maybe(shared.value, part)
-                use = use & known[:len(h)] & known[1:1 + len(h)]
-            h, count = np.unique(h[use], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(count.astype(np.int64))], names=["h", "c"])
+            part = maybe(known.value, w.phrases(n - 1)[0])
+            at = np.flatnonzero(use & part[:len(h)] & part[1:1 + len(h)])
+            at = at[np.argsort(h[at])]
+            words = [w.words[at + j] for j in range(n)]
+            new = np.ones(len(at), dtype=bool)      # equal phrases stand together; a row for each run of them
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in words])
+            first = np.flatnonzero(new)
+            count = np.diff(first, append=len(at))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in words), pa.array(count)], names=[*_columns(n), "c"])
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+    rows = docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*_columns(n), "c"]))
+    return rows.groupBy(_columns(n)).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -136,47 +195,16 @@ def maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _absent(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which keys are not in the sorted ``among``."""
-    if not len(among):
-        return np.ones(len(keys), dtype=bool)
-    return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] != keys
-
-
-def exact_counts(docs: DataFrame, hashes: DataFrame, longest: int, least: int) -> DataFrame:
-    """(lang, words, f): the phrases of up to ``longest`` words that occur
-    ``least`` times, and per language the phrase of no word with f = n."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(hashes))
-
-    def run(batches):
-        # a phrase is read once in a task and counted by its hash; what is held is at most the task's own text
-        total: dict[str, int] = {}
-        seen, phrases, hashes, counts = np.zeros(0, np.int64), [], [], []
-        for w in _words(batches):
-            for lang, c in zip(w.names, np.bincount(w.lang, minlength=len(w.names)).tolist()):
-                total[lang] = total.get(lang, 0) + c
-            for n in range(1, longest + 1):
-                h, use = w.phrases(n)
-                at = np.flatnonzero(use & maybe(shared.value, h))
-                h, first, count = np.unique(h[at], return_index=True, return_counts=True)
-                hashes.append(h)
-                counts.append(count)
-                new = _absent(h, seen)
-                if new.any():
-                    at = at[first[new]]
-                    phrases += [(k, w.names[lang], words) for k, lang, words in zip(h[new].tolist(), w.lang[at].tolist(), w.texts(at, n))]
-                    seen = np.sort(np.concatenate([seen, h[new]]))
-        hashes, at = np.unique(np.concatenate([seen[:0], *hashes]), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([np.zeros(0), *counts]), minlength=len(hashes)).astype(np.int64)
-        rows = [(lang, [], c) for lang, c in total.items()]
-        rows += [(lang, words, int(sums[np.searchsorted(hashes, k)])) for k, lang, words in phrases]
-        for k in range(0, len(rows), OUT_ROWS):
-            langs, words, c = zip(*rows[k:k + OUT_ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(c, pa.int64())],
-                                             names=["lang", "words", "c"])
-
-    rows = docs.mapInArrow(run, "lang string, words array<string>, c long")
-    return rows.groupBy("lang", "words").agg(F.sum("c").alias("f")).where((F.col("f") >= least) | (F.size("words") == 0))
+def exact_counts(words: DataFrame, frequent: DataFrame, orders: list[DataFrame]) -> DataFrame:
+    """(lang, words, f): the phrases of ``orders``, made of ``frequent`` words and
+    spelled, and per language the phrase of no word with f = n."""
+    total = words.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.array().cast("array<string>").alias("words"), "f")
+    keys = [df.select(F.array(_columns(n)).alias("key"), "f") for n, df in enumerate(orders, 1)]
+    keys = functools.reduce(DataFrame.unionByName, keys)
+    spelled = (keys.select("key", "f", F.posexplode("key").alias("at", "w1")).join(frequent.select("w1", "lang", "word"), "w1")
+               .groupBy("lang", "key", "f").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
+               .select("lang", F.col("words.word").alias("words"), "f"))
+    return total.unionByName(spelled)
 
 
 def in_lockstep(stream: DataFrame, key: str, chain: str, extension: str, name: str) -> DataFrame:
@@ -245,14 +273,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, re
     r, n, score."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    orders = []
-    for n in range(1, longest + 1):
-        orders.append(stage(frequent_hashes(docs, n, least, orders[-1] if orders else None), f"phrases-{n}"))
-    hashes = orders[0]
-    for more in orders[1:]:
-        hashes = hashes.unionByName(more)
-    counts = stage(exact_counts(docs, hashes, longest, least), "phrase-counts")
-    unstage(*orders)
+    words, *numbers = counted_words(docs, least)
+    frequent = words.where(F.col("f") >= least)
+    orders = [frequent.select("w1", "f")]
+    for n in range(2, longest + 1):
+        orders.append(stage(frequent_phrases(docs, n, least, orders[-1], *numbers), f"phrases-{n}"))
+    counts = stage(exact_counts(words, frequent, orders), "phrase-counts")
+    unstage(words, *orders[1:])
 
     forward = in_lockstep(counts, "words", "begin", "right", "phrases-prefix")
     backward = forward.withColumn("back", F.reverse("words"))
